@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import bpe, rans, simhash
 from ._common import table
 
 
@@ -17,5 +17,30 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup,)}
+def byte_bpe(name: str = "byte_bpe_multi_50k.tiktoken") -> bpe.Encoder:
+    """The encoder of a public vocabulary file."""
+    import public_tokenizers
+
+    return bpe.Encoder(bpe.read_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row of documents."""
+    encoder = byte_bpe()
+    return bpe.round_trip(bpe.encode(table(spark, sf_dir, "documents"), encoder), encoder).withColumnRenamed("id", "doc_id")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` for every row of documents, from the files read back."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    folder = rans.new_folder(spark)
+    rans.write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer, end_id=2, vocabulary=50_257)
+    found = rans.read_tokens(spark, folder)
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_byte_bpe, op5_token_files)}
 ORACLES: dict[str, str] = {}
