@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, rans, simhash
-from ._common import table
+from . import bpe, quality_rules, rans, simhash
+from ._common import staged, table
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,5 +42,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_byte_bpe, op5_token_files)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, ``base_failed`` and ``kept`` for every row of documents."""
+    measured = staged(quality_rules.statistics(table(spark, sf_dir, "documents")), "statistics")
+    rules = quality_rules.learn_rules(measured, table(spark, sf_dir, "labels"))
+    return quality_rules.apply_rules(measured, rules).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_byte_bpe, op5_token_files, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
