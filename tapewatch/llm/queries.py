@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, rans, simhash
-from ._common import staged, table
+from . import bpe, language_id, quality_model, quality_rules, rans, simhash
+from ._common import crc_mod, staged, table
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,24 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` for every row of documents; learns from rows not held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = crc_mod("doc_id", 4) == 2
+    model = language_id.learn(docs.where(~out))
+    found = language_id.identify(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for every row of documents; learns from rows not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.learn(docs, table(spark, sf_dir, "labels"), train_on=crc_mod("id", 5) != 0)
+    found = quality_model.score(docs, model).withColumnRenamed("id", "doc_id")
+    held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, ``base_failed`` and ``kept`` for every row of documents."""
     measured = staged(quality_rules.statistics(table(spark, sf_dir, "documents")), "statistics")
@@ -49,5 +67,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(measured, rules).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_byte_bpe, op5_token_files, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_byte_bpe, op5_token_files, op8_language_id, op9_quality_model, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
