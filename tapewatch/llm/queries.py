@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, quality_model, quality_rules, rans, simhash
+from . import bpe, language_id, quality_model, quality_rules, rans, sharding, simhash
 from ._common import crc_mod, staged, table
 
 
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents in one of 24 shards; equal texts stay together, sizes are near equal."""
+    found = sharding.shard(table(spark, sf_dir, "documents"), 24)
+    return found.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of documents."""
     found = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"), simhash.SimHash(words=4, bits=64, distance=4))
@@ -67,5 +75,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(measured, rules).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_byte_bpe, op5_token_files, op8_language_id, op9_quality_model, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_simhash_near_dedup, op3_byte_bpe, op5_token_files, op8_language_id, op9_quality_model, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
