@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, quality_model, quality_rules, rans, sharding, simhash
+from . import bpe, language_id, line_dedup, mixing, quality_model, quality_rules, rans, sharding, simhash
 from ._common import crc_mod, staged, table
 
 
@@ -38,6 +38,37 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(bpe.encode(table(spark, sf_dir, "documents"), encoder), encoder).withColumnRenamed("id", "doc_id")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, removed_lines, text`` for every row of documents."""
+    found = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), removed_col="removed_lines")
+    return found.select("doc_id", "removed_lines", "text")
+
+
+def domain():
+    """Domain of a source: its number modulo four."""
+    return F.concat(F.lit("domain"), F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("long") % 4, F.lit(0)))
+
+
+def estimated_tokens():
+    """Four bytes of text to a token, rounded up; null texts have none."""
+    return F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4)
+
+
+def mix(share: float, epochs: int) -> mixing.Mix:
+    """Domains four to one, the first heaviest; languages by their weight in each; sources alike."""
+    weights: dict[tuple, float] = {}
+    for k, w in enumerate((4.0, 3.0, 2.0, 1.0)):
+        weights[(f"domain{k}",)] = w
+        weights |= {(f"domain{k}", lang): x for lang, x in (("en", 4.0), ("de", 2.0), ("fr", 2.0), ("es", 2.0))}
+    return mixing.Mix(("domain", "lang", "source"), weights, share=share, epochs=epochs)
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, domain, lang, source, tokens, epoch``: a row for each time that a document is taken."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", domain().alias("domain"), estimated_tokens().alias("tokens"))
+    return mixing.select(docs, mix(share=0.8, epochs=2), "doc_id", "tokens").withColumnRenamed("id", "doc_id")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` for every row of documents, from the files read back."""
     import public_tokenizers
@@ -75,5 +106,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(measured, rules).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_simhash_near_dedup, op3_byte_bpe, op5_token_files, op8_language_id, op9_quality_model, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_simhash_near_dedup, op3_byte_bpe, op4_line_dedup, op5_token_files, op7_source_mix, op8_language_id, op9_quality_model, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.SQL}
