@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, mixing, quality_model, quality_rules, rans, sharding, simhash
+from . import bpe, embedding_dedup, language_id, line_dedup, mixing, quality_model, quality_rules, rans, sharding, simhash
 from ._common import crc_mod, staged, table
 
 
@@ -81,6 +81,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` for every row of embeddings."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9).withColumnRenamed("id", "vec_id")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row of documents; learns from rows not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -106,5 +111,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(measured, rules).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_simhash_near_dedup, op3_byte_bpe, op4_line_dedup, op5_token_files, op7_source_mix, op8_language_id, op9_quality_model, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_simhash_near_dedup, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_embedding_near_dedup, op7_source_mix, op8_language_id, op9_quality_model, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.SQL}
