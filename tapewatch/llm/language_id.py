@@ -74,31 +74,42 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words
     """
     counts = staged(_word_counts(docs, text_col, lang_col), "words")
 
-    def most(rows: DataFrame, by: list[str], key: str, keep: int) -> list:
-        w = Window.partitionBy(*by).orderBy(F.desc("n"), key)
-        return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep).collect()
+    def most(rows: DataFrame, by: list[str], key: str, keep: int):
+        """The ``keep`` most frequent of each group; each task passes on that many at most."""
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), key))
+        return rows.withColumn("r", rank).where(F.col("r") <= keep).drop("r").toPandas()
 
-    # a bound on n that leaves at least words_kept words makes the ranking small
     total = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(total)
     model = Model(languages)
+    if not languages:
+        return model
     at = {lang: k for k, lang in enumerate(languages)}
 
     def table(rows, key: str, totals: dict[str, int]) -> dict[str, np.ndarray]:
-        floors = [math.log(FLOOR / (totals[lang] + FLOOR)) for lang in languages]
+        floors = np.array([math.log(FLOOR / (totals.get(lang, 0) + FLOOR)) for lang in languages])
+        logs = np.log(rows["n"].to_numpy(float)) - np.log(rows["lang"].map(totals).to_numpy(float) + FLOOR)
         out: dict[str, np.ndarray] = {}
-        for r in rows:
-            out.setdefault(r[key], np.array(floors))[at[r["lang"]]] = math.log(r["n"] / (totals[r["lang"]] + FLOOR))
+        for text, lang, value in zip(rows[key], rows["lang"], logs, strict=True):
+            if text not in out:
+                out[text] = floors.copy()
+            out[text][at[lang]] = value
         return out
 
-    if not languages:
-        return model
     model.words = table(most(counts, ["lang"], "word", words_kept), "word", total)
+    padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+
+    def cut(length: int):
+        starts = F.sequence(F.lit(1), F.greatest(F.length("word") + 3 - length, F.lit(1)))
+        return F.transform(starts, lambda i: F.struct(F.lit(length).alias("length"), padded.substr(i, F.lit(length)).alias("gram")))
+
+    every = counts.select("lang", "n", F.explode(F.concat(*map(cut, LENGTHS))).alias("g")).groupBy("lang", "g.length", "g.gram").agg(F.sum("n").alias("n"))
+    grams = staged(every, "grams")
+    sums = {(r["lang"], r["length"]): r["n"] for r in grams.groupBy("lang", "length").agg(F.sum("n").alias("n")).collect()}
+    found = most(grams, ["lang", "length"], "gram", grams_kept)
     for length in LENGTHS:
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") + 2 - length + 1, F.lit(1))), lambda i, length=length: F.concat(F.lit(" "), F.col("word"), F.lit(" ")).substr(i, F.lit(length)))
-        grams = staged(counts.select("lang", "n", F.explode(cut).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-        sums = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        model.grams[length] = table(most(grams, ["lang"], "gram", grams_kept), "gram", sums)
+        totals = {lang: n for (lang, k), n in sums.items() if k == length}
+        model.grams[length] = table(found[found["length"] == length], "gram", totals)
     return model
 
 
@@ -170,3 +181,23 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in said], pa.string()), pa.array([p for _, p in said], pa.float64())], names=["id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def tag(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` with ``lang_col`` as identified and the column ``_score``; every row and column stays.
+
+    Nothing is shuffled: each batch gets its columns back with the answers. See :func:`identify`.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    plain = docs.drop("_score") if "_score" in docs.columns else docs
+    fields = [T.StructField(f.name, T.StringType() if f.name == lang_col else f.dataType) for f in plain.schema.fields]
+    schema = T.StructType([*fields, T.StructField("_score", T.DoubleType())])
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            said = [scorer.text(x.as_py()) for x in batch.column(text_col)]
+            columns = [pa.array([s for s, _ in said], pa.string()) if n == lang_col else batch.column(n) for n in batch.schema.names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([p for _, p in said], pa.float64())], names=[*batch.schema.names, "_score"])
+
+    return plain.mapInArrow(run, schema)
