@@ -1,6 +1,371 @@
-"""All registered queries with their SQL."""
+"""All registered queries on the driver's tables; their SQL is in :mod:`tapewatch.plans.oracle`."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tapewatch.operators import lifecycle, linkage, litigation, market, positions, validation, wallet, watch
+from tapewatch.plans.oracle import ORACLES
+from tapewatch.sources import driver
+from tapewatch.streaming import trades as streams
+
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Doubles rounded for comparison; a little is added so that halves fall on one side, and no zero is negative."""
+    return df.select(*((F.round(F.col(c) + 1e-7, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-tapewatch-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/tapewatch-{uuid.uuid4().hex}"
+
+
+def _positions(spark, sf_dir):
+    t = driver.trades(spark, sf_dir)
+    return positions.net_positions(t, driver.catalog(t))
+
+
+def _bets(spark, sf_dir):
+    t = driver.trades(spark, sf_dir)
+    p = positions.market_cross_section(positions.net_positions(t, driver.catalog(t)))
+    return p.join(positions.price_shock(t).select("cond", "shock_ts"), "cond", "left")
+
+
+def _records(spark, sf_dir):
+    return wallet.records(_bets(spark, sf_dir))
+
+
+def _series(spark, sf_dir):
+    return driver.series(spark, sf_dir)
+
+
+@query
+def net_positions(spark, sf_dir):
+    return rounded(_positions(spark, sf_dir).select("cond", "wallet", "outcome", "entry", "gross", "stake", "pnl", "won", "held", "late", "directional", "ts"), 3)
+
+
+@query
+def market_cross_section(spark, sf_dir):
+    p = positions.market_cross_section(_positions(spark, sf_dir))
+    return rounded(p.where("z_profit is not null").select("cond", "wallet", "buyers", "z_bet", "z_profit"), 3)
+
+
+@query
+def price_shock(spark, sf_dir):
+    return rounded(positions.price_shock(driver.trades(spark, sf_dir)))
+
+
+@query
+def surprise_markets(spark, sf_dir):
+    return rounded(positions.surprise_markets(_positions(spark, sf_dir), least=0.30).select("cond", "implied", "surprise", "total_stake", "top_stake", "winners"), 3)
+
+
+def _detector(name: str, detector: str):
+    def run(spark, sf_dir):
+        found = wallet.detectors(_records(spark, sf_dir)).where(F.col("detector") == detector)
+        return rounded(found.select("wallet", "fires", "score", "measure"), 3)
+
+    run.__name__ = name
+    QUERIES[name] = run
+
+
+for _name, _key in (
+    ("binomial_tail", "won"), ("cross_category", "crossCat"), ("longshot_record", "longshot"), ("held_rate", "held"), ("baseline_lift", "baseline"), ("profit_cross", "profitCross"),
+    ("conceal", "conceal"), ("conviction", "conviction"), ("timing", "timing"), ("repeat_wins", "repeat"), ("concentration", "concentration"), ("sizing", "sizing"),
+):
+    _detector(_name, _key)
+
+
+@query
+def fuse_tier(spark, sf_dir):
+    return wallet.fuse(_records(spark, sf_dir)).select("wallet", "tier", "agreeing", "n_fired", F.array_join(F.array_sort("fired"), ",").alias("fired"))
+
+
+@query
+def episode_score(spark, sf_dir):
+    return rounded(wallet.episodes(_bets(spark, sf_dir)).select("wallet", "cond", "s", "retained", "tier"), 2)
+
+
+@query
+def bh_cutoff(spark, sf_dir):
+    p = wallet.detectors(_records(spark, sf_dir)).where("detector = 'won'").select(F.col("measure").alias("p"))
+    return rounded(wallet.false_discovery_cut(p, q=0.25, least=50, ceiling=1.0), 5)
+
+
+@query
+def percentile(spark, sf_dir):
+    return rounded(wallet.percentile(_records(spark, sf_dir).select("wallet", F.round("pnl", 2).alias("pnl")), "pnl"), 3)
+
+
+@query
+def record_profile(spark, sf_dir):
+    return rounded(_records(spark, sf_dir).select("wallet", "bets", "wins", "pnl", "mean_odds", "median_stake", "max_event"), 3)
+
+
+@query
+def run_up(spark, sf_dir):
+    return rounded(market.run_up(_series(spark, sf_dir)))
+
+
+@query
+def vpin(spark, sf_dir):
+    return rounded(market.vpin(_series(spark, sf_dir)))
+
+
+@query
+def price_impact(spark, sf_dir):
+    return rounded(market.price_impact(_series(spark, sf_dir)))
+
+
+@query
+def hhi(spark, sf_dir):
+    return rounded(market.concentration(market.wallet_volumes(driver.trades(spark, sf_dir))), 6)
+
+
+@query
+def wash(spark, sf_dir):
+    return rounded(market.wash(market.wallet_volumes(driver.trades(spark, sf_dir))), 6)
+
+
+@query
+def ramp(spark, sf_dir):
+    return rounded(market.ramp(_series(spark, sf_dir)))
+
+
+@query
+def sync_entry(spark, sf_dir):
+    return rounded(market.synchronised_entry(market.wallet_volumes(driver.trades(spark, sf_dir)), window=86_400), 6)
+
+
+@query
+def bars_daily(spark, sf_dir):
+    return rounded(market.bars(driver.trades(spark, sf_dir), 86_400), 3)
+
+
+@query
+def market_fuse(spark, sf_dir):
+    s = _series(spark, sf_dir)
+    parts = [market.ramp(s).select("market", F.lit("ramp").alias("detector"), F.col("score").alias("sub")), market.price_impact(s).select("market", F.lit("impact").alias("detector"), F.col("score").alias("sub")), market.vpin(s).select("market", F.lit("vpin").alias("detector"), F.col("vpin").alias("sub"))]
+    return rounded(market.fuse(parts[0].unionAll(parts[1]).unionAll(parts[2]), "market", market.MANIPULATION).select("market", "raw", "ran", "agreeing", "tier"), 3)
+
+
+@query
+def price_as_of_noon(spark, sf_dir):
+    s = _series(spark, sf_dir)
+    day = 86_400_000_000
+    asked = s.select("market", (F.floor(F.col("t") / day) * day + day // 2).alias("at")).distinct()
+    return rounded(market.price_as_of(s, asked), 6)
+
+
+def _wallets(spark, sf_dir):
+    c = driver.read(spark, sf_dir, "customer")
+    first = driver.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))).alias("first_seen_ts"))
+    return c.join(first, c["c_custkey"] == first["o_custkey"]).select(F.concat(F.lit("w"), "c_custkey").alias("wallet"), F.concat_ws("-", "c_nationkey", (F.col("c_custkey") % F.lit(97)).cast("string")).alias("funder"), "first_seen_ts")
+
+
+def _entries(spark, sf_dir):
+    t = driver.trades(spark, sf_dir)
+    return t.where("side = 'BUY'").groupBy("wallet", F.floor(F.col("cond") / 10).alias("event_group")).agg(F.min("ts").alias("ts"))
+
+
+def _pairs(spark, sf_dir):
+    return linkage.funder_pairs(_wallets(spark, sf_dir), _entries(spark, sf_dir), sync=7 * 86_400, near=60 * 86_400)
+
+
+@query
+def funder_pairs(spark, sf_dir):
+    return rounded(_pairs(spark, sf_dir))
+
+
+@query
+def wallet_components(spark, sf_dir):
+    edges = _pairs(spark, sf_dir).where("link >= 0.6").select("a", "b")
+    return linkage.components(edges, _folder(spark))
+
+
+@query
+def state_rollup(spark, sf_dir):
+    return litigation.state_rollup(_matters(spark, sf_dir))
+
+
+def _matters(spark, sf_dir):
+    """Orders stand for matters: status, priority and customer give outcome, forum and state."""
+    o = driver.read(spark, sf_dir, "orders")
+    outcome = F.get(F.array(*map(F.lit, ("Permitted", "Enjoined", "Settled", "Dismissed", "Pending"))), (F.col("o_orderkey") % 5).cast("int"))
+    posture = F.get(F.array(*map(F.lit, litigation.POSTURES)), (F.col("o_custkey") % 5).cast("int"))
+    day = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd")
+    return o.select(
+        F.concat(F.lit("matter-cl"), (F.col("o_orderkey") % 9000).cast("string")).alias("id"), F.col("o_orderpriority").alias("caption"),
+        F.concat(F.lit("p"), (F.col("o_custkey") % 4).cast("string")).alias("platform"), F.concat(F.lit("c"), (F.col("o_orderkey") % 3).cast("string")).alias("contract"),
+        F.col("o_orderstatus").alias("forum"), outcome.alias("outcome"), posture.alias("posture"), F.concat(F.lit("g"), (F.col("o_orderkey") % 7).cast("string")).alias("gate"),
+        F.array(F.concat(F.lit("S"), (F.col("o_custkey") % 50).cast("string")), F.concat(F.lit("S"), (F.col("o_orderkey") % 50).cast("string"))).alias("states"),
+        F.when(F.col("o_orderkey") % 11 != 0, day).alias("filed_date"), F.when(F.col("o_orderkey") % 13 == 0, "2020-13-01").when(F.col("o_orderkey") % 17 == 0, "1990-01-01").alias("decided_date"),
+    )
+
+
+@query
+def validation_problems(spark, sf_dir):
+    return litigation.problems(_matters(spark, sf_dir))
+
+
+@query
+def crosstab(spark, sf_dir):
+    return litigation.crosstab(_matters(spark, sf_dir), "contract", "outcome", ["Permitted", "Enjoined", "Settled", "Dismissed", "Pending"])
+
+
+@query
+def entity_degree(spark, sf_dir):
+    return litigation.entity_degree(_matters(spark, sf_dir))
+
+
+@query
+def analog_vote(spark, sf_dir):
+    scenarios = driver.read(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("scenario"), F.concat(F.lit("c"), (F.col("n_nationkey") % 3).cast("string")).alias("contract"), F.when(F.col("n_nationkey") % 2 == 0, "O").otherwise("F").alias("forum"),
+        F.concat(F.lit("S"), F.col("n_nationkey").cast("string")).alias("state"), F.concat(F.lit("g"), (F.col("n_nationkey") % 7).cast("string")).alias("gate"),
+    )
+    return litigation.analog_votes(scenarios, _matters(spark, sf_dir))
+
+
+def _dockets(spark, sf_dir):
+    """Customers stand for dockets."""
+    c = driver.read(spark, sf_dir, "customer")
+    return c.select(
+        F.when(F.col("c_custkey") % 29 != 0, F.col("c_custkey") * 7).alias("docket_id"), F.concat(F.col("c_name"), F.lit(" v. "), F.when(F.col("c_nationkey") % 3 == 0, "State of X").otherwise("United States")).alias("case_name"),
+        F.array(F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")), F.when(F.col("c_custkey") % 5 == 0, "Prediction Market Inc").otherwise("Other")).alias("party"),
+        F.when(F.col("c_custkey") % 2 == 0, "850 Securities").otherwise("190 Contract").alias("suit_nature"), F.when(F.col("c_custkey") % 4 == 0, "2024-01-01").alias("terminated"),
+    )
+
+
+def _targets(spark, sf_dir):
+    n = driver.read(spark, sf_dir, "nation").where("n_nationkey in (7, 17)")
+    return n.select(F.col("n_nationkey").cast("int").alias("rank"), F.concat(F.lit("Venue"), F.col("n_nationkey").cast("string")).alias("platform"), F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("needle"))
+
+
+@query
+def docket_relevance(spark, sf_dir):
+    return litigation.relevance(_dockets(spark, sf_dir), _targets(spark, sf_dir)).select("case_name", "docket_id", "accept", "platform", "reason")
+
+
+@query
+def docket_diff(spark, sf_dir):
+    known = litigation.relevance(_dockets(spark, sf_dir), _targets(spark, sf_dir))
+    matters = driver.read(spark, sf_dir, "orders").select(F.concat(F.lit("matter-cl"), (F.col("o_orderkey") * 7).cast("string")).alias("id"), F.when(F.col("o_orderkey") % 3 == 0, "2020-01-01").alias("decided_date")).where("o_orderkey % 8 = 0")
+    ledger = driver.read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 7).alias("docket_id"))
+    return litigation.docket_diff(known, matters, ledger)
+
+
+def _queue(spark, sf_dir):
+    e = driver.read(spark, sf_dir, "events")
+    s = e.groupBy(F.col("user_id").alias("market")).agg(F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("last"), F.count("*").alias("n"), F.floor(F.avg("value")).alias("score"))
+    tier = F.when(F.col("score") >= 20, "Elevated").otherwise("Watch")
+    old = s.where("market % 3 <> 0").select(F.lit("insider").alias("engine"), "market", (F.col("last") - 864_000).alias("first_seen"), F.col("last").alias("last_scanned"), F.when(F.col("n") % 2 == 0, "Watch").otherwise("Elevated").alias("tier"), F.col("score"), F.lit("active").alias("status"))
+    new = s.where("market % 2 = 0").select(F.lit("insider").alias("engine"), "market", tier.alias("tier"), "score")
+    return lifecycle.queue_upsert(old, new, now=1_709_300_000)
+
+
+@query
+def queue_upsert(spark, sf_dir):
+    return _queue(spark, sf_dir)
+
+
+@query
+def queue_audit(spark, sf_dir):
+    return lifecycle.audit(_queue(spark, sf_dir))
+
+
+@query
+def cumulative_ledger(spark, sf_dir):
+    o = driver.read(spark, sf_dir, "orders")
+    subjects = o.select((F.col("o_custkey") % 500).alias("key"), F.array_sort(F.array(F.concat(F.lit("a"), (F.col("o_custkey") % 500).cast("string")), F.concat(F.lit("a"), ((F.col("o_custkey") % 500) * 2).cast("string")))).alias("addresses"), F.col("o_totalprice").alias("profit"), F.col("o_orderkey").alias("run"), (F.col("o_orderkey") % 10 == 0).alias("rejected"))
+    return rounded(lifecycle.cumulative_ledger(subjects), 2)
+
+
+@query
+def pool_retention(spark, sf_dir):
+    r = _records(spark, sf_dir).select("wallet", F.round("max_event", 2).alias("max_event"), F.round(F.coalesce("median_stake", F.lit(0.0)), 2).alias("max_stake"), "wins", "bets", (F.col("wins") >= 12).alias("protected"))
+    return rounded(lifecycle.retained(r, 300).select("wallet", "protected", "signal"), 2)
+
+
+@query
+def reconcile_bets(spark, sf_dir):
+    t = _positions(spark, sf_dir).select("wallet", "cond", "stake", "pnl", "won", "tx")
+    feed = t.where("cond % 4 in (0, 3)").select("wallet", "cond", "stake", (F.col("pnl") + 1).alias("pnl"), F.when(F.col("cond") % 4 == 0, F.col("won")).alias("won"), F.lit(None).cast("long").alias("tx"))
+    return rounded(lifecycle.reconcile_bets(t.where("cond % 4 <> 3"), feed), 3)
+
+
+@query
+def watch_score(spark, sf_dir):
+    t = driver.trades(spark, sf_dir)
+    flagged = wallet.fuse(_records(spark, sf_dir)).where("tier in ('high', 'extreme', 'notable')").select("wallet")
+    return rounded(watch.score(t, watch.peer_statistics(t), flagged).select("cond", "wallet", "tx", "outsized", "conviction", "repeat", "fresh", "score", "listed", F.col("vol_share"), F.col("whale_x")), 4)
+
+
+@query
+def detector_lift(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    fired = wallet.detectors(r).where("fires").select("wallet", "detector")
+    return rounded(validation.detector_lift(fired, r.select("wallet", (F.col("wins") / F.col("bets")).alias("rate"))), 6)
+
+
+@query
+def shadow_distribution(spark, sf_dir):
+    return rounded(validation.shadow_distribution(_bets(spark, sf_dir).select((F.round(F.col("z_profit") * 30 + F.col("z_bet") * 25, 2)).alias("s"))), 2)
+
+
+@query
+def null_test(spark, sf_dir):
+    b = _positions(spark, sf_dir).select(F.xxhash64("cond", "wallet").alias("bet_id"), F.col("entry").alias("p"), "won")
+    return validation.null_test(b, draws=200).select("n", "observed", F.round("expected", 3).alias("expected"), F.round("z", 4).alias("z"), "p")
+
+
+@query
+def observed_wallets(spark, sf_dir):
+    t = driver.trades(spark, sf_dir)
+    return validation.merged_estimate(validation.distinct_sketch(t, "wallet", ["cond"]))
+
+
+@query
+def feed_profile(spark, sf_dir):
+    return validation.profile(driver.read(spark, sf_dir, "events"))
+
+
+@query
+def stream_bars(spark, sf_dir):
+    out = streams.collected(streams.bars(streams.events(spark, sf_dir), "1 day"), _folder(spark))
+    return rounded(out.select("market", "start", "p", "volume", "n"), 3)
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    out = streams.collected(streams.sessions(streams.events(spark, sf_dir), "6 hours"), _folder(spark))
+    return rounded(out.select("market", "start", "end", "n", "usd"), 3)
+
+
+@query
+def stream_watchlist(spark, sf_dir):
+    out = streams.collected(streams.watchlist(streams.events(spark, sf_dir)), _folder(spark), "update")
+    last = out.groupBy("market").agg(F.max(F.struct("batch", "trades", "usd", "score", "status")).alias("b"))
+    return rounded(last.select("market", F.col("b.trades").alias("trades"), F.col("b.usd").alias("usd"), F.col("b.score").alias("score"), F.col("b.status").alias("status")), 3)
+
+
+@query
+def stream_distinct(spark, sf_dir):
+    folder = _folder(spark)
+    streams.drained(streams.events(spark, sf_dir), folder, streams.merge_sketch(f"{folder}/sketches", "market"))
+    return validation.merged_estimate(spark.read.schema("sketch binary").option("recursiveFileLookup", "true").parquet(f"{folder}/sketches"))
