@@ -61,7 +61,7 @@ def _watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
     trades, usd, score, last = state.get if state.exists else (0, 0.0, 0, 0.0)
     if state.hasTimedOut:
         state.remove()
-        yield pd.DataFrame([(key[0], trades, usd, score, "retired", pd.Timestamp(last, unit="s"))], columns=["market", "trades", "usd", "score", "status", "at"])
+        yield pd.DataFrame([(key[0], trades, usd, score, "retired", pd.Timestamp(last, unit="s").floor("us"))], columns=["market", "trades", "usd", "score", "status", "at"])
         return
     for rows in batches:
         trades += len(rows)
@@ -71,7 +71,7 @@ def _watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
         last = max(last, rows["ts"].max().timestamp())
     state.update((trades, usd, score, last))
     state.setTimeoutTimestamp(int((last + 30 * 86_400) * 1000))
-    yield pd.DataFrame([(key[0], trades, usd, score, "listed" if score >= 25 else "open", pd.Timestamp(last, unit="s"))], columns=["market", "trades", "usd", "score", "status", "at"])
+    yield pd.DataFrame([(key[0], trades, usd, score, "listed" if score >= 25 else "open", pd.Timestamp(last, unit="s").floor("us"))], columns=["market", "trades", "usd", "score", "status", "at"])
 
 
 def watchlist(stream: DataFrame) -> DataFrame:
