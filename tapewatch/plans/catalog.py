@@ -348,7 +348,7 @@ def feed_profile(spark, sf_dir):
 @query
 def stream_bars(spark, sf_dir):
     out = streams.collected(streams.bars(streams.events(spark, sf_dir), "1 day"), _folder(spark))
-    return rounded(out.select("market", "start", "p", "volume", "n"), 3)
+    return rounded(out.select("market", F.unix_timestamp("start").alias("start"), "p", "volume", "n"), 3)
 
 
 @query

@@ -339,7 +339,7 @@ ORACLES: dict[str, str] = {
       SELECT n, """ + ", ".join(f"round(v[CAST(floor(n * {q}::DOUBLE) AS BIGINT) + 1], 2) AS p{round(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99)) + ", over_500 FROM l",
     "feed_profile": "WITH f AS (SELECT count(*) AS n, " + ", ".join(f"count({c}) AS {c}" for c in ("event_id", "ts", "user_id", "event_type", "value", "props")) + " FROM events) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS present, n - {c} AS missing FROM f" for c in ("event_id", "ts", "user_id", "event_type", "value", "props")),
     "stream_bars": f"""{V}, b AS (SELECT user_id AS market, date_trunc('day', ts) AS start, round(arg_max(0.05::DOUBLE + 0.9::DOUBLE * value / (value + 20), (epoch_us(ts), event_id)), 3) AS p, round(sum(value), 3) AS volume, count(*) AS n FROM events GROUP BY 1, 2)
-      SELECT market, start::TIMESTAMPTZ AS start, p, volume, n FROM b WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+      SELECT market, CAST(epoch(start) AS BIGINT) AS start, p, volume, n FROM b WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
     "stream_watchlist": """SELECT user_id AS market, count(*) AS trades, round(sum(value), 3) AS usd, CAST(max(floor(greatest(0, 0.85::DOUBLE - (0.05::DOUBLE + 0.9::DOUBLE * value / (value + 20))) / 0.85::DOUBLE * 35 + 0.5)) AS INTEGER) AS score,
       CASE WHEN max(floor(greatest(0, 0.85::DOUBLE - (0.05::DOUBLE + 0.9::DOUBLE * value / (value + 20))) / 0.85::DOUBLE * 35 + 0.5)) >= 25 THEN 'listed' ELSE 'open' END AS status FROM events GROUP BY user_id""",
 }
