@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.operators import lifecycle, linkage, litigation, market, positions, validation, wallet, watch
+from tapewatch.operators import lifecycle, linkage, litigation, market, positions, publish, validation, wallet, watch
 from tapewatch.plans.oracle import ORACLES
 from tapewatch.sources import driver
 from tapewatch.streaming import trades as streams
@@ -101,6 +101,39 @@ def episode_score(spark, sf_dir):
     return rounded(wallet.episodes(_bets(spark, sf_dir)).select("wallet", "cond", "s", "retained", "tier"), 2)
 
 
+@query
+def publish_gate(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    rows = publish.suspicion(publish.gate(wallet.fuse(r), r))
+    return rows.select("wallet", "tier", "reject_reason", F.round("suspicion", 1).alias("suspicion"), "final_tier")
+
+
+def _asked(spark, sf_dir):
+    e = driver.read(spark, sf_dir, "events")
+    return e.select((F.col("user_id") % 20).alias("entity"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"), "event_id", "event_type", "value")
+
+
+@query
+def news_blackout(spark, sf_dir):
+    e = _asked(spark, sf_dir)
+    bets = e.where("event_type = 'purchase'").select(F.col("event_id").alias("bet_id"), "entity", "ts", F.col("value").alias("stake"))
+    return rounded(publish.news_blackout(bets, e.where("event_type = 'error'").select("entity", "ts"), hours=6, outsized=20))
+
+
+@query
+def regulatory_matches(spark, sf_dir):
+    e = _asked(spark, sf_dir)
+    bets = e.where("event_type = 'purchase'").select(F.col("event_id").alias("bet_id"), "entity", "ts")
+    return publish.regulatory_matches(bets, e.where("event_type = 'signup'").select("entity", "ts", F.col("event_id").alias("doc")), back=86_400, ahead=3 * 86_400)
+
+
+@query
+def funding_network(spark, sf_dir):
+    o, c = driver.read(spark, sf_dir, "orders"), driver.read(spark, sf_dir, "customer")
+    sent = o.select((F.col("o_orderkey") % 40).alias("from"), (1000 + F.col("o_custkey")).alias("to"), F.col("o_totalprice").alias("value"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts"))
+    return rounded(publish.funding_network(sent, c.where("c_custkey % 50 = 0").select((1000 + F.col("c_custkey")).alias("wallet"))), 2)
+
+
 @query
 def bh_cutoff(spark, sf_dir):
     p = wallet.detectors(_records(spark, sf_dir)).where("detector = 'won'").select(F.col("measure").alias("p"))

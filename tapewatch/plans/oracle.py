@@ -271,6 +271,23 @@ ORACLES: dict[str, str] = {
       ORDER BY s.surprise * log10(greatest(10.0, s.top_stake)) DESC, cond LIMIT 400""",
     **{name: _named(key) for name, key in NAMES.items()},
     "fuse_tier": f"{FUSED} SELECT wallet, {_TIER} AS tier, CAST(agreeing AS INTEGER) AS agreeing, CAST(n_fired AS INTEGER) AS n_fired, fired FROM fused",
+    "publish_gate": f"""{FUSED}, g AS (SELECT f.*, {_TIER} AS tier, pnl, max_event FROM fused f JOIN records USING (wallet)
+      ), x AS (SELECT *, least(1.0::DOUBLE, -log10(greatest(coalesce(p, pc), 1e-15)) / 12) AS imp, ',' || fired || ',' AS f2 FROM g
+      ), y AS (SELECT *, 0.40::DOUBLE * coalesce(imp, 0) + 0.28::DOUBLE * least(1.0::DOUBLE, n_fired / 9) + 0.08::DOUBLE * (contains(f2, ',timing,') OR contains(f2, ',crossCat,'))::INT
+        + 0.12::DOUBLE * least(1.0::DOUBLE, log10(greatest(abs(pnl), 1.0)) / 6) + 0.12::DOUBLE * (contains(f2, ',conceal,') OR (contains(f2, ',conviction,') AND contains(f2, ',concentration,')))::INT AS total FROM x
+      ), z AS (SELECT *, floor(total * 1000 + 0.5 + 1e-7) / 10 AS s FROM y)
+      SELECT wallet, tier, CASE WHEN tier = 'unflagged' THEN 'not flagged' WHEN NOT (coalesce(p <= 0.01, false) OR conv) THEN 'record not improbable' WHEN max_event < 2500 THEN 'not material'
+        WHEN pnl <= 0 THEN 'no profit' WHEN pnl < 2500 THEN 'small profit' END AS reject_reason, round(s, 1) AS suspicion, CASE WHEN s >= 45 AND pnl >= 10000 THEN 'elevated' ELSE 'watch' END AS final_tier FROM z""",
+    "news_blackout": """WITH e AS (SELECT user_id % 20 AS entity, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id, event_type, value FROM events
+      ), n AS (SELECT b.event_id, count(x.ts) AS n, any_value(b.value) AS stake FROM e b LEFT JOIN e x ON x.event_type = 'error' AND x.entity = b.entity AND x.ts BETWEEN b.ts - 21600 AND b.ts WHERE b.event_type = 'purchase' GROUP BY b.event_id)
+      SELECT event_id AS bet_id, n, n = 0 AS blackout, CAST(round(CASE WHEN n = 0 AND stake >= 20 THEN 0.6 WHEN n = 0 THEN 0.3 ELSE greatest(0.0, least(0.25, 0.2 - 0.02 * n)) END, 4) AS DOUBLE) AS score FROM n""",
+    "regulatory_matches": """WITH e AS (SELECT user_id % 20 AS entity, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id, event_type FROM events
+      ), p AS (SELECT b.event_id AS bet_id, b.ts, x.ts AS found, row_number() OVER (PARTITION BY b.event_id ORDER BY x.ts DESC, x.event_id DESC) AS r FROM e b JOIN e x ON x.event_type = 'signup' AND x.entity = b.entity AND x.ts BETWEEN b.ts - 86400 AND b.ts + 259200 WHERE b.event_type = 'purchase')
+      SELECT bet_id, CAST(count(*) FILTER (WHERE found >= ts) AS INTEGER) AS ahead, CAST(count(*) AS INTEGER) AS docs FROM p WHERE r <= 5 GROUP BY bet_id""",
+    "funding_network": """WITH t AS (SELECT o_orderkey % 40 AS f, 1000 + o_custkey AS t, sum(o_totalprice) AS value, min(CAST(epoch(o_orderdate) AS BIGINT)) AS first_ts FROM orders GROUP BY 1, 2
+      ), o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY value DESC, f) AS r FROM t WHERE t IN (SELECT 1000 + c_custkey FROM customer WHERE c_custkey % 50 = 0)
+      ), g AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY value DESC, t) AS r FROM t WHERE f IN (SELECT f FROM o WHERE r <= 3))
+      SELECT o.t AS subject, o.f AS funder, g.t AS recipient, round(g.value + 1e-7, 2) AS value, g.first_ts FROM o JOIN g ON o.f = g.f AND g.r <= 30 WHERE o.r <= 3 AND o.t <> g.t""",
     "episode_score": f"""{BETS}, s0 AS (SELECT wallet, avg(stake) AS m, stddev_samp(stake) AS sd FROM bets WHERE stake > 0 GROUP BY wallet
     ), e0 AS (SELECT b.*, CASE WHEN sd > 0 THEN (stake - m) / sd ELSE 0 END AS zw FROM bets b LEFT JOIN s0 USING (wallet) WHERE z_bet IS NOT NULL AND pnl >= 250 AND entry <= 0.9
     ), e1 AS (SELECT *, 30 * z_profit + 25 * z_bet + 20 * zw + 15 * late + 10 * directional AS s FROM e0 WHERE (z_bet > 2 OR zw > 2) AND won AND z_profit > 0

@@ -70,3 +70,20 @@ def test_newest_wins(spark):
 def test_trim_settlement(spark):
     s = spark.createDataFrame([(1, t, t, p) for t, p in enumerate([0.2, 0.5, 0.7, 0.995, 1.0])], "market long, t long, id long, p double")
     assert market.trim_settlement(s).count() == 3
+
+
+def test_interval_join_and_blackout(spark):
+    from tapewatch.operators import publish
+
+    bets = spark.createDataFrame([(1, 7, 100_000, 5000.0), (2, 7, 10, 5000.0), (3, 8, 100_000, 10.0)], "bet_id long, entity long, ts long, stake double")
+    news = spark.createDataFrame([(7, 99_000), (7, 100_001), (7, 10_000)], "entity long, ts long")
+    got = {r["bet_id"]: (r["n"], r["score"]) for r in publish.news_blackout(bets, news).collect()}
+    assert got == {1: (1, 0.18), 2: (0, 0.6), 3: (0, 0.3)}
+
+
+def test_funding_network(spark):
+    from tapewatch.operators import publish
+
+    t = spark.createDataFrame([("h", "s", 5.0, 1), ("h", "x", 3.0, 2), ("k", "x", 9.0, 3)], "from string, to string, value double, ts long")
+    got = publish.funding_network(t, spark.createDataFrame([("s",)], "wallet string")).collect()
+    assert [tuple(r) for r in got] == [("s", "h", "x", 3.0, 2)]
