@@ -9,49 +9,68 @@ of the whole text, and pieces repeat.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
 
-_PIECE = re.compile(r" ?[^\W\d_]+(?=[\s.,;:!?]|\Z)|[.,;:!?]+(?=\s|\Z)| ?\S+|\s+(?!\S)|\s+")
+_PIECE = re.compile(r" ?\w+(?=[\s.,;:!?]|\Z)|[.,;:!?]+(?=\s|\Z)| ?\S+|\s+(?!\S)|\s+")
+#: An underscore is a sign to the pattern, so a word that ends in one doesn't end there.
+_PLAIN = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Separators that one library counts as white space and another doesn't: such texts stay whole.
 _UNCLEAR = re.compile("[\x1c-\x1f]")
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 LONGEST = 64
 
 
 def cut(text: str) -> list[str]:
-    return [text] if _UNCLEAR.search(text) else _PIECE.findall(text)
+    if _UNCLEAR.search(text):
+        return [text]
+    return (_PLAIN if "_" in text else _PIECE).findall(text)
 
 
 class Memory:
-    """Tokens of pieces as little-endian bytes. Holds at most twice ``REMEMBERED`` short pieces.
+    """Tokens of pieces as little-endian bytes. Holds at most twice ``most`` short pieces.
 
     ``encode`` gets a list of pieces and returns a list of id lists. When the young half is full it
     becomes the old half; pieces used again move back.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], kind: str):
-        self.encode, self.kind = encode, np.dtype(kind)
+    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], kind: str, most: int = REMEMBERED):
+        self.encode, self.kind, self.most = encode, np.dtype(kind), most
+        self.code = {2: "H", 4: "i"}[self.kind.itemsize]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         parts = cut(text)
         found = [*map(self.young.get, parts)]
-        if None not in found:
-            return b"".join(found)
-        extra: dict[str, bytes] = {}
-        new = []
-        for part in {p for p, f in zip(parts, found, strict=True) if f is None}:
-            if (known := self.old.get(part)) is not None:
-                extra[part] = known
-            else:
-                new.append(part)
-        for part, ids in zip(new, self.encode(new) if new else (), strict=True):
-            extra[part] = np.array(ids, self.kind).tobytes()
-        whole = b"".join([extra[p] if f is None else f for p, f in zip(parts, found, strict=True)])
-        self.young.update((p, v) for p, v in extra.items() if len(p) <= LONGEST)
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        return whole
+        if None in found:
+            gaps = [i for i, f in enumerate(found) if f is None]
+            extra: dict[str, bytes | None] = dict.fromkeys(parts[i] for i in gaps)
+            new = []
+            for part in extra:
+                if (known := self.old.get(part)) is None:
+                    new.append(part)
+                else:
+                    extra[part] = known
+            for part, ids in zip(new, self.encode(new) if new else (), strict=True):
+                extra[part] = array(self.code, ids).tobytes()
+            for i in gaps:
+                found[i] = extra[parts[i]]
+            if len(parts) > 1 or len(text) <= LONGEST:
+                self.young.update((p, v) for p, v in extra.items() if len(p) <= LONGEST)
+            if len(self.young) > self.most:
+                self.old, self.young = self.young, {}
+        return b"".join(found)
+
+
+_OWN: dict[str, tuple[object, object]] = {}
+
+
+def kept(use: str, mark: object, make: Callable):
+    """What a worker process keeps from task to task: one thing, until a task brings another use or mark."""
+    if _OWN.get(use, (None,))[0] != mark:
+        _OWN.clear()
+        _OWN[use] = (mark, make())
+    return _OWN[use][1]

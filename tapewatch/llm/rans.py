@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import dropped, shared_dir, staged
-from .pieces import Memory
+from .pieces import Memory, kept
 
 MAGIC = b"TWR1"
 SCALE = 20
@@ -97,6 +97,8 @@ class Coder:
             got = words[np.minimum(at + ahead - 1, top)]
             state = np.where(need, (state << shift) | got, state)
             at = at + ahead[:, -1:]
+        if (state != LOW).any():  # every lane ends where its encoder began
+            raise ValueError("a block fails its checksum: lanes end elsewhere")
         return out.reshape(len(states), -1)
 
     def frame(self, docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
@@ -132,17 +134,37 @@ class Coder:
         return names, sizes, ids.reshape(-1)[:tokens]
 
 
+def _memory(tokenizer_json: str) -> Memory:
+    """The library's ids of pieces. A piece of letters is one match of its pattern, so its model alone does."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_str(tokenizer_json)
+    own.encode_special_tokens = True
+    # byte-level letters: printable bytes stand for themselves, the others for code points from 256 on
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    letters = {b: chr(256 + k) for k, b in enumerate(others)}
+    whole, model = own.encode_batch_fast, own.model.tokenize
+
+    def encode(pieces: list[str]) -> list[list[int]]:
+        out = []
+        for p in pieces:
+            if p.lstrip(" ").isalpha() and p.count(" ") <= 1:
+                out.append([t.id for t in model(p.encode().decode("latin-1").translate(letters))])
+            else:
+                out.append(whole([p], add_special_tokens=False)[0].ids)
+        return out
+
+    return Memory(encode, "<u2" if own.get_vocab_size() <= 1 << 16 else "<u4")
+
+
 def _tokenised(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str, text_col: str, partitions: int) -> DataFrame:
     """``shard, row, id, ids`` in ascending id order: texts are dealt out by ranges of ids, then encoded."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        own = Tokenizer.from_str(shared.value)
-        own.encode_special_tokens = True
-        memory = Memory(lambda pieces: [e.ids for e in own.encode_batch_fast(pieces, add_special_tokens=False)], "<u2" if own.get_vocab_size() <= 1 << 16 else "<u4")
+        memory = kept("tokens", zlib.crc32(shared.value.encode()), lambda: _memory(shared.value))
         last = np.array([end_id], memory.kind).tobytes()
         shard, row = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -232,7 +254,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("shard").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = frames.select("shard", "row", inside.alias("inside")).join(shards.select("shard", before.alias("before")), "shard")
-    placed = frames.join(starts.select("shard", "row", (F.col("before") + F.col("inside")).alias("start")), ["shard", "row"])
+    starts = staged(starts.select("shard", "row", (F.col("before") + F.col("inside")).alias("start")), "starts")
+    placed = frames.join(starts, ["shard", "row"])
 
     def run(batches):
         coder = Coder(shared.value)
