@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tapewatch.llm import bpe, language_id, line_dedup, mixing, queries, simhash
 from tapewatch.llm._common import crc_mod, staged, table
 
-SURE = 0.5
+SURE = 0.3
 
 #: A pair of documents whose five-word shingles have a Jaccard similarity of 0.8 differs in about 39 of
 #: 256 bits, give or take 6; unrelated ones in 128, give or take 8. Such a pair shares one of 32 patterns
@@ -55,7 +55,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, tokens`` of every row's whole text."""
     encoder = queries.byte_bpe()
-    return bpe.round_trip(bpe.encode(docs, encoder), encoder, keep_tokens=True).withColumnRenamed("id", "doc_id")
+    return bpe.round_trip(docs, encoder, keep_tokens=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("tokens", tokens)]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pieces import Memory
+from .pieces import Memory, kept
 
 PAIRS_REMEMBERED = 1_000_000
 
@@ -48,6 +48,7 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, pattern
+        self.mark = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
         self.halves: dict[int, tuple[int, int]] = {}
         usable = {t: r for t, r in ranks.items() if len(t) == 1}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
@@ -152,38 +153,64 @@ def encode(docs: DataFrame, encoder: Encoder, id_col: str = "doc_id", text_col:
 
     def run(batches):
         own = shared.value
-        memory = Memory(lambda pieces: [own.encode(p) for p in pieces], "<i4")
+        memory = _memory(own)
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, len(texts), 256):  # so that arrays of a batch stay small
                 found = [memory.ids(x.as_py() or "") for x in texts.slice(at, 256)]
-                offsets = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), ids], names=["id", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), _lists(found)], names=["id", "tokens"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def round_trip(tokens: DataFrame, encoder: Encoder, keep_tokens: bool = False) -> DataFrame:
-    """Decode ``tokens`` and describe both sides: ``id, n_tokens, ids_sha256, decoded_sha256``.
+def decode(tokens: DataFrame, encoder: Encoder) -> DataFrame:
+    """``id`` and ``bytes`` of the column ``tokens``; a null list gives null."""
+    shared = tokens.sparkSession.sparkContext.broadcast(encoder)
+    schema = T.StructType([tokens.schema["id"], T.StructField("bytes", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            out = [shared.value.decode(x) if (x := v.as_py()) is not None else None for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "bytes"])
+
+    return tokens.select("id", "tokens").mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, encoder: Encoder, keep_tokens: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode whole texts, decode the ids again and describe both: ``id, n_tokens, ids_sha256, decoded_sha256``.
 
-    ``keep_tokens`` adds the column ``tokens``. A null list counts as an empty one.
+    ``keep_tokens`` adds the column ``tokens``. Null and empty texts have no tokens. See :func:`encode`.
+    Both ways run in one pass, so that a task needs one worker process.
     """
-    shared = tokens.sparkSession.sparkContext.broadcast(encoder)
-    fields = [tokens.schema["id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    shared = docs.sparkSession.sparkContext.broadcast(encoder)
+    fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     schema = T.StructType(fields + [T.StructField("tokens", T.ArrayType(T.IntegerType(), True))] * keep_tokens)
 
     def run(batches):
         own = shared.value
-        digits = {rank: str(rank) for rank in own.text_of}
+        memory = _memory(own)
+        digits, text_of = [*map(str, range(max(own.text_of) + 1))], own.text_of
         for batch in batches:
-            lists = batch.column(1)
-            sizes, said, decoded = [], [], []
-            for k in range(len(lists)):
-                ids = lists[k].values.to_numpy().tolist() if lists[k].is_valid else []
-                sizes.append(len(ids))
-                said.append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(said, pa.string()), pa.array(decoded, pa.string()), *[lists] * keep_tokens], names=schema.names)
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                found, sizes, said, decoded = [], [], [], []
+                for x in part.column(1):
+                    ids = memory.ids(x.as_py() or "")
+                    each = memoryview(ids).cast("i")
+                    sizes.append(len(each))
+                    said.append(hashlib.sha256(",".join(map(digits.__getitem__, each)).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(b"".join(map(text_of.__getitem__, each))).hexdigest())
+                    found += [ids] * keep_tokens
+                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(said, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *[_lists(found)] * keep_tokens], names=schema.names)
 
-    return tokens.select("id", "tokens").mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def _memory(own: Encoder) -> Memory:
+    return kept("bpe", own.mark, lambda: Memory(lambda pieces: [own.encode(p) for p in pieces], "<i4", 250_000))
+
+
+def _lists(found: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,21 +20,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import staged
+from .pieces import kept
 
 NONE = "und"
 LENGTHS = (4, 3, 2, 1)
 FLOOR = 0.5  # a count of this much stands for words and n-grams that a language never showed
 _WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 200_000  # unseen words that a worker holds
+REMEMBERED = 120_000  # unseen words that a worker holds
+
+
+@dataclass
+class Table:
+    """Texts and, for each, one log frequency for each language; few large objects, so that copies stay small."""
+
+    texts: str = ""
+    logs: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.float32))
+
+    def names(self) -> list[str]:
+        return self.texts.split("\n") if len(self.logs) else []
 
 
 @dataclass
 class Model:
-    """``words`` and ``grams[length]``: from text to one log frequency for each of ``languages``."""
+    """``words`` and ``grams[length]`` for ``languages``."""
 
     languages: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[int, dict[str, np.ndarray]] = field(default_factory=dict)
+    words: Table = field(default_factory=Table)
+    grams: dict[int, Table] = field(default_factory=dict)
+    mark: str = ""
 
 
 def letters(text: str) -> list[str]:
@@ -86,15 +100,13 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words
         return model
     at = {lang: k for k, lang in enumerate(languages)}
 
-    def table(rows, key: str, totals: dict[str, int]) -> dict[str, np.ndarray]:
+    def table(rows, key: str, totals: dict[str, int]) -> Table:
         floors = np.array([math.log(FLOOR / (totals.get(lang, 0) + FLOOR)) for lang in languages])
         logs = np.log(rows["n"].to_numpy(float)) - np.log(rows["lang"].map(totals).to_numpy(float) + FLOOR)
-        out: dict[str, np.ndarray] = {}
-        for text, lang, value in zip(rows[key], rows["lang"], logs, strict=True):
-            if text not in out:
-                out[text] = floors.copy()
-            out[text][at[lang]] = value
-        return out
+        texts, place = np.unique(rows[key].to_numpy(str), return_inverse=True)
+        every = np.tile(floors, (len(texts), 1))
+        every[place, rows["lang"].map(at).to_numpy()] = logs
+        return Table("\n".join(texts.tolist()), every.astype(np.float32))
 
     model.words = table(most(counts, ["lang"], "word", words_kept), "word", total)
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
@@ -110,6 +122,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words
     for length in LENGTHS:
         totals = {lang: n for (lang, k), n in sums.items() if k == length}
         model.grams[length] = table(found[found["length"] == length], "gram", totals)
+    model.mark = uuid.uuid4().hex
     return model
 
 
@@ -118,11 +131,12 @@ class Scorer:
     model's own hold up to ``REMEMBERED`` unseen words and are filled again from their start when full."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, len(model.words)
-        self.rows = np.zeros((self.known + REMEMBERED, max(1, len(model.languages))))
-        if self.known:
-            self.rows[: self.known] = [*model.words.values()]
-        self.place = dict(zip(model.words, range(self.known), strict=True))
+        words = model.words.names()
+        self.languages, self.known = model.languages, len(words)
+        self.rows = np.zeros((self.known + REMEMBERED, max(1, len(model.languages))), np.float32)
+        self.rows[: self.known] = model.words.logs
+        self.place = dict(zip(words, range(self.known), strict=True))
+        self.grams = {k: (dict(zip(t.names(), range(len(t.logs)), strict=True)), t.logs) for k, t in model.grams.items()}
         self.unseen: list[str] = []
 
     def total(self, words: list[str]) -> np.ndarray:
@@ -141,28 +155,28 @@ class Scorer:
                 self.place[w] = at
                 self.unseen.append(w)
             found = [*map(self.place.get, words)]
-        return self.rows[found].sum(0)
+        return self.rows[found].sum(0, dtype=float)
 
     def _backed_off(self, word: str) -> np.ndarray:
         padded = f" {word} "
         for length in LENGTHS:
-            table = self.model.grams.get(length, {})
-            known = [g for i in range(max(1, len(padded) - length + 1)) if (g := table.get(padded[i : i + length])) is not None]
+            place, logs = self.grams.get(length, ({}, None))
+            known = [g for i in range(max(1, len(padded) - length + 1)) if (g := place.get(padded[i : i + length])) is not None]
             if known:
-                return np.mean(known, 0)
-        return np.zeros(len(self.model.languages))
+                return logs[known].mean(0)
+        return np.zeros(len(self.languages))
 
     def text(self, text: str | None) -> tuple[str, float]:
         """Language and its share among all languages' likelihoods; ties go to the first by name."""
         words = letters(text or "")
-        if not words or not self.model.languages:
+        if not words or not self.languages:
             return NONE, 0.0
-        total = np.zeros(len(self.model.languages))
+        total = np.zeros(len(self.languages))
         for at in range(0, len(words), 4096):
             total += self.total(words[at : at + 4096])
         share = np.exp(total - total.max())
         best = int(np.argmax(total))
-        return self.model.languages[best], float(share[best] / share.sum())
+        return self.languages[best], float(share[best] / share.sum())
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,7 +189,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        scorer = Scorer(shared.value)
+        scorer = kept("language", shared.value.mark, lambda: Scorer(shared.value))
         for batch in batches:
             said = [scorer.text(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in said], pa.string()), pa.array([p for _, p in said], pa.float64())], names=["id", "lang_pred", "score"])
@@ -194,7 +208,7 @@ def tag(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "
     schema = T.StructType([*fields, T.StructField("_score", T.DoubleType())])
 
     def run(batches):
-        scorer = Scorer(shared.value)
+        scorer = kept("language", shared.value.mark, lambda: Scorer(shared.value))
         for batch in batches:
             said = [scorer.text(x.as_py()) for x in batch.column(text_col)]
             columns = [pa.array([s for s, _ in said], pa.string()) if n == lang_col else batch.column(n) for n in batch.schema.names]

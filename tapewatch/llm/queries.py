@@ -35,7 +35,7 @@ def byte_bpe(name: str = "byte_bpe_multi_50k.tiktoken") -> bpe.Encoder:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row of documents."""
     encoder = byte_bpe()
-    return bpe.round_trip(bpe.encode(table(spark, sf_dir, "documents"), encoder), encoder).withColumnRenamed("id", "doc_id")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), encoder).withColumnRenamed("id", "doc_id")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
