@@ -83,15 +83,21 @@ def _word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words_kept: int = 50_000, grams_kept: int = 20_000) -> Model:
     """Counts come from all rows with a text and a language.
 
-    ``words_kept`` words of each language and ``grams_kept`` n-grams of each length and language, the
-    most frequent ones (ties by text), make the model: its size has a bound, and rarer words back off.
+    The most frequent words of each language and n-grams of each length and language make the model,
+    ``words_kept`` and ``grams_kept`` at most (those that tie at the bound are left out): its size has a
+    bound, and rarer words back off.
     """
     counts = staged(_word_counts(docs, text_col, lang_col), "words")
 
-    def most(rows: DataFrame, by: list[str], key: str, keep: int):
-        """The ``keep`` most frequent of each group; each task passes on that many at most."""
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), key))
-        return rows.withColumn("r", rank).where(F.col("r") <= keep).drop("r").toPandas()
+    def most(rows: DataFrame, by: list[str], keep: int):
+        """All rows of a group whose n is so high that no more than ``keep`` rows reach it.
+
+        Only counted values of n are put in order, not the rows.
+        """
+        cells = rows.groupBy(*by, "n").agg(F.count("*").alias("c"))
+        above = F.sum("c").over(Window.partitionBy(*by).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
+        least = cells.withColumn("above", above).where(F.col("above") <= keep).groupBy(*by).agg(F.min("n").alias("least"))
+        return rows.join(F.broadcast(least), by).where("n >= least").drop("least").toPandas()
 
     total = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(total)
@@ -108,7 +114,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words
         every[place, rows["lang"].map(at).to_numpy()] = logs
         return Table("\n".join(texts.tolist()), every.astype(np.float32))
 
-    model.words = table(most(counts, ["lang"], "word", words_kept), "word", total)
+    model.words = table(most(counts, ["lang"], words_kept), "word", total)
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
 
     def cut(length: int):
@@ -118,7 +124,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words
     every = counts.select("lang", "n", F.explode(F.concat(*map(cut, LENGTHS))).alias("g")).groupBy("lang", "g.length", "g.gram").agg(F.sum("n").alias("n"))
     grams = staged(every, "grams")
     sums = {(r["lang"], r["length"]): r["n"] for r in grams.groupBy("lang", "length").agg(F.sum("n").alias("n")).collect()}
-    found = most(grams, ["lang", "length"], "gram", grams_kept)
+    found = most(grams, ["lang", "length"], grams_kept)
     for length in LENGTHS:
         totals = {lang: n for (lang, k), n in sums.items() if k == length}
         model.grams[length] = table(found[found["length"] == length], "gram", totals)
