@@ -2,7 +2,7 @@
 
 1. language: documents whose language can't be told go (no letter, or a score under ``SURE``).
 2. lines: boilerplate lines that stand on many sources leave every place but their first.
-3. near_duplicates: one document of each group of near copies stays, by fingerprints of five-word shingles.
+3. near_duplicates: one document of each group of near copies stays: found by fingerprints of five-word shingles, compared by the shingles.
 4. mix: documents are chosen so that domains, languages and sources come near their target weights.
 5. tokens: byte-level BPE ids of each document, decoded again and compared by hash.
 """
@@ -17,10 +17,10 @@ from tapewatch.llm._common import crc_mod, staged, table
 
 SURE = 0.3
 
-#: A pair of documents whose five-word shingles have a Jaccard similarity of 0.8 differs in about 39 of
-#: 256 bits, give or take 6; unrelated ones in 128, give or take 8. Such a pair shares one of 32 patterns
-#: of 14 bits with a chance of 0.97.
-NEAR = simhash.SimHash(words=5, bits=256, distance=46, drawn_masks=32, mask_bits=14, ties=True)
+#: Documents are near copies from a Jaccard similarity of 0.8 of their distinct five-word shingles. A pair at 0.8
+#: differs in about 39 of 256 bits, give or take 6; unrelated ones in 128, give or take 8. It is a candidate
+#: at 60 bits or fewer, and shares one of 64 patterns of 14 bits with a chance of 0.999. Candidates are compared exactly.
+NEAR = simhash.SimHash(words=5, bits=256, distance=60, drawn_masks=64, mask_bits=14, ties=True, similar=80)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

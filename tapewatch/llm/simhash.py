@@ -7,6 +7,8 @@
 3. The rows of an upper node are sorted by Gray rank and searched with :mod:`gray_index`. What leaves
    the task is a spanning star for each linked set, never all pairs.
 4. Connected components over the stars give each document its class.
+5. With ``similar`` those components are candidates only: the shingle sets of a component's nodes are
+   compared exactly, pair by pair, and the classes are the components of the pairs that are similar enough.
 
 An upper node with more than ``cap`` rows is dealt out as all pairs of its chunks of about ``cap``
 rows, so every pair still meets in one task of bounded size.
@@ -40,6 +42,8 @@ class SimHash:
     ``drawn_masks`` of ``mask_bits`` bits each replace the exact masks where the distance is too wide
     for pigeonhole: a pair whose bits differ with chance p meets with chance 1-(1-(1-p)^mask_bits)^drawn_masks.
     ``ties`` gives bits with exactly half the votes the bit of a hash of the whole text instead of 0.
+    ``similar``, in percent, is the Jaccard similarity of shingle sets that links in the end; each distinct
+    shingle then votes once, and equal sets are one node. 0: the fingerprints alone link.
     """
 
     words: int = 4
@@ -48,6 +52,7 @@ class SimHash:
     drawn_masks: int = 0
     mask_bits: int = 14
     ties: bool = False
+    similar: int = 0
     cap: int = CAP
 
 
@@ -62,50 +67,79 @@ def _spread(hashes: np.ndarray, count: int) -> np.ndarray:
     return np.stack(columns, 1)
 
 
-def fingerprint(text: str | None, how: SimHash = SimHash()) -> np.ndarray:
-    """Big-endian words of the fingerprint. Null, empty and blank texts: all bits zero.
-
-    Long texts are hashed in pieces of a fixed number of shingles.
-    """
-    count = how.bits // 64
+def _shingles(text: str | None, how: SimHash) -> tuple[bytes, np.ndarray]:
+    """The text's words with single blanks, and one hash for each shingle; with ``similar``, in order and each once."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    line, one = b" ".join(parts), xxhash.xxh64_intdigest
     if not parts:
-        return np.zeros(count, np.uint64)
-    line = b" ".join(parts)
+        return line, np.zeros(0, np.uint64)
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     end = np.cumsum(size + 1) - 1
     begin = end - size
     width = min(how.words, len(parts))
     begin, end = begin[: len(parts) - width + 1], end[width - 1 :]
-    votes, one = np.zeros(how.bits, np.int64), xxhash.xxh64_intdigest
+    hashes = np.empty(len(begin), np.uint64)
     for at in range(0, len(begin), PIECE):
         b, e = begin[at : at + PIECE].tolist(), end[at : at + PIECE].tolist()
-        hashes = np.fromiter((one(line[i:j], SEED) for i, j in zip(b, e, strict=True)), np.uint64, len(b))
-        rows = _spread(hashes, count).astype(">u8").view(np.uint8)
+        hashes[at : at + PIECE] = np.fromiter((one(line[i:j], SEED) for i, j in zip(b, e, strict=True)), np.uint64, len(b))
+    return line, np.unique(hashes) if how.similar else hashes
+
+
+def _print(hashes: np.ndarray, own: int, how: SimHash) -> np.ndarray:
+    """Fingerprint of these shingles; ``own`` decides ties. Long texts are voted on in pieces of a fixed number of shingles."""
+    count = how.bits // 64
+    if not len(hashes):
+        return np.zeros(count, np.uint64)
+    votes = np.zeros(how.bits, np.int64)
+    for at in range(0, len(hashes), PIECE):
+        rows = _spread(hashes[at : at + PIECE], count).astype(">u8").view(np.uint8)
         votes += np.unpackbits(rows, axis=1).sum(0, dtype=np.int64)
-    bits = 2 * votes > len(begin)
+    bits = 2 * votes > len(hashes)
     if how.ties:
-        own = _spread(np.array([one(line, SEED + 1)], np.uint64), count).astype(">u8").view(np.uint8)
-        bits |= (2 * votes == len(begin)) & np.unpackbits(own, axis=1)[0].astype(bool)
+        mixed = _spread(np.array([own], np.uint64), count).astype(">u8").view(np.uint8)
+        bits |= (2 * votes == len(hashes)) & np.unpackbits(mixed, axis=1)[0].astype(bool)
     return np.packbits(bits.astype(np.uint8)).view(">u8").astype(np.uint64)
 
 
+def _set_mark(hashes: np.ndarray) -> int:
+    """The node of a shingle set."""
+    return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED + 1)
+
+
+def fingerprint(text: str | None, how: SimHash = SimHash()) -> np.ndarray:
+    """Big-endian words of the fingerprint. Null, empty and blank texts: all bits zero."""
+    line, hashes = _shingles(text, how)
+    return _print(hashes, _set_mark(hashes) if how.similar else xxhash.xxh64_intdigest(line, SEED + 1), how)
+
+
 def _word_names(how: SimHash) -> list[str]:
     return [f"fp{k}" for k in range(how.bits // 64)]
 
 
 def fingerprints(docs: DataFrame, how: SimHash, id_col: str, text_col: str) -> DataFrame:
-    """``(id, fp0, ...)``: words of the fingerprint as signed longs. One pass over the whole texts."""
+    """``(id, fp0, ...)``: words of the fingerprint as signed longs. One pass over the whole texts.
+
+    With ``similar`` also ``node``, the mark of the shingle set, and ``text_hash``.
+    """
     names = _word_names(how)
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names)])
+    more = ["node", "text_hash"] if how.similar else []
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names + more)])
 
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(x.as_py(), how) for x in batch.column(1)], np.uint64).reshape(-1, len(names))
-            columns = [pa.array(found[:, k].astype(np.int64)) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *names])
+            found, marks = [], []
+            for x in batch.column(1):
+                line, hashes = _shingles(x.as_py(), how)
+                marks.append(_set_mark(hashes) if how.similar else xxhash.xxh64_intdigest(line, SEED + 1))
+                found.append(_print(hashes, marks[-1], how))
+            words = np.array(found, np.uint64).reshape(-1, len(names))
+            columns = [pa.array(words[:, k].astype(np.int64)) for k in range(len(names))]
+            if how.similar:
+                columns += [pa.array(np.array(marks, np.uint64).astype(np.int64)), batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    extra = [F.xxhash64(text_col).alias("text_hash")] if how.similar else []
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *extra).mapInArrow(run, schema)
 
 
 def masks(how: SimHash, rows: int) -> list[list[int]]:
@@ -199,6 +233,89 @@ def stars(nodes: DataFrame, how: SimHash) -> DataFrame:
     return together.mapInArrow(lambda batches: _search(batches, how, names), "a long, b long")
 
 
+def _similar_stars(node: np.ndarray, sets: list[np.ndarray], percent: int):
+    """``(a, b)``: a spanning star of each set of nodes that pairs of ``percent`` Jaccard or more connect.
+
+    Every node reached is compared with every node not reached yet, so no similar pair is passed over.
+    """
+    node, first = np.unique(node, return_index=True)
+    sets = [sets[k] for k in first]
+    size = np.array([len(x) for x in sets])
+    terms, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    edge = np.cumsum(size) - size
+    has, rest = np.zeros(len(terms), bool), np.flatnonzero(size)
+    left = flat
+    while len(rest) > 1:
+        hub, queue = rest[0], [rest[0]]
+        rest, left = rest[1:], left[size[rest[0]] :]
+        while queue and len(rest):
+            k = queue.pop()
+            own = flat[edge[k] : edge[k] + size[k]]
+            has[own] = True
+            shared = np.add.reduceat(has[left], np.cumsum(size[rest]) - size[rest], dtype=np.int64)
+            has[own] = False
+            hit = 100 * shared >= percent * (size[k] + size[rest] - shared)
+            if hit.any():
+                queue += rest[hit].tolist()
+                yield node[rest[hit]], np.repeat(node[hub], int(hit.sum()))
+                left, rest = left[np.repeat(~hit, size[rest])], rest[~hit]
+
+
+def _compare(batches, percent: int):
+    """Stars of each (group, one, two), whose rows arrive one after another."""
+    kinds = ("group", "one", "two")
+    held: pa.Table | None = None
+
+    def stars(block: pa.Table):
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in block.column("shingles")]
+        found = list(_similar_stars(block.column("node").to_numpy(), sets, percent))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        held = part if held is None else pa.concat_tables([held, part])
+        head = [held.column(n).to_numpy() for n in kinds]
+        change = np.zeros(max(0, len(held) - 1), bool)
+        for column in head:
+            change |= column[1:] != column[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            yield stars(held.slice(start, end - start))
+        held = held.slice(cuts[-1])
+    if held is not None and len(held):
+        yield stars(held)
+
+
+def similar_stars(docs: DataFrame, nodes: DataFrame, edges: DataFrame, how: SimHash, id_col: str, text_col: str) -> DataFrame:
+    """``(a, b)``: stars of nodes whose shingle sets are similar, found by exact comparison inside the components of ``edges``.
+
+    Only the texts of nodes with an edge are read again, one for each node. A component of many nodes
+    is dealt out as all pairs of its chunks, so that each pair meets in one task of bounded size.
+    """
+    groups = staged(connected_components(edges).withColumnRenamed("component", "group"), "groups")
+    sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
+    asked = nodes.join(groups, "node").join(sizes, "group").select("group", "node", "size", F.col("one_of.id").alias("at"), F.col("one_of.text_hash").alias("at_hash"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    read = texts.join(staged(asked, "asked"), F.col("id").eqNullSafe(F.col("at")) & (F.col("text_hash") == F.col("at_hash")))
+
+    def run(batches):
+        for batch in batches:
+            sets = [_shingles(x.as_py(), how)[1].astype("<u8").tobytes() for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["group", "node", "size", "shingles"])
+
+    sets = read.select("group", "node", "size", "text").mapInArrow(run, "group long, node long, size long, shingles binary")
+    chunk = F.greatest(F.lit(how.cap // 8), F.least(F.lit(how.cap), F.ceil(F.col("size") / 8)))
+    dealt = (
+        sets.withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+        .select("group", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "node", "shingles")
+    )
+    together = dealt.repartition("group", "one", "two").sortWithinPartitions("group", "one", "two")
+    percent = how.similar
+    return together.mapInArrow(lambda batches: _compare(batches, percent), "a long, b long")
+
+
 def near_duplicate_classes(docs: DataFrame, how: SimHash = SimHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id``, ``fp0``..., ``component`` (least id reachable by links).
 
@@ -208,15 +325,24 @@ def near_duplicate_classes(docs: DataFrame, how: SimHash = SimHash(), id_col: st
     """
     names = _word_names(how)
     prints = staged(fingerprints(docs, how, id_col, text_col), "prints")
-    node = F.col("fp0") if len(names) == 1 else F.xxhash64(*names)
-    distinct = staged(prints.groupBy(*names).agg(F.min("id").alias("least")).withColumn("node", node), "nodes")
+    least = F.min("id").alias("least")
+    if how.similar:
+        key = ["node"]
+        nodes = prints.groupBy("node", *names).agg(least, F.min(F.struct("id", "text_hash")).alias("one_of"))
+    else:
+        key = names
+        nodes = prints.groupBy(*names).agg(least).withColumn("node", F.col("fp0") if len(names) == 1 else F.xxhash64(*names))
+    distinct = staged(nodes, "nodes")
     edges = staged(stars(distinct, how), "stars")
+    if how.similar:
+        candidates, edges = edges, staged(similar_stars(docs, distinct, edges, how, id_col, text_col), "similar")
+        dropped(candidates)
     found = connected_components(edges)
     placed = staged(distinct.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     dropped(edges)
     first = placed.groupBy("component").agg(F.min("least").alias("first"))
-    classes = staged(placed.join(first, "component").select(*names, F.col("first").alias("component")), "classes")
-    return prints.join(classes, names, "left")
+    classes = staged(placed.join(first, "component").select(*key, F.col("first").alias("component")), "classes")
+    return prints.join(classes, key, "left").select("id", *names, "component")
 
 
 def drop_near_duplicates(docs: DataFrame, how: SimHash, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

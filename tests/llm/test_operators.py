@@ -372,3 +372,38 @@ def test_pipeline_takes_odd_rows(spark):
 
 def test_staged_tables_are_shared(spark):
     assert os.path.isdir(spark.conf.get("spark.checkpoint.dir"))
+
+
+def texts_at(rng, same, own, name):
+    """Two texts of ``same`` common and ``own`` own five-word shingles each, all distinct."""
+    words = [f"{name}w{k}" for k in rng.permutation(10_000)[: same + 4]]
+    return [" ".join(words + [f"{name}{side}{k}" for k in range(own)]) for side in "ab"]
+
+
+def test_near_duplicates_are_compared_by_shingles(spark):
+    rng = np.random.default_rng(8)
+    rows, clean, near = [], [], []
+    for k in range(40):
+        for same, own, to in ((160, 20, near), (140, 30, clean), (120, 40, clean)):  # Jaccard 0.8, 0.7, 0.6
+            a, b = texts_at(rng, same, own, f"p{k}s{same}")
+            assert jaccard(shingled(a), shingled(b)) == pytest.approx(same / (same + 2 * own))
+            to.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), a, "en", "s1", 0), (len(rows) + 1, b, "en", "s1", 0)]
+    passage = " ".join(f"common{k}" for k in range(50))
+    for k in range(20):
+        rows.append((len(rows), " ".join([f"own{k}x{j}" for j in range(100)] + [passage] * 5), "en", "s1", 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert sum(i in kept and j in kept for i, j in near) <= 1 and all(i in kept for i, _ in near)
+    assert all(i in kept and j in kept for i, j in clean)
+    assert set(range(len(rows) - 20, len(rows))) <= kept
+
+
+def test_similar_stars_equal_brute_force():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, (12, 60), dtype=np.uint64)
+    sets = [np.unique(np.concatenate([b[rng.random(60) < 0.93], rng.integers(0, 1 << 63, 2, dtype=np.uint64)])) for b in base for _ in range(9)]
+    n, node = len(sets), np.arange(len(sets))
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    got = [(b, a) for x, y in simhash._similar_stars(node, sets, 80) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    assert least(n, got) == least(n, pairs) and 12 < len(set(least(n, pairs))) < n
