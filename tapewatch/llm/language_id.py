@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ._common import staged
 from .pieces import kept
+from .sharding import PARTS, _ranked
 
 NONE = "und"
 LENGTHS = (4, 3, 2, 1)
@@ -84,20 +85,26 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words
     """Counts come from all rows with a text and a language.
 
     The most frequent words of each language and n-grams of each length and language make the model,
-    ``words_kept`` and ``grams_kept`` at most (those that tie at the bound are left out): its size has a
-    bound, and rarer words back off.
+    ``words_kept`` and ``grams_kept`` of them (ties at the bound go by hash and text): its size has a
+    bound, and rarer words back off. A text that any language brings has its count in every language.
     """
     counts = staged(_word_counts(docs, text_col, lang_col), "words")
 
-    def most(rows: DataFrame, by: list[str], keep: int):
-        """All rows of a group whose n is so high that no more than ``keep`` rows reach it.
+    def most(rows: DataFrame, by: list[str], key: str, keep: int):
+        """All rows of each text that is among the ``keep`` most frequent of some group.
 
-        Only counted values of n are put in order, not the rows.
+        Only counted values of n are put in order, and texts that tie at the bound, in parts.
         """
         cells = rows.groupBy(*by, "n").agg(F.count("*").alias("c"))
-        above = F.sum("c").over(Window.partitionBy(*by).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
-        least = cells.withColumn("above", above).where(F.col("above") <= keep).groupBy(*by).agg(F.min("n").alias("least"))
-        return rows.join(F.broadcast(least), by).where("n >= least").drop("least").toPandas()
+        above = F.sum("c").over(Window.partitionBy(*by).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+        cells = cells.withColumn("room", F.lit(keep) - F.coalesce(above, F.lit(0))).where("room > 0")
+        bound = cells.groupBy(*by).agg(F.min("n").alias("least"), F.min("room").alias("room"))
+        reach = rows.join(F.broadcast(bound), by).where("n >= least")
+        tied = reach.where("n = least").withColumn("group", F.struct(*by)).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int"))
+        filled = _ranked(tied, "group", [key], "rank").where("rank < room")
+        same = [key, *(c for c in by if c != "lang")]
+        texts = staged(reach.where("n > least").select(*same).unionAll(filled.select(*same)).distinct(), "texts")
+        return rows.join(F.broadcast(texts), same).toPandas()
 
     total = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(total)
@@ -114,7 +121,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words
         every[place, rows["lang"].map(at).to_numpy()] = logs
         return Table("\n".join(texts.tolist()), every.astype(np.float32))
 
-    model.words = table(most(counts, ["lang"], words_kept), "word", total)
+    model.words = table(most(counts, ["lang"], "word", words_kept), "word", total)
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
 
     def cut(length: int):
@@ -124,7 +131,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words
     every = counts.select("lang", "n", F.explode(F.concat(*map(cut, LENGTHS))).alias("g")).groupBy("lang", "g.length", "g.gram").agg(F.sum("n").alias("n"))
     grams = staged(every, "grams")
     sums = {(r["lang"], r["length"]): r["n"] for r in grams.groupBy("lang", "length").agg(F.sum("n").alias("n")).collect()}
-    found = most(grams, ["lang", "length"], grams_kept)
+    found = most(grams, ["lang", "length"], "gram", grams_kept)
     for length in LENGTHS:
         totals = {lang: n for (lang, k), n in sums.items() if k == length}
         model.grams[length] = table(found[found["length"] == length], "gram", totals)

@@ -407,3 +407,20 @@ def test_similar_stars_equal_brute_force():
     pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
     got = [(b, a) for x, y in simhash._similar_stars(node, sets, 80) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
     assert least(n, got) == least(n, pairs) and 12 < len(set(least(n, pairs))) < n
+
+
+def test_op8_counts_of_every_language(spark):
+    rows = [(1, "gemein gemein gemein haus haus haus baum baum", "de", "s1", 0), (2, "the the the the of of of and and and gemein gemein house", "en", "s1", 0), (3, "uno dos tres cuatro cinco", "es", "s1", 0)]
+    model = language_id.learn(spark.createDataFrame(rows, DOCS), words_kept=3, grams_kept=2)
+    names, at = model.words.names(), {x: k for k, x in enumerate(model.languages)}
+    logs = dict(zip(names, model.words.logs, strict=True))
+    assert {"gemein", "haus", "baum", "the", "of", "and"} <= set(names) and len(set(names) & set("uno dos tres cuatro cinco".split())) == 3
+    assert logs["gemein"][at["en"]] == pytest.approx(np.log(2 / 13.5)) and logs["gemein"][at["es"]] == pytest.approx(np.log(0.5 / 5.5))
+    for length, table in model.grams.items():
+        shown = Counter()
+        for _, text, lang, *_ in rows:
+            for w in text.split():
+                shown.update((lang, f" {w} "[i : i + length]) for i in range(len(w) + 3 - length))
+        total = {x: sum(n for (lang, _), n in shown.items() if lang == x) for x in at}
+        for gram, log in zip(table.names(), table.logs, strict=True):
+            assert log.tolist() == pytest.approx([np.log((shown[x, gram] or 0.5) / (total[x] + 0.5)) for x in model.languages])
