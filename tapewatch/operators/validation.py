@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _drawn_wins(batches, draws: int, block: int = 1 << 15):
+    """``draw, w``: wins of this part's bets in each draw; a bet wins where the hash of (bet, draw) lies under its odds."""
+    wins, any_bet = np.zeros(draws, np.int64), False
+    draw = _mixed(np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for batch in batches:
+        any_bet |= batch.num_rows > 0
+        key, p = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)
+        wins += int((p >= 1).sum())
+        open_bet = (p > 0) & (p < 1)
+        key, limit = key[open_bet], np.ceil(p[open_bet] * 2.0**53).astype(np.uint64) << np.uint64(11)
+        for at in range(0, len(key), block):
+            k, most = key[at : at + block], limit[at : at + block]
+            step = max(1, block // len(k))
+            for d in range(0, draws, step):
+                wins[d : d + step] += np.count_nonzero(_mixed(k + draw[d : d + step, None]) < most, axis=1)
+    if any_bet:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, draws + 1)), pa.array(wins)], names=["draw", "w"])
+
+
 def null_test(bets: DataFrame, draws: int = 10_000, seed: int = 7, parts: int = 256) -> DataFrame:
     """One row ``n, observed, expected, sd, z, p``: wins against a null in which each bet wins at its odds.
 
     Uniforms are hashes of (seed, draw, bet), the same under any partitioning. Bets are dealt into parts;
-    each part yields one count a draw, so ``draws`` x ``parts`` rows are shuffled, however many bets there are.
+    each part counts the wins of all draws, so ``draws`` x ``parts`` rows are shuffled, however many bets there are.
     """
-    rows = bets.select("bet_id", "p", "won", F.pmod(F.xxhash64("bet_id"), F.lit(parts)).alias("part"))
+    rows = bets.select(F.xxhash64(F.lit(seed), "bet_id").alias("key"), F.col("p").cast("double").alias("p"), "won")
     facts = rows.agg(F.count("*").alias("n"), F.count_if("won").alias("observed"), F.sum("p").alias("expected"), F.sqrt(F.sum(F.col("p") * (1 - F.col("p")))).alias("sd"))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "draw", "bet_id"), 11)) / F.lit(float(1 << 53))
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    wins = drawn.groupBy("part", "draw").agg(F.count_if(u < F.col("p")).alias("w")).groupBy("draw").agg(F.sum("w").alias("w"))
+    drawn = rows.select("key", "p").repartition(parts, "key").mapInArrow(lambda batches: _drawn_wins(batches, draws), "draw long, w long")
+    wins = drawn.groupBy("draw").agg(F.sum("w").alias("w"))
     p = wins.join(F.broadcast(facts)).agg(((F.count_if(F.col("w") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p"))
     return facts.join(F.broadcast(p)).withColumn("z", (F.col("observed") - F.col("expected")) / F.col("sd"))
 

@@ -364,7 +364,7 @@ def shadow_distribution(spark, sf_dir):
 @query
 def null_test(spark, sf_dir):
     b = _positions(spark, sf_dir).select(F.xxhash64("cond", "wallet").alias("bet_id"), F.col("entry").alias("p"), "won")
-    return validation.null_test(b, draws=200).select("n", "observed", F.round("expected", 3).alias("expected"), F.round("z", 4).alias("z"), "p")
+    return validation.null_test(b).select("n", "observed", F.round("expected", 3).alias("expected"), F.round("z", 4).alias("z"), "p")
 
 
 @query

@@ -57,3 +57,16 @@ def test_sketch_is_near(spark, duck):
 def test_null_test_facts(spark):
     row = QUERIES["null_test"](spark, SF).first()
     assert 0 < row["p"] <= 1 and row["n"] >= row["observed"]
+
+
+def test_null_test_takes_all_draws(spark):
+    import math
+
+    from tapewatch.operators import validation
+
+    p = QUERIES["null_test"](spark, SF).first()["p"]
+    assert p * 10_001 == pytest.approx(round(p * 10_001), abs=1e-6)
+    bets = spark.createDataFrame([(i, 0.5, i < 26) for i in range(40)] + [(40, 1.0, True), (41, 0.0, False), (42, None, False)], "bet_id long, p double, won boolean")
+    one, two = (validation.null_test(bets, parts=k).first()["p"] for k in (1, 7))
+    tail = sum(math.comb(40, k) for k in range(26, 41)) / 2**40
+    assert one == two and abs(one - tail) <= 4 * math.sqrt(tail * (1 - tail) / 10_000)
