@@ -1,6 +1,6 @@
 """Corpus preparation in five stages, each over all that the one before it kept.
 
-1. language: documents whose language can't be told go (no letter, or a score under ``SURE``).
+1. language: documents whose language can't be told go (no letter, an even score, or words that the language doesn't know).
 2. lines: boilerplate lines that stand on many sources leave every place but their first.
 3. near_duplicates: one document of each group of near copies stays: found by fingerprints of five-word shingles, compared by the shingles.
 4. mix: documents are chosen so that domains, languages and sources come near their target weights.
@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 from tapewatch.llm import bpe, language_id, line_dedup, mixing, queries, simhash
 from tapewatch.llm._common import crc_mod, staged, table
 
-SURE = 0.3
+#: The language told needs this many times the share that each of the learned languages would have if all were alike.
+SURE = 1.2
+
+#: One learned row in so many may know fewer of its words from other texts than the bound that all rows must reach.
+FEW = 0.001
 
 #: Documents are near copies from a Jaccard similarity of 0.8 of their distinct five-word shingles. A pair at 0.8
 #: differs in about 39 of 256 bits, give or take 6; unrelated ones in 128, give or take 8. It is a candidate
@@ -24,13 +28,18 @@ NEAR = simhash.SimHash(words=5, bits=256, distance=60, drawn_masks=64, mask_bits
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is told with a score of ``SURE`` or more; the language becomes what was told.
+    """Rows whose language is told: the score is ``SURE`` even shares or more, and the language knows enough of the words.
 
-    The model learns from rows of ``docs`` that have a language, but for a quarter held out by id.
+    The model learns from rows of ``docs`` that have a language, but for a quarter held out by id; the
+    language becomes what was told. The share of words that other texts of the language have must be over 0
+    and reach the value that all learned rows of the language but one in a thousand (``FEW``) reach.
     """
-    model = language_id.learn(docs.where(F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(True))))
-    found = language_id.tag(docs, model, "text", "lang")
-    return found.where((F.col("lang") != language_id.NONE) & (F.col("_score") >= SURE)).drop("_score")
+    learned = F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(True))
+    model = language_id.learn(docs.where(learned))
+    found = staged(language_id.tag(docs, model, "text", "lang", learned).where(F.col("lang") != language_id.NONE), "told")
+    least = found.where("_learned").groupBy("lang").agg(F.percentile_approx("_known", F.lit(FEW), F.lit(100_000)).alias("_least"))
+    clear = (F.col("_score") >= min(1.0, SURE / max(1, len(model.languages)))) & (F.col("_known") > 0) & (F.col("_known") >= F.coalesce("_least", F.lit(0.0)))
+    return found.join(F.broadcast(least), "lang", "left").where(clear).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,6 +48,7 @@ class Model:
     languages: list[str]
     words: Table = field(default_factory=Table)
     grams: dict[int, Table] = field(default_factory=dict)
+    totals: list[int] = field(default_factory=list)
     mark: str = ""
 
 
@@ -108,7 +109,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words
 
     total = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(total)
-    model = Model(languages)
+    model = Model(languages, totals=[total[lang] for lang in languages])
     if not languages:
         return model
     at = {lang: k for k, lang in enumerate(languages)}
@@ -145,7 +146,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         words = model.words.names()
-        self.languages, self.known = model.languages, len(words)
+        self.languages, self.known, self.totals = model.languages, len(words), model.totals
         self.rows = np.zeros((self.known + REMEMBERED, max(1, len(model.languages))), np.float32)
         self.rows[: self.known] = model.words.logs
         self.place = dict(zip(words, range(self.known), strict=True))
@@ -154,6 +155,10 @@ class Scorer:
 
     def total(self, words: list[str]) -> np.ndarray:
         """Sum over at most ``REMEMBERED`` words."""
+        return self.rows[self.places(words)].sum(0, dtype=float)
+
+    def places(self, words: list[str]) -> list[int]:
+        """Rows of at most ``REMEMBERED`` words."""
         found = [*map(self.place.get, words)]
         if None in found:
             new = {w for w, f in zip(words, found, strict=True) if f is None}
@@ -161,14 +166,14 @@ class Scorer:
                 for w in self.unseen:
                     del self.place[w]
                 self.unseen = []
-                return self.total(words)
+                return self.places(words)
             for w in new:
                 at = self.known + len(self.unseen)
                 self.rows[at] = self._backed_off(w)
                 self.place[w] = at
                 self.unseen.append(w)
             found = [*map(self.place.get, words)]
-        return self.rows[found].sum(0, dtype=float)
+        return found
 
     def _backed_off(self, word: str) -> np.ndarray:
         padded = f" {word} "
@@ -192,6 +197,26 @@ class Scorer:
         return self.languages[best], float(share[best] / share.sum())
 
 
+    def told(self, text: str | None, label: str | None = None) -> tuple[str, float, float]:
+        """Language, its share, and how many of the words the language has counted in other texts, as a share of all words.
+
+        ``label`` is the language under which the model counted this very text, if it did.
+        """
+        words = letters(text or "")
+        if not words or not self.languages:
+            return NONE, 0.0, 0.0
+        total, seen = np.zeros(len(self.languages)), []
+        for at in range(0, len(words), 4096):
+            found = np.array(self.places(words[at : at + 4096]))
+            total += self.rows[found].sum(0, dtype=float)
+            seen.append(found[found < self.known])
+        share, best = np.exp(total - total.max()), int(np.argmax(total))
+        place, own = np.unique(np.concatenate(seen), return_counts=True)
+        counted = np.exp(self.rows[place, best].astype(float)) * (self.totals[best] + FLOOR)
+        elsewhere = counted - (own if label == self.languages[best] else 0) > (1 + FLOOR) / 2
+        return self.languages[best], float(share[best] / share.sum()), float(own[elsewhere].sum() / len(words))
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, lang_pred, score`` of each row's whole text.
 
@@ -210,21 +235,32 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def tag(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def tag(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", learned=None) -> DataFrame:
     """``docs`` with ``lang_col`` as identified and the column ``_score``; every row and column stays.
 
-    Nothing is shuffled: each batch gets its columns back with the answers. See :func:`identify`.
+    With ``learned``, a condition that tells the rows the model learned from, also ``_known`` (see
+    :meth:`Scorer.told`) and ``_learned``. Nothing is shuffled: each batch gets its columns back with
+    the answers. See :func:`identify`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.drop("_score") if "_score" in docs.columns else docs
+    own = ["_score"] if learned is None else ["_score", "_known", "_learned"]
+    answers = own[:2]
+    plain = docs.drop(*(c for c in own if c in docs.columns))
+    if learned is not None:
+        plain = plain.withColumn("_learned", learned & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     fields = [T.StructField(f.name, T.StringType() if f.name == lang_col else f.dataType) for f in plain.schema.fields]
-    schema = T.StructType([*fields, T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*fields, *(T.StructField(n, T.DoubleType()) for n in answers)])
 
     def run(batches):
         scorer = kept("language", shared.value.mark, lambda: Scorer(shared.value))
         for batch in batches:
-            said = [scorer.text(x.as_py()) for x in batch.column(text_col)]
-            columns = [pa.array([s for s, _ in said], pa.string()) if n == lang_col else batch.column(n) for n in batch.schema.names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([p for _, p in said], pa.float64())], names=[*batch.schema.names, "_score"])
+            if len(answers) == 1:
+                said = [scorer.text(x.as_py()) for x in batch.column(text_col)]
+            else:
+                rows = zip(batch.column(text_col), batch.column(lang_col).to_pylist(), batch.column("_learned").to_pylist(), strict=True)
+                said = [scorer.told(x.as_py(), lang if inside else None) for x, lang, inside in rows]
+            columns = [pa.array([s[0] for s in said], pa.string()) if n == lang_col else batch.column(n) for n in batch.schema.names]
+            more = [pa.array([s[k + 1] for s in said], pa.float64()) for k in range(len(answers))]
+            yield pa.RecordBatch.from_arrays([*columns, *more], names=[*batch.schema.names, *answers])
 
     return plain.mapInArrow(run, schema)

@@ -424,3 +424,21 @@ def test_op8_counts_of_every_language(spark):
         total = {x: sum(n for (lang, _), n in shown.items() if lang == x) for x in at}
         for gram, log in zip(table.names(), table.logs, strict=True):
             assert log.tolist() == pytest.approx([np.log((shown[x, gram] or 0.5) / (total[x] + 0.5)) for x in model.languages])
+
+
+def test_pipeline_rejects_unknown_languages(spark):
+    rng = np.random.default_rng(5)
+
+    def word():
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 9))))
+
+    def said(vocabulary, n):
+        return [" ".join(rng.choice(vocabulary, 80)) for _ in range(n)]
+
+    en, de, other = ([word() for _ in range(300)] for _ in range(3))
+    rows = [(k, x, "en" if k < 60 else "de", "s1", len(x)) for k, x in enumerate(said(en, 60) + said(de, 60))]
+    rows += [(1000 + k, x, None, "s1", len(x)) for k, x in enumerate([" ".join(word() for _ in range(80)) for _ in range(10)] + said(other, 10))]
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, spark.createDataFrame(rows, DOCS), SF).collect()}
+    assert max(kept) < 1000 and len(kept) >= 0.98 * 120
+    single = [r for r in rows if r[2] == "en"]
+    assert corpus_pipeline.language(spark, spark.createDataFrame(single, DOCS), SF).count() >= 0.98 * 60
