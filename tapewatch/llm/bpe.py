@@ -43,11 +43,27 @@ def _merged(token: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]:
     return parts
 
 
+def library_classes(pattern: str) -> str:
+    """The pattern with classes as tiktoken's tables of Unicode have them, for :mod:`regex` whose tables may be newer."""
+    import tiktoken
+
+    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        if kind not in pattern:
+            continue
+        library = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        theirs, ours = set(bytes(library.encode_ordinary(every)).decode()), set(regex.findall(kind, every))
+        less, more = ("".join(f"\\U{ord(c):08x}" for c in sorted(x)) for x in (ours - theirs, theirs - ours))
+        named = f"[{kind}{more}]" if more else kind
+        pattern = pattern.replace(kind, f"[{named}--[{less}]]" if less else named)
+    return f"(?V1){pattern}"
+
+
 class Encoder:
     """Built once on the driver and sent to tasks; the automaton is built again in each worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, pattern
+        self.ranks, self.pattern = ranks, library_classes(pattern)
         self.mark = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
         self.halves: dict[int, tuple[int, int]] = {}
         usable = {t: r for t, r in ranks.items() if len(t) == 1}
@@ -152,13 +168,10 @@ def encode(docs: DataFrame, encoder: Encoder, id_col: str = "doc_id", text_col:
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("tokens", T.ArrayType(T.IntegerType(), False))])
 
     def run(batches):
-        own = shared.value
-        memory = _memory(own)
+        memory = _memory(shared.value)
         for batch in batches:
-            texts = batch.column(1)
-            for at in range(0, len(texts), 256):  # so that arrays of a batch stay small
-                found = [memory.ids(x.as_py() or "") for x in texts.slice(at, 256)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), _lists(found)], names=["id", "tokens"])
+            for part, tokens, sizes in memory.batches(batch, 1):
+                yield from _rows([part.column(0), _lists(tokens, sizes)], ["id", "tokens"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -191,18 +204,15 @@ def round_trip(docs: DataFrame, encoder: Encoder, keep_tokens: bool = False, id_
         memory = _memory(own)
         digits, text_of = [*map(str, range(max(own.text_of) + 1))], own.text_of
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                found, sizes, said, decoded = [], [], [], []
-                for x in part.column(1):
-                    ids = memory.ids(x.as_py() or "")
-                    each = memoryview(ids).cast("i")
-                    sizes.append(len(each))
+            for part, tokens, sizes in memory.batches(batch, 1):
+                said, decoded, at = [], [], 0
+                for n in sizes.tolist():
+                    each = tokens[at : at + n].tolist()
+                    at += n
                     said.append(hashlib.sha256(",".join(map(digits.__getitem__, each)).encode()).hexdigest())
                     decoded.append(hashlib.sha256(b"".join(map(text_of.__getitem__, each))).hexdigest())
-                    found += [ids] * keep_tokens
                 columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(said, pa.string()), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, *[_lists(found)] * keep_tokens], names=schema.names)
+                yield from _rows([*columns, *[_lists(tokens, sizes)] * keep_tokens], schema.names)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -211,6 +221,12 @@ def _memory(own: Encoder) -> Memory:
     return kept("bpe", own.mark, lambda: Memory(lambda pieces: [own.encode(p) for p in pieces], "<i4", 250_000))
 
 
-def _lists(found: list[bytes]) -> pa.ListArray:
-    offsets = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
+def _lists(tokens: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(tokens))
+
+
+def _rows(columns: list[pa.Array], names: list[str], most: int = 256):
+    """Batches of a few rows, so that arrays on their way to Spark stay small."""
+    whole = pa.RecordBatch.from_arrays(columns, names=names)
+    for at in range(0, len(whole), most):
+        yield whole.slice(at, most)

@@ -32,6 +32,7 @@ SCALE = 20
 LANES = 32
 BLOCK = 8192
 FRAME = 1 << 19
+RANGE = 1 << 24
 LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sIIIQ")  # magic, documents, blocks, tokens in a block, tokens
 
@@ -134,110 +135,161 @@ class Coder:
         return names, sizes, ids.reshape(-1)[:tokens]
 
 
-def _memory(tokenizer_json: str) -> Memory:
+def _memory(tokenizer_json: str, specials_as_text: bool = False) -> Memory:
     """The library's ids of pieces. A piece of letters is one match of its pattern, so its model alone does."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_str(tokenizer_json)
-    own.encode_special_tokens = True
+    own.encode_special_tokens = specials_as_text
     # byte-level letters: printable bytes stand for themselves, the others for code points from 256 on
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     others = [b for b in range(256) if b not in printable]
     letters = {b: chr(256 + k) for k, b in enumerate(others)}
+    blank = letters[0x20]
     whole, model = own.encode_batch_fast, own.model.tokenize
 
     def encode(pieces: list[str]) -> list[list[int]]:
-        out = []
-        for p in pieces:
-            if p.lstrip(" ").isalpha() and p.count(" ") <= 1:
-                out.append([t.id for t in model(p.encode().decode("latin-1").translate(letters))])
+        out: list = [None] * len(pieces)
+        rest = []
+        for k, p in enumerate(pieces):
+            word = p.removeprefix(" ")
+            if not word.isalpha():
+                rest.append(k)
+            elif p.isascii():
+                out[k] = [t.id for t in model(p if word is p else blank + word)]
             else:
-                out.append(whole([p], add_special_tokens=False)[0].ids)
+                out[k] = [t.id for t in model(p.encode().decode("latin-1").translate(letters))]
+        for k, found in zip(rest, whole([pieces[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = found.ids
         return out
 
     return Memory(encode, "<u2" if own.get_vocab_size() <= 1 << 16 else "<u4")
 
 
-def _tokenised(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str, text_col: str, partitions: int) -> DataFrame:
-    """``shard, row, id, ids`` in ascending id order: texts are dealt out by ranges of ids, then encoded."""
+def _tokenised(docs: DataFrame, tokenizer_json: str, end_id: int, vocabulary: int, id_col: str, text_col: str, partitions: int, specials_as_text: bool) -> DataFrame:
+    """``shard, row, id, ids, counts`` in ascending id order: texts are dealt out by ranges of ids, then encoded.
+
+    The last row of a shard has nothing but ``counts``: the tokens of the shard and how often each occurs.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    kind = _kind(vocabulary)
 
     def run(batches):
-        memory = kept("tokens", zlib.crc32(shared.value.encode()), lambda: _memory(shared.value))
-        last = np.array([end_id], memory.kind).tobytes()
-        shard, row = TaskContext.get().partitionId(), 0
+        memory = kept("tokens", zlib.crc32(shared.value.encode()) + specials_as_text, lambda: _memory(shared.value, specials_as_text))
+        shard, row, counts = TaskContext.get().partitionId(), 0, np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                ids = [memory.ids(x.as_py() or "") + last for x in part.column(1)]
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), part.column(0), pa.array(ids, pa.binary())], names=["shard", "row", "id", "ids"])
+            for part, tokens, sizes in memory.batches(batch, 1):
+                n, ends = len(sizes), np.cumsum(sizes + 1)
+                ids = np.empty(len(tokens) + n, kind)
+                inner = np.ones(len(ids), bool)
+                inner[ends - 1] = False
+                ids[inner], ids[ends - 1] = tokens, end_id
+                counts += np.bincount(ids, minlength=vocabulary)
+                columns = [pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(row, row + n)), part.column(0), _binaries(ids, ends), pa.nulls(n, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=_SHARD)
                 row += n
+        seen = np.flatnonzero(counts)
+        said = np.stack([seen, counts[seen]]).astype("<i8").tobytes()
+        columns = [pa.array([shard], pa.int32()), pa.array([row]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([said])]
+        yield pa.RecordBatch.from_arrays(columns, names=_SHARD)
+
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    dealt = plain.repartitionByRange(partitions, "id", "mark").sortWithinPartitions("id", "mark")
+    return dealt.select("id", "text").mapInArrow(run, "shard int, row long, id long, ids binary, counts binary")
+
+
+_SHARD = ["shard", "row", "id", "ids", "counts"]
+
+
+def _kind(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = plain.repartitionByRange(partitions, "id").sortWithinPartitions("id")
-    return dealt.mapInArrow(run, "shard int, row long, id long, ids binary")
+def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array whose item k ends before ``values[ends[k]]``; nothing is copied item by item."""
+    offsets = np.concatenate([[0], ends]) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype("<i8")), pa.py_buffer(values)]).cast(pa.binary())
 
 
-def _counted(ids: DataFrame, kind: str, size: int) -> np.ndarray:
+def _counted(ids: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs in all rows; one array of the vocabulary's size reaches the driver."""
 
     def run(batches):
         counts = np.zeros(size, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                counts += np.bincount(np.frombuffer(x.as_py(), kind), minlength=size) if len(x.as_py()) > size // 8 else 0
-            small = b"".join(x.as_py() for x in batch.column(0) if len(x.as_py()) <= size // 8)
-            counts += np.bincount(np.frombuffer(small, kind), minlength=size)
+                seen, n = np.frombuffer(x.as_py(), "<i8").reshape(2, -1)
+                counts[seen] += n
         seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen])], names=["token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["token", "n"])
 
-    found = ids.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    found = ids.select("counts").where("counts is not null").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
     counts[found["token"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return counts
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
+def _frames(batches, coder: Coder, kind: str):
+    """Frames of about ``FRAME`` tokens. A frame holds rows of one shard that follow one another."""
+    held: list[tuple[np.ndarray, np.ndarray, bytes]] = []
+    size, shard, row, after = 0, 0, 0, None
+
+    def close():
+        nonlocal held, size
+        docs, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        ids = np.frombuffer(b"".join(h[2] for h in held), kind)
+        out = [pa.array([shard], pa.int32()), pa.array([row]), pa.array([len(ids)]), pa.array([coder.frame(docs, sizes, ids)], pa.binary())]
+        held, size = [], 0
+        return pa.RecordBatch.from_arrays(out, names=["shard", "row", "tokens", "payload"])
+
+    for batch in batches:
+        shards, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        docs = batch.column(2).fill_null(-(1 << 63)).to_numpy()
+        binary = batch.column(3).cast(pa.large_binary())
+        offsets = np.frombuffer(binary.buffers()[1], "<i8")[binary.offset : binary.offset + len(binary) + 1]
+        data, width = memoryview(binary.buffers()[2] or b""), np.dtype(kind).itemsize
+        total = (offsets - offsets[0]) // width
+        apart = np.flatnonzero((shards[1:] != shards[:-1]) | (rows[1:] != rows[:-1] + 1)) + 1
+        at = 0
+        while at < len(docs):
+            if held and after != (shards[at], rows[at]):
+                yield close()
+            stop = int(np.searchsorted(total, total[at] + FRAME - size, "right")) - 1
+            if stop <= at:
+                if held:
+                    yield close()
+                    continue
+                stop = at + 1
+            stop = min(stop, *apart[apart > at][:1].tolist(), len(docs))
+            if not held:
+                shard, row = int(shards[at]), int(rows[at])
+            held.append((docs[at:stop], np.diff(total[at : stop + 1]), bytes(data[offsets[at] : offsets[stop]])))
+            size += int(total[stop] - total[at])
+            after, at = (shards[stop - 1], rows[stop - 1] + 1), stop
+    if held:
+        yield close()
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text", specials_as_text: bool = False, range_bytes: int = RANGE) -> None:
     """Encode whole texts, end each document with ``end_id`` and write them in ascending id order.
 
-    Null and empty texts are the end id alone; repeated ids stay rows of their own, in any order; null
-    ids come first and are written as the least long. An empty table writes an empty folder. A document
-    is never split over frames, so a frame is as long as its longest document at least.
+    Null and empty texts are the end id alone; repeated ids stay rows of their own, in order of a hash of
+    their texts; null ids come first and are written as the least long. An empty table writes an empty
+    folder. A document is never split over frames, so a frame is as long as its longest document at least.
+    Special tokens' strings in a text become their ids, as the library does by itself, unless ``specials_as_text``.
+    Each range of ids holds about ``range_bytes`` of text.
     """
     spark = docs.sparkSession
-    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    partitions = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = staged(_tokenised(docs, tokenizer_json, end_id, id_col, text_col, partitions), "ids", compression="zstd")
-    freq = frequencies(_counted(ids, kind, vocabulary))
+    kind = _kind(vocabulary)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    partitions = max(spark.sparkContext.defaultParallelism, -(-size // range_bytes))
+    ids = staged(_tokenised(docs, tokenizer_json, end_id, vocabulary, id_col, text_col, partitions, specials_as_text), "ids", compression="zstd")
+    freq = frequencies(_counted(ids, vocabulary))
     spark.createDataFrame(pa.table({"token": np.arange(vocabulary), "freq": freq})).coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(freq)
-
-    def run(batches):
-        coder = Coder(shared.value)
-        held: list = []
-        size, shard, row = 0, None, 0
-
-        def close():
-            data = np.frombuffer(b"".join(x for _, x in held), kind)
-            docs_ = np.array([-(1 << 63) if i is None else i for i, _ in held], np.int64)
-            sizes = np.array([len(x) // data.itemsize for _, x in held], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([row], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([coder.frame(docs_, sizes, data)], pa.binary())], names=["shard", "row", "tokens", "payload"])
-
-        for batch in batches:
-            for s, r, i, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (s != shard or size + len(x) // 2 > FRAME):
-                    yield close()
-                    held, size = [], 0
-                if not held:
-                    shard, row = s, r
-                held.append((i, x))
-                size += len(x) // 2
-        if held:
-            yield close()
-
-    ids.select("shard", "row", "id", "ids").mapInArrow(run, "shard int, row long, tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/frames")
+    frames = ids.where("counts is null").select("shard", "row", "id", "ids").mapInArrow(lambda batches: _frames(batches, Coder(shared.value), kind), "shard int, row long, tokens long, payload binary")
+    frames.write.option("compression", "none").parquet(f"{path}/frames")
     dropped(ids)
 
 
@@ -263,12 +315,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for start, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 docs, sizes, ids = coder.read(payload.as_py())
                 ends = np.cumsum(sizes.astype(np.int64))
-                data = memoryview(ids.astype("<u4").tobytes())
                 for at in range(0, len(docs), 1024):
                     part = slice(at, at + 1024)
-                    own = [bytes(data[4 * (e - n) : 4 * e]) for e, n in zip(ends[part].tolist(), sizes[part].tolist(), strict=True)]
-                    n = sizes[part].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([None if d == -(1 << 63) else d for d in docs[part].tolist()], pa.int64()), pa.array(start + ends[part] - n), pa.array(n), pa.array(own, pa.binary())], names=["id", "start", "n_tokens", "tokens"])
+                    n, last = sizes[part].astype(np.int64), ends[part]
+                    own = _binaries(ids[last[0] - n[0] : last[-1]].astype("<u4"), last - (last[0] - n[0]))
+                    names = pa.array(docs[part], mask=docs[part] == -(1 << 63))
+                    yield pa.RecordBatch.from_arrays([names, pa.array(start + last - n), pa.array(n), own], names=["id", "start", "n_tokens", "tokens"])
 
     return placed.select("start", "payload").mapInArrow(run, "id long, start long, n_tokens long, tokens binary")
 

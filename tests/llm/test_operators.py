@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -154,7 +155,11 @@ def test_op3_odd_texts_and_edges(spark, odd, none):
     rnd = random.Random(5)
     kinds = [" \n\t\r   '", "abcdeéñß", "'stremvlld_", "0123½²Ⅳ", "中文字日本語", "\U0001f600‍\x1c\x85_-!?", ".,;:!? a"]
     texts = ["".join(rnd.choice(rnd.choice(kinds)) for _ in range(rnd.choice([1, 5, 40, 300]))) for _ in range(1500)] + ["a" * 20_000, " " * 9000 + "x", "ab" * 9000]
-    assert all(np.frombuffer(memory.ids(t), "<i4").tolist() == library.encode_ordinary(t) for t in texts)
+    wide = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += [f"8 {''.join(wide[k : k + 40])}'m {' '.join(wide[k : k + 40])}." for k in range(0, len(wide), 40)]
+    for at in range(0, len(texts), 500):
+        tokens, sizes = memory.lists(pa.array([*texts[at : at + 500], None]))
+        assert tokens.tolist() == [i for t in texts[at : at + 500] for i in library.encode_ordinary(t)] and sizes[-1] == 0
     tokens = bpe.encode(odd, encoder)
     assert [r["bytes"] for r in bpe.decode(tokens, encoder).collect()] == [(r[1] or "").encode() for r in ODD]
     assert bpe.round_trip(none, encoder, keep_tokens=True).count() == 0
@@ -181,7 +186,6 @@ def test_op5_equals_library(spark, documents):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     got = queries.op5_token_files(spark, SF).toPandas().sort_values("doc_id")
     start, expected = 0, []
     for i, text in zip(documents.doc_id, documents.text, strict=True):
@@ -203,10 +207,39 @@ def test_op5_coder(spark, odd, none):
         coder.read(bytes(broken))
     with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         tokenizer = f.read()
-    for docs, rows in ((odd, len(ODD)), (none, 0)):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_str(tokenizer)
+    long = spark.createDataFrame([(3, "one <|endoftext|> two", "en", "s", 0), (9, "words of\na text. " * 60_000, "en", "s", 0), (-4, " \n  x\x1f y ", "en", "s", 0)], DOCS)
+    for docs, special in ((odd, False), (long, False), (long, True), (none, False)):
         folder = rans.new_folder(spark)
-        rans.write_tokens(docs, folder, tokenizer, 2, 50_257)
-        assert rans.read_tokens(spark, folder).count() == rows
+        rans.write_tokens(docs, folder, tokenizer, 2, 50_257, specials_as_text=special)
+        library.encode_special_tokens = special
+        rows = sorted(((r["doc_id"], library.encode(r["text"] or "", add_special_tokens=False).ids + [2]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0]))
+        got = rans.read_tokens(spark, folder).orderBy("start").collect()
+        assert [r["id"] for r in got] == [r[0] for r in rows] and sorted(np.frombuffer(r["tokens"], "<u4").tolist() for r in got) == sorted(r[1] for r in rows)
+        assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+
+
+def test_very_long_texts_are_cut_before_blanks(monkeypatch):
+    from tokenizers import Tokenizer
+
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    monkeypatch.setattr(pieces, "SLICE", 500)
+    text, memory = "Some words,  and\n more. \n" * 400, rans._memory(tokenizer)
+    (_, tokens, sizes), = memory.batches(pa.RecordBatch.from_arrays([pa.array([text])], names=["t"]), 0)
+    assert len([*pieces._long(text)]) > 5 and tokens.tolist() == Tokenizer.from_str(tokenizer).encode(text, add_special_tokens=False).ids and sizes.tolist() == [len(tokens)]
+
+
+def test_op5_frames_follow_rows():
+    coder, held = rans.Coder(rans.frequencies(np.ones(300, np.int64))), []
+    for shard, rows in ((0, [0, 1, 2]), (1, [0, 1]), (1, [7, 8])):  # a gap and another shard end a frame
+        ids = [np.arange(k + 2, dtype="<u2").tobytes() for k in rows]
+        held.append(pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int32()), pa.array(rows), pa.array(rows), pa.array(ids)], names=["shard", "row", "id", "ids"]))
+    got = [b.to_pylist()[0] for b in rans._frames(iter(held), coder, "<u2")]
+    assert [(g["shard"], g["row"]) for g in got] == [(0, 0), (1, 0), (1, 7)]
+    assert [coder.read(g["payload"])[0].tolist() for g in got] == [[0, 1, 2], [0, 1], [7, 8]]
 
 
 def test_op6_equals_brute_force(spark):
