@@ -43,11 +43,13 @@ def _merged(token: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]:
     return parts
 
 
-def library_classes(pattern: str) -> str:
-    """The pattern with classes as tiktoken's tables of Unicode have them, for :mod:`regex` whose tables may be newer."""
+def library_classes(pattern: str) -> tuple[str, str]:
+    """The pattern with classes as tiktoken's tables of Unicode have them, for :mod:`regex` whose tables may be newer,
+    and the code points that the tables differ in, in order."""
     import tiktoken
 
     every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
+    differ: set[str] = set()
     for kind in (r"\p{L}", r"\p{N}", r"\s"):
         if kind not in pattern:
             continue
@@ -56,14 +58,16 @@ def library_classes(pattern: str) -> str:
         less, more = ("".join(f"\\U{ord(c):08x}" for c in sorted(x)) for x in (ours - theirs, theirs - ours))
         named = f"[{kind}{more}]" if more else kind
         pattern = pattern.replace(kind, f"[{named}--[{less}]]" if less else named)
-    return f"(?V1){pattern}"
+        differ |= ours ^ theirs
+    return f"(?V1){pattern}", "".join(sorted(differ))
 
 
 class Encoder:
     """Built once on the driver and sent to tasks; the automaton is built again in each worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, library_classes(pattern)
+        self.ranks, self.pattern = ranks, pattern
+        self.exact, self.differ = library_classes(pattern)
         self.mark = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
         self.halves: dict[int, tuple[int, int]] = {}
         usable = {t: r for t, r in ranks.items() if len(t) == 1}
@@ -77,7 +81,7 @@ class Encoder:
         self.shorter = {r: next((usable[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in usable), -1) for t, r in usable.items()}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "compatible", "splitter", "text_of")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "compatible", "splitter", "exact_splitter", "unsure", "text_of")}
 
     @cached_property
     def automaton(self):
@@ -95,6 +99,15 @@ class Encoder:
     def splitter(self):
         return regex.compile(self.pattern)
 
+    @cached_property
+    def exact_splitter(self):
+        """Slower than the plain one, for texts with a code point that the tables differ in."""
+        return regex.compile(self.exact)
+
+    @cached_property
+    def unsure(self) -> frozenset[str]:
+        return frozenset(self.differ)
+
     @cached_property
     def text_of(self) -> dict[int, bytes]:
         return {rank: token for token, rank in self.ranks.items()}
@@ -153,7 +166,11 @@ class Encoder:
                 at -= len(text_of[token])
 
     def encode(self, text: str) -> list[int]:
-        return [i for match in self.splitter.findall(text) for i in self.piece(match.encode("utf-8", "surrogatepass"))]
+        if text.isascii() and text.removeprefix(" ").isalpha():
+            return self.piece(text.encode())  # a word is one match
+        clear = text.isascii() or not self.differ or max(text) < self.differ[0] or self.unsure.isdisjoint(text)
+        splitter = self.splitter if clear else self.exact_splitter
+        return [i for match in splitter.findall(text) for i in self.piece(match.encode("utf-8", "surrogatepass"))]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.text_of.__getitem__, ids))
