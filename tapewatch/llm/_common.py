@@ -12,9 +12,14 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where none is set."""
-    found = spark.conf.get(SETTING, None)
+    """The folder that driver and executors share: the session's setting, or what ``setCheckpointDir`` was given.
+
+    Only a local session, whose driver and tasks are one process, gets a folder of its own where neither is set.
+    """
+    found = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-tapewatch-")
         spark.conf.set(SETTING, found)
     return found.rstrip("/")
@@ -39,6 +44,11 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at.getParent(), True)
 
 
+def packed(docs: DataFrame, **more) -> DataFrame:
+    """``docs`` with all its columns in one, ``row``, so that no name of theirs meets one of the ``more`` columns."""
+    return docs.select(F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in more.items()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,15 +13,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import staged
 from .components import connected_components
 from .gray_index import least_labels
 
-SAMPLE = 20_000  # vectors that the codebooks and the number of visits are fitted on
+SAMPLE = 20_000  # vectors that the codebooks and the number of visits are fitted on, at least
+PER_CODE = 8  # of them for each code, at least
+CELLS = 1 << 22  # distances held at once
 FILL = 64  # vectors in a cell, on average
 CAP = 4096  # rows of one side that meet in one task at once
 RECALL = 0.99
+PAIRS = 50  # of a sampled vector that the number of visits is fitted on
 
 
 def codebook(points: np.ndarray, codes: int, rounds: int = 12) -> np.ndarray:
@@ -31,7 +35,7 @@ def codebook(points: np.ndarray, codes: int, rounds: int = 12) -> np.ndarray:
         return distinct
     centres = distinct[np.random.default_rng(5).choice(len(distinct), codes, replace=False)]
     for _ in range(rounds):
-        nearest = np.argmin(_apart(points, centres), 1)
+        nearest = np.concatenate([np.argmin(_apart(p, centres), 1) for p in _slices(points, codes)])
         total, n = np.zeros_like(centres), np.bincount(nearest, minlength=codes)
         np.add.at(total, nearest, points)
         centres = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
@@ -42,12 +46,20 @@ def _apart(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1)[None]
 
 
+def _slices(points: np.ndarray, width: int) -> list[np.ndarray]:
+    """The rows in slices, so that ``width`` numbers for each row stay bounded."""
+    step = max(1, CELLS // max(1, width))
+    return [points[at : at + step] for at in range(0, len(points), step)]
+
+
 def nearest_cells(unit: np.ndarray, books: tuple[np.ndarray, np.ndarray], visits: int) -> np.ndarray:
     """The first ``visits`` cells of each row's multi-sequence, nearest first.
 
     With each half's codes sorted by distance, the pair of ranks (i, j) has (i+1)(j+1)-1 pairs before it
     at least, so only pairs with (i+1)(j+1) <= visits are looked at.
     """
+    if len(unit) > (step := max(1, CELLS // (len(books[0]) + len(books[1])))):
+        return np.concatenate([nearest_cells(unit[at : at + step], books, visits) for at in range(0, len(unit), step)])
     half = books[0].shape[1]
     one, two = _apart(unit[:, :half], books[0]), _apart(unit[:, half:], books[1])
     visits = min(visits, one.shape[1] * two.shape[1])
@@ -65,7 +77,7 @@ def _visits(unit: np.ndarray, books: tuple, least: float, recall: float) -> int:
     pairs at a cosine between the limit and 1 are made from it."""
     rng = np.random.default_rng(6)
     asked = unit[rng.permutation(len(unit))[:1500]]
-    pairs = [(asked[i], unit[k]) for i in range(0, len(asked)) for k in np.flatnonzero(unit @ asked[i] >= least)[:50] if not np.array_equal(unit[k], asked[i])]
+    pairs = [(asked[i], unit[k]) for i in range(len(asked)) for k in np.flatnonzero(unit @ asked[i] >= least)[:PAIRS] if not np.array_equal(unit[k], asked[i])]
     if len(pairs) < 200:
         aside = rng.normal(size=asked.shape)
         aside -= (aside * asked).sum(1)[:, None] * asked
@@ -90,37 +102,44 @@ def _nodes(rows: DataFrame) -> DataFrame:
     return same.withColumn("node", F.coalesce("least", "k1"))
 
 
-def _filed(nodes: DataFrame, books, visits: int) -> DataFrame:
-    """``cell, role, node, copies, unit``: each node once where it is filed (1) and where it asks (0)."""
+def _filed(nodes: DataFrame, books, visits: int, kind: str) -> DataFrame:
+    """``cell, role, node, copies, vector``: each node once where it is filed (1) and where it asks (0).
+
+    Vectors travel as numbers of their ``kind`` in the table and are brought to length 1 where they meet.
+    """
     shared = nodes.sparkSession.sparkContext.broadcast(books)
 
     def run(batches):
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                unit = _units(part.column(2))
-                cells = nearest_cells(unit, shared.value, visits)
-                data = [u.tobytes() for u in unit]
+                x = _matrix(part.column(2))
+                cells = nearest_cells(_units(x), shared.value, visits)
+                data = [v.tobytes() for v in x.astype(kind)]
                 for k in range(-1, cells.shape[1]):
                     cell = cells[:, max(k, 0)]
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(np.full(len(cell), int(k < 0), np.int32)), part.column(0), part.column(1), pa.array(data, pa.binary())], names=["cell", "role", "node", "copies", "unit"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(np.full(len(cell), int(k < 0), np.int32)), part.column(0), part.column(1), pa.array(data, pa.binary())], names=["cell", "role", "node", "copies", "vector"])
 
-    return nodes.select("node", "copies", "embedding").mapInArrow(run, "cell long, role int, node long, copies long, unit binary")
+    return nodes.select("node", "copies", "embedding").mapInArrow(run, "cell long, role int, node long, copies long, vector binary")
 
 
-def _units(column: pa.Array) -> np.ndarray:
-    x = np.array(column.to_pylist(), float)
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)  # so that squares of very large or small numbers stay finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _verified(batches, least: float):
+def _verified(batches, least: float, kind: str):
     """``node, links, root`` of the linked nodes of each (cell, one, two) group; groups arrive one after another."""
 
     def block(part: pa.Table):
         role = part.column("role").to_numpy()
         node, copies = part.column("node").to_numpy(), part.column("copies").to_numpy()
-        unit = np.frombuffer(b"".join(part.column("unit").to_pylist()), float).reshape(len(node), -1)
+        unit = _units(np.frombuffer(b"".join(part.column("vector").to_pylist()), kind).reshape(len(node), -1).astype(float))
         ask, filed = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         links = np.zeros(len(node), np.int64)
         names, name = np.unique(node, return_inverse=True)
@@ -164,6 +183,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     zero vectors, those with null or non-finite components, and those of another length than the most
     frequent one link with nothing. Repeated and null ids stay rows of their own; null ids are passed over
     for the least id. An empty table gives an empty result; other columns are not read.
+
+    The codebooks, with a square root of one code for each ``FILL`` vectors, and the number of visits are
+    fitted on ``sample`` vectors, ``PER_CODE`` for each code at least; every vector is filed and asks.
     """
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
@@ -173,20 +195,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     rows = rows.withColumn("valid", F.coalesce(fine & (F.size("embedding") == size), F.lit(False))).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.hash("embedding"))
     nodes = staged(_nodes(rows), "nodes")
     count = nodes.count()
-    chosen = [r["embedding"] for r in nodes.orderBy(F.xxhash64("k1"), "k2").limit(sample).select("embedding").collect()]
+    codes = max(1, round((count / FILL) ** 0.5))
+    chosen = nodes.orderBy(F.xxhash64("k1"), "k2").limit(max(sample, PER_CODE * codes)).select("embedding").toArrow().column(0).combine_chunks()
     keys = rows.select("id", "valid", "k1", "k2")
-    if not chosen:
+    if not len(chosen):
         return keys.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    unit, half = _units(pa.array(chosen)), max(1, size // 2)
-    codes = int(np.clip(round((count / FILL) ** 0.5), 1, 512))
+    unit, half = _units(_matrix(chosen)), max(1, size // 2)
+    kind = "<f4" if vectors.schema[vector_col].dataType.elementType == T.FloatType() else "<f8"
     books = (codebook(unit[:, :half], codes), codebook(unit[:, half:], codes) if size > 1 else np.zeros((1, 0)))
-    filed = _filed(nodes, books, _visits(unit, books, least, recall))
+    filed = _filed(nodes, books, _visits(unit, books, least, recall), kind)
     counts = staged(filed.groupBy("cell").agg(F.ceil(F.sum("role") / CAP).cast("int").alias("homes"), F.ceil(F.sum(1 - F.col("role")) / CAP).cast("int").alias("guests")).where("homes > 0"), "cells")
     own = F.pmod(F.xxhash64("node"), F.when(F.col("role") == 1, F.col("homes")).otherwise(F.col("guests"))).cast("int")
     other = F.explode(F.expr("sequence(0, if(role = 1, guests, homes) - 1)"))
     dealt = filed.join(F.broadcast(counts), "cell").withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("cell", F.expr("if(role = 1, own, other)").alias("one"), F.expr("if(role = 1, other, own)").alias("two"), "role", "node", "copies", "unit")
-    met = dealt.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two").mapInArrow(lambda b: _verified(b, least), "node long, links long, root long")
+    dealt = dealt.select("cell", F.expr("if(role = 1, own, other)").alias("one"), F.expr("if(role = 1, other, own)").alias("two"), "role", "node", "copies", "vector")
+    met = dealt.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two").mapInArrow(lambda b: _verified(b, least, kind), "node long, links long, root long")
     met = staged(met, "met")
     total = met.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_components(met.select(F.col("node").alias("a"), F.col("root").alias("b")))

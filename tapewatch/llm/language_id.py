@@ -15,18 +15,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import staged
+from ._common import packed, staged
 from .pieces import kept
-from .sharding import PARTS, _ranked
 
 NONE = "und"
 LENGTHS = (4, 3, 2, 1)
 FLOOR = 0.5  # a count of this much stands for words and n-grams that a language never showed
-_WORD = re.compile(r"[^\W\d_]+")
+KNOWN_SHARE = 1e-6  # of a language's words: more seldom ones are unseen there
+GRAM_SHARE = 1e-5  # of a language's n-grams of one length
+#: Letters under U+0250, in lower case; beyond them Unicode's letters, with the marks on them.
+_LATIN = re.compile("[a-zªµºß-öø-ɏ]+")
+_BEYOND = re.compile("[\u0250-\u1fff\u2070-\U0010ffff]")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 REMEMBERED = 120_000  # unseen words that a worker holds
 
 
@@ -53,8 +58,9 @@ class Model:
 
 
 def letters(text: str) -> list[str]:
-    """Lower-case runs of letters."""
-    return _WORD.findall(text.lower())
+    """Lower-case runs of letters and the marks after them."""
+    text = text.lower()
+    return (_WORD if _BEYOND.search(text) else _LATIN).findall(text)
 
 
 def _word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -82,32 +88,23 @@ def _word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words_kept: int = 50_000, grams_kept: int = 20_000) -> Model:
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", known_share: float = KNOWN_SHARE, gram_share: float = GRAM_SHARE) -> Model:
     """Counts come from all rows with a text and a language.
 
-    The most frequent words of each language and n-grams of each length and language make the model,
-    ``words_kept`` and ``grams_kept`` of them (ties at the bound go by hash and text): its size has a
-    bound, and rarer words back off. A text that any language brings has its count in every language.
+    A word is known if it makes up ``known_share`` of some language's words, an n-gram if it makes up
+    ``gram_share`` of some language's n-grams of its length: at any size of the input at most one over that
+    share for each language, so the model's size has a bound. A known text has its count in every language.
     """
     counts = staged(_word_counts(docs, text_col, lang_col), "words")
 
-    def most(rows: DataFrame, by: list[str], key: str, keep: int):
-        """All rows of each text that is among the ``keep`` most frequent of some group.
-
-        Only counted values of n are put in order, and texts that tie at the bound, in parts.
-        """
-        cells = rows.groupBy(*by, "n").agg(F.count("*").alias("c"))
-        above = F.sum("c").over(Window.partitionBy(*by).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
-        cells = cells.withColumn("room", F.lit(keep) - F.coalesce(above, F.lit(0))).where("room > 0")
-        bound = cells.groupBy(*by).agg(F.min("n").alias("least"), F.min("room").alias("room"))
-        reach = rows.join(F.broadcast(bound), by).where("n >= least")
-        tied = reach.where("n = least").withColumn("group", F.struct(*by)).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int"))
-        filled = _ranked(tied, "group", [key], "rank").where("rank < room")
+    def known(rows: DataFrame, by: list[str], key: str, sums: DataFrame, share: float):
+        """All rows of each text that makes up ``share`` of some group."""
         same = [key, *(c for c in by if c != "lang")]
-        texts = staged(reach.where("n > least").select(*same).unionAll(filled.select(*same)).distinct(), "texts")
-        return rows.join(F.broadcast(texts), same).toPandas()
+        texts = rows.join(sums, by).where(F.col("n") >= share * F.col("total")).select(*same).distinct()
+        return rows.join(F.broadcast(staged(texts, "texts")), same).toPandas()
 
-    total = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    sums = staged(counts.groupBy("lang").agg(F.sum("n").alias("total")), "sums")
+    total = {r["lang"]: r["total"] for r in sums.collect()}
     languages = sorted(total)
     model = Model(languages, totals=[total[lang] for lang in languages])
     if not languages:
@@ -122,7 +119,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words
         every[place, rows["lang"].map(at).to_numpy()] = logs
         return Table("\n".join(texts.tolist()), every.astype(np.float32))
 
-    model.words = table(most(counts, ["lang"], "word", words_kept), "word", total)
+    model.words = table(known(counts, ["lang"], "word", sums, known_share), "word", total)
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
 
     def cut(length: int):
@@ -131,10 +128,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words
 
     every = counts.select("lang", "n", F.explode(F.concat(*map(cut, LENGTHS))).alias("g")).groupBy("lang", "g.length", "g.gram").agg(F.sum("n").alias("n"))
     grams = staged(every, "grams")
-    sums = {(r["lang"], r["length"]): r["n"] for r in grams.groupBy("lang", "length").agg(F.sum("n").alias("n")).collect()}
-    found = most(grams, ["lang", "length"], "gram", grams_kept)
+    sums = staged(grams.groupBy("lang", "length").agg(F.sum("n").alias("total")), "gram_sums")
+    every = {(r["lang"], r["length"]): r["total"] for r in sums.collect()}
+    found = known(grams, ["lang", "length"], "gram", sums, gram_share)
     for length in LENGTHS:
-        totals = {lang: n for (lang, k), n in sums.items() if k == length}
+        totals = {lang: n for (lang, k), n in every.items() if k == length}
         model.grams[length] = table(found[found["length"] == length], "gram", totals)
     model.mark = uuid.uuid4().hex
     return model
@@ -235,32 +233,22 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def tag(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", learned=None) -> DataFrame:
-    """``docs`` with ``lang_col`` as identified and the column ``_score``; every row and column stays.
+def told(docs: DataFrame, model: Model, learned, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``row, lang, score, known, learned``: each row whole, and what :meth:`Scorer.told` says of it.
 
-    With ``learned``, a condition that tells the rows the model learned from, also ``_known`` (see
-    :meth:`Scorer.told`) and ``_learned``. Nothing is shuffled: each batch gets its columns back with
-    the answers. See :func:`identify`.
+    ``learned`` is a condition that tells the rows the model learned from. Nothing is shuffled: each batch
+    gets its rows back with the answers. See :func:`identify`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = ["_score"] if learned is None else ["_score", "_known", "_learned"]
-    answers = own[:2]
-    plain = docs.drop(*(c for c in own if c in docs.columns))
-    if learned is not None:
-        plain = plain.withColumn("_learned", learned & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    fields = [T.StructField(f.name, T.StringType() if f.name == lang_col else f.dataType) for f in plain.schema.fields]
-    schema = T.StructType([*fields, *(T.StructField(n, T.DoubleType()) for n in answers)])
+    inside = learned & docs[text_col].isNotNull() & docs[lang_col].isNotNull()
+    plain = packed(docs, text=docs[text_col], label=F.when(inside, docs[lang_col].cast("string")))
+    schema = T.StructType([plain.schema["row"], T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType()), T.StructField("learned", T.BooleanType())])
 
     def run(batches):
         scorer = kept("language", shared.value.mark, lambda: Scorer(shared.value))
         for batch in batches:
-            if len(answers) == 1:
-                said = [scorer.text(x.as_py()) for x in batch.column(text_col)]
-            else:
-                rows = zip(batch.column(text_col), batch.column(lang_col).to_pylist(), batch.column("_learned").to_pylist(), strict=True)
-                said = [scorer.told(x.as_py(), lang if inside else None) for x, lang, inside in rows]
-            columns = [pa.array([s[0] for s in said], pa.string()) if n == lang_col else batch.column(n) for n in batch.schema.names]
-            more = [pa.array([s[k + 1] for s in said], pa.float64()) for k in range(len(answers))]
-            yield pa.RecordBatch.from_arrays([*columns, *more], names=[*batch.schema.names, *answers])
+            said = [scorer.told(x.as_py(), label) for x, label in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
+            answers = [pa.array([s[k] for s in said], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *answers, batch.column(2).is_valid()], names=schema.names)
 
     return plain.mapInArrow(run, schema)

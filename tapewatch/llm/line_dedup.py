@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import packed, staged
 
 SITES = 12
 PRECISION = 10
@@ -48,16 +48,17 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = staged(boilerplate(docs, id_col, text_col, site_col, sites), "boilerplate")
     place = F.struct("id", "doc", "pos")
     cut = _lines(docs, id_col, text_col, site_col).join(found, "key").where(~place.eqNullSafe(F.col("first")))
-    lists = staged(cut.groupBy(F.col("id").alias("_id"), F.col("doc").alias("_doc")).agg(F.collect_set("pos").alias("_cut")), "cut")
-    text, gone = docs[text_col], F.coalesce(F.col("_cut"), F.array().cast("array<int>"))
-    joined = docs.join(lists, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_doc")), "left")
+    lists = staged(cut.groupBy("id", "doc").agg(F.collect_set("pos").alias("cut")), "cut")
+    rows = packed(docs, row_id=docs[id_col], row_text=docs[text_col])
+    joined = rows.join(lists, F.col("row_id").eqNullSafe(F.col("id")) & (F.xxhash64("row_text") == F.col("doc")), "left")
 
     def rest() -> Column:
-        kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col("_cut"), i))
-        return F.when(F.col("_cut").isNull(), text).otherwise(F.array_join(kept, "\n"))
+        kept = F.filter(F.split("row_text", "\n"), lambda _, i: ~F.array_contains(F.col("cut"), i))
+        return F.when(F.col("cut").isNull(), F.col("row_text")).otherwise(F.array_join(kept, "\n"))
 
-    out = [rest().alias(c) if c == text_col else docs[c] for c in docs.columns]
-    return joined.select(*out, *([F.size(gone).cast("long").alias(removed_col)] if removed_col else []))
+    out = [rest().alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
+    gone = F.size(F.coalesce(F.col("cut"), F.array().cast("array<int>"))).cast("long")
+    return joined.select(*out, *([gone.alias(removed_col)] if removed_col else []))
 
 
 SQL = f"""

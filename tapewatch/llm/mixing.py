@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import staged
+from ._common import packed, staged
 
-MOST_LEAVES = 100_000
+FEW_LEAVES = 100_000  # a plan of so many leaves is broadcast; a larger one is joined by shuffling
 PARTS = 1024  # a leaf's order is summed up in this many parts
+DIGITS = 6  # of a token, that budgets are rounded to
 
 
 @dataclass(frozen=True)
@@ -33,75 +35,88 @@ class Mix:
     seed: int = 17
 
 
-def budgets(supply: dict[tuple, int], mix: Mix, total: float) -> dict[tuple, float]:
-    """Tokens of each leaf. Sums to the total, or to all that the leaves hold in ``epochs`` epochs."""
-    children: dict[tuple, set] = {}
-    room: dict[tuple, float] = {}
-    for leaf, tokens in supply.items():
-        for k in range(len(leaf), -1, -1):
-            room[leaf[:k]] = room.get(leaf[:k], 0.0) + tokens * mix.epochs
-            if k:
-                children.setdefault(leaf[: k - 1], set()).add(leaf[:k])
-    out: dict[tuple, float] = {}
-
-    def deal(node: tuple, amount: float) -> None:
-        if node not in children:
-            out[node] = amount
-            return
-        left, open_, got = amount, sorted(children[node], key=str), {}
-        while open_:
-            weight = sum(mix.weights.get(c, 1.0) for c in open_)
-            share = {c: left * mix.weights.get(c, 1.0) / weight if weight else left / len(open_) for c in open_}
-            full = [c for c in open_ if share[c] >= room[c]]
-            if not full:
-                got |= share
-                break
-            for c in full:
-                got[c] = room[c]
-                left -= room[c]
-            open_ = [c for c in open_ if c not in full]
-        for c, x in got.items():
-            deal(c, max(0.0, x))
-
-    if supply:
-        deal((), min(total, room[()]))
-    return out
+def _same(one: DataFrame, two: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal names, nulls equal too; the names come from ``one``."""
+    two = two.select(*(F.col(c).alias(f"_same_{k}") for k, c in enumerate(names)), *(c for c in two.columns if c not in names))
+    on = F.lit(True)
+    for k, c in enumerate(names):
+        on = on & one[c].eqNullSafe(F.col(f"_same_{k}"))
+    return one.join(two, on, how).drop(*(f"_same_{k}" for k in range(len(names))))
+
+
+def _dealt(children: DataFrame, parent: list[str]) -> DataFrame:
+    """Each child's ``amount`` of its parent's ``budget``: its weight's share, or all its ``room`` if that is less.
+
+    A child is full if the level (tokens for one unit of weight) reaches the ratio of its room to its weight;
+    what full children leave raises the level of the others. In ascending order of the ratio, all full
+    children come first, so the level is found from running sums. Only distinct ratios are put in order.
+    Children without weight get, alike, what the weighted ones can't hold.
+    """
+    rest = F.col("weight") <= 0
+    children = children.withColumns({"rest": rest, "own": F.when(rest, F.lit(1.0)).otherwise(F.col("weight"))}).withColumn("ratio", F.col("room") / F.col("own"))
+    cells = children.groupBy(*parent, "rest", "ratio").agg(F.sum("room").alias("room"), F.sum("own").alias("own"), F.max("budget").alias("budget"))
+    held = F.coalesce(F.sum("room").over(Window.partitionBy(*parent).orderBy("rest", "ratio").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    open_ = F.sum("own").over(Window.partitionBy(*parent, "rest").orderBy("ratio").rowsBetween(0, Window.unboundedFollowing))
+    cells = cells.withColumn("level", F.greatest(F.lit(0.0), F.col("budget") - held) / open_)
+    levels = cells.where("level < ratio").groupBy(*parent, "rest").agg(F.max("level").alias("level"))
+    found = _same(children, levels, [*parent, "rest"], "left")
+    return found.withColumn("amount", F.round(F.coalesce(F.least("room", F.col("level") * F.col("own")), "room"), DIGITS)).drop("rest", "own", "ratio", "level", "budget", "room", "weight")
+
+
+def budgets(leaves: DataFrame, mix: Mix, total: float) -> DataFrame:
+    """``leaves`` (the levels and ``supply`` tokens) with each leaf's ``budget``, dealt level by level down the tree.
+
+    Budgets add up to the total, or to all that the leaves hold in ``epochs`` epochs. Null is a name of its own.
+    """
+    names, spark = list(mix.levels), leaves.sparkSession
+    room = leaves.agg(F.sum("supply")).first()[0] or 0
+    above = spark.createDataFrame([(float(min(total, room * mix.epochs)),)], "budget double")
+    for k in range(1, len(names) + 1):
+        here = leaves.groupBy(*names[:k]).agg((F.sum("supply") * F.lit(float(mix.epochs))).alias("room"))
+        said = [(*path, float(w)) for path, w in mix.weights.items() if len(path) == k]
+        fields = [T.StructField(c, T.StringType()) for c in names[:k]]
+        weights = spark.createDataFrame(said, T.StructType([*fields, T.StructField("weight", T.DoubleType())]))
+        weighted = _same(here, weights, names[:k], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+        children = _same(weighted, above, names[: k - 1])
+        above = staged(_dealt(children, names[: k - 1]).withColumnRenamed("amount", "budget"), "budgets")
+    return _same(leaves, above, names)
 
 
 def select(docs: DataFrame, mix: Mix, id_col: str, tokens_col: str) -> DataFrame:
-    """``id, epoch`` and the levels: one row for each time that a document is taken.
+    """``id``, the levels, ``tokens`` and ``epoch``: one row for each time that a document is taken.
 
     A document is taken while the tokens before it in its leaf's order are less than the budget, so a
-    leaf may exceed it by one document. Null levels are a node of their own; null tokens count 0, and
-    documents without tokens are taken with every epoch that reaches them. Null and repeated ids stay
-    rows of their own. More than ``MOST_LEAVES`` leaves raise an error.
+    leaf may exceed it by one document. Null levels are a node of their own and stay null; null tokens
+    count 0, and documents without tokens are taken with every epoch that reaches them. Null and repeated
+    ids stay rows of their own.
     """
     levels = list(mix.levels)
-    rows = docs.select(F.col(id_col).alias("id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in levels), F.coalesce(F.col(tokens_col), F.lit(0)).cast("long").alias("tokens"))
+    rows = docs.select(F.col(id_col).alias("id"), *(F.col(c).cast("string").alias(c) for c in levels), F.coalesce(F.col(tokens_col), F.lit(0)).cast("long").alias("tokens"))
     rows = staged(rows, "mix")
-    found = rows.groupBy(*levels).agg(F.sum("tokens").alias("tokens")).limit(MOST_LEAVES + 1).collect()
-    if len(found) > MOST_LEAVES:
-        raise ValueError(f"more than {MOST_LEAVES} leaves")
-    supply = {tuple(r[c] for c in levels): r["tokens"] for r in found}
-    plan = []
-    for leaf, budget in budgets(supply, mix, mix.share * sum(supply.values())).items():
-        whole = min(mix.epochs, int(budget // supply[leaf])) if supply[leaf] else mix.epochs
-        plan.append((*leaf, whole, 0.0 if whole == mix.epochs else budget - whole * supply[leaf]))
-    names = ", ".join(f"`{c}` string" for c in levels)
-    leaves = F.broadcast(docs.sparkSession.createDataFrame(plan, f"{names}, whole int, part_budget double"))
+    leaves = staged(rows.groupBy(*levels).agg(F.sum("tokens").alias("supply")).withColumn("leaf", F.monotonically_increasing_id()), "leaves")
+    count, supply = leaves.agg(F.count("*"), F.sum("supply")).first()
+    whole = F.when(F.col("supply") > 0, F.least(F.lit(mix.epochs), F.floor(F.col("budget") / F.col("supply")))).otherwise(F.lit(mix.epochs)).cast("int")
+    plan = budgets(leaves, mix, mix.share * (supply or 0)).withColumn("whole", whole)
+    plan = plan.withColumn("part_budget", F.when(F.col("whole") < mix.epochs, F.col("budget") - F.col("whole") * F.col("supply")).otherwise(F.lit(0.0)))
+    plan = staged(plan.select(*levels, "leaf", "whole", "part_budget"), "plan")
     order = F.md5(F.concat_ws("|", F.lit(str(mix.seed)), F.col("whole"), F.col("id").cast("string")))
     piece = (F.conv(F.substring("order", 1, 3), 16, 10).cast("int") / F.lit(4096 // PARTS)).cast("int")
-    placed = rows.join(leaves, levels).withColumn("order", order).withColumn("piece", piece)
-    pieces = placed.groupBy(*levels, "piece").agg(F.sum("tokens").alias("n"))
-    ahead = Window.partitionBy(*levels).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    placed = _same(rows, F.broadcast(plan) if count <= FEW_LEAVES else plan, levels).withColumn("order", order).withColumn("piece", piece)
+    pieces = placed.groupBy("leaf", "piece").agg(F.sum("tokens").alias("n"))
+    ahead = Window.partitionBy("leaf").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
-    inside = Window.partitionBy(*levels, "piece").orderBy("order", "id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    summed = placed.withColumn("inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(pieces, [*levels, "piece"])
+    inside = Window.partitionBy("leaf", "piece").orderBy("order", "id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(pieces, ["leaf", "piece"])
     taken = F.col("whole") + (F.col("ahead") + F.col("inside") < F.col("part_budget")).cast("int")
     return summed.withColumn("taken", taken).where("taken > 0").select("id", *levels, "tokens", F.explode(F.expr("sequence(0, taken - 1)")).alias("epoch"))
 
 
-def keep_selected(docs: DataFrame, mix: Mix, id_col: str, tokens_col: str) -> DataFrame:
-    """``docs`` once for each id that :func:`select` takes; same columns. Rows that repeat an id stay together."""
-    chosen = select(docs, mix, id_col, tokens_col).select(F.col("id").alias("_id")).distinct()
-    return docs.join(chosen, docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
+def keep_selected(docs: DataFrame, mix: Mix, id_col: str, tokens: Column, levels: dict[str, Column]) -> DataFrame:
+    """``docs`` once for each id that :func:`select` takes; same columns. Rows that repeat an id stay together.
+
+    ``tokens`` and ``levels`` are columns of ``docs`` or made from them; no name of ``docs`` meets theirs.
+    """
+    rows = packed(docs, id=docs[id_col])
+    chosen = select(docs.select(docs[id_col].alias("id"), tokens.alias("tokens"), *(levels[c].alias(c) for c in mix.levels)), mix, "id", "tokens")
+    chosen = chosen.select(F.col("id").alias("taken_id")).distinct()
+    return rows.join(chosen, F.col("id").eqNullSafe(F.col("taken_id")), "left_semi").select("row.*")

@@ -16,6 +16,7 @@ rows, so every pair still meets in one task of bounded size.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import dropped, staged
+from ._common import dropped, packed, staged
 from .components import connected_components
 from .gray_index import gray_order, least_labels, linked_pairs
 
@@ -39,8 +40,10 @@ PIECE = 1 << 15
 class SimHash:
     """``words`` in a shingle, ``bits`` of the fingerprint (64, 128, 256), ``distance`` that still links.
 
-    ``drawn_masks`` of ``mask_bits`` bits each replace the exact masks where the distance is too wide
-    for pigeonhole: a pair whose bits differ with chance p meets with chance 1-(1-(1-p)^mask_bits)^drawn_masks.
+    ``differ`` replaces the exact masks by drawn ones, where the distance is too wide for pigeonhole: a
+    pair whose bits differ with that chance shares a mask of b bits with a chance of (1 - differ)^b. b is such
+    that an upper node holds about ``cap`` rows, ``mask_bits`` at least, and as many masks are drawn as
+    make a pair meet with a chance of ``recall``.
     ``ties`` gives bits with exactly half the votes the bit of a hash of the whole text instead of 0.
     ``similar``, in percent, is the Jaccard similarity of shingle sets that links in the end; each distinct
     shingle then votes once, and equal sets are one node. 0: the fingerprints alone link.
@@ -49,8 +52,9 @@ class SimHash:
     words: int = 4
     bits: int = 64
     distance: int = 4
-    drawn_masks: int = 0
+    differ: float = 0.0
     mask_bits: int = 14
+    recall: float = 0.999
     ties: bool = False
     similar: int = 0
     cap: int = CAP
@@ -119,10 +123,10 @@ def _word_names(how: SimHash) -> list[str]:
 def fingerprints(docs: DataFrame, how: SimHash, id_col: str, text_col: str) -> DataFrame:
     """``(id, fp0, ...)``: words of the fingerprint as signed longs. One pass over the whole texts.
 
-    With ``similar`` also ``node``, the mark of the shingle set, and ``text_hash``.
+    Also ``text_hash``, and with ``similar`` ``node``, the mark of the shingle set.
     """
     names = _word_names(how)
-    more = ["node", "text_hash"] if how.similar else []
+    more = ["text_hash", *["node"] * bool(how.similar)]
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names + more)])
 
     def run(batches):
@@ -133,13 +137,12 @@ def fingerprints(docs: DataFrame, how: SimHash, id_col: str, text_col: str) -> D
                 marks.append(_set_mark(hashes) if how.similar else xxhash.xxh64_intdigest(line, SEED + 1))
                 found.append(_print(hashes, marks[-1], how))
             words = np.array(found, np.uint64).reshape(-1, len(names))
-            columns = [pa.array(words[:, k].astype(np.int64)) for k in range(len(names))]
+            columns = [*(pa.array(words[:, k].astype(np.int64)) for k in range(len(names))), batch.column(2)]
             if how.similar:
-                columns += [pa.array(np.array(marks, np.uint64).astype(np.int64)), batch.column(2)]
+                columns.append(pa.array(np.array(marks, np.uint64).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
-    extra = [F.xxhash64(text_col).alias("text_hash")] if how.similar else []
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *extra).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, schema)
 
 
 def masks(how: SimHash, rows: int) -> list[list[int]]:
@@ -148,11 +151,13 @@ def masks(how: SimHash, rows: int) -> list[list[int]]:
     Exact: with b blocks, a pair within d bits agrees on b-d blocks at least, so each choice of b-d
     blocks is a mask. b is the least for which an upper node holds about ``cap`` of ``rows`` rows.
     """
-    if how.drawn_masks:
+    if how.differ:
+        width = max(how.mask_bits, math.ceil(math.log2(max(1, rows) / how.cap)))
+        count = math.ceil(math.log(1 - how.recall) / math.log1p(-((1 - how.differ) ** width)))
         draw, order = np.random.default_rng(SEED), []
-        while len(order) < how.drawn_masks * how.mask_bits:
+        while len(order) < count * width:
             order += draw.permutation(how.bits).tolist()
-        return [order[i * how.mask_bits : (i + 1) * how.mask_bits] for i in range(how.drawn_masks)]
+        return [order[i * width : (i + 1) * width] for i in range(count)]
     for blocks in range(how.distance + 1, min(how.bits, how.distance + 6) + 1):
         edges = np.linspace(0, how.bits, blocks + 1).astype(int)
         parts = [list(range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
@@ -176,7 +181,7 @@ def _routed(nodes: DataFrame, how: SimHash, chosen: list[list[int]]) -> DataFram
                 pattern = np.zeros(len(node), np.uint64)
                 for p in positions:
                     pattern = (pattern << np.uint64(1)) | bits[:, p]
-                key = pattern * np.uint64(128) + np.uint64(number)
+                key = pattern * np.uint64(1 << 12) + np.uint64(number)  # of patterns over 52 bits some share a key; no pair is lost
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), *(pa.array(words[:, k]) for k in range(len(names)))], names=schema.names)
 
     return nodes.select("node", *names).mapInArrow(run, schema)
@@ -316,13 +321,8 @@ def similar_stars(docs: DataFrame, nodes: DataFrame, edges: DataFrame, how: SimH
     return together.mapInArrow(lambda batches: _compare(batches, percent), "a long, b long")
 
 
-def near_duplicate_classes(docs: DataFrame, how: SimHash = SimHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``id``, ``fp0``..., ``component`` (least id reachable by links).
-
-    Null, empty and blank texts share the zero fingerprint and link like any other. Repeated rows
-    and ties of ids stay. Rows with a null id stay; such ids are passed over for the least. An empty
-    table gives an empty result. Other columns of ``docs`` are not read.
-    """
+def _classes(docs: DataFrame, how: SimHash, id_col: str, text_col: str) -> DataFrame:
+    """``id, text_hash, fp0..., class, first`` of each row: its class, and the least id of the class."""
     names = _word_names(how)
     prints = staged(fingerprints(docs, how, id_col, text_col), "prints")
     least = F.min("id").alias("least")
@@ -338,20 +338,34 @@ def near_duplicate_classes(docs: DataFrame, how: SimHash = SimHash(), id_col: st
         candidates, edges = edges, staged(similar_stars(docs, distinct, edges, how, id_col, text_col), "similar")
         dropped(candidates)
     found = connected_components(edges)
-    placed = staged(distinct.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    placed = staged(distinct.join(found, "node", "left").withColumn("class", F.coalesce("component", "node")), "placed")
     dropped(edges)
-    first = placed.groupBy("component").agg(F.min("least").alias("first"))
-    classes = staged(placed.join(first, "component").select(*key, F.col("first").alias("component")), "classes")
-    return prints.join(classes, key, "left").select("id", *names, "component")
+    first = placed.groupBy("class").agg(F.min("least").alias("first"))
+    classes = staged(placed.join(first, "class").select(*key, "class", "first"), "classes")
+    dropped(placed)
+    dropped(distinct)
+    return prints.join(classes, key).select("id", "text_hash", *names, "class", "first")
+
+
+def near_duplicate_classes(docs: DataFrame, how: SimHash = SimHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``id``, ``fp0``..., ``component`` (least id reachable by links).
+
+    Null, empty and blank texts share the zero fingerprint and link like any other. Repeated rows
+    and ties of ids stay. Rows with a null id stay; such ids are passed over for the least. An empty
+    table gives an empty result. Other columns of ``docs`` are not read.
+    """
+    return _classes(docs, how, id_col, text_col).select("id", *_word_names(how), F.col("first").alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame, how: SimHash, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class, the one with the least id; same columns.
+    """``docs`` with one row of each class, the one with the least id; same columns.
 
-    Rows that repeat an id are one document. A class whose ids are all null keeps one row.
+    A null id comes after all others. Of rows that repeat the least id the one with the least hash of
+    its text stays, and of rows that repeat both any one. Rows of other classes stay, whatever their ids.
     """
-    found = near_duplicate_classes(docs, how, id_col, text_col)
-    keep = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_kept")).distinct()
-    columns = [docs[c] for c in docs.columns]
-    joined = docs.join(keep, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi").select(*columns)
-    return joined.dropDuplicates([id_col])
+    found = _classes(docs, how, id_col, text_col)
+    order = [F.col("id").isNull().alias("none"), "id", "text_hash"]
+    keep = found.groupBy("class").agg(F.min(F.struct(*order)).alias("one")).select(F.col("one.id").alias("kept_id"), F.col("one.text_hash").alias("kept_hash"))
+    rows = packed(docs, id=docs[id_col], text_hash=F.xxhash64(docs[text_col]))
+    joined = rows.join(keep, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")), "left_semi")
+    return joined.dropDuplicates(["id", "text_hash"]).select("row.*")

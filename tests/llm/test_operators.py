@@ -131,6 +131,25 @@ def test_op2_many_chunks_and_edges(spark, odd, none, documents):
     assert simhash.drop_near_duplicates(odd, simhash.SimHash()).columns == odd.columns
 
 
+def test_near_duplicates_keep_rows_of_other_classes(spark):
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "red green blue white black")
+    rows = [(None, a), (None, b), (7, b + " x"), (7, c), (7, c), (3, a), (9, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _kept", "2 as kept_id", "3 as text_hash", "4 as row", "5 as class", "6 as id")
+    got = simhash.drop_near_duplicates(docs, simhash.SimHash(words=2, bits=256, distance=60, differ=0.153, similar=80))
+    assert got.columns == docs.columns
+    kept = Counter((r[0], r[1]) for r in got.collect())
+    assert kept[(3, a)] == 1 and kept[(None, a)] == 0 and kept[(7, c)] == 1 and kept[(9, None)] == 1 and kept[(None, "")] == 0
+    assert kept[(7, b + " x")] == 1 and kept[(None, b)] == 0  # five of six pairs are the same: 0.83
+
+
+def test_masks_grow_with_the_rows():
+    for rows in (1_000, 10**7, 10**10):
+        found = simhash.masks(corpus_pipeline.NEAR, rows)
+        width = len(found[0])
+        assert rows / 2**width <= simhash.CAP and 1 - (1 - (1 - 0.153) ** width) ** len(found) >= 0.999
+    assert len(simhash.masks(simhash.SimHash(), 10**9)) < 1 << 12
+
+
 def test_op3_equals_library(spark, documents):
     import tiktoken
 
@@ -176,6 +195,8 @@ def test_op4_equals_sql(spark):
 def test_op4_edges(spark, odd, none):
     got = line_dedup.drop_boilerplate(odd, sites=2, removed_col="gone")
     assert got.columns == [*odd.columns, "gone"] and got.count() == len(ODD)
+    clash = odd.selectExpr("*", "1 as _doc", "2 as _cut", "3 as cut", "4 as row", "5 as row_text", "6 as doc", "7 as pos")
+    assert [tuple(r)[5:] for r in line_dedup.drop_boilerplate(clash, sites=2).collect()] == [tuple(r)[5:] for r in clash.collect()]
     assert line_dedup.drop_boilerplate(none).count() == 0
     docs = spark.createDataFrame([(i, f"own {i}\nshared\n\nshared ", "en", f"s{i}", 0) for i in range(4)], DOCS)
     got = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(docs, sites=4).collect()}
@@ -257,6 +278,25 @@ def test_op6_equals_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_op6_recall_over_many_cells(spark, kind, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(1500, 48)), 4, 0)
+    x = (x + 0.25 * rng.normal(size=x.shape)).astype(np.float32 if kind == "float" else float)
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    asked = []
+    monkeypatch.setattr(embedding_dedup, "_visits", lambda *a, f=embedding_dedup._visits: asked.append((len(a[1][0]) * len(a[1][1]), f(*a))) or asked[-1][1])
+    got = embedding_dedup.near_duplicates(df).toPandas().sort_values("id")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    assert asked[0][0] >= 81 and asked[0][1] < asked[0][0] / 3  # several cells, of which few are visited
+    assert (got.n_links.to_numpy() <= linked.sum(1)).all() and got.n_links.sum() >= 0.95 * linked.sum() > 4000
+    label = np.array(least(len(x), np.argwhere(np.triu(linked, 1)).tolist()))
+    assert (got.component_id.to_numpy() == label).mean() >= 0.95 and (got.kept == (got.id == got.component_id)).all()
+
+
 def test_op6_recall_on_clusters():
     rng = np.random.default_rng(4)
     x = np.repeat(rng.normal(size=(300, 64)), 4, 0)
@@ -271,15 +311,50 @@ def test_op6_recall_on_clusters():
     assert (np.sort(full.reshape(5, -1), 1)[:, :visits] == pytest.approx(np.take_along_axis(full.reshape(5, -1), cells[:5], 1)))
 
 
-def plain_mix(rows, plan, mix):
+def plain_budgets(supply, mix, total):
+    """Tokens of each leaf: children that can't hold their share are filled, and the rest is dealt again."""
+    room = Counter()
+    children = {}
+    for leaf, tokens in supply.items():
+        for k in range(len(leaf) + 1):
+            room[leaf[:k]] += tokens * mix.epochs
+            if k:
+                children.setdefault(leaf[: k - 1], set()).add(leaf[:k])
+    out = {}
+
+    def deal(node, amount):
+        if node not in children:
+            out[node] = amount
+            return
+        left, open_, got = amount, set(children[node]), {}
+        while open_:
+            weight = sum(mix.weights.get(c, 1.0) for c in open_)
+            share = {c: left * mix.weights.get(c, 1.0) / weight if weight else left / len(open_) for c in open_}
+            full = {c for c in open_ if share[c] >= room[c]} if weight == 0 else {c for c in open_ if share[c] >= room[c] and mix.weights.get(c, 1.0) > 0}
+            if not full:
+                got |= share
+                break
+            got |= {c: room[c] for c in full}
+            left -= sum(room[c] for c in full)
+            open_ -= full
+        for c, x in got.items():
+            deal(c, max(0.0, round(x, 6)))
+
+    deal((), min(total, room[()]))
+    return out
+
+
+def plain_mix(rows, mix):
     """(id, epoch) by sorting each leaf."""
-    out = set()
+    supply = Counter()
+    for _, leaf, t in rows:
+        supply[leaf] += t
+    plan, out = plain_budgets(supply, mix, mix.share * sum(supply.values())), set()
     for leaf, budget in plan.items():
         own = [r for r in rows if r[1] == leaf]
-        supply = sum(t for *_, t in own)
-        whole = min(mix.epochs, int(budget // supply)) if supply else mix.epochs
+        whole = min(mix.epochs, int(budget // supply[leaf])) if supply[leaf] else mix.epochs
         out |= {(i, e) for i, _, _ in own for e in range(whole)}
-        rest = budget - whole * supply if whole < mix.epochs else 0
+        rest = budget - whole * supply[leaf] if whole < mix.epochs else 0
         run = 0
         for i, _, t in sorted(own, key=lambda r: hashlib.md5(f"{mix.seed}|{whole}|{r[0]}".encode()).hexdigest()):
             if run < rest:
@@ -291,23 +366,39 @@ def plain_mix(rows, plan, mix):
 def test_op7_equals_plain(spark):
     docs = queries.table(spark, SF, "documents").select("doc_id", "lang", "source", queries.domain().alias("domain"), queries.estimated_tokens().alias("tokens")).collect()
     rows = [(r["doc_id"], (r["domain"], r["lang"], r["source"]), r["tokens"]) for r in docs]
-    mix = queries.mix(share=0.8, epochs=2)
-    supply = Counter()
-    for _, leaf, t in rows:
-        supply[leaf] += t
-    plan = mixing.budgets(dict(supply), mix, 0.8 * sum(supply.values()))
     got = {(r["doc_id"], r["epoch"]) for r in queries.op7_source_mix(spark, SF).collect()}
-    assert got == plain_mix(rows, plan, mix)
+    assert got == plain_mix(rows, queries.mix(share=0.8, epochs=2)) and len(got) > 20
+
+
+def dealt(spark, supply, mix, total):
+    leaves = spark.createDataFrame([(*k, v) for k, v in supply.items()], ", ".join(f"`{c}` string" for c in mix.levels) + ", supply long")
+    return {tuple(r[c] for c in mix.levels): r["budget"] for r in mixing.budgets(leaves, mix, total).collect()}
 
 
 def test_op7_shortage_goes_to_siblings_first(spark, odd, none):
     mix = mixing.Mix(("d", "l"))
-    got = mixing.budgets({("a", "x"): 10, ("a", "y"): 500, ("b", "x"): 500, ("b", "y"): 500}, mix, 400)
+    got = dealt(spark, {("a", "x"): 10, ("a", "y"): 500, ("b", "x"): 500, ("b", "y"): 500}, mix, 400)
     assert got == {("a", "x"): 10, ("a", "y"): 190, ("b", "x"): 100, ("b", "y"): 100}
-    got = mixing.budgets({("a", "x"): 10, ("a", "y"): 20, ("b", "x"): 500, ("b", "y"): 500}, mix, 400)
+    got = dealt(spark, {("a", "x"): 10, ("a", "y"): 20, ("b", "x"): 500, ("b", "y"): 500}, mix, 400)
     assert got == {("a", "x"): 10, ("a", "y"): 20, ("b", "x"): 185, ("b", "y"): 185}
-    assert mixing.select(odd, mixing.Mix(("lang", "source")), "doc_id", "n_chars").count() <= len(ODD)
+    got = [(r["id"], r["lang"], r["source"]) for r in mixing.select(odd, mixing.Mix(("lang", "source")), "doc_id", "n_chars").collect()]
+    assert sorted(got, key=str) == sorted(((r[0], r[2], r[3]) for r in ODD), key=str)  # all of them: the share is 1
     assert mixing.select(none, mixing.Mix(("lang", "source")), "doc_id", "n_chars").count() == 0
+    odd = odd.selectExpr("*", "7 as _id", "8 as taken_id", "'x' as domain", "9 as row", "1 as leaf")
+    kept = mixing.keep_selected(odd, mixing.Mix(("a",), {("en",): 0.0}, share=0.0005), "doc_id", mixing.F.col("n_chars"), {"a": mixing.F.col("lang")})
+    assert kept.columns == odd.columns and 0 < kept.count() < len(ODD)
+
+
+def test_op7_random_trees_and_many_leaves(spark):
+    rng = np.random.default_rng(3)
+    mix = mixing.Mix(("a", "b", "c"), {("1",): 0.0, ("2",): 3.0, ("2", "0"): 0.0, ("0", "1"): 5.0, (None,): 2.0, (None, "1"): 0.0}, epochs=2)
+    supply = {(a, b, str(c)): int(rng.integers(0, 900)) for a in (None, "", "0", "1", "2") for b in ("0", "1", None) for c in range(int(rng.integers(1, 9)))}
+    for share in (0.1, 0.5, 0.9, 1.9, 5.0):
+        total = share * sum(supply.values())
+        got, plain = dealt(spark, supply, mix, total), plain_budgets(supply, mix, total)
+        assert got.keys() == plain.keys() and [got[k] for k in plain] == pytest.approx([plain[k] for k in plain], abs=1e-4)
+    many = spark.range(150_000).selectExpr("id as doc_id", "cast(id as string) as host", "1 as tokens")
+    assert mixing.select(many, mixing.Mix(("host",), share=0.5), "doc_id", "tokens").count() == 150_000  # half a token each
 
 
 def test_op8_accuracy_and_edges(spark, documents, odd, none):
@@ -317,7 +408,8 @@ def test_op8_accuracy_and_edges(spark, documents, odd, none):
     assert (held.lang == held.lang_pred).mean() >= 0.95 and got.score.between(0, 1).all()
     model = language_id.learn(spark.createDataFrame(documents))
     assert [r["lang_pred"] for r in language_id.identify(odd, model).collect()][:3] == ["und"] * 3
-    assert language_id.tag(odd, model).columns == [c for c in odd.columns if c != "_score"] + ["_score"]
+    told = language_id.told(odd, model, language_id.F.lit(True))
+    assert told.columns == ["row", "lang", "score", "known", "learned"] and told.select("row.*").collect() == odd.collect()
     assert language_id.identify(none, language_id.learn(none)).count() == 0
 
 
@@ -444,10 +536,10 @@ def test_similar_stars_equal_brute_force():
 
 def test_op8_counts_of_every_language(spark):
     rows = [(1, "gemein gemein gemein haus haus haus baum baum", "de", "s1", 0), (2, "the the the the of of of and and and gemein gemein house", "en", "s1", 0), (3, "uno dos tres cuatro cinco", "es", "s1", 0)]
-    model = language_id.learn(spark.createDataFrame(rows, DOCS), words_kept=3, grams_kept=2)
+    model = language_id.learn(spark.createDataFrame(rows, DOCS), known_share=0.2, gram_share=0.05)
     names, at = model.words.names(), {x: k for k, x in enumerate(model.languages)}
     logs = dict(zip(names, model.words.logs, strict=True))
-    assert {"gemein", "haus", "baum", "the", "of", "and"} <= set(names) and len(set(names) & set("uno dos tres cuatro cinco".split())) == 3
+    assert set(names) == {"gemein", "haus", "baum", "the", "of", "and", *"uno dos tres cuatro cinco".split()} - {"house"} and "house" not in names
     assert logs["gemein"][at["en"]] == pytest.approx(np.log(2 / 13.5)) and logs["gemein"][at["es"]] == pytest.approx(np.log(0.5 / 5.5))
     for length, table in model.grams.items():
         shown = Counter()
@@ -459,6 +551,42 @@ def test_op8_counts_of_every_language(spark):
             assert log.tolist() == pytest.approx([np.log((shown[x, gram] or 0.5) / (total[x] + 0.5)) for x in model.languages])
 
 
+def test_op8_letters():
+    assert language_id.letters("½ ² ₃ Ⅳ _9-!") == [] and language_id.letters("हिन्दी Über½x naïve") == ["हिन्दी", "über", "x", "naïve"]
+    import unicodedata
+
+    for c in map(chr, range(0x300)):
+        low = c.lower()
+        expected = [low] if unicodedata.category(low[0])[0] == "L" else []
+        assert language_id.letters(c) == expected or len(low) > 1, hex(ord(c))
+
+
+def test_op8_equals_plain_scoring(spark, documents):
+    model = language_id.learn(spark.createDataFrame(documents))
+    words = dict(zip(model.words.names(), model.words.logs.astype(float), strict=True))
+    grams = {k: dict(zip(t.names(), t.logs.astype(float), strict=True)) for k, t in model.grams.items()}
+
+    def logs(word):
+        if word in words:
+            return words[word]
+        for k in (4, 3, 2, 1):
+            padded = f" {word} "
+            if known := [grams[k][g] for i in range(max(1, len(padded) - k + 1)) if (g := padded[i : i + k]) in grams[k]]:
+                return np.mean(known, 0)
+        return np.zeros(len(model.languages))
+
+    texts = [*documents.text[:60], "zzqx unheard wörds", "½ ²", "x"]
+    got = language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        found = language_id.letters(texts[r["id"]] or "")
+        if not found:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        total = sum(logs(w) for w in found)
+        share = np.exp(total - total.max())
+        assert r["lang_pred"] == model.languages[int(np.argmax(total))] and r["score"] == pytest.approx(share.max() / share.sum(), abs=1e-4)
+
+
 def test_pipeline_rejects_unknown_languages(spark):
     rng = np.random.default_rng(5)
 
