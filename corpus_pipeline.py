@@ -22,9 +22,9 @@ SURE = 1.2
 FEW = 0.001
 
 #: Documents are near copies from a Jaccard similarity of 0.8 of their distinct five-word shingles. A pair at 0.8
-#: differs in about 39 of 256 bits, give or take 6; unrelated ones in 128, give or take 8. It is a candidate
-#: at 60 bits or fewer, and shares one of 64 patterns of 14 bits with a chance of 0.999. Candidates are compared exactly.
-NEAR = simhash.SimHash(words=5, bits=256, distance=60, drawn_masks=64, mask_bits=14, ties=True, similar=80)
+#: differs in about 39 of 256 bits (0.153), give or take 6; unrelated ones in 128, give or take 8. It is a candidate
+#: at 60 bits or fewer, and shares one of the drawn patterns with a chance of 0.999. Candidates are compared exactly.
+NEAR = simhash.SimHash(words=5, bits=256, distance=60, differ=0.153, ties=True, similar=80)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +36,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     learned = F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(True))
     model = language_id.learn(docs.where(learned))
-    found = staged(language_id.tag(docs, model, "text", "lang", learned).where(F.col("lang") != language_id.NONE), "told")
-    least = found.where("_learned").groupBy("lang").agg(F.percentile_approx("_known", F.lit(FEW), F.lit(100_000)).alias("_least"))
-    clear = (F.col("_score") >= min(1.0, SURE / max(1, len(model.languages)))) & (F.col("_known") > 0) & (F.col("_known") >= F.coalesce("_least", F.lit(0.0)))
-    return found.join(F.broadcast(least), "lang", "left").where(clear).select(*docs.columns)
+    found = staged(language_id.told(docs, model, learned).where(F.col("lang") != language_id.NONE), "told")
+    least = found.where("learned").groupBy("lang").agg(F.percentile_approx("known", F.lit(FEW), F.lit(100_000)).alias("least"))
+    clear = (F.col("score") >= min(1.0, SURE / max(1, len(model.languages)))) & (F.col("known") > 0) & (F.col("known") >= F.coalesce("least", F.lit(0.0)))
+    return found.join(F.broadcast(least), "lang", "left").where(clear).select(*(F.col("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that one epoch takes for nine tenths of the tokens, at the weights of the query ``op7``."""
-    sized = docs.withColumn("_domain", queries.domain()).withColumn("_tokens", queries.estimated_tokens())
-    weights = queries.mix(share=0.9, epochs=1)
-    named = mixing.Mix(("_domain", "lang", "source"), weights.weights, weights.share, weights.epochs, weights.seed)
-    return mixing.keep_selected(sized, named, "doc_id", "_tokens").select(*docs.columns)
+    levels = {"domain": queries.domain(), "lang": docs["lang"], "source": docs["source"]}
+    return mixing.keep_selected(docs, queries.mix(share=0.9, epochs=1), "doc_id", queries.estimated_tokens(), levels)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
