@@ -60,8 +60,9 @@ def net_positions(trades: DataFrame, catalog: DataFrame, rules: MarketRules = Ma
     wide = legs.withColumn("is_yes", yes)
     winning = F.when(F.col("winner") == "YES", F.col("yes_bought") - F.col("yes_sold")).when(F.col("winner") == "NO", F.col("no_bought") - F.col("no_sold"))
     cost, proceeds = F.col("yes_cost") + F.col("no_cost"), F.col("yes_proceeds") + F.col("no_proceeds")
+    given = [c for c in ("corr_key", "question") if c in catalog.columns]
     return wide.select(
-        "cond", "wallet", "event_group", "category", "resolved_ts", F.when(F.col("is_yes"), "YES").otherwise("NO").alias("outcome"),
+        "cond", "wallet", "event_group", "category", "resolved_ts", *given, F.when(F.col("is_yes"), "YES").otherwise("NO").alias("outcome"),
         clip(own("cost") / own("bought"), 1e-4, 0.9999).alias("entry"), own("cost").alias("gross"),
         F.greatest(F.lit(0.0), cost - proceeds).alias("stake"),
         (proceeds + F.greatest(F.lit(0.0), F.coalesce(winning, F.lit(0.0))) - cost).alias("pnl"),

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapewatch.operators.ranks import counted_ranks
+
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -59,15 +61,17 @@ def detector_lift(fired: DataFrame, rates: DataFrame, least: int = 8) -> DataFra
 
 
 def shadow_distribution(scores: DataFrame) -> DataFrame:
-    """One row: ``n, p50, p90, p95, p99, over_500`` of a score by nearest rank at floor(n p), from counted values."""
-    from pyspark.sql import Window
-
-    same = scores.where("s is not null").groupBy("s").agg(F.count("*").alias("k"))
-    ranked = same.withColumn("upto", F.sum("k").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)))
-    total = same.agg(F.sum("k").alias("n"))
-    rows = ranked.join(F.broadcast(total))
-    asked = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * q), F.col("s"))).alias(f"p{round(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)]
-    return rows.agg(F.max("n").alias("n"), *asked, F.sum(F.when(F.col("s") > 500, F.col("k")).otherwise(0)).alias("over_500"))
+    """One row: ``n, p50, p90, p95, p99, over_500`` of a score ``s`` by nearest rank at floor(n p)."""
+    rows = counted_ranks(scores, "s")
+    reach = F.col("below") + F.col("n")
+    asked = [F.min(F.when(reach > F.floor(F.col("total") * q), F.col("s"))).alias(f"p{round(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)]
+    return rows.agg(F.coalesce(F.max("total"), F.lit(0)).alias("n"), *asked, F.coalesce(F.sum(F.when(F.col("s") > 500, F.col("n")).otherwise(0)), F.lit(0)).alias("over_500"))
+
+
+def shadow_overlap(shadow: DataFrame, published: DataFrame) -> DataFrame:
+    """``tier, n, published, only_shadow``: shadow subjects (``wallet, tier``) of each tier, and how many of them are published."""
+    marked = shadow.join(published.select("wallet", F.lit(True).alias("out")).distinct(), "wallet", "left")
+    return marked.groupBy("tier").agg(F.count("*").alias("n"), F.count("out").alias("published"), F.count_if(F.col("out").isNull()).alias("only_shadow"))
 
 
 def distinct_sketch(rows: DataFrame, column: str, by: list[str], precision: int = 12) -> DataFrame:

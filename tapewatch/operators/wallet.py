@@ -11,7 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewatch.functions.stats import binomial_tail, clip, upper_median, upper_tail
+from tapewatch.functions.stats import binomial_tail, clip, upper_tail
+from tapewatch.operators.ranks import counted_ranks
 
 
 @dataclass(frozen=True)
@@ -39,18 +40,33 @@ class WalletRules:
     decoy_small: float = 200
     decoy_real: float = 10_000
     decoy_share: float = 0.3
+    split_share: float = 0.5
+    fast_cash_out_hours: float = 24
+    least_tactics: int = 2
+    fresh_days: float = 14
+    cluster_link: float = 0.80
+    outsized_usd: float = 1000
     weights: dict = field(default_factory=lambda: dict(WEIGHTS))
 
 
 #: Weight of each detector in a fused record.
 WEIGHTS = {
-    "won": 26, "crossCat": 22, "timing": 18, "concentration": 12, "conceal": 12, "repeat": 10, "conviction": 6,
-    "sizing": 5, "profitCross": 5, "longshot": 4, "held": 4, "baseline": 4,
+    "won": 26, "crossCat": 22, "timing": 18, "cluster": 18, "newsBlackout": 12, "concentration": 12, "conceal": 12, "repeat": 10, "conviction": 6, "fedRegister": 6,
+    "fresh": 5, "sizing": 5, "profitCross": 5, "longshot": 4, "held": 4, "baseline": 4,
 }
+#: What accounts say of a wallet beside its bets; null where nothing is known.
+ACCOUNT = {
+    "username": "string", "account_pnl": "double", "age_days": "double", "prior_tx": "bigint", "split_ratio": "double", "cash_out_hours": "double", "mean_link": "double",
+    "news_count": "bigint", "docs_ahead": "bigint", "has_profile": "boolean",
+}
+
 
+def records(bets: DataFrame, rules: WalletRules = WalletRules(), accounts: DataFrame | None = None) -> DataFrame:
+    """One row per wallet from its settled bets (``cross-section`` rows joined with ``shock_ts``) and its account.
 
-def records(bets: DataFrame, rules: WalletRules = WalletRules()) -> DataFrame:
-    """One row per wallet from its settled bets (``cross-section`` rows joined with ``shock_ts``)."""
+    Wins that count as independent are grouped by ``corr_key`` (by event where there is none); stakes by event.
+    A wallet has a bet a market at most, so one exchange by wallet serves all groupings.
+    """
     ls = F.col("entry") <= rules.longshot
     p = clip(F.col("entry"), 1e-6, 1 - 1e-6)
     cheap_win = ls & F.col("won") & (F.col("entry") <= rules.conviction_odds) & F.col("held")
@@ -58,6 +74,7 @@ def records(bets: DataFrame, rules: WalletRules = WalletRules()) -> DataFrame:
     timed = ls & F.col("won") & (F.col("entry") <= rules.timing_odds) & (anchor > F.col("ts"))
     hours = F.when(timed, (anchor - F.col("ts")) / 3600)
     surprising = F.col("won") & (F.col("entry") <= rules.repeat_odds)
+    staked = F.when(F.col("stake") > 0, F.col("stake"))
 
     def count(x: Column) -> Column:
         return F.count_if(x)
@@ -65,38 +82,57 @@ def records(bets: DataFrame, rules: WalletRules = WalletRules()) -> DataFrame:
     def total(when: Column, x: Column) -> Column:
         return F.coalesce(F.sum(F.when(when, x)), F.lit(0.0))
 
-    events = bets.repartition("wallet").groupBy("wallet", "event_group").agg(
-        count(ls).alias("ls_n"), count(ls & F.col("won")).alias("ls_wins"), F.avg(F.when(ls, p)).alias("ls_p"), F.sum(F.when(ls, F.col("entry"))).alias("ls_entry"),
-        count(ls & F.col("held")).alias("ls_held"), F.count("*").alias("n"), count(F.col("won")).alias("wins"), F.avg(p).alias("p"),
+    own = bets.repartition("wallet")
+    key = "corr_key" if "corr_key" in bets.columns else "event_group"
+    groups = own.groupBy("wallet", key).agg(
+        count(ls).alias("ls_n"), count(ls & F.col("won")).alias("ls_wins"), F.avg(F.when(ls, p)).alias("ls_p"), F.count("*").alias("n"), count(F.col("won")).alias("wins"),
+        F.avg(p).alias("p"), count(surprising).alias("surprises"),
+    ).groupBy("wallet").agg(
+        count(F.col("ls_n") > 0).alias("ls_groups"), count((F.col("ls_n") > 0) & (2 * F.col("ls_wins") >= F.col("ls_n"))).alias("ls_won"), F.avg("ls_p").alias("ls_p"),
+        F.count("*").alias("groups"), count(2 * F.col("wins") >= F.col("n")).alias("won_groups"), F.sum("p").alias("expected"), F.sum(F.col("p") * (1 - F.col("p"))).alias("variance"),
+        count(F.col("surprises") > 0).alias("surprising_events"),
+    )
+    events = own.groupBy("wallet", "event_group").agg(
         total(F.col("stake") > 0, F.col("stake")).alias("stake"), total((F.col("stake") > 0) & (F.col("outcome") == "YES"), F.col("stake")).alias("yes"),
-        F.collect_list(F.when(F.col("stake") > 0, F.col("stake"))).alias("stakes"), F.max("z_profit").alias("z_profit"),
-        count(cheap_win).alias("cheap"), total(cheap_win, F.col("stake")).alias("cheap_stake"),
-        total(cheap_win, F.col("stake") * clip(F.col("entry"), 1e-4, 1 - 1e-4)).alias("cheap_weighted"),
-        count(hours <= rules.timing_hours).alias("late"), F.min(hours).alias("least_hours"), count(surprising).alias("surprises"),
-        count((F.col("stake") > 0) & (F.col("stake") < rules.decoy_small)).alias("decoys"), count(F.col("stake") >= rules.decoy_real).alias("reals"),
-        F.sum("pnl").alias("pnl"), F.sum("entry").alias("entries"),
+        count(cheap_win).alias("cheap"), total(cheap_win, F.col("stake")).alias("cheap_stake"), total(cheap_win, F.col("stake") * clip(F.col("entry"), 1e-4, 1 - 1e-4)).alias("cheap_weighted"),
     )
-    ls_event = F.col("ls_n") > 0
     top = F.max_by(F.struct("cheap_stake", "cheap_weighted"), F.when(F.col("cheap") > 0, F.struct("cheap_stake", -F.col("event_group"))))
-    return events.groupBy("wallet").agg(
-        F.sum("n").alias("bets"), F.sum("wins").alias("wins"), F.sum("pnl").alias("pnl"), F.try_divide(F.sum("entries"), F.sum("n")).alias("mean_odds"),
-        F.sum("ls_n").alias("ls_bets"), F.try_divide(F.sum("ls_entry"), F.sum("ls_n")).alias("ls_mean"), F.try_divide(F.sum("ls_held"), F.sum("ls_n")).alias("ls_held"),
-        count(ls_event).alias("ls_groups"), count(ls_event & (2 * F.col("ls_wins") >= F.col("ls_n"))).alias("ls_won"), F.avg("ls_p").alias("ls_p"),
-        F.count("*").alias("groups"), count(2 * F.col("wins") >= F.col("n")).alias("won_groups"), F.sum("p").alias("expected"), F.sum(F.col("p") * (1 - F.col("p"))).alias("variance"),
-        F.max("z_profit").alias("z_profit"), top.alias("top"), F.sum("late").alias("late_wins"), F.min("least_hours").alias("least_hours"),
-        count(F.col("surprises") > 0).alias("surprising_events"), F.sum("stake").alias("staked"), F.sum("yes").alias("yes"), F.max("stake").alias("max_event"),
-        F.flatten(F.collect_list("stakes")).alias("stakes"), F.sum("decoys").alias("decoys"), F.sum("reals").alias("reals"),
-    ).withColumns({"median_stake": upper_median(F.col("stakes")), "staked_bets": F.size("stakes")}).drop("stakes")
+    events = events.groupBy("wallet").agg(top.alias("top"), F.sum("stake").alias("staked"), F.sum("yes").alias("yes"), F.max("stake").alias("max_event"))
+    facts = own.withColumn("_staked", staked).groupBy("wallet").agg(
+        F.count("*").alias("bets"), count(F.col("won")).alias("wins"), F.sum("pnl").alias("pnl"), F.try_divide(F.sum("entry"), F.count("*")).alias("mean_odds"), count(ls).alias("ls_bets"),
+        F.avg(F.when(ls, F.col("entry"))).alias("ls_mean"), F.try_divide(count(ls & F.col("held")), count(ls)).alias("ls_held"), F.sum(F.when(ls, F.col("pnl"))).alias("ls_pnl"), total(ls & (F.col("stake") > 0), F.col("stake")).alias("ls_staked"),
+        F.max("z_profit").alias("z_profit"), count(hours <= rules.timing_hours).alias("late_wins"), F.min(hours).alias("least_hours"), F.max("stake").alias("max_stake"),
+        count((F.col("stake") > 0) & (F.col("stake") < rules.decoy_small)).alias("decoys"), count(F.col("stake") >= rules.decoy_real).alias("reals"),
+        count(F.col("entry").isNull() | (F.col("entry") <= 1e-4) | (F.col("entry") >= 0.9999)).alias("bad_entries"), count(F.col("stake").isNull() | (F.col("stake") < 0)).alias("bad_stakes"), count(F.col("won").isNull()).alias("no_results"),
+        F.count("_staked").alias("staked_bets"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _staked DESC)").alias("median_stake"),
+    )
+    rows = facts.join(groups, "wallet").join(events, "wallet")
+    known = None if accounts is None else accounts.withColumn("has_profile", F.lit(True)).select("wallet", *ACCOUNT)
+    rows = rows.select("*", *(F.lit(None).cast(t).alias(c) for c, t in ACCOUNT.items())) if known is None else rows.join(known, "wallet", "left")
+    return rows.withColumn("tail", F.when(F.col("ls_groups") >= rules.least_bets, binomial_tail(F.col("ls_groups"), F.col("ls_won"), F.col("ls_p"))))
+
+
+def dominant_category(bets: DataFrame) -> DataFrame:
+    """``wallet, category, n``: the category of most of a wallet's bets; ties by name."""
+    n = bets.groupBy("wallet", F.coalesce("category", F.lit("World")).alias("category")).agg(F.count("*").alias("n"))
+    return n.groupBy("wallet").agg(F.min(F.struct((-F.col("n")).alias("m"), "category")).alias("b")).select("wallet", "b.category", (-F.col("b.m")).alias("n"))
+
+
+def cheap_screen(bets: DataFrame, longshot: float = 0.35, z: float = 2, stake: float = 2500) -> DataFrame:
+    """Bets worth storing: a long shot that won, a bet far above its peers, or a large one at long odds."""
+    low = F.col("entry") <= longshot
+    return bets.where((F.col("won") & low) | (F.col("z_bet") > z) | ((F.col("stake") >= stake) & low))
 
 
 def _scored(fires: Column, high: Column, low: Column) -> Column:
     return F.when(fires, clip(high, 0, 1)).otherwise(low)
 
 
+#: Fixed values in the formulas below: slopes, bounds and starting points of each detector's score.
 def detector_columns(r: WalletRules = WalletRules()) -> dict[str, tuple[Column, Column, Column, Column]]:
     """(has data, fires, score, measure) of each detector over a record."""
     c = F.col
-    tail = binomial_tail(c("ls_groups"), c("ls_won"), c("ls_p"))
+    tail = c("tail")
     won = clip((F.log10(F.greatest(tail, F.lit(1e-15))) + 2) / -4, 0, 1)
     z = F.try_divide(c("won_groups") - c("expected"), F.sqrt("variance"))
     cc_data = (c("bets") >= r.least_bets) & (c("groups") >= r.least_bets) & (c("variance") > 0) & (F.try_divide(c("expected"), c("groups")) > 0.35)
@@ -113,7 +149,14 @@ def detector_columns(r: WalletRules = WalletRules()) -> dict[str, tuple[Column,
     ratio = F.when(c("median_stake") > 0, F.try_divide(c("max_event"), c("median_stake"))).otherwise(0.0)
     size_fires = (ratio >= r.sizing_times) & (c("max_event") >= r.sizing_usd)
     decoy = F.when(c("reals") > 0, F.try_divide(c("decoys"), c("reals")))
-    tactics = (F.coalesce(decoy >= r.decoy_share, F.lit(False))).cast("int") + (c("wins") >= 3).cast("int")
+    nameless = F.coalesce(c("has_profile") & c("username").isNull() & (c("wins") >= 3), F.lit(False))
+    signs = (c("split_ratio") >= r.split_share, decoy >= r.decoy_share, c("cash_out_hours") <= r.fast_cash_out_hours, nameless)
+    tactics = sum((F.coalesce(x, F.lit(False)).cast("int") for x in signs), F.lit(0))
+    hidden = tactics >= r.least_tactics
+    young = (c("age_days") <= r.fresh_days) & (c("prior_tx") == 0)
+    linked = c("mean_link") >= r.cluster_link
+    quiet, outsized = c("news_count") <= 0, c("max_stake") >= r.outsized_usd
+    ahead = c("docs_ahead") >= 1
     profit = clip(c("z_profit") / 8, 0, 1)
     return {
         "won": (c("ls_groups") >= r.least_bets, tail <= r.p_notable, won, tail),
@@ -122,7 +165,11 @@ def detector_columns(r: WalletRules = WalletRules()) -> dict[str, tuple[Column,
         "held": (c("ls_bets") > 0, held_fires, _scored(held_fires, 0.4 + (c("ls_held") - 0.9) / 0.1 * 0.6, clip(0.4 * c("ls_held"), 0, 0.4)), c("ls_held")),
         "baseline": (c("ls_groups") >= r.least_bets, rate - c("ls_mean") > 0.05, clip((F.try_divide(rate, c("ls_mean")) - 1) / 4, 0, 1), rate - c("ls_mean")),
         "profitCross": (c("z_profit").isNotNull(), c("z_profit") >= 2, _scored(c("z_profit") >= 2, 0.45 + 0.55 * profit, clip(0.4 * profit, 0, 0.4)), c("z_profit")),
-        "conceal": (decoy.isNotNull() | (c("wins") >= 3), tactics >= 2, _scored(tactics >= 2, 0.4 + 0.2 * tactics, clip(0.15 * tactics, 0, 0.39)), tactics.cast("double")),
+        "conceal": (c("split_ratio").isNotNull() | decoy.isNotNull() | c("cash_out_hours").isNotNull() | nameless, hidden, _scored(hidden, 0.4 + 0.2 * tactics, clip(0.15 * tactics, 0, 0.39)), tactics.cast("double")),
+        "fresh": (c("age_days").isNotNull() & c("prior_tx").isNotNull(), young, F.when(young, clip(1 - c("age_days") / r.fresh_days, 0.5, 1)).otherwise(clip(0.3 * (1 - clip(c("age_days") / 90, 0, 1)), 0, 0.4)), c("age_days")),
+        "cluster": (c("mean_link").isNotNull(), linked, clip((c("mean_link") - 0.5) / 0.5, 0, 1), c("mean_link")),
+        "newsBlackout": (c("news_count").isNotNull(), quiet & outsized, F.when(quiet & outsized, 0.6).when(quiet, 0.3).otherwise(clip(0.2 - 0.02 * c("news_count"), 0, 0.25)), c("news_count").cast("double")),
+        "fedRegister": (c("docs_ahead").isNotNull(), ahead, F.when(ahead, clip(0.4 + 0.06 * F.least(F.lit(3), c("docs_ahead")), 0, 0.6)).otherwise(0.0), c("docs_ahead").cast("double")),
         "conviction": (stake.isNotNull(), conv_fires, _scored(conv_fires, 0.45 + 0.18 * F.log10(F.greatest(F.lit(1.0), stake / r.conviction_usd)) + (r.conviction_odds - odds), clip(stake / r.conviction_usd * 0.3, 0, 0.39)), stake),
         "timing": (c("least_hours").isNotNull(), time_fires, _scored(time_fires, 0.42 + 0.08 * F.least(F.lit(4), c("late_wins")) + (r.timing_hours - c("least_hours")) / r.timing_hours * 0.3, clip(c("late_wins") * 0.18, 0, 0.39)), c("least_hours")),
         "repeat": (c("surprising_events") >= 1, c("surprising_events") >= 2, _scored(c("surprising_events") >= 2, 0.42 + 0.16 * F.least(F.lit(4), c("surprising_events") - 1), F.lit(0.2)), c("surprising_events").cast("double")),
@@ -131,18 +178,19 @@ def detector_columns(r: WalletRules = WalletRules()) -> dict[str, tuple[Column,
     }
 
 
-def detectors(records_: DataFrame, rules: WalletRules = WalletRules()) -> DataFrame:
-    """``wallet, detector, fires, score, measure``: a row for each detector that has data."""
-    each = [F.struct(F.lit(k).alias("detector"), F.coalesce(has, F.lit(False)).alias("has"), F.coalesce(fires, F.lit(False)).alias("fires"), score.cast("double").alias("score"), measure.cast("double").alias("measure")) for k, (has, fires, score, measure) in detector_columns(rules).items()]
+def detectors(records_: DataFrame, rules: WalletRules = WalletRules(), which: tuple[str, ...] | None = None) -> DataFrame:
+    """``wallet, detector, fires, score, measure``: a row for each detector (of ``which``, or of all) that has data."""
+    each = [F.struct(F.lit(k).alias("detector"), F.coalesce(has, F.lit(False)).alias("has"), F.coalesce(fires, F.lit(False)).alias("fires"), score.cast("double").alias("score"), measure.cast("double").alias("measure")) for k, (has, fires, score, measure) in detector_columns(rules).items() if which is None or k in which]
     return records_.select("wallet", F.inline(F.filter(F.array(*each), lambda d: d["has"]))).drop("has")
 
 
-def fuse(records_: DataFrame, rules: WalletRules = WalletRules()) -> DataFrame:
+def fuse(records_: DataFrame, rules: WalletRules = WalletRules(), without: tuple[str, ...] = ("newsBlackout", "fedRegister")) -> DataFrame:
     """``wallet, tier, agreeing, n_fired, fired, p_value, p_cross, contribution``: which detectors fire and what they say together.
 
-    contribution maps a fired detector to its share of the fired weights. A projection: no exchange.
+    contribution maps a fired detector to its share of the fired weights. A projection: no exchange. News and
+    documents are looked up for flagged wallets only, so they are ``without`` the first verdict.
     """
-    columns = detector_columns(rules)
+    columns = {k: v for k, v in detector_columns(rules).items() if k not in without}
     wide = records_
     for k, (has, fires, score, measure) in columns.items():
         ok = F.coalesce(has, F.lit(False))
@@ -181,24 +229,23 @@ def episodes(bets: DataFrame, least_profit: float = 250, most_odds: float = 0.90
 def false_discovery_cut(p_values: DataFrame, q: float = 0.05, least: int = 500, ceiling: float = 0.01) -> DataFrame:
     """One row ``m, cut``: the largest p with p <= rank/m q (Benjamini-Hochberg), at most ``ceiling``; 1 if m < least.
 
-    m counts all p-values, but only those up to q are ranked, and equal ones are counted once first, so the
-    ranked rows are few. Null p-values are left out.
+    Equal p-values share the last of their ranks. Null p-values are left out.
     """
-    known = p_values.where("p is not null")
-    m = known.agg(F.count("*").alias("m"))
-    same = known.where(F.col("p") <= q).groupBy("p").agg(F.count("*").alias("n"))
-    ranked = same.withColumn("rank", F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(m))
-    found = ranked.agg(F.max(F.when(F.col("p") <= F.col("rank") / F.col("m") * q, F.col("p"))).alias("best"))
-    return m.join(F.broadcast(found)).select("m", F.when(F.col("m") < least, 1.0).otherwise(F.least(F.lit(ceiling), F.coalesce("best", F.lit(0.0)))).alias("cut"))
+    ranked = counted_ranks(p_values, "p")
+    able = (F.col("p") <= q) & (F.col("p") <= (F.col("below") + F.col("n")) / F.col("total") * q)
+    found = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("m"), F.max(F.when(able, F.col("p"))).alias("best"))
+    return found.select("m", F.when(F.col("m") < least, 1.0).otherwise(F.least(F.lit(ceiling), F.coalesce("best", F.lit(0.0)))).alias("cut"))
 
 
 def percentile(population: DataFrame, value: str, top: float = 99.999) -> DataFrame:
-    """``population`` with ``percentile``: 100 x the share of rows below, at most ``top``.
-
-    Values are counted before they are ranked; the ranks of equal values are joined back.
-    """
-    same = population.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    below = same.withColumn("_below", F.coalesce(F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = below.agg(F.sum("_n").alias("_total"))
-    ranked = below.join(F.broadcast(total)).select("_v", F.least(F.lit(top), 100 * F.col("_below") / F.col("_total")).alias("percentile"))
+    """``population`` with ``percentile``: 100 x the share of rows below, at most ``top``; null values have none."""
+    ranked = counted_ranks(population.select(F.col(value).alias("_v")), "_v")
+    ranked = ranked.select("_v", F.least(F.lit(top), 100 * F.col("below") / F.col("total")).alias("percentile"))
     return population.join(ranked, F.col(value) == F.col("_v"), "left").drop("_v")
+
+
+def rank_percentile(subjects: DataFrame, value: str) -> DataFrame:
+    """``subjects`` with ``percentile``: 100 (n-1-i)/(n-1) for the i-th from the top; equal values share the best place; 99.9 if alone."""
+    ranked = counted_ranks(subjects.select(F.col(value).alias("_v")), "_v")
+    place = F.when(F.col("total") > 1, 100 * (F.col("below") + F.col("n") - 1) / (F.col("total") - 1)).otherwise(99.9)
+    return subjects.join(ranked.select("_v", place.alias("percentile")), F.col(value) == F.col("_v"), "left").drop("_v")

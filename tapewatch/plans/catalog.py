@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewatch.operators import lifecycle, linkage, litigation, market, positions, publish, validation, wallet, watch
 from tapewatch.plans.oracle import ORACLES
-from tapewatch.sources import driver
+from tapewatch.functions import text
+from tapewatch.sources import driver, shared
 from tapewatch.streaming import trades as streams
 
 QUERIES: dict = {}
@@ -26,28 +24,24 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.select(*((F.round(F.col(c) + 1e-7, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-tapewatch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tapewatch-{uuid.uuid4().hex}"
+def _trades(spark, sf_dir):
+    """Trades, computed once: several steps of a query read them."""
+    return shared.staged(driver.trades(spark, sf_dir))
 
 
-def _positions(spark, sf_dir):
-    t = driver.trades(spark, sf_dir)
+def _positions(spark, sf_dir, trades=None):
+    t = _trades(spark, sf_dir) if trades is None else trades
     return positions.net_positions(t, driver.catalog(t))
 
 
 def _bets(spark, sf_dir):
-    t = driver.trades(spark, sf_dir)
-    p = positions.market_cross_section(positions.net_positions(t, driver.catalog(t)))
+    t = _trades(spark, sf_dir)
+    p = positions.market_cross_section(_positions(spark, sf_dir, t))
     return p.join(positions.price_shock(t).select("cond", "shock_ts"), "cond", "left")
 
 
-def _records(spark, sf_dir):
-    return wallet.records(_bets(spark, sf_dir))
+def _records(spark, sf_dir, bets=None):
+    return wallet.records(_bets(spark, sf_dir) if bets is None else bets, accounts=driver.accounts(spark, sf_dir))
 
 
 def _series(spark, sf_dir):
@@ -77,7 +71,7 @@ def surprise_markets(spark, sf_dir):
 
 def _detector(name: str, detector: str):
     def run(spark, sf_dir):
-        found = wallet.detectors(_records(spark, sf_dir)).where(F.col("detector") == detector)
+        found = wallet.detectors(_records(spark, sf_dir), which=(detector,))
         return rounded(found.select("wallet", "fires", "score", "measure"), 3)
 
     run.__name__ = name
@@ -86,7 +80,7 @@ def _detector(name: str, detector: str):
 
 for _name, _key in (
     ("binomial_tail", "won"), ("cross_category", "crossCat"), ("longshot_record", "longshot"), ("held_rate", "held"), ("baseline_lift", "baseline"), ("profit_cross", "profitCross"),
-    ("conceal", "conceal"), ("conviction", "conviction"), ("timing", "timing"), ("repeat_wins", "repeat"), ("concentration", "concentration"), ("sizing", "sizing"),
+    ("fresh_account", "fresh"), ("cluster_link", "cluster"), ("blackout_signal", "newsBlackout"), ("register_signal", "fedRegister"), ("conceal", "conceal"), ("conviction", "conviction"), ("timing", "timing"), ("repeat_wins", "repeat"), ("concentration", "concentration"), ("sizing", "sizing"),
 ):
     _detector(_name, _key)
 
@@ -101,11 +95,137 @@ def episode_score(spark, sf_dir):
     return rounded(wallet.episodes(_bets(spark, sf_dir)).select("wallet", "cond", "s", "retained", "tier"), 2)
 
 
+def _gated(spark, sf_dir):
+    """Bets, records, fused records and gated ones of one run."""
+    b = shared.staged(_bets(spark, sf_dir))
+    r = shared.staged(_records(spark, sf_dir, b))
+    f = shared.staged(wallet.fuse(r))
+    context = shared.staged(publish.record_context(f, r))
+    return b, r, f, shared.staged(publish.suspicion(publish.record_pass(context)))
+
+
+def _published(spark, sf_dir):
+    b, r, f, g = _gated(spark, sf_dir)
+    first = g.where("considered and reject_reason is null").select("wallet", F.col("shown_tier").alias("tier"), "profit", F.col("denominator").alias("measure"))
+    passes = [("record", first), ("favourite", publish.favourite_pass(f, r, b)), ("cross", publish.cross_pass(f, r, shared.staged(wallet.detectors(r)))), ("episode", publish.episode_pass(wallet.episodes(b), r))]
+    return b, r, g, publish.union_of_passes(passes)
+
+
+def _named_subjects(r):
+    """A stated list of wallets: the 25 of most profit."""
+    return r.orderBy(F.desc("pnl"), "wallet").limit(25).select("wallet")
+
+
 @query
 def publish_gate(spark, sf_dir):
-    r = _records(spark, sf_dir)
-    rows = publish.suspicion(publish.gate(wallet.fuse(r), r))
-    return rows.select("wallet", "tier", "reject_reason", F.round("suspicion", 1).alias("suspicion"), "final_tier")
+    return _gated(spark, sf_dir)[3].select("wallet", "tier", "shown_tier", "considered", "reject_reason", F.round("suspicion", 1).alias("suspicion"), "final_tier")
+
+
+@query
+def publish_passes(spark, sf_dir):
+    return rounded(_published(spark, sf_dir)[3], 3)
+
+
+@query
+def rejected_wallets(spark, sf_dir):
+    return publish.rejects(_gated(spark, sf_dir)[3])
+
+
+@query
+def scorecard(spark, sf_dir):
+    return publish.scorecard(wallet.detectors(_records(spark, sf_dir)))
+
+
+@query
+def ledger(spark, sf_dir):
+    return rounded(publish.ledger(_bets(spark, sf_dir), 14), 3)
+
+
+@query
+def feed_by_suspicion(spark, sf_dir):
+    g = _gated(spark, sf_dir)[3].where("considered and reject_reason is null")
+    rows = g.select("wallet", F.col("shown_tier").alias("tier"), "suspicion", F.col("denominator").cast("long").alias("denominator"))
+    return publish.feed_order(rows, "suspicion", most=100).withColumn("suspicion", F.round("suspicion", 1))
+
+
+@query
+def subject_report(spark, sf_dir):
+    _, r, _, g = _gated(spark, sf_dir)
+    rows = g.join(_named_subjects(r), "wallet", "left_semi")
+    return rounded(rows.select("wallet", "tier", F.array_join(F.array_sort("fired"), ",").alias("fired"), "bets", "wins", "pnl", "mean_odds", "reject_reason"), 3)
+
+
+@query
+def calibration(spark, sf_dir):
+    _, r, _, out = _published(spark, sf_dir)
+    asked = _named_subjects(r)
+    found = wallet.detectors(r.join(asked, "wallet", "left_semi")).join(out.select("wallet", F.lit(True).alias("published")), "wallet", "left")
+    return rounded(found.withColumn("published", F.coalesce("published", F.lit(False))), 3)
+
+
+@query
+def info_signals(spark, sf_dir):
+    b, r, f, g = _gated(spark, sf_dir)
+    more = publish.info_signals(g, wallet.detectors(r, which=("newsBlackout",)))
+    return publish.suspicion(more).select("wallet", "n_fired", F.round("suspicion", 1).alias("suspicion"))
+
+
+@query
+def cheap_screen(spark, sf_dir):
+    return rounded(wallet.cheap_screen(_bets(spark, sf_dir)).select("wallet", "cond", "stake", "entry"), 3)
+
+
+@query
+def dominant_category(spark, sf_dir):
+    return wallet.dominant_category(_bets(spark, sf_dir))
+
+
+@query
+def shadow_overlap(spark, sf_dir):
+    b, _, _, out = _published(spark, sf_dir)
+    return validation.shadow_overlap(wallet.episodes(b).where("tier is not null"), out)
+
+
+@query
+def episode_percentile(spark, sf_dir):
+    e = wallet.episodes(_bets(spark, sf_dir)).select("wallet", F.round("s", 2).alias("s"))
+    return rounded(wallet.rank_percentile(e, "s"), 3).withColumn("s", F.round("s", 2))
+
+
+@query
+def category_coverage(spark, sf_dir):
+    return driver.catalog(driver.trades(spark, sf_dir)).groupBy("category").agg(F.count("*").alias("markets"))
+
+
+@query
+def entities(spark, sf_dir):
+    q = F.col("question")
+    return driver.listings(spark, sf_dir).select("market", F.array_join(text.entities(q), "; ").alias("entities"), text.correlation_key(q).alias("corr_key"))
+
+
+@query
+def market_category(spark, sf_dir):
+    return driver.listings(spark, sf_dir).select("market", text.category(F.col("tags"), F.col("question")).alias("category"), text.category_fallback(F.col("question")).alias("fallback"))
+
+
+@query
+def market_taxonomy(spark, sf_dir):
+    return driver.listings(spark, sf_dir).select("market", text.classify_market(F.col("tags"), F.col("question")).alias("kind"))
+
+
+@query
+def scope_drop(spark, sf_dir):
+    c = driver.listings(spark, sf_dir).select(F.coalesce(text.category(F.col("tags"), F.col("question")), text.category_fallback(F.col("question"))).alias("category"))
+    out = F.col("category").isin("Sports", "Crypto", "Weather", "Other")
+    return c.agg(F.count_if(~out).alias("kept"), F.count_if(out).alias("dropped"))
+
+
+@query
+def texts(spark, sf_dir):
+    m = F.col("market")
+    p = 1 / (1 + m * F.lit(1.0) * m)
+    rows = driver.listings(spark, sf_dir).withColumn("p", p)
+    return rows.select("market", text.news_query(F.col("question")).alias("query"), text.money(F.col("volume") * (1 + m % 2000)).alias("volume_text"), text.one_in(F.col("p")).alias("odds_text"), text.p_text(F.col("p")).alias("p_text"), text.date_text(1_700_000_000 + m * 7777).alias("day"))
 
 
 def _asked(spark, sf_dir):
@@ -136,7 +256,7 @@ def funding_network(spark, sf_dir):
 
 @query
 def bh_cutoff(spark, sf_dir):
-    p = wallet.detectors(_records(spark, sf_dir)).where("detector = 'won'").select(F.col("measure").alias("p"))
+    p = wallet.detectors(_records(spark, sf_dir), which=("won",)).select(F.col("measure").alias("p"))
     return rounded(wallet.false_discovery_cut(p, q=0.25, least=50, ceiling=1.0), 5)
 
 
@@ -228,7 +348,7 @@ def funder_pairs(spark, sf_dir):
 @query
 def wallet_components(spark, sf_dir):
     edges = _pairs(spark, sf_dir).where("link >= 0.6").select("a", "b")
-    return linkage.components(edges, _folder(spark))
+    return linkage.components(edges, shared.folder(spark))
 
 
 @query
@@ -352,7 +472,7 @@ def watch_score(spark, sf_dir):
 @query
 def detector_lift(spark, sf_dir):
     r = _records(spark, sf_dir)
-    fired = wallet.detectors(r).where("fires").select("wallet", "detector")
+    fired = wallet.detectors(r).where("fires and detector not in ('newsBlackout', 'fedRegister')").select("wallet", "detector")
     return rounded(validation.detector_lift(fired, r.select("wallet", (F.col("wins") / F.col("bets")).alias("rate"))), 6)
 
 
@@ -380,25 +500,25 @@ def feed_profile(spark, sf_dir):
 
 @query
 def stream_bars(spark, sf_dir):
-    out = streams.collected(streams.bars(streams.events(spark, sf_dir), "1 day"), _folder(spark))
+    out = streams.collected(streams.bars(streams.events(spark, sf_dir), "1 day"), shared.folder(spark))
     return rounded(out.select("market", F.unix_timestamp("start").alias("start"), "p", "volume", "n"), 3)
 
 
 @query
 def stream_sessions(spark, sf_dir):
-    out = streams.collected(streams.sessions(streams.events(spark, sf_dir), "6 hours"), _folder(spark))
+    out = streams.collected(streams.sessions(streams.events(spark, sf_dir), "6 hours"), shared.folder(spark))
     return rounded(out.select("market", "start", "end", "n", "usd"), 3)
 
 
 @query
 def stream_watchlist(spark, sf_dir):
-    out = streams.collected(streams.watchlist(streams.events(spark, sf_dir)), _folder(spark), "update")
+    out = streams.collected(streams.watchlist(streams.events(spark, sf_dir)), shared.folder(spark), "update")
     last = out.groupBy("market").agg(F.max(F.struct("batch", "trades", "usd", "score", "status")).alias("b"))
     return rounded(last.select("market", F.col("b.trades").alias("trades"), F.col("b.usd").alias("usd"), F.col("b.score").alias("score"), F.col("b.status").alias("status")), 3)
 
 
 @query
 def stream_distinct(spark, sf_dir):
-    folder = _folder(spark)
+    folder = shared.folder(spark)
     streams.drained(streams.events(spark, sf_dir), folder, streams.merge_sketch(f"{folder}/sketches", "market"))
     return validation.merged_estimate(spark.read.schema("sketch binary").option("recursiveFileLookup", "true").parquet(f"{folder}/sketches"))

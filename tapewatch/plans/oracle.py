@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from tapewatch.functions.text import CATEGORY_RULES, EXCLUDED, FALLBACK_RULES, TAXONOMY_RULES
+from tapewatch.operators.publish import CARDS
 from tapewatch.sources.driver import SQL as VIEWS
+from tapewatch.sources.driver import sql_entities
 
 
 def _leg(o: str) -> str:
@@ -19,7 +22,7 @@ POSITIONS = f"""WITH {VIEWS}, last AS (SELECT cond, max(ts) AS last_ts FROM trad
   SELECT t.cond, t.wallet, {_leg("YES")}, {_leg("NO")}
   FROM trades t JOIN last USING (cond) GROUP BY t.cond, t.wallet
 ), wide AS (
-  SELECT l.*, c.winner, c.event_group, c.category, c.resolved_ts, yes_bought > 0 AND (no_bought <= 0 OR yes_cost > no_cost) AS is_yes
+  SELECT l.*, c.winner, c.event_group, c.category, c.resolved_ts, c.corr_key, c.question, yes_bought > 0 AND (no_bought <= 0 OR yes_cost > no_cost) AS is_yes
   FROM legs l JOIN catalog c USING (cond) WHERE yes_bought > 0 OR no_bought > 0
 ), own AS (
   SELECT *, CASE WHEN is_yes THEN 'YES' ELSE 'NO' END AS outcome, CASE WHEN is_yes THEN yes_bought ELSE no_bought END AS bought,
@@ -29,7 +32,7 @@ POSITIONS = f"""WITH {VIEWS}, last AS (SELECT cond, max(ts) AS last_ts FROM trad
     CASE WHEN winner = 'YES' THEN yes_bought - yes_sold ELSE no_bought - no_sold END AS winning
   FROM wide
 ), positions AS (
-  SELECT cond, wallet, event_group, category, resolved_ts, outcome, greatest(0.0001, least(0.9999, cost / bought)) AS entry, cost AS gross,
+  SELECT cond, wallet, event_group, category, resolved_ts, corr_key, question, outcome, greatest(0.0001, least(0.9999, cost / bought)) AS entry, cost AS gross,
     greatest(0.0, yes_cost + no_cost - yes_proceeds - no_proceeds) AS stake,
     yes_proceeds + no_proceeds + greatest(0.0, winning) - yes_cost - no_cost AS pnl, outcome = winner AS won, sold < 0.03 * bought AS held,
     CASE WHEN cost > 0 THEN greatest(0.0, least(1.0, late_cost / cost)) ELSE 0.0 END AS late,
@@ -65,26 +68,32 @@ RECORDS = (
     + f""", marked AS (
   SELECT *, entry <= 0.35 AS ls, greatest(0.000001, least(0.999999, entry)) AS p FROM bets
 ), timed AS (SELECT *, {_HOURS} AS hours, ls AND won AND entry <= 0.15 AND held AS cheap FROM marked
+), gr AS (
+  SELECT wallet, corr_key, count(*) FILTER (WHERE ls) AS ls_n, count(*) FILTER (WHERE ls AND won) AS ls_wins, avg(p) FILTER (WHERE ls) AS ls_p, count(*) AS n, count(*) FILTER (WHERE won) AS wins, avg(p) AS p,
+    count(*) FILTER (WHERE won AND entry <= 0.5) AS surprises
+  FROM timed GROUP BY wallet, corr_key
+), gw AS (
+  SELECT wallet, count(*) FILTER (WHERE ls_n > 0) AS ls_groups, count(*) FILTER (WHERE ls_n > 0 AND 2 * ls_wins >= ls_n) AS ls_won, avg(ls_p) AS ls_p, count(*) AS groups, count(*) FILTER (WHERE 2 * wins >= n) AS won_groups,
+    sum(p) AS expected, sum(p * (1 - p)) AS variance, count(*) FILTER (WHERE surprises > 0) AS surprising_events
+  FROM gr GROUP BY wallet
 ), ev AS (
-  SELECT wallet, event_group, count(*) FILTER (WHERE ls) AS ls_n, count(*) FILTER (WHERE ls AND won) AS ls_wins, avg(p) FILTER (WHERE ls) AS ls_p, sum(entry) FILTER (WHERE ls) AS ls_entry,
-    count(*) FILTER (WHERE ls AND held) AS ls_held, count(*) AS n, count(*) FILTER (WHERE won) AS wins, avg(p) AS p, sum(stake) AS stake, sum(CASE WHEN outcome = 'YES' THEN stake ELSE 0 END) AS yes,
-    max(z_profit) AS z_profit, count(*) FILTER (WHERE cheap) AS cheap, coalesce(sum(stake) FILTER (WHERE cheap), 0) AS cheap_stake,
-    coalesce(sum(stake * greatest(0.0001, least(0.9999, entry))) FILTER (WHERE cheap), 0) AS cheap_weighted, count(*) FILTER (WHERE hours <= 72) AS late, min(hours) AS least_hours,
-    count(*) FILTER (WHERE won AND entry <= 0.5) AS surprises, count(*) FILTER (WHERE stake > 0 AND stake < 200) AS decoys, count(*) FILTER (WHERE stake >= 10000) AS reals, sum(pnl) AS pnl, sum(entry) AS entries
+  SELECT wallet, event_group, sum(stake) AS stake, sum(CASE WHEN outcome = 'YES' THEN stake ELSE 0 END) AS yes, count(*) FILTER (WHERE cheap) AS cheap, coalesce(sum(stake) FILTER (WHERE cheap), 0) AS cheap_stake,
+    coalesce(sum(stake * greatest(0.0001, least(0.9999, entry))) FILTER (WHERE cheap), 0) AS cheap_weighted
   FROM timed GROUP BY wallet, event_group
 ), top AS (
   SELECT wallet, cheap_stake, cheap_weighted FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY cheap_stake DESC, event_group) AS r FROM ev WHERE cheap > 0) WHERE r = 1
+), ew AS (SELECT wallet, sum(stake) AS staked, sum(yes) AS yes, max(stake) AS max_event FROM ev GROUP BY wallet
 ), medians AS (
   SELECT wallet, list_sort(list(stake))[count(*) // 2 + 1] AS median_stake, count(*) AS staked_bets FROM timed WHERE stake > 0 GROUP BY wallet
 ), base AS (
-  SELECT wallet, CAST(sum(n) AS BIGINT) AS bets, CAST(sum(wins) AS BIGINT) AS wins, sum(pnl) AS pnl, sum(entries) / sum(n) AS mean_odds, CAST(sum(ls_n) AS BIGINT) AS ls_bets,
-    sum(ls_entry) / sum(ls_n) AS ls_mean, sum(ls_held) / sum(ls_n) AS ls_held, count(*) FILTER (WHERE ls_n > 0) AS ls_groups, count(*) FILTER (WHERE ls_n > 0 AND 2 * ls_wins >= ls_n) AS ls_won, avg(ls_p) AS ls_p,
-    count(*) AS groups, count(*) FILTER (WHERE 2 * wins >= n) AS won_groups, sum(p) AS expected, sum(p * (1 - p)) AS variance, max(z_profit) AS z_profit, CAST(sum(late) AS BIGINT) AS late_wins, min(least_hours) AS least_hours,
-    count(*) FILTER (WHERE surprises > 0) AS surprising_events, sum(stake) AS staked, sum(yes) AS yes, max(stake) AS max_event, sum(decoys) AS decoys, sum(reals) AS reals
-  FROM ev GROUP BY wallet
+  SELECT wallet, count(*) AS bets, count(*) FILTER (WHERE won) AS wins, sum(pnl) AS pnl, sum(entry) / count(*) AS mean_odds, count(*) FILTER (WHERE ls) AS ls_bets, avg(entry) FILTER (WHERE ls) AS ls_mean,
+    count(*) FILTER (WHERE ls AND held) / nullif(count(*) FILTER (WHERE ls), 0) AS ls_held, sum(pnl) FILTER (WHERE ls) AS ls_pnl, coalesce(sum(stake) FILTER (WHERE ls), 0) AS ls_staked, max(z_profit) AS z_profit,
+    count(*) FILTER (WHERE hours <= 72) AS late_wins, min(hours) AS least_hours, max(stake) AS max_stake, count(*) FILTER (WHERE stake > 0 AND stake < 200) AS decoys, count(*) FILTER (WHERE stake >= 10000) AS reals,
+    count(*) FILTER (WHERE entry <= 0.0001 OR entry >= 0.9999) AS bad_entries
+  FROM timed GROUP BY wallet
 ), records AS (
-  SELECT b.*, t.cheap_stake, t.cheap_weighted, m.median_stake, coalesce(m.staked_bets, 0) AS staked_bets
-  FROM base b LEFT JOIN top t USING (wallet) LEFT JOIN medians m USING (wallet)
+  SELECT b.*, gw.* EXCLUDE (wallet), ew.* EXCLUDE (wallet), t.cheap_stake, t.cheap_weighted, m.median_stake, coalesce(m.staked_bets, 0) AS staked_bets, ac.* EXCLUDE (wallet)
+  FROM base b JOIN gw USING (wallet) JOIN ew USING (wallet) LEFT JOIN top t USING (wallet) LEFT JOIN medians m USING (wallet) LEFT JOIN accounts ac USING (wallet)
 )"""
 )
 
@@ -96,7 +105,9 @@ def _clip(x: str, a: float = 0, b: float = 1) -> str:
 _TAIL = """CASE WHEN ls_groups < 5 THEN NULL WHEN ls_won <= 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, list_sum(list_transform(range(ls_won, ls_groups + 1),
   lambda i: exp(lgamma(ls_groups + 1) - lgamma(i + 1) - lgamma(ls_groups - i + 1) + i * ln(ls_p) + (ls_groups - i) * ln(1 - ls_p))))) END"""
 _Z = "(won_groups - expected) / sqrt(variance)"
-_DECOY = "(CASE WHEN coalesce(decoys / nullif(reals, 0), 0) >= 0.3 THEN 1 ELSE 0 END + CASE WHEN wins >= 3 THEN 1 ELSE 0 END)"
+_NAMELESS = "coalesce(has_profile AND username IS NULL AND wins >= 3, false)"
+_DECOY = f"(coalesce(split_ratio >= 0.5, false)::INT + coalesce(decoys / nullif(reals, 0) >= 0.3, false)::INT + coalesce(cash_out_hours <= 24, false)::INT + {_NAMELESS}::INT)"
+_YOUNG = "(age_days <= 14 AND prior_tx = 0)"
 _PURITY = "greatest(yes, staked - yes) / staked"
 _ODDS = _clip("cheap_weighted / nullif(cheap_stake, 0)", 0.0001, 0.9999)
 _RATIO = "(CASE WHEN median_stake > 0 THEN max_event / median_stake ELSE 0 END)"
@@ -110,7 +121,11 @@ DETECTORS = {
     "held": ("ls_bets > 0", "ls_held >= 0.9", f"CASE WHEN ls_held >= 0.9 THEN {_clip('0.4 + (ls_held - 0.9) / 0.1 * 0.6')} ELSE {_clip('0.4 * ls_held', 0, 0.4)} END", "ls_held"),
     "baseline": ("ls_groups >= 5", "ls_won / ls_groups - ls_mean > 0.05", _clip("(ls_won / ls_groups / ls_mean - 1) / 4"), "ls_won / ls_groups - ls_mean"),
     "profitCross": ("z_profit IS NOT NULL", "z_profit >= 2", f"CASE WHEN z_profit >= 2 THEN {_clip(f'0.45 + 0.55 * {_clip("z_profit / 8")}')} ELSE {_clip(f'0.4 * {_clip("z_profit / 8")}', 0, 0.4)} END", "z_profit"),
-    "conceal": ("reals > 0 OR wins >= 3", f"{_DECOY} >= 2", f"CASE WHEN {_DECOY} >= 2 THEN {_clip(f'0.4 + 0.2 * {_DECOY}')} ELSE {_clip(f'0.15 * {_DECOY}', 0, 0.39)} END", f"{_DECOY}::DOUBLE"),
+    "fresh": ("age_days IS NOT NULL AND prior_tx IS NOT NULL", _YOUNG, f"CASE WHEN {_YOUNG} THEN {_clip('1 - age_days / 14', 0.5, 1)} ELSE {_clip('0.3 * (1 - ' + _clip('age_days / 90') + ')', 0, 0.4)} END", "age_days"),
+    "cluster": ("mean_link IS NOT NULL", "mean_link >= 0.8", _clip("(mean_link - 0.5) / 0.5"), "mean_link"),
+    "newsBlackout": ("news_count IS NOT NULL", "news_count <= 0 AND max_stake >= 1000", f"CASE WHEN news_count <= 0 AND max_stake >= 1000 THEN 0.6 WHEN news_count <= 0 THEN 0.3 ELSE {_clip('0.2 - 0.02 * news_count', 0, 0.25)} END", "news_count::DOUBLE"),
+    "fedRegister": ("docs_ahead IS NOT NULL", "docs_ahead >= 1", f"CASE WHEN docs_ahead >= 1 THEN {_clip('0.4 + 0.06 * least(3, docs_ahead)', 0, 0.6)} ELSE 0.0 END", "docs_ahead::DOUBLE"),
+    "conceal": (f"split_ratio IS NOT NULL OR reals > 0 OR cash_out_hours IS NOT NULL OR {_NAMELESS}", f"{_DECOY} >= 2", f"CASE WHEN {_DECOY} >= 2 THEN {_clip(f'0.4 + 0.2 * {_DECOY}')} ELSE {_clip(f'0.15 * {_DECOY}', 0, 0.39)} END", f"{_DECOY}::DOUBLE"),
     "conviction": ("cheap_stake IS NOT NULL", f"cheap_stake >= 7500 AND {_ODDS} <= 0.15", f"CASE WHEN cheap_stake >= 7500 AND {_ODDS} <= 0.15 THEN {_clip(f'0.45 + 0.18 * log10(greatest(1.0, cheap_stake / 7500)) + (0.15 - {_ODDS})')} ELSE {_clip('cheap_stake / 7500 * 0.3', 0, 0.39)} END", "cheap_stake"),
     "timing": ("least_hours IS NOT NULL", "late_wins >= 1 AND least_hours <= 72", f"CASE WHEN late_wins >= 1 AND least_hours <= 72 THEN {_clip('0.42 + 0.08 * least(4, late_wins) + (72 - least_hours) / 72 * 0.3')} ELSE {_clip('late_wins * 0.18', 0, 0.39)} END", "least_hours"),
     "repeat": ("surprising_events >= 1", "surprising_events >= 2", f"CASE WHEN surprising_events >= 2 THEN {_clip('0.42 + 0.16 * least(4, surprising_events - 1)')} ELSE 0.2 END", "surprising_events::DOUBLE"),
@@ -119,7 +134,7 @@ DETECTORS = {
 }
 NAMES = {
     "binomial_tail": "won", "cross_category": "crossCat", "longshot_record": "longshot", "held_rate": "held", "baseline_lift": "baseline", "profit_cross": "profitCross",
-    "conceal": "conceal", "conviction": "conviction", "timing": "timing", "repeat_wins": "repeat", "concentration": "concentration", "sizing": "sizing",
+    "fresh_account": "fresh", "cluster_link": "cluster", "blackout_signal": "newsBlackout", "register_signal": "fedRegister", "conceal": "conceal", "conviction": "conviction", "timing": "timing", "repeat_wins": "repeat", "concentration": "concentration", "sizing": "sizing",
 }
 
 
@@ -128,6 +143,10 @@ def _detector(key: str) -> str:
     return f"SELECT wallet, coalesce({fires}, false) AS fires, score, measure FROM (SELECT *, CAST({score} AS DOUBLE) AS score, CAST({measure} AS DOUBLE) AS measure FROM records WHERE {has})"
 
 
+def _rules(rules, text: str) -> str:
+    return " ".join(f"WHEN regexp_matches({text}, '{pattern}') THEN '{name}'" for name, pattern in rules)
+
+
 def _r(*columns: str, digits: int = 3) -> str:
     return ", ".join(f"round(CAST({c} AS DOUBLE) + 0.0000001::DOUBLE, {digits}) + 0.0::DOUBLE AS {c.split('.')[-1]}" for c in columns)
 
@@ -137,7 +156,7 @@ def _named(key: str) -> str:
     return f"{RECORDS} SELECT wallet, fires, {_r('score', 'measure')} FROM ({_detector(key)})"
 
 
-_LONG = " UNION ALL ".join(f"SELECT wallet, '{k}' AS detector, fires, score, measure FROM ({_detector(k)})" for k in DETECTORS)
+_LONG = " UNION ALL ".join(f"SELECT wallet, '{k}' AS detector, fires, score, measure FROM ({_detector(k)})" for k in DETECTORS if k not in ("newsBlackout", "fedRegister"))
 _TIER = """CASE WHEN agreeing >= 2 AND p <= 0.000001 THEN 'extreme' WHEN agreeing >= 2 AND p <= 0.0001 THEN 'high' WHEN agreeing >= 2 AND pc <= 0.0001 THEN 'high'
   WHEN agreeing >= 2 AND conv THEN 'high' WHEN n_fired > 0 AND (p IS NULL OR p <= 0.01 OR pc <= 0.01) THEN 'notable' ELSE 'unflagged' END"""
 
@@ -261,6 +280,79 @@ WATCH = FUSED + f""", flagged AS (SELECT wallet FROM (SELECT wallet, {_TIER} AS
 ), w4 AS (SELECT *, 20 * outsized::INTEGER + conviction + 30 * repeat::INTEGER + 15 * fresh::INTEGER AS raw FROM w3
 ), watch AS (SELECT *, greatest(0, CASE WHEN price >= 0.95 THEN least(15, raw) ELSE raw END) AS score FROM w4)"""
 
+_CONTEXT = FUSED + f""", cx AS (
+  SELECT f.*, {_TIER} AS tier, r.* EXCLUDE (wallet), coalesce(f.p <= 0.01, false) AS improbable, cheap_weighted / nullif(cheap_stake, 0) AS odds FROM fused f JOIN records r USING (wallet)
+), cy AS (
+  SELECT *, CASE WHEN p IS NOT NULL THEN ls_groups ELSE ls_bets END AS shown_n, ls_won AS shown_k, floor(100 * coalesce(CASE WHEN p IS NOT NULL THEN ls_p END, odds, ls_mean, 0) + 0.5) AS implied, coalesce(ls_pnl, 0) AS profit,
+    CASE WHEN improbable THEN floor(1 / greatest(p, 1e-15) + 0.5) WHEN odds > 0 THEN floor(1 / odds + 0.5) ELSE 0 END AS denominator, CASE tier WHEN 'extreme' THEN 'extreme' WHEN 'high' THEN 'elevated' WHEN 'notable' THEN 'watch' END AS t0 FROM cx
+), cz AS (SELECT *, CASE WHEN shown_n > 0 THEN floor(100 * ls_won / shown_n + 0.5) ELSE 0 END AS rate, CASE WHEN t0 = 'extreme' AND profit > 0 AND profit < 25000 THEN 'elevated' ELSE t0 END AS t1 FROM cy
+), context AS (SELECT *, CASE WHEN t1 IN ('extreme', 'elevated') AND profit > 0 AND profit < 10000 THEN 'watch' ELSE t1 END AS shown_tier, ',' || fired || ',' AS f2 FROM cz
+), gated AS (
+  SELECT *, coalesce(shown_tier IS NOT NULL AND (improbable OR conv) AND greatest(ls_staked, coalesce(cheap_stake, 0)) >= CASE WHEN tier IN ('extreme', 'high') THEN 1250 ELSE 2500 END, false) AS considered,
+    CASE WHEN shown_tier IS NULL THEN 'no tier' WHEN NOT shown_n >= 1 THEN 'n<1' WHEN NOT shown_k BETWEEN 0 AND shown_n THEN 'k out of range' WHEN NOT implied BETWEEN 1 AND 99 THEN 'avgImplied out of range'
+      WHEN NOT rate BETWEEN 0 AND 100 THEN 'winRate out of range' WHEN NOT denominator >= 1 THEN 'improbDenom invalid' WHEN profit <= 0 THEN 'net unprofitable' WHEN account_pnl <= 0 THEN 'account net-negative'
+      WHEN profit < 2500 THEN 'below net-profit floor' WHEN bad_entries > 0 THEN 'bad entryPrice' WHEN NOT improbable AND NOT (conv AND cheap_stake > 0) THEN 'convOnly without a valid conviction bet' END AS reject_reason,
+    0.40::DOUBLE * coalesce(least(1.0::DOUBLE, -log10(greatest(coalesce(p, pc), 1e-15)) / 12), 0) + 0.28::DOUBLE * least(1.0::DOUBLE, n_fired / 9) + 0.08::DOUBLE * (contains(f2, ',timing,') OR contains(f2, ',crossCat,'))::INT
+      + 0.12::DOUBLE * least(1.0::DOUBLE, log10(greatest(abs(profit), 1.0)) / 6) + 0.12::DOUBLE * (contains(f2, ',conceal,') OR contains(f2, ',cluster,') OR (contains(f2, ',conviction,') AND contains(f2, ',concentration,')))::INT AS raw FROM context
+), scored AS (SELECT *, floor(raw * 1000 + 0.5 + 1e-7) / 10 AS suspicion FROM gated
+), eps AS (
+  SELECT wallet, cond, s, pnl AS profit, CASE WHEN s >= 1110 THEN 'extreme' WHEN s >= 810 THEN 'high' WHEN s >= 530 THEN 'notable' END AS tier FROM (
+    SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY s DESC, cond) AS r FROM (
+      SELECT b.*, 30 * z_profit + 25 * z_bet + 20 * CASE WHEN sd > 0 THEN (stake - m) / sd ELSE 0 END + 15 * late + 10 * directional AS s, CASE WHEN sd > 0 THEN (stake - m) / sd ELSE 0 END AS zw
+      FROM bets b LEFT JOIN (SELECT wallet, avg(stake) AS m, stddev_samp(stake) AS sd FROM bets WHERE stake > 0 GROUP BY wallet) USING (wallet) WHERE z_bet IS NOT NULL AND pnl >= 250 AND entry <= 0.9) WHERE (z_bet > 2 OR zw > 2) AND won AND z_profit > 0) WHERE r = 1
+), favb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY z_profit DESC, cond) AS r FROM bets WHERE z_profit >= 2) WHERE r = 1
+), fav AS (
+  SELECT wallet, CASE WHEN b.pnl >= 10000 THEN CASE WHEN b.z_profit >= 4 AND st >= 2 THEN 'extreme' WHEN b.z_profit >= 3 OR st >= 2 THEN 'elevated' ELSE 'watch' END ELSE 'watch' END AS tier, x.pnl AS profit, b.z_profit AS measure
+  FROM (SELECT *, contains(f2, ',conceal,')::INT + contains(f2, ',cluster,')::INT AS st FROM context) x JOIN favb b USING (wallet)
+  WHERE b.won AND b.entry > 0 AND b.entry <= 0.9 AND (b.z_bet >= 2 OR contains(f2, ',sizing,')) AND greatest(b.stake, abs(b.pnl)) >= 2500 AND x.pnl >= 5000 AND st >= 1 AND account_pnl >= 1000
+), cro AS (
+  SELECT x.wallet, CASE WHEN pc <= 0.0001 THEN 'elevated' ELSE 'watch' END AS tier, pnl AS profit, pc AS measure FROM context x
+  JOIN (SELECT wallet, count(*) AS agree FROM long WHERE fires AND score >= 0.45 AND detector <> 'crossCat' GROUP BY wallet) USING (wallet)
+  WHERE contains(f2, ',crossCat,') AND agree >= 2 AND pnl >= 2500 AND greatest(staked, max_event) >= 2500 AND (account_pnl IS NULL OR account_pnl > 0)
+), epi AS (
+  SELECT wallet, CASE e.tier WHEN 'extreme' THEN 'extreme' ELSE 'elevated' END AS tier, e.profit, e.s AS measure FROM eps e JOIN records USING (wallet)
+  WHERE e.tier IN ('high', 'extreme') AND account_pnl >= 1000 AND e.profit >= 1000 AND e.profit <= greatest(50000.0, 5 * account_pnl)
+), every AS (
+  SELECT wallet, 0 AS rank, 'record' AS pass, shown_tier AS tier, profit, denominator AS measure FROM gated WHERE considered AND reject_reason IS NULL
+  UNION ALL SELECT wallet, 1, 'favourite', tier, profit, measure FROM fav UNION ALL SELECT wallet, 2, 'cross', tier, profit, measure FROM cro UNION ALL SELECT wallet, 3, 'episode', tier, profit, measure FROM epi
+), published AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY rank) AS r FROM every) WHERE r = 1)"""
+_CARD_SQL = " ".join(f"WHEN '{k}' THEN printf('{m[1]}', measure + 1e-7)" for k, m in CARDS.items())
+_METHOD_SQL = " ".join(f"WHEN '{k}' THEN '{m[0].replace(chr(39), chr(39) * 2)}'" for k, m in CARDS.items())
+_EVERY_DETECTOR = " UNION ALL ".join(f"SELECT wallet, '{k}' AS detector, fires, score, measure FROM ({_detector(k)})" for k in DETECTORS)
+_ASKED = "(SELECT wallet FROM records ORDER BY pnl DESC, wallet LIMIT 25)"
+_PUBLISHED = {
+    "publish_gate": f"{_CONTEXT} SELECT wallet, tier, shown_tier, considered, reject_reason, round(suspicion, 1) AS suspicion, CASE WHEN suspicion >= 45 AND profit >= 10000 THEN 'elevated' ELSE 'watch' END AS final_tier FROM scored",
+    "publish_passes": f"{_CONTEXT} SELECT wallet, pass, tier, {_r('profit', 'measure')} FROM published",
+    "rejected_wallets": f"{_CONTEXT} SELECT wallet, tier, reject_reason FROM gated WHERE considered AND reject_reason IS NOT NULL ORDER BY wallet LIMIT 500",
+    "scorecard": f"{RECORDS} SELECT wallet, detector, CASE detector {_METHOD_SQL} END AS method, CASE detector {_CARD_SQL} END AS metric FROM ({_EVERY_DETECTOR}) WHERE fires",
+    "ledger": f"{BETS} SELECT wallet, r AS place, cond, floor(100 * entry + 0.5)::BIGINT AS odds, {_r('stake')}, round(pnl + 0.0000001, 3) AS profit, won FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY stake DESC, cond) AS r FROM bets) WHERE r <= 14",
+    "feed_by_suspicion": f"{_CONTEXT} SELECT wallet, shown_tier AS tier, round(suspicion, 1) AS suspicion, denominator::BIGINT AS denominator FROM scored WHERE considered AND reject_reason IS NULL ORDER BY scored.suspicion DESC, scored.denominator DESC, wallet LIMIT 100",
+    "subject_report": f"{_CONTEXT}, asked AS {_ASKED} SELECT wallet, tier, fired, bets, wins, {_r('pnl', 'mean_odds')}, reject_reason FROM gated SEMI JOIN asked USING (wallet)",
+    "calibration": f"{_CONTEXT}, asked AS {_ASKED} SELECT wallet, detector, fires, {_r('score', 'measure')}, wallet IN (SELECT wallet FROM published) AS published FROM ({_EVERY_DETECTOR}) SEMI JOIN asked USING (wallet)",
+    "info_signals": f"""{_CONTEXT}, nb AS (SELECT wallet FROM ({_detector('newsBlackout')}) WHERE fires), y AS (SELECT g.*, n.wallet IS NOT NULL AS quiet FROM gated g LEFT JOIN nb n USING (wallet))
+      SELECT wallet, n_fired + quiet::INT AS n_fired, round(floor((raw + 0.28::DOUBLE * (least(1.0::DOUBLE, (n_fired + quiet::INT) / 9) - least(1.0::DOUBLE, n_fired / 9)) + CASE WHEN quiet AND NOT (contains(f2, ',timing,') OR contains(f2, ',crossCat,')) THEN 0.08::DOUBLE ELSE 0 END) * 1000 + 0.5 + 1e-7) / 10, 1) AS suspicion FROM y""",
+    "cheap_screen": f"{BETS} SELECT wallet, cond, {_r('stake', 'entry')} FROM bets WHERE (won AND entry <= 0.35) OR z_bet > 2 OR (stake >= 2500 AND entry <= 0.35)",
+    "dominant_category": f"{BETS} SELECT wallet, category, n FROM (SELECT wallet, category, count(*) AS n, row_number() OVER (PARTITION BY wallet ORDER BY count(*) DESC, category) AS r FROM bets GROUP BY wallet, category) WHERE r = 1",
+    "shadow_overlap": f"{_CONTEXT} SELECT tier, count(*) AS n, count(*) FILTER (WHERE wallet IN (SELECT wallet FROM published)) AS published, count(*) FILTER (WHERE wallet NOT IN (SELECT wallet FROM published)) AS only_shadow FROM eps WHERE tier IS NOT NULL GROUP BY tier",
+    "episode_percentile": f"{_CONTEXT}, e AS (SELECT wallet, round(s, 2) AS s FROM eps) SELECT wallet, s, round(CASE WHEN count(*) OVER () > 1 THEN 100 * (count(*) OVER () - rank() OVER (ORDER BY s DESC)) / (count(*) OVER () - 1) ELSE 99.9 END + 1e-7, 3) AS percentile FROM e",
+    "category_coverage": f"{V}, w AS (SELECT DISTINCT cond FROM trades) SELECT category, count(*) AS markets FROM catalog SEMI JOIN w USING (cond) GROUP BY category",
+    "entities": f"{V}, {sql_entities('listings', 'named2', 'market')} SELECT market, array_to_string(ents, '; ') AS entities, corr AS corr_key FROM named2",
+    "market_category": f"{V}, l AS (SELECT market, question, lower(array_to_string(tags, ' ') || ' ' || question) AS t, lower(question) AS q FROM listings) SELECT market, nullif(CASE {_rules(CATEGORY_RULES, 't')} ELSE '' END, '') AS category, CASE {_rules(FALLBACK_RULES, 'q')} ELSE 'Other' END AS fallback FROM l",
+    "market_taxonomy": f"""{V}, l AS (SELECT market, question, unnest(tags) AS tag, generate_subscripts(tags, 1) AS i FROM listings), k AS (SELECT market, i, CASE {_rules(TAXONOMY_RULES, 'lower(tag)')} END AS kind FROM l
+      ), m AS (SELECT market, arg_min(kind, i) FILTER (WHERE kind NOT IN {EXCLUDED}) AS detectable, count(kind) AS kinds FROM k GROUP BY market), a AS (SELECT market, CASE {_rules(TAXONOMY_RULES, 'lower(question)')} END AS asked FROM listings)
+      SELECT market, CASE WHEN detectable IS NOT NULL THEN detectable WHEN kinds > 0 THEN NULL WHEN asked NOT IN {EXCLUDED} THEN asked END AS kind FROM m JOIN a USING (market)""",
+    "scope_drop": f"""{V}, l AS (SELECT market, lower(array_to_string(tags, ' ') || ' ' || question) AS t, lower(question) AS q FROM listings), c AS (SELECT market, coalesce(nullif(CASE {_rules(CATEGORY_RULES, 't')} ELSE '' END, ''), CASE {_rules(FALLBACK_RULES, 'q')} ELSE 'Other' END) AS category FROM l)
+      SELECT count(*) FILTER (WHERE category NOT IN ('Sports', 'Crypto', 'Weather', 'Other')) AS kept, count(*) FILTER (WHERE category IN ('Sports', 'Crypto', 'Weather', 'Other')) AS dropped FROM c""",
+    "texts": f"""{V} SELECT market, trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(question, '[?]+', ' ', 'g')), '^(will|does|is|are|can|did|has|have|the|a|an)\\s+', '', 'i'),
+        '\\s+(by|in|before|on|this|next)\\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|q[1-4]|20[0-9][0-9]|[0-9]).*$', '', 'i'), '\\s+', ' ', 'g')) AS query,
+        '$' || CASE WHEN v >= 1e6 THEN regexp_replace(printf('%.1f', floor(v / 1e6 * 10 + 0.5) / 10), '\\.0$', '') || 'M' WHEN v >= 1e3 THEN floor(v / 1e3 + 0.5)::BIGINT || 'K' ELSE v::BIGINT::VARCHAR END AS volume_text,
+        '1 in ' || CASE WHEN d >= 1e6 THEN regexp_replace(printf('%.1f', floor(d / 1e6 * 10 + 0.5) / 10), '\\.0$', '') || 'M' WHEN d >= 1e3 THEN regexp_replace(printf('%.1f', floor(d / 1e3 * 10 + 0.5) / 10), '\\.0$', '') || 'K' ELSE d::BIGINT::VARCHAR END AS odds_text,
+        CASE WHEN p < 1e-6 THEN 'p < 1e-6' WHEN p < 1e-4 THEN 'p < 1e-4' WHEN p < 0.001 THEN 'p < 0.001' WHEN p < 0.01 THEN 'p < 0.01' WHEN p < 0.05 THEN 'p < 0.05' ELSE printf('p = %.2f (not significant)', p) END AS p_text,
+        strftime(make_timestamp((1700000000 + market * 7777) * 1000000), '%b %d %Y') AS day
+      FROM (SELECT *, floor(volume * (1 + market % 2000) + 0.5) AS v, 1 / (1 + market * 1.0::DOUBLE * market) AS p, floor(1 / (1 / (1 + market * 1.0::DOUBLE * market)) + 0.5) AS d FROM listings)""",
+}
+
+
 ORACLES: dict[str, str] = {
     "net_positions": f"{POSITIONS} SELECT cond, wallet, outcome, won, held, ts, {_r('entry', 'gross', 'stake', 'pnl', 'late', 'directional')} FROM positions",
     "market_cross_section": f"{BETS} SELECT cond, wallet, buyers, {_r('z_bet', 'z_profit')} FROM crossed WHERE z_profit IS NOT NULL",
@@ -271,13 +363,7 @@ ORACLES: dict[str, str] = {
       ORDER BY s.surprise * log10(greatest(10.0, s.top_stake)) DESC, cond LIMIT 400""",
     **{name: _named(key) for name, key in NAMES.items()},
     "fuse_tier": f"{FUSED} SELECT wallet, {_TIER} AS tier, CAST(agreeing AS INTEGER) AS agreeing, CAST(n_fired AS INTEGER) AS n_fired, fired FROM fused",
-    "publish_gate": f"""{FUSED}, g AS (SELECT f.*, {_TIER} AS tier, pnl, max_event FROM fused f JOIN records USING (wallet)
-      ), x AS (SELECT *, least(1.0::DOUBLE, -log10(greatest(coalesce(p, pc), 1e-15)) / 12) AS imp, ',' || fired || ',' AS f2 FROM g
-      ), y AS (SELECT *, 0.40::DOUBLE * coalesce(imp, 0) + 0.28::DOUBLE * least(1.0::DOUBLE, n_fired / 9) + 0.08::DOUBLE * (contains(f2, ',timing,') OR contains(f2, ',crossCat,'))::INT
-        + 0.12::DOUBLE * least(1.0::DOUBLE, log10(greatest(abs(pnl), 1.0)) / 6) + 0.12::DOUBLE * (contains(f2, ',conceal,') OR (contains(f2, ',conviction,') AND contains(f2, ',concentration,')))::INT AS total FROM x
-      ), z AS (SELECT *, floor(total * 1000 + 0.5 + 1e-7) / 10 AS s FROM y)
-      SELECT wallet, tier, CASE WHEN tier = 'unflagged' THEN 'not flagged' WHEN NOT (coalesce(p <= 0.01, false) OR conv) THEN 'record not improbable' WHEN max_event < 2500 THEN 'not material'
-        WHEN pnl <= 0 THEN 'no profit' WHEN pnl < 2500 THEN 'small profit' END AS reject_reason, round(s, 1) AS suspicion, CASE WHEN s >= 45 AND pnl >= 10000 THEN 'elevated' ELSE 'watch' END AS final_tier FROM z""",
+    **_PUBLISHED,
     "news_blackout": """WITH e AS (SELECT user_id % 20 AS entity, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id, event_type, value FROM events
       ), n AS (SELECT b.event_id, count(x.ts) AS n, any_value(b.value) AS stake FROM e b LEFT JOIN e x ON x.event_type = 'error' AND x.entity = b.entity AND x.ts BETWEEN b.ts - 21600 AND b.ts WHERE b.event_type = 'purchase' GROUP BY b.event_id)
       SELECT event_id AS bet_id, n, n = 0 AS blackout, CAST(round(CASE WHEN n = 0 AND stake >= 20 THEN 0.6 WHEN n = 0 THEN 0.3 ELSE greatest(0.0, least(0.25, 0.2 - 0.02 * n)) END, 4) AS DOUBLE) AS score FROM n""",
