@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewatch.functions import text as texts
+from tapewatch.functions.text import caption
+
 #: Suit codes, and words that name a regulator, an exchange or a state as a party.
 SUITS = ("850", "950")
 REGULATORS = (
@@ -52,12 +55,6 @@ def slug(text: Column, words: int = 6) -> Column:
     return F.when(stem == "", "matter").otherwise(stem)
 
 
-def caption(name: Column) -> Column:
-    """White space and versus tokens made even; captions in capitals get title case."""
-    even = F.regexp_replace(F.trim(F.regexp_replace(name, r"\s+", " ")), r"(?i)\s+vs?\.?\s+", " v. ")
-    return F.when(even == F.upper(even), F.regexp_replace(F.initcap(even), " V\\. ", " v. ")).otherwise(even)
-
-
 def matter_id(name: Column, docket_id: Column) -> Column:
     return F.concat(slug(caption(name)), F.lit("-cl"), docket_id.cast("string"))
 
@@ -88,7 +85,7 @@ def refresh(matters: DataFrame, status: DataFrame, today: str) -> DataFrame:
     ``status``: ``id, last_filing, modified, terminated``. Dates after ``today`` count as today.
     """
     day = F.lit(today).cast("date")
-    clamp = lambda c: F.least(F.col(c), day)
+    clamp = lambda c: F.when(F.col(c).isNotNull(), F.least(F.col(c), day))
     joined = matters.join(status, "id")
     newest = F.greatest("filed_date", clamp("last_filing"), clamp("modified"))
     moved = newest.isNotNull() & (F.col("last_update").isNull() | (newest > F.col("last_update")) | (F.col("last_update") > day))
@@ -147,16 +144,122 @@ def search(matters: DataFrame, text: str = "", facets: dict[str, list[str]] | No
     return found
 
 
+#: Points for what a matter has in common with a scenario; a state counts twice in the vote.
+ANALOG = {"contract": 3, "forum": 3, "state": 2, "gate": 2}
+
+
 def analog_votes(scenarios: DataFrame, matters: DataFrame) -> DataFrame:
     """``scenario, matches, predicted``: matters scored against each scenario (contract 3, forum 3, state 2, gate 2).
 
-    Scenarios are few and broadcast (a stated question set against all matters); votes of decided matters
-    are summed by score, 2 more in the scenario's own state; ties by name.
+    Matters are counted by what is scored first, and scenarios meet those counts by each value they share, so no pair
+    without points is made. Votes of decided matters are summed by score, 2 more in the scenario's own state; ties by name.
     """
-    s = F.broadcast(scenarios.select(*(F.col(c).alias(f"s_{c}") for c in scenarios.columns)))
-    own = F.array_contains("states", F.col("s_state"))
-    score = 3 * (F.col("contract") == F.col("s_contract")).cast("int") + 3 * (F.col("forum") == F.col("s_forum")).cast("int") + 2 * own.cast("int") + 2 * (F.col("gate") == F.col("s_gate")).cast("int")
-    cells = matters.join(s).withColumn("score", score).withColumn("bonus", 2 * own.cast("int")).where("score > 0")
-    per = cells.groupBy(F.col("s_scenario").alias("scenario"), "outcome").agg(F.count("*").alias("n"), F.sum(F.col("score") + F.col("bonus")).alias("votes"))
+    keyed = matters.select("contract", "forum", "gate", "outcome", F.array_sort(F.array_distinct("states")).alias("states"))
+    kinds = keyed.groupBy(*keyed.columns).agg(F.count("*").alias("n")).withColumn("kind", F.xxhash64("contract", "forum", "gate", "outcome", "states"))
+    values = [("contract", F.array("contract")), ("forum", F.array("forum")), ("gate", F.array("gate")), ("state", F.col("states"))]
+
+    def tagged(kind: str, column: Column) -> Column:
+        return F.transform(column, lambda x: F.struct(F.lit(kind).alias("what"), x.alias("value")))
+
+    have = kinds.select("kind", "outcome", "n", F.explode(F.concat(*(tagged(k, v) for k, v in values))).alias("h"))
+    asked = scenarios.select("scenario", F.explode(F.array(*(F.struct(F.lit(k).alias("what"), F.col(k).alias("value")) for k in ANALOG))).alias("h"))
+    points = F.create_map(*(F.lit(x) for pair in ANALOG.items() for x in pair))
+    met = have.join(asked, "h").groupBy("scenario", "kind", "outcome", "n").agg(F.sum(points[F.col("h.what")] + F.when(F.col("h.what") == "state", 2).otherwise(0)).alias("votes"))
+    per = met.groupBy("scenario", "outcome").agg(F.sum("n").alias("n"), F.sum(F.col("votes") * F.col("n")).alias("votes"))
     best = per.groupBy("scenario").agg(F.sum("n").alias("matches"), F.min(F.when(F.col("outcome").isin(*DECIDED), F.struct((-F.col("votes")).alias("v"), F.col("outcome").alias("o")))).alias("b"))
     return best.select("scenario", "matches", F.coalesce("b.o", F.lit("Unsettled")).alias("predicted"))
+
+
+def tilt(matters: DataFrame, rows: str, columns: str) -> DataFrame:
+    """Counts of each cell, and which way its decided matters lean: permitted, enjoined or even."""
+    found = matters.groupBy(rows, columns).agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "Permitted").alias("permitted"), F.count_if(F.col("outcome") == "Enjoined").alias("enjoined"))
+    return found.withColumn("tilt", F.when(F.col("permitted") > F.col("enjoined"), "permitted").when(F.col("permitted") < F.col("enjoined"), "enjoined").otherwise("even"))
+
+
+def entity_edges(matters: DataFrame) -> DataFrame:
+    """``platform, forum, outcome, n``: edges of the entity graph by outcome."""
+    return matters.groupBy("platform", "forum", "outcome").agg(F.count("*").alias("n"))
+
+
+def doctrine_flow(matters: DataFrame, known: tuple[str, ...]) -> DataFrame:
+    """``gate, place, id, outcome``: matters of each gate (unknown ones are special) by outcome, then caption and id."""
+    gate = F.when(F.col("gate").isin(*known), F.col("gate")).otherwise("special")
+    rank = F.create_map(*(F.lit(x) for k, o in enumerate((*DECIDED, "Pending")) for x in (o, k)))
+    w = Window.partitionBy("gate").orderBy(F.coalesce(rank[F.col("outcome")], F.lit(9)), "caption", "id", "filed_date")
+    return matters.withColumn("gate", gate).withColumn("place", F.row_number().over(w)).select("gate", "place", "id", "outcome")
+
+
+#: What a person must fill in for a draft, and what may stay a stub.
+JUDGED = ("contractType", "gate", "doctrinalQuestion", "posture", "statutes", "summary")
+STUBS = ("summary", "parties.role", "statutes", "doctrinalQuestion")
+
+
+def drafts(dockets: DataFrame, courts: DataFrame, day: str) -> DataFrame:
+    """``id, caption, platform, court, forum, states, filed_date, decided_date, summary, needs_review`` of classified dockets.
+
+    ``courts``: ``court_id, state, label``, a dimension. Only what the docket itself says is filled in; all else is named in ``needs_review``.
+    """
+    rows = dockets.join(courts, "court_id", "left")
+    name, known = caption(F.col("case_name")), F.col("label").isNotNull()
+    label = F.coalesce("label", F.lower("court_id"), F.lit(""))
+    review = F.concat(
+        F.when(F.coalesce("platform", F.lit("")) == "", F.array(F.lit("platform"))).otherwise(F.array().cast("array<string>")), F.array(*map(F.lit, JUDGED)),
+        F.when(known, F.array().cast("array<string>")).otherwise(F.array(*map(F.lit, ("courtForum", "forum", "states")))),
+        F.when(F.size(F.coalesce("party", F.array().cast("array<string>"))) > 0, F.array(F.lit("parties.role"))).otherwise(F.array().cast("array<string>")),
+    )
+    states = F.when(F.coalesce("state", F.lit("")) != "", F.array("state")).otherwise(F.array().cast("array<string>"))
+    return rows.select(
+        matter_id(F.col("case_name"), F.col("docket_id")).alias("id"), name.alias("caption"), F.when(F.coalesce("platform", F.lit("")) == "", "Other").otherwise(F.col("platform")).alias("platform"), label.alias("court"),
+        F.lit("Federal court").alias("forum"), states.alias("states"), F.col("filed").alias("filed_date"), F.col("terminated").alias("decided_date"), texts.stub_summary(label, F.col("number"), F.col("filed"), F.lit(day)).alias("summary"), review.alias("needs_review"),
+    )
+
+
+def approved(drafts_: DataFrame, allow_stub: bool = False) -> DataFrame:
+    """Drafts that may be published: what is left to review is a stub at most."""
+    return drafts_ if allow_stub else drafts_.where(F.forall("needs_review", lambda g: g.isin(*STUBS)))
+
+
+def applied(matters: DataFrame, refreshed: DataFrame) -> DataFrame:
+    """``matters`` with the two dates that a refresh (``id, last_update, decided_date``) may set; all that a person wrote stays."""
+    new = refreshed.select(F.col("id").alias("_id"), F.col("last_update").alias("_last"), F.col("decided_date").alias("_decided"))
+    rows = matters.join(new, matters["id"] == new["_id"], "left")
+    return rows.withColumns({"last_update": F.coalesce("_last", "last_update"), "decided_date": F.coalesce("decided_date", "_decided")}).drop("_id", "_last", "_decided")
+
+
+def press_rows(items: DataFrame) -> DataFrame:
+    """``section, d, actors, sum, src, status, colour`` of press items (``title, link, day, description``) that are in scope."""
+    body = F.concat_ws(" ", "title", "description")
+    enforced, paid = texts.has_any(body, texts.ENFORCEMENT), texts.has_any(body, ("settl", "penalt"))
+    rows = items.where(texts.has_any(body, texts.SCOPE))
+    return rows.select(
+        F.when(enforced, "enforcement").otherwise("regulatory").alias("section"), F.col("day").alias("d"), texts.actors(F.col("title")).alias("actors"), texts.cut_text(F.col("title"), 150).alias("sum"), F.col("link").alias("src"),
+        F.when(~enforced, "Regulatory").when(paid, "Settled/penalty").otherwise("Charged").alias("status"), F.when(~enforced, "emerald").when(paid, "amber").otherwise("red").alias("colour"),
+    )
+
+
+#: Names that make a court docket one for the tracker, and the public bodies that bring such cases.
+TRACKED = r"van dyke|spagnuolo"
+PUBLIC_BODIES = r"commodity futures trading commission|cftc|united states"
+
+
+def docket_rows(dockets: DataFrame) -> DataFrame:
+    """Tracker rows of court dockets: a tracked name, or a public body against somebody in scope; each docket once."""
+    parties = F.lower(F.array_join(F.coalesce("party", F.array().cast("array<string>")), " | "))
+    name = F.lower(F.coalesce("case_name", F.lit("")))
+    kept = dockets.where(F.concat(name, F.lit(" "), parties).rlike(TRACKED) | (parties.rlike(PUBLIC_BODIES) & texts.has_any(name, texts.SCOPE)))
+    one = kept.groupBy(F.coalesce(F.col("docket_id").cast("string"), F.concat(F.lit("?"), name)).alias("key")).agg(F.min(F.struct("filed", "case_name", "number", "url")).alias("d")).select("d.*")
+    said = F.concat(F.lit("Event-contract enforcement docket ("), F.coalesce("number", F.lit("verify")), F.lit("); details pending review."))
+    return one.select(F.lit("enforcement").alias("section"), F.col("filed").alias("d"), texts.cut_text(F.col("case_name"), 60).alias("actors"), said.alias("sum"), F.col("url").alias("src"), F.lit("Charged").alias("status"), F.lit("red").alias("colour"))
+
+
+def new_tracker_rows(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    """Rows whose key (docket, release or actors) the tracker hasn't; of rows that share a key the newest, ties by text."""
+    key = lambda df: df.withColumn("key", texts.row_key(F.col("src"), F.col("actors")))
+    rest = [c for c in rows.columns if c != "d"]
+    best = key(rows).groupBy("key").agg(F.max(F.struct("d", *rest)).alias("b")).join(key(existing).select("key").distinct(), "key", "left_anti")
+    return best.select("key", "b.*")
+
+
+def tracker_order(rows: DataFrame, by: str = "newest") -> DataFrame:
+    orders = {"newest": [F.desc("filed_date"), "id"], "oldest": [F.asc("filed_date"), "id"], "updated": [F.desc("last_update"), "id"], "name": ["caption", "id"]}
+    return rows.orderBy(*orders[by])

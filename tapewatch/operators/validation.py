@@ -35,6 +35,11 @@ def _drawn_wins(batches, draws: int, block: int = 1 << 15):
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, draws + 1)), pa.array(wins)], names=["draw", "w"])
 
 
+def null_facts(bets: DataFrame) -> DataFrame:
+    """One row ``n, observed, expected, sd``: wins, and what the odds let expect."""
+    return bets.agg(F.count("*").alias("n"), F.count_if("won").alias("observed"), F.sum("p").alias("expected"), F.sqrt(F.sum(F.col("p") * (1 - F.col("p")))).alias("sd"))
+
+
 def null_test(bets: DataFrame, draws: int = 10_000, seed: int = 7, parts: int = 256) -> DataFrame:
     """One row ``n, observed, expected, sd, z, p``: wins against a null in which each bet wins at its odds.
 
@@ -42,7 +47,7 @@ def null_test(bets: DataFrame, draws: int = 10_000, seed: int = 7, parts: int =
     each part counts the wins of all draws, so ``draws`` x ``parts`` rows are shuffled, however many bets there are.
     """
     rows = bets.select(F.xxhash64(F.lit(seed), "bet_id").alias("key"), F.col("p").cast("double").alias("p"), "won")
-    facts = rows.agg(F.count("*").alias("n"), F.count_if("won").alias("observed"), F.sum("p").alias("expected"), F.sqrt(F.sum(F.col("p") * (1 - F.col("p")))).alias("sd"))
+    facts = null_facts(rows)
     drawn = rows.select("key", "p").repartition(parts, "key").mapInArrow(lambda batches: _drawn_wins(batches, draws), "draw long, w long")
     wins = drawn.groupBy("draw").agg(F.sum("w").alias("w"))
     p = wins.join(F.broadcast(facts)).agg(((F.count_if(F.col("w") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.operators import lifecycle, linkage, litigation, market, positions, publish, validation, wallet, watch
+from tapewatch.operators import lifecycle, linkage, litigation, market, positions, publish, surveillance, validation, wallet, watch
 from tapewatch.plans.oracle import ORACLES
 from tapewatch.functions import text
 from tapewatch.sources import driver, shared
@@ -251,7 +251,7 @@ def regulatory_matches(spark, sf_dir):
 def funding_network(spark, sf_dir):
     o, c = driver.read(spark, sf_dir, "orders"), driver.read(spark, sf_dir, "customer")
     sent = o.select((F.col("o_orderkey") % 40).alias("from"), (1000 + F.col("o_custkey")).alias("to"), F.col("o_totalprice").alias("value"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts"))
-    return rounded(publish.funding_network(sent, c.where("c_custkey % 50 = 0").select((1000 + F.col("c_custkey")).alias("wallet"))), 2)
+    return rounded(publish.funding_network(sent, c.where("c_acctbal < 0").select((1000 + F.col("c_custkey")).alias("wallet"))), 2)
 
 
 @query
@@ -328,7 +328,7 @@ def price_as_of_noon(spark, sf_dir):
 def _wallets(spark, sf_dir):
     c = driver.read(spark, sf_dir, "customer")
     first = driver.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))).alias("first_seen_ts"))
-    return c.join(first, c["c_custkey"] == first["o_custkey"]).select(F.concat(F.lit("w"), "c_custkey").alias("wallet"), F.concat_ws("-", "c_nationkey", (F.col("c_custkey") % F.lit(97)).cast("string")).alias("funder"), "first_seen_ts")
+    return c.join(first, c["c_custkey"] == first["o_custkey"]).select(F.concat(F.lit("w"), "c_custkey").alias("wallet"), F.when(F.col("c_custkey") % 20 == 0, F.concat(F.lit("hub-"), F.col("c_nationkey").cast("string"))).otherwise(F.concat_ws("-", F.col("c_nationkey").cast("string"), F.floor(F.col("c_custkey") / 100).cast("string"))).alias("funder"), "first_seen_ts")
 
 
 def _entries(spark, sf_dir):
@@ -418,7 +418,7 @@ def docket_relevance(spark, sf_dir):
 @query
 def docket_diff(spark, sf_dir):
     known = litigation.relevance(_dockets(spark, sf_dir), _targets(spark, sf_dir))
-    matters = driver.read(spark, sf_dir, "orders").select(F.concat(F.lit("matter-cl"), (F.col("o_orderkey") * 7).cast("string")).alias("id"), F.when(F.col("o_orderkey") % 3 == 0, "2020-01-01").alias("decided_date")).where("o_orderkey % 8 = 0")
+    matters = driver.read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("matter-cl"), (F.col("o_orderkey") * 7).cast("string")).alias("id"), F.when(F.col("o_orderkey") % 3 == 0, "2020-01-01").alias("decided_date"))
     ledger = driver.read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 7).alias("docket_id"))
     return litigation.docket_diff(known, matters, ledger)
 
@@ -507,18 +507,391 @@ def stream_bars(spark, sf_dir):
 @query
 def stream_sessions(spark, sf_dir):
     out = streams.collected(streams.sessions(streams.events(spark, sf_dir), "6 hours"), shared.folder(spark))
-    return rounded(out.select("market", "start", "end", "n", "usd"), 3)
+    return rounded(out.select("market", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n", "usd"), 3)
 
 
 @query
 def stream_watchlist(spark, sf_dir):
-    out = streams.collected(streams.watchlist(streams.events(spark, sf_dir)), shared.folder(spark), "update")
-    last = out.groupBy("market").agg(F.max(F.struct("batch", "trades", "usd", "score", "status")).alias("b"))
+    rows = streams.watch_points(streams.events(spark, sf_dir))
+    ends = rows.where("kind = 'signup' and usd > 100").withColumn("outcome", F.when(F.col("market") % 2 == 0, "YES").otherwise("NO"))
+    out = streams.collected(streams.watchlist(streams.with_resolutions(rows.where("kind <> 'signup'"), ends)), shared.folder(spark), "update")
+    last = out.where("status <> 'retired'").groupBy("market").agg(F.max(F.struct("batch", "trades", "usd", "score", "status")).alias("b"))
     return rounded(last.select("market", F.col("b.trades").alias("trades"), F.col("b.usd").alias("usd"), F.col("b.score").alias("score"), F.col("b.status").alias("status")), 3)
 
 
+@query
+def stream_sliding(spark, sf_dir):
+    out = streams.collected(streams.sliding_entries(streams.events(spark, sf_dir), "6 hours", "3 hours"), shared.folder(spark))
+    return out.select(F.unix_timestamp("start").alias("start"), "n")
+
+
+@query
+def stream_once(spark, sf_dir):
+    out = streams.collected(streams.deduplicated(streams.events(spark, sf_dir), ["market", "kind"]), shared.folder(spark))
+    return out.select("market", "kind")
+
+
+@query
+def stream_catalog(spark, sf_dir):
+    known = driver.catalog(driver.trades(spark, sf_dir)).select(F.col("cond").alias("market"), "category")
+    out = streams.collected(streams.with_catalog(streams.events(spark, sf_dir), known), shared.folder(spark))
+    return rounded(out.groupBy("category").agg(F.count("*").alias("n"), F.sum("usd").alias("usd")), 3)
+
+
+@query
+def stream_positions(spark, sf_dir):
+    folder = shared.folder(spark)
+    streams.drained(streams.events(spark, sf_dir), folder, streams.upsert_table(f"{folder}/table", streams.summed_positions))
+    return rounded(spark.read.parquet(f"{folder}/table/version={streams.versions(spark, f'{folder}/table')}").select("market", "trades", "usd"), 3)
+
+
+@query
+def stream_alerts(spark, sf_dir):
+    folder = shared.folder(spark)
+    streams.drained(streams.events(spark, sf_dir), folder, streams.alert_once(folder, 100.0))
+    return spark.read.schema("market long, id long, usd double").option("recursiveFileLookup", "true").parquet(f"{folder}/sent")
+
+
+@query
+def stream_dockets(spark, sf_dir):
+    schema = driver.read(spark, sf_dir, "orders").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/orders*.parquet")
+    filed = raw.select(F.col("o_custkey").alias("docket_id"), F.col("o_orderdate").cast("timestamp").alias("filed")).withWatermark("filed", "3650 days")
+    return streams.collected(filed.dropDuplicates(["docket_id"]), shared.folder(spark)).select("docket_id")
+
+
 @query
 def stream_distinct(spark, sf_dir):
     folder = shared.folder(spark)
     streams.drained(streams.events(spark, sf_dir), folder, streams.merge_sketch(f"{folder}/sketches", "market"))
     return validation.merged_estimate(spark.read.schema("sketch binary").option("recursiveFileLookup", "true").parquet(f"{folder}/sketches"))
+
+
+def _levels(spark, sf_dir):
+    """Order lines stand for levels of books."""
+    n = F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13
+    return driver.read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 200).alias("market"), (F.col("l_linestatus") == "O").alias("up"), (0.03 + (n % 45) / 100).alias("low"), (F.col("l_orderkey") % 2 == 0).alias("cents"), F.col("l_quantity").alias("size"))
+
+
+def _book(spark, sf_dir):
+    levels = _levels(spark, sf_dir).select("market", F.when(F.col("up"), "bid").otherwise("ask").alias("side"), F.when(F.col("up"), F.col("low")).otherwise(F.col("low") + 0.48).alias("price"), "size")
+    return surveillance.order_book(levels)
+
+
+@query
+def order_book(spark, sf_dir):
+    return rounded(_book(spark, sf_dir))
+
+
+@query
+def two_sided_book(spark, sf_dir):
+    levels = _levels(spark, sf_dir).select("market", F.when(F.col("up"), "yes").otherwise("no").alias("side"), F.when(F.col("cents"), 100 * F.col("low")).otherwise(F.col("low")).alias("price"), "size")
+    return rounded(surveillance.two_sided_book(levels))
+
+
+@query
+def venue_markets(spark, sf_dir):
+    p = driver.read(spark, sf_dir, "part")
+    quoted = p.select(F.col("p_partkey").alias("market"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("double")).alias("last"), (F.col("p_size") / 100).alias("bid"), (F.col("p_size") / 100 + 0.04).alias("ask"))
+    return rounded(surveillance.venue_markets(quoted).select("market", "prob"))
+
+
+def _moves(t, known):
+    """Each market's question as a query, and when its price moved (when it was resolved, where no move stands out)."""
+    shock = positions.price_shock(t)
+    return known.join(shock, "cond", "left").select("cond", F.col("cond").alias("market"), text.news_query(F.col("question")).alias("query"), F.coalesce("shock_ts", "resolved_ts").alias("move_ts"))
+
+
+def _headlines(spark, sf_dir):
+    """Orders stand for press reports."""
+    o = driver.read(spark, sf_dir, "orders")
+    source = F.get(F.array(*map(F.lit, ("Reuters wire", "x.com post", "daily blog"))), (F.col("o_orderkey") % 3).cast("int"))
+    return o.select(driver.question(F.col("o_orderkey")).alias("title"), source.alias("source"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts"))
+
+
+def _news(spark, sf_dir, moves):
+    found = surveillance.news_catalyst(moves, _headlines(spark, sf_dir))
+    return found.withColumn("explained", surveillance.explained(F.col("source"), F.col("hours"), F.col("pre_event")))
+
+
+@query
+def news_gap(spark, sf_dir):
+    t = _trades(spark, sf_dir)
+    return rounded(_news(spark, sf_dir, _moves(t, driver.catalog(t))))
+
+
+def _longshots(p):
+    return p.withColumn("sub", surveillance.longshot(F.col("stake"), F.col("entry"), F.when(F.col("cond") % 7 != 0, F.col("won")), F.col("category")))
+
+
+@query
+def longshot_screen(spark, sf_dir):
+    return rounded(_longshots(_positions(spark, sf_dir)).where("sub > 0").select("cond", "wallet", "sub"))
+
+
+def _accumulated(volumes, p):
+    """The largest buyer of each market."""
+    top = volumes.where("buy_usd > 0").groupBy("cond").agg(F.max(F.struct("buy_usd", "wallet", "sell_usd")).alias("t")).select("cond", "t.*")
+    rows = top.join(p.select("cond", "wallet", "won"), ["cond", "wallet"], "left")
+    return rows.withColumn("sub", surveillance.accumulation(F.col("buy_usd") - F.col("sell_usd"), F.col("sell_usd") / F.col("buy_usd"), F.col("won")))
+
+
+@query
+def accumulation(spark, sf_dir):
+    t = _trades(spark, sf_dir)
+    return rounded(_accumulated(market.wallet_volumes(t), _positions(spark, sf_dir, t)).select("cond", "wallet", "sub"))
+
+
+@query
+def volume_run_up(spark, sf_dir):
+    return rounded(surveillance.volume_run_up(_series(spark, sf_dir)))
+
+
+@query
+def proxy_run_up(spark, sf_dir):
+    ends = _series(spark, sf_dir).groupBy("market").agg(F.max_by("p", F.struct("t", "id")).alias("prob"), F.min_by("p", F.struct("t", "id")).alias("first"))
+    return rounded(ends.select("market", surveillance.proxy_run_up(F.col("prob"), F.col("prob") - F.col("first")).alias("score")))
+
+
+@query
+def top_concentration(spark, sf_dir):
+    t = _trades(spark, sf_dir)
+    moves = positions.price_shock(t).select("cond", F.col("shock_ts").alias("move_ts"))
+    return rounded(surveillance.top_concentration(market.wallet_volumes(t), moves, fresh_hours=24 * 365))
+
+
+@query
+def trimmed_series(spark, sf_dir):
+    settled = _series(spark, sf_dir).withColumn("p", F.when(F.col("p") > 0.6, 0.995).otherwise(F.col("p")))
+    trimmed = market.trim_settlement(settled)
+    kept, few = trimmed.groupBy("market").agg(F.count("*").alias("n")), surveillance.downsample(trimmed, 10).groupBy("market").agg(F.count("*").alias("sampled"))
+    return kept.join(few, "market")
+
+
+def _engine(spark, sf_dir, engine: str):
+    t = _trades(spark, sf_dir)
+    known = driver.catalog(t)
+    moves = shared.staged(_moves(t, known))
+    p, volumes, series = shared.staged(_positions(spark, sf_dir, t)), shared.staged(market.wallet_volumes(t)), _series(spark, sf_dir)
+    sub = lambda rows, key, name, value: rows.select(F.col(key).alias("market"), F.lit(name).alias("detector"), F.col(value).alias("sub"))
+    if engine == "insider":
+        long = _longshots(p).groupBy("cond").agg(F.max("sub").alias("sub"))
+        parts = [sub(market.run_up(series), "market", "runUp", "score"), sub(_accumulated(volumes, p), "cond", "accumulation", "sub"), sub(surveillance.top_concentration(volumes, moves.select("cond", "move_ts")), "cond", "concentration", "score"), sub(long, "cond", "longshot", "sub")]
+    else:
+        parts = [sub(market.ramp(series), "market", "ramp", "score"), sub(market.price_impact(series), "market", "impact", "score"), sub(market.vpin(series), "market", "vpin", "vpin"), sub(market.wash(volumes), "cond", "wash", "score")]
+    scores = parts[0]
+    for more in parts[1:]:
+        scores = scores.unionByName(more)
+    size = t.groupBy("cond").agg(F.sum("usd").alias("volume"), F.count("*").alias("n"))
+    facts = known.join(size, "cond").withColumn("market", F.col("cond")).join(_book(spark, sf_dir).select("market", "spread", "depth"), "market", "left").join(_news(spark, sf_dir, moves).select("market", "explained", "pre_event"), "market", "left")
+    quality = market.liquidity(F.col("volume"), F.col("spread"), F.col("depth"), F.col("n"))
+    markets = facts.select("market", (F.col("cond") % 2 == 1).alias("anonymous"), quality.alias("quality"), F.coalesce("explained", F.lit(0.0)).alias("explained"), F.coalesce("pre_event", F.lit(True)).alias("pre_event"), surveillance.looked_up(F.col("category"), surveillance.MULTIPLIER).alias("multiplier"))
+    return surveillance.engine_scores(shared.staged(scores), shared.staged(markets), engine)
+
+
+@query
+def engine_insider(spark, sf_dir):
+    return rounded(_engine(spark, sf_dir, "insider"))
+
+
+@query
+def engine_manipulation(spark, sf_dir):
+    return rounded(_engine(spark, sf_dir, "manipulation"))
+
+
+@query
+def market_quality(spark, sf_dir):
+    size = driver.trades(spark, sf_dir).groupBy(F.col("cond").alias("market")).agg(F.sum("usd").alias("volume"), F.count("*").alias("n"))
+    rows = size.join(_book(spark, sf_dir).select("market", "spread", "depth"), "market", "left")
+    return rounded(rows.select("market", market.liquidity(F.col("volume") / 1000, F.col("spread"), F.col("depth") / 100, F.col("n")).alias("quality")))
+
+
+def _scored_markets(spark, sf_dir):
+    s = _engine(spark, sf_dir, "manipulation")
+    return s.select("market", "score", "tier", (F.col("market") % 4 == 0).alias("resolved"), F.when(F.col("market") % 2 == 1, "anonymous").otherwise("wallets").alias("venue"))
+
+
+@query
+def deep_set(spark, sf_dir):
+    return surveillance.deep_set(_scored_markets(spark, sf_dir))
+
+
+@query
+def feed_coverage(spark, sf_dir):
+    return surveillance.coverage(_scored_markets(spark, sf_dir))
+
+
+@query
+def augmented_set(spark, sf_dir):
+    m = driver.listings(spark, sf_dir).select("market", "volume")
+    few = m.where("volume > 1500")
+    return surveillance.augmented(few.where("market % 2 = 0"), m.where("volume > 1000"), 1_000_000)
+
+
+@query
+def top_markets_of_event(spark, sf_dir):
+    t = driver.trades(spark, sf_dir).groupBy("cond").agg(F.round(F.sum("usd"), 2).alias("volume")).withColumn("event_group", F.floor(F.col("cond") / 10))
+    return lifecycle.top_per_group(t, "event_group", [F.desc("volume"), "cond"], 4)
+
+
+@query
+def sketch_error(spark, sf_dir):
+    """Is the merged sketch within 5 % of the exact count?"""
+    t = driver.trades(spark, sf_dir)
+    n = validation.merged_estimate(validation.distinct_sketch(t, "wallet", ["cond"]))
+    return n.join(t.agg(F.count_distinct("wallet").alias("exact"))).select((F.abs(F.col("n") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))
+
+
+@query
+def null_facts(spark, sf_dir):
+    b = _positions(spark, sf_dir).select(F.xxhash64("cond", "wallet").alias("bet_id"), F.col("entry").alias("p"), "won")
+    return rounded(validation.null_facts(b).select("n", "observed", "expected", "sd", ((F.col("observed") - F.col("expected")) / F.col("sd")).alias("z")), 3)
+
+
+def _members(spark, sf_dir):
+    return _wallets(spark, sf_dir).select("funder", "wallet")
+
+
+def _betting(spark, sf_dir):
+    return _members(spark, sf_dir).join(_entries(spark, sf_dir).select("wallet").distinct(), "wallet", "left_semi")
+
+
+@query
+def corroborated_rings(spark, sf_dir):
+    return rounded(linkage.corroborated_rings(shared.staged(_pairs(spark, sf_dir)), _betting(spark, sf_dir)), 4)
+
+
+@query
+def ring_edges(spark, sf_dir):
+    pairs = shared.staged(_pairs(spark, sf_dir))
+    return rounded(linkage.top_edges(pairs, linkage.corroborated_rings(pairs, _betting(spark, sf_dir)), more=0), 4)
+
+
+@query
+def flagged_rings(spark, sf_dir):
+    tiers = shared.staged(wallet.fuse(_records(spark, sf_dir))).where("tier <> 'unflagged'").select("wallet", F.when(F.col("tier") == "high", "elevated").when(F.col("tier") == "notable", "watch").otherwise(F.col("tier")).alias("tier"))
+    return linkage.flagged_rings(_members(spark, sf_dir), tiers)
+
+
+@query
+def ring_aggregate(spark, sf_dir):
+    made = _wallets(spark, sf_dir).join(driver.accounts(spark, sf_dir).select("wallet", "prior_tx"), "wallet")
+    return rounded(linkage.cluster_aggregate(_members(spark, sf_dir), _positions(spark, sf_dir).select("wallet", "stake", "pnl", "ts"), made), 2)
+
+
+@query
+def ring_split(spark, sf_dir):
+    return rounded(linkage.split_ratio(_members(spark, sf_dir).select(F.col("funder").alias("component"), F.col("wallet").alias("node")), _entries(spark, sf_dir)))
+
+
+@query
+def linked_clusters(spark, sf_dir):
+    pairs = shared.staged(_pairs(spark, sf_dir))
+    members = linkage.components(pairs.where("link >= 0.6").select("a", "b"), shared.folder(spark))
+    return rounded(linkage.clusters(pairs, members, 0.62))
+
+
+def _transfers(spark, sf_dir):
+    o = driver.read(spark, sf_dir, "orders")
+    return o.select((F.col("o_orderkey") % 400).alias("from"), (F.col("o_custkey") % 700).alias("to"), F.col("o_totalprice").alias("value"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts"))
+
+
+@query
+def first_funding(spark, sf_dir):
+    labels = driver.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("address"), F.col("n_name").alias("label"))
+    return linkage.first_funding(_transfers(spark, sf_dir), labels)
+
+
+@query
+def prior_transactions(spark, sf_dir):
+    asked = driver.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("wallet"), F.when(F.col("c_custkey") % 5 != 0, F.lit(900_000_000)).alias("first_bet_ts"))
+    return linkage.prior_transactions(_transfers(spark, sf_dir), asked)
+
+
+@query
+def cash_out(spark, sf_dir):
+    done = driver.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("wallet"), F.lit(900_000_000).alias("resolved_ts"))
+    return rounded(linkage.cash_out(_transfers(spark, sf_dir), done))
+
+
+def _full_dockets(spark, sf_dir):
+    """Customers stand for dockets, with all that a docket says."""
+    c = driver.read(spark, sf_dir, "customer")
+    k, name = F.col("c_custkey"), F.concat(F.col("c_name"), F.lit(" v. "), F.when(F.col("c_nationkey") % 3 == 0, "State of X").when(F.col("c_nationkey") % 3 == 1, "Van Dyke").otherwise("Kalshi traders"))
+    return c.select(
+        (k * 7).alias("docket_id"), F.when(k % 3 == 0, F.upper(name)).otherwise(name).alias("case_name"), F.array(F.when(k % 2 == 0, "United States").otherwise("Somebody")).alias("party"), F.concat(F.lit("court"), F.col("c_nationkey").cast("string")).alias("court_id"),
+        F.when(k % 4 == 0, "Venue").otherwise("").alias("platform"), F.when(k % 5 != 0, "2024-03-01").alias("filed"), F.when(k % 7 == 0, "2024-06-01").alias("terminated"), F.when(k % 3 != 1, k.cast("string")).alias("number"), F.concat(F.lit("/docket/"), (k * 7).cast("string"), F.lit("/")).alias("url"),
+    )
+
+
+def _drafts(spark, sf_dir):
+    courts = driver.read(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.concat(F.lit("court"), F.col("n_nationkey").cast("string")).alias("court_id"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("S"), F.col("n_nationkey").cast("string"))).alias("state"), F.col("n_name").alias("label"))
+    return litigation.drafts(_full_dockets(spark, sf_dir), courts, "2024-07-01")
+
+
+@query
+def docket_drafts(spark, sf_dir):
+    return _drafts(spark, sf_dir).withColumns({"states": F.array_join("states", ","), "needs_review": F.array_join("needs_review", ",")})
+
+
+@query
+def approved_drafts(spark, sf_dir):
+    reviewed = F.array(*map(F.lit, ("platform", "contractType", "gate", "posture", "courtForum", "forum", "states")))
+    done = _drafts(spark, sf_dir).withColumn("needs_review", F.when(F.col("platform") == "Venue", F.array_except("needs_review", reviewed)).otherwise(F.col("needs_review")))
+    return litigation.approved(done).select("id", F.array_join("needs_review", ",").alias("left"))
+
+
+@query
+def matter_refresh(spark, sf_dir):
+    o = driver.read(spark, sf_dir, "orders")
+    k, filed = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    m = o.select(k.alias("id"), filed.alias("filed_date"), F.when(k % 3 != 0, filed).when(k % 2 == 0, F.lit("2030-01-01").cast("date")).alias("last_update"), F.when(k % 5 == 0, filed).alias("decided_date"), F.when(k % 2 == 0, "Pending").otherwise("Settled").alias("outcome"))
+    status = o.select(k.alias("id"), F.date_add(filed, (k % 900).cast("int")).alias("last_filing"), F.when(k % 11 == 0, F.lit("2029-01-01").cast("date")).alias("modified"), F.when(k % 4 == 0, F.date_add(filed, 30)).alias("terminated"))
+    changed = litigation.refresh(m, status, "1999-06-30")
+    return litigation.applied(m, changed).join(changed.select("id", "flag_outcome"), "id").select("id", F.date_format("last_update", "yyyy-MM-dd").alias("last_update"), F.date_format("decided_date", "yyyy-MM-dd").alias("decided_date"), "flag_outcome")
+
+
+def _press(spark, sf_dir):
+    p, k = driver.read(spark, sf_dir, "part"), F.col("p_partkey")
+    name = F.initcap("p_name")
+    title = F.when(k % 5 == 0, F.concat(name, F.lit(" v. Kalshi Group insider case settled"))).when(k % 5 == 1, F.lit("Rule on event contract: proposed")).when(k % 5 == 2, F.concat(F.lit("CFTC fined "), name, F.lit(" in prediction market fraud"))).when(k % 5 == 3, F.lit("Weather is fine today")).otherwise(F.concat(F.lit("complaint against "), name, F.lit(": event contract")))
+    link = F.when(k % 3 == 0, F.concat(F.lit("https://x/docket/"), k.cast("string"), F.lit("/"))).when(k % 3 == 1, F.concat(F.lit("release "), F.lpad((k % 9000 + 1000).cast("string"), 4, "0"), F.lit("-24"))).otherwise("y")
+    return litigation.press_rows(p.select(title.alias("title"), link.alias("link"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 300).cast("int")), "yyyy-MM-dd").alias("day"), F.lit(None).cast("string").alias("description"), k.alias("k")))
+
+
+@query
+def press_tracker(spark, sf_dir):
+    rows = _press(spark, sf_dir)
+    return litigation.new_tracker_rows(rows, rows.where("d < '2024-02-01'")).select("key", "d", "section", "actors", "status", "colour")
+
+
+@query
+def court_tracker(spark, sf_dir):
+    return litigation.docket_rows(_full_dockets(spark, sf_dir)).select("d", "actors", "sum", "src", "status")
+
+
+@query
+def matter_search(spark, sf_dir):
+    return litigation.search(_matters(spark, sf_dir), "urgent", {"outcome": ["Permitted", "Settled"]}, ["S1", "S2", "S3", "S4"], (1993, 1997)).select("id", "caption", "outcome", "filed_date")
+
+
+@query
+def forum_tilt(spark, sf_dir):
+    return litigation.tilt(_matters(spark, sf_dir), "contract", "forum")
+
+
+@query
+def entity_edges(spark, sf_dir):
+    return litigation.entity_edges(_matters(spark, sf_dir))
+
+
+@query
+def doctrine_flow(spark, sf_dir):
+    m = _matters(spark, sf_dir).withColumn("id", F.concat_ws("-", "id", "platform", "posture", F.array_join("states", "")))
+    return litigation.doctrine_flow(m, ("g0", "g1", "g2", "g3")).where("place <= 20")
+
+
+@query
+def tracker_newest(spark, sf_dir):
+    m = _matters(spark, sf_dir).withColumn("last_update", F.col("filed_date")).where("filed_date is not null").groupBy("id").agg(F.max("filed_date").alias("filed_date"))
+    return litigation.tracker_order(m, "newest").limit(50)

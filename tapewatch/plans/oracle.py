@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from tapewatch.functions.text import CATEGORY_RULES, EXCLUDED, FALLBACK_RULES, TAXONOMY_RULES
 from tapewatch.operators.publish import CARDS
+from tapewatch.operators.surveillance import BASELINE, MULTIPLIER
 from tapewatch.sources.driver import SQL as VIEWS
-from tapewatch.sources.driver import sql_entities
+from tapewatch.sources.driver import sql_entities, sql_question
 
 
 def _leg(o: str) -> str:
@@ -254,7 +255,7 @@ QUEUE = """WITH s AS (
     CASE WHEN p.market IS NULL THEN 'appear' WHEN c.market IS NOT NULL AND p.tier IS DISTINCT FROM c.tier THEN 'tier' WHEN c.market IS NULL AND 1709300000 - p.last_scanned > 1209600 AND p.status <> 'retired' THEN 'retire' ELSE 'same' END AS change
   FROM p FULL JOIN c ON p.engine = c.engine AND p.market = c.market)"""
 PAIRS = V + """, f AS (SELECT o_custkey, min(CAST(epoch(o_orderdate) AS BIGINT)) AS first_seen_ts FROM orders GROUP BY 1
-), w AS (SELECT 'w' || c_custkey AS wallet, c_nationkey || '-' || (c_custkey % 97) AS funder, first_seen_ts FROM customer JOIN f ON c_custkey = o_custkey
+), w AS (SELECT 'w' || c_custkey AS wallet, CASE WHEN c_custkey % 20 = 0 THEN 'hub-' || c_nationkey ELSE c_nationkey || '-' || (c_custkey // 100) END AS funder, first_seen_ts FROM customer JOIN f ON c_custkey = o_custkey
 ), e AS (SELECT wallet, cond // 10 AS event_group, min(ts) AS ts FROM trades WHERE side = 'BUY' GROUP BY 1, 2
 ), sizes AS (SELECT funder FROM w GROUP BY 1 HAVING count(*) BETWEEN 2 AND 500
 ), ne AS (SELECT wallet, count(*) AS n FROM e GROUP BY 1
@@ -353,6 +354,144 @@ _PUBLISHED = {
 }
 
 
+_LOOK = lambda key, values: f"CASE lower({key}) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items() if k) + f" ELSE {values['']} END"
+_LEVELS = """levels AS (SELECT l_partkey % 200 AS market, l_linestatus = 'O' AS up, 0.03::DOUBLE + ((l_orderkey * 7 + l_linenumber * 13) % 45)::DOUBLE / 100 AS low, l_orderkey % 2 = 0 AS cents, l_quantity AS size FROM lineitem
+), book0 AS (SELECT market, coalesce(max(CASE WHEN up THEN low END), 0) AS best_bid, coalesce(min(CASE WHEN NOT up THEN low + 0.48::DOUBLE END), 1) AS best_ask, coalesce(sum(CASE WHEN up THEN low * size END), 0) AS bids, coalesce(sum(CASE WHEN NOT up THEN (low + 0.48::DOUBLE) * size END), 0) AS asks FROM levels GROUP BY market
+), book AS (SELECT market, best_bid, best_ask, greatest(0.0::DOUBLE, best_ask - best_bid) AS spread, bids + asks AS depth, CASE WHEN bids + asks > 0 THEN (bids - asks) / (bids + asks) ELSE 0 END AS imbalance FROM book0)"""
+_QUERY = lambda q: f"trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace({q}, '[?]+', ' ', 'g')), '^(will|does|is|are|can|did|has|have|the|a|an)\\s+', '', 'i'), '\\s+(by|in|before|on|this|next)\\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|q[1-4]|20[0-9][0-9]|[0-9]).*$', '', 'i'), '\\s+', ' ', 'g'))"
+_W4 = lambda t: f"list_distinct(list_filter(string_split_regex(lower({t}), '[^a-z0-9_]+'), lambda w: length(w) >= 4))"
+NEWS = BETS + f""", {_LEVELS}, moves AS (SELECT c.cond, c.cond AS market, {_QUERY('question')} AS query, coalesce(shock_ts, resolved_ts) AS move_ts FROM catalog c LEFT JOIN shock s USING (cond)
+), told AS (SELECT o_orderkey AS item, {sql_question('o_orderkey')} AS title, ['Reuters wire', 'x.com post', 'daily blog'][o_orderkey % 3 + 1] AS source, CAST(epoch(o_orderdate) AS BIGINT) AS ts FROM orders
+), aw AS (SELECT market, move_ts, CASE WHEN len({_W4('query')}) >= 3 THEN 2 ELSE 1 END AS need, unnest({_W4('query')}) AS word FROM moves
+), tw AS (SELECT item, source, ts, unnest({_W4('title')}) AS word FROM told
+), hits AS (SELECT market, item, source, ts, move_ts, need, count(*) AS hits FROM aw JOIN tw USING (word) WHERE ts BETWEEN move_ts - 172800 AND move_ts + 1900800 GROUP BY ALL
+), rel AS (SELECT *, ts - move_ts AS late FROM hits WHERE hits >= need
+), pick AS (SELECT *, CASE WHEN late BETWEEN -172800 AND 129600 THEN 0 WHEN late > 129600 AND floor(late / 3600.0::DOUBLE + 0.5) <= 504 THEN 1 END AS kind FROM rel
+), news0 AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY kind, ts, source) AS r FROM pick WHERE kind IS NOT NULL
+), news1 AS (SELECT market, ts, source, kind = 1 AS pre_event, CAST(CASE WHEN kind = 0 THEN greatest(0.0::DOUBLE, (move_ts - ts) / 3600.0::DOUBLE) ELSE floor((ts - move_ts) / 3600.0::DOUBLE + 0.5) END AS DOUBLE) AS hours FROM news0 WHERE r = 1
+), news AS (SELECT *, CASE WHEN pre_event THEN 0.0 ELSE {_clip("CASE WHEN source = 'Reuters wire' THEN 1.0 WHEN source = 'x.com post' THEN 0.4 ELSE 0.7 END * " + _clip('1 - abs(hours) / 48'))} END AS explained FROM news1)"""
+_LSB = f"({_LOOK('category', BASELINE)})"
+SCREENS = NEWS + f""", ls0 AS (SELECT cond, wallet, CASE WHEN stake >= 2500 AND entry <= 0.35 THEN CASE WHEN cond % 7 = 0 THEN {_clip('(0.35 - entry) / 0.35 * 0.4', 0, 0.5)}
+    WHEN won THEN {_clip('0.45 + 0.4 * ' + _clip('1 - entry') + ' + 0.15 * ' + _clip(f'({_LSB} - entry) / greatest(0.05, {_LSB})'))} ELSE 0.1 END ELSE 0 END AS sub FROM positions
+), vol AS (SELECT cond, wallet, coalesce(sum(usd) FILTER (WHERE side <> 'SELL'), 0) AS buy_usd, coalesce(sum(usd) FILTER (WHERE side = 'SELL'), 0) AS sell_usd, min(ts) FILTER (WHERE side <> 'SELL') AS first_ts FROM trades GROUP BY cond, wallet
+), acc0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cond ORDER BY buy_usd DESC, wallet DESC) AS r FROM vol WHERE buy_usd > 0) WHERE r = 1
+), acc AS (SELECT a.cond, a.wallet, {_clip(f"0.45 * {_clip('log10(greatest(1.0, abs(buy_usd - sell_usd))) / 5')} + 0.30 * CASE WHEN sell_usd / buy_usd <= 0.03 THEN 1.0 ELSE {_clip('1 - sell_usd / buy_usd / 0.2')} END + 0.25 * CASE WHEN p.won IS NULL THEN 0.5 WHEN p.won THEN 1.0 ELSE 0.0 END")} AS sub FROM acc0 a LEFT JOIN positions p USING (cond, wallet)
+), con0 AS (SELECT cond, sum(buy_usd) AS total, sum(buy_usd * buy_usd) AS sq, max(buy_usd) AS top, arg_max(first_ts, buy_usd) AS came, count(*) AS n FROM vol WHERE buy_usd > 0 GROUP BY cond HAVING count(*) >= 3)"""
+_CON = lambda moves, hours: f"""con AS (SELECT cond, sq / (total * total) AS hhi, top / total AS top, coalesce(move_ts - came <= {hours * 3600} AND move_ts - came >= -3600, false) AS fresh FROM con0 LEFT JOIN {moves} USING (cond)
+), cons AS (SELECT *, {_clip('0.55 * hhi + 0.45 * top + CASE WHEN fresh THEN 0.15 ELSE 0.0 END')} AS score FROM con)"""
+_LIQ = lambda v, d: f"(0.4 * {_clip(f'(log10(greatest({v}, 1.0)) - 3) / 3')} + 0.3 * coalesce({_clip('1 - spread / 0.1')}, 0.5) + 0.2 * coalesce({_clip(f'(log10(greatest({d}, 1.0)) - 2) / 3')}, 0) + 0.1 * {_clip('log10(greatest(n, 1)) / 3')})"
+
+
+def _engine(name: str, parts: str, factor: str, most: int) -> str:
+    return f""", eng0 AS ({parts}
+    ), facts AS (SELECT c.cond AS market, c.cond % 2 = 1 AS anonymous, {_LIQ('volume', 'depth')} AS quality, coalesce(n2.explained, 0) AS explained, coalesce(n2.pre_event, true) AS pre_event, {_LOOK('category', MULTIPLIER)}::DOUBLE AS multiplier
+      FROM catalog c JOIN (SELECT cond, sum(usd) AS volume, count(*) AS n FROM trades GROUP BY cond) z USING (cond) LEFT JOIN book b ON b.market = c.cond LEFT JOIN news n2 ON n2.market = c.cond
+    ), eng1 AS (SELECT market, sum(w * sub) / sum(w) AS raw, count(*) AS ran, count(*) FILTER (WHERE sub >= 0.45) AS agreeing, any_value(anonymous) AS anonymous, any_value(quality) AS quality, any_value(explained) AS explained, any_value(pre_event) AS pre_event, any_value(multiplier) AS multiplier
+      FROM eng0 JOIN facts USING (market) WHERE sub IS NOT NULL AND NOT (anonymous AND wallets) GROUP BY market
+    ), eng2 AS (SELECT *, CASE WHEN anonymous THEN 3 ELSE 4 END AS total FROM eng1
+    ), eng3 AS (SELECT *, CAST(floor(100 * {_clip(f'raw * {factor}')} * ran / total + 0.5 + 1e-9) AS INTEGER) AS score FROM eng2
+    ), {name} AS (SELECT market, raw, ran, total, score, agreeing, CASE WHEN quality <= 0.25 THEN 'Watch' WHEN ran = total AND agreeing >= 2 AND score >= 70 THEN 'High-signal' WHEN score >= 50 AND agreeing >= 1 THEN 'Elevated' WHEN score >= 30 THEN 'Watch' ELSE 'Clear' END AS tier,
+      CASE WHEN quality <= 0.25 THEN 'Low-liquidity artifact' WHEN explained >= 0.5 AND NOT pre_event THEN 'Explained' WHEN raw >= 0.5 AND explained < 0.3 THEN 'Unexplained' ELSE 'Partially explained' END AS label FROM eng3)"""
+
+
+_RUN_UP_ONLY = RUN_UP.split(", z AS (", 1)[1]
+_ENGINE_INSIDER = SCREENS + ", z AS (" + _RUN_UP_ONLY + ", " + _CON("moves", 48) + _engine("engine", "SELECT market, 0.30::DOUBLE AS w, score AS sub, false AS wallets FROM run_up UNION ALL SELECT cond, 0.25, sub, false FROM acc UNION ALL SELECT cond, 0.25, score, false FROM cons UNION ALL SELECT cond, 0.20, max(sub), true FROM ls0 GROUP BY cond", _clip("(1 - 0.6 * explained) * multiplier", 0, 1.5), 4)
+_ENGINE_MANIPULATION = SCREENS + RAMP + IMPACT + VPIN + _engine("engine", f"""SELECT market, 0.25::DOUBLE AS w, score AS sub, false AS wallets FROM ramp UNION ALL SELECT market, 0.25, {_ISCORE}, false FROM impact UNION ALL SELECT market, 0.20, vpin, false FROM vpin
+      UNION ALL SELECT cond, 0.30, {_clip('0.7 * 2 * sum(least(buy_usd, sell_usd)) / sum(buy_usd + sell_usd)')}, true FROM vol GROUP BY cond""", "1.0", 4)
+_SCORED = _ENGINE_MANIPULATION + ", scored AS (SELECT market, score, tier, market % 4 = 0 AS resolved, CASE WHEN market % 2 = 1 THEN 'anonymous' ELSE 'wallets' END AS venue FROM engine)"
+_SURVEILLANCE = {
+    "order_book": f"WITH {_LEVELS} SELECT market, {_r('best_bid', 'best_ask', 'spread', 'depth', 'imbalance', digits=4)} FROM book",
+    "two_sided_book": f"""WITH {_LEVELS}, y AS (SELECT market, up, CASE WHEN cents AND 100 * low > 1 THEN (100 * low) / 100 ELSE low END AS price, size FROM levels
+      ), z AS (SELECT market, coalesce(max(CASE WHEN up THEN price END), 0) AS best_bid, coalesce(max(CASE WHEN NOT up THEN price END), 0) AS no, sum(CASE WHEN up THEN price * size ELSE 0 END) AS bids, sum(CASE WHEN NOT up THEN price * size ELSE 0 END) AS asks FROM y GROUP BY market
+      ), q AS (SELECT market, best_bid, 1 - no AS best_ask, greatest(0.0::DOUBLE, 1 - best_bid - no) AS spread, bids + asks AS depth, (bids - asks) / (bids + asks) AS imbalance FROM z WHERE bids + asks > 0) SELECT market, {_r('best_bid', 'best_ask', 'spread', 'depth', 'imbalance', digits=4)} FROM q""",
+    "venue_markets": f"""WITH q AS (SELECT p_partkey AS market, CASE WHEN p_partkey % 3 = 0 AND p_size > 0 THEN CASE WHEN p_size > 1 THEN p_size / 100 ELSE p_size END ELSE (p_size / 100 + p_size / 100 + 0.04::DOUBLE) / 2 END AS prob FROM part) SELECT market, {_r('prob', digits=4)} FROM q WHERE q.prob BETWEEN 0.02 AND 0.98""",
+    "news_gap": f"{NEWS} SELECT market, ts, source, pre_event, {_r('hours', 'explained', digits=4)} FROM news",
+    "longshot_screen": f"{SCREENS} SELECT cond, wallet, {_r('sub', digits=4)} FROM ls0 WHERE ls0.sub > 0",
+    "accumulation": f"{SCREENS} SELECT cond, wallet, {_r('sub', digits=4)} FROM acc",
+    "volume_run_up": f"""{V}, k AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY t, id) AS k, count(*) OVER (PARTITION BY market) AS n FROM series), h AS (SELECT market, avg(volume) FILTER (WHERE k <= n // 2) AS base, avg(volume) FILTER (WHERE k > n // 2) AS pre FROM k GROUP BY market)
+      SELECT market, {_r('base', 'pre', digits=4)}, round(h.pre / h.base + 1e-7, 4) AS ratio, round({_clip('log2(greatest(1.0::DOUBLE, h.pre / h.base)) / log2(10.0::DOUBLE)')} + 1e-7, 4) AS score FROM h WHERE h.base > 0""",
+    "proxy_run_up": f"""{V}, e AS (SELECT market, arg_max(p, (t, id)) AS p1, arg_min(p, (t, id)) AS p0 FROM series GROUP BY market), l AS (SELECT market, greatest(0.001::DOUBLE, least(0.999::DOUBLE, p1)) AS a, greatest(0.001::DOUBLE, least(0.999::DOUBLE, p1 - (p1 - p0))) AS b FROM e)
+      SELECT market, round({_clip('abs(ln(a / (1 - a)) - ln(b / (1 - b))) / 0.55 / 4')} + 1e-7, 4) AS score FROM l""",
+    "top_concentration": f"{SCREENS}, mv AS (SELECT cond, shock_ts AS move_ts FROM shock), {_CON('mv', 24 * 365)} SELECT cond, fresh, {_r('hhi', 'top', 'score', digits=4)} FROM cons",
+    "trimmed_series": f"""{V}, s AS (SELECT market, t, id, CASE WHEN p > 0.6 THEN 0.995 ELSE p END AS p FROM series), e AS (SELECT *, last_value(p) OVER (PARTITION BY market ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fin FROM s
+      ), l AS (SELECT *, max(CASE WHEN abs(p - round(fin)) > 0.01 THEN t END) OVER (PARTITION BY market) AS last FROM e), k AS (SELECT * FROM l WHERE NOT (least(fin, 1 - fin) <= 0.01) OR t <= last
+      ), d AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY t, id) - 1 AS k, count(*) OVER (PARTITION BY market) AS n FROM k) SELECT market, count(*) AS n, count(*) FILTER (WHERE k % greatest(1, n // 10) = 0) AS sampled FROM d GROUP BY market""",
+    "engine_insider": f"{_ENGINE_INSIDER} SELECT market, {_r('raw', digits=4)}, ran, total, score, agreeing, tier, label FROM engine",
+    "engine_manipulation": f"{_ENGINE_MANIPULATION} SELECT market, {_r('raw', digits=4)}, ran, total, score, agreeing, tier, label FROM engine",
+    "market_quality": f"{NEWS}, z AS (SELECT cond AS market, sum(usd) AS volume, count(*) AS n FROM trades GROUP BY cond) SELECT market, round({_LIQ('volume / 1000', 'depth / 100')} + 1e-7, 4) AS quality FROM z LEFT JOIN book USING (market)",
+    "deep_set": f"""{_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY resolved ORDER BY score DESC, market) AS r, row_number() OVER (PARTITION BY resolved, venue ORDER BY score DESC, market) AS v FROM scored)
+      SELECT market, score, tier, resolved, venue FROM r WHERE (resolved AND r <= 8) OR (NOT resolved AND v <= 7) ORDER BY resolved DESC, score DESC, market LIMIT 22""",
+    "feed_coverage": f"{_SCORED} SELECT venue, tier, count(*) AS n, count(*) FILTER (WHERE tier IN ('High-signal', 'Elevated')) AS alerts FROM scored GROUP BY venue, tier",
+    "augmented_set": "SELECT p_partkey AS market, p_retailprice AS volume FROM part WHERE (p_retailprice > 1500 AND p_partkey % 2 = 0) OR p_retailprice > 1000",
+    "top_markets_of_event": f"{V}, v AS (SELECT cond, cond // 10 AS event_group, round(sum(usd), 2) AS volume FROM trades GROUP BY cond) SELECT cond, event_group, volume FROM (SELECT *, row_number() OVER (PARTITION BY event_group ORDER BY volume DESC, cond) AS r FROM v) WHERE r <= 4",
+}
+
+
+_P = "(0.05::DOUBLE + 0.9::DOUBLE * value / (value + 20))"
+_WP = f"(CASE WHEN {_P} < 0.85 THEN floor(35 * (0.85::DOUBLE - {_P}) / 0.85::DOUBLE + 0.5) ELSE floor(-25 * ({_P} - 0.85::DOUBLE) / 0.15::DOUBLE + 0.5) END + CASE WHEN value >= 100 THEN 20 ELSE 0 END + CASE WHEN event_type = 'error' THEN 35 ELSE 0 END)"
+_RINGS = PAIRS + """, bet AS (SELECT funder, wallet FROM w SEMI JOIN e USING (wallet)), sz AS (SELECT funder, count(DISTINCT wallet) AS members FROM bet GROUP BY funder
+), pg AS (SELECT funder, count(*) AS edges, avg(link) AS mean_link, max(link) AS best, max(co_spend) AS c, max(sync) AS s, max(near) AS n FROM pairs GROUP BY funder
+), rings AS (SELECT funder, members, edges, mean_link, best FROM sz JOIN pg USING (funder) WHERE members >= 2 AND (members >= 3 OR c >= 0.05 OR s >= 0.3 OR n >= 0.5))"""
+_TRANSFERS = "t AS (SELECT o_orderkey % 400 AS f, o_custkey % 700 AS t, o_totalprice AS value, CAST(epoch(o_orderdate) AS BIGINT) AS ts FROM orders)"
+_FULL = """fd AS (SELECT c_custkey AS k, c_custkey * 7 AS docket_id, c_name || ' v. ' || CASE c_nationkey % 3 WHEN 0 THEN 'State of X' WHEN 1 THEN 'Van Dyke' ELSE 'Kalshi traders' END AS name, c_name || ' v. ' || CASE c_nationkey % 3 WHEN 0 THEN 'State Of X' WHEN 1 THEN 'Van Dyke' ELSE 'Kalshi Traders' END AS titled,
+    'court' || c_nationkey AS court_id, CASE WHEN c_custkey % 4 = 0 THEN 'Venue' ELSE '' END AS platform, CASE WHEN c_custkey % 5 <> 0 THEN '2024-03-01' END AS filed, CASE WHEN c_custkey % 7 = 0 THEN '2024-06-01' END AS terminated, CASE WHEN c_custkey % 3 <> 1 THEN c_custkey::VARCHAR END AS number, c_custkey % 2 = 0 AS public, c_nationkey FROM customer)"""
+_DRAFTS = f"""WITH {_FULL}, dr AS (SELECT fd.*, CASE WHEN n_nationkey IS NOT NULL THEN n_name ELSE court_id END AS court, n_nationkey IS NOT NULL AS known, CASE WHEN n_nationkey % 2 = 0 THEN 'S' || n_nationkey END AS state, CASE WHEN k % 3 = 0 THEN titled ELSE name END AS caption FROM fd LEFT JOIN nation ON court_id = 'court' || n_nationkey AND n_nationkey < 20
+), dd AS (SELECT *, array_to_string(string_split_regex(trim(regexp_replace(lower(caption), '[^a-z0-9]+', ' ', 'g')), ' +')[1:6], '-') || '-cl' || docket_id AS id,
+    CASE WHEN platform = '' THEN 'platform,' ELSE '' END || 'contractType,gate,doctrinalQuestion,posture,statutes,summary' || CASE WHEN known THEN '' ELSE ',courtForum,forum,states' END || ',parties.role' AS needs FROM dr)"""
+_PRESS = """pr0 AS (SELECT p_partkey AS k, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name FROM part
+), pr1 AS (SELECT k, CASE k % 5 WHEN 0 THEN name || ' v. Kalshi Group insider case settled' WHEN 1 THEN 'Rule on event contract: proposed' WHEN 2 THEN 'CFTC fined ' || name || ' in prediction market fraud' WHEN 3 THEN 'Weather is fine today' ELSE 'complaint against ' || name || ': event contract' END AS title,
+    CASE k % 3 WHEN 0 THEN 'https://x/docket/' || k || '/' WHEN 1 THEN 'release ' || (k % 9000 + 1000) || '-24' ELSE 'y' END AS link, strftime(DATE '2024-01-01' + CAST(k % 300 AS INTEGER), '%Y-%m-%d') AS d, name FROM pr0
+), pr2 AS (SELECT *, CASE WHEN k % 5 = 1 THEN 'regulatory' ELSE 'enforcement' END AS section, CASE k % 5 WHEN 0 THEN 'Settled/penalty' WHEN 1 THEN 'Regulatory' ELSE 'Charged' END AS status, CASE k % 5 WHEN 0 THEN 'amber' WHEN 1 THEN 'emerald' ELSE 'red' END AS colour,
+    CASE k % 5 WHEN 0 THEN name || ' v. Kalshi Group' WHEN 1 THEN 'Rule on event contract' WHEN 2 THEN 'CFTC' ELSE 'complaint against ' || name END AS actors FROM pr1 WHERE k % 5 <> 3
+), pr3 AS (SELECT *, CASE k % 3 WHEN 0 THEN 'cl' || k WHEN 1 THEN 'pr' || (k % 9000 + 1000) || '-24' ELSE 'actor:' || lower(actors) END AS key FROM pr2)"""
+_MORE = {
+    "stream_watchlist": f"""WITH b AS (SELECT user_id AS market, count(*) AS trades, sum(value) AS usd, CAST(max(greatest(0, CASE WHEN {_P} >= 0.95 THEN least(15, {_WP}) ELSE {_WP} END)) AS INTEGER) AS score FROM events WHERE event_type <> 'signup' GROUP BY user_id
+      ), r AS (SELECT DISTINCT user_id AS market FROM events WHERE event_type = 'signup' AND value > 100), m AS (SELECT coalesce(b.market, r.market) AS market, coalesce(trades, 0) AS trades, coalesce(usd, 0) AS usd, coalesce(score, 0) AS score, r.market IS NOT NULL AS resolved FROM b FULL JOIN r ON b.market = r.market)
+      SELECT market, trades, round(usd + 1e-7, 3) AS usd, score, CASE WHEN resolved THEN CASE WHEN market % 2 = 0 AND score >= 65 THEN 'promoted' ELSE 'cleared' END WHEN score >= 25 THEN 'listed' ELSE 'open' END AS status FROM m""",
+    "stream_sessions": """WITH o AS (SELECT user_id AS market, epoch_us(ts) AS t, value, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events
+      ), s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY market ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM o), g AS (SELECT market, k, min(t) AS start, max(t) + 21600000000 AS "end", count(*) AS n, round(sum(value) + 1e-7, 3) AS usd FROM s GROUP BY market, k)
+      SELECT market, start, "end", n, usd FROM g WHERE "end" <= (SELECT max(epoch_us(ts)) FROM events) - 600000000""",
+    "stream_sliding": """WITH s AS (SELECT (CAST(floor(epoch(ts)) AS BIGINT) // 10800 - k) * 10800 AS start FROM events, (SELECT unnest([0, 1]) AS k)) SELECT start, count(*) AS n FROM s WHERE start + 21600 <= (SELECT max(epoch(ts)) FROM events) - 600 GROUP BY start""",
+    "stream_once": "SELECT DISTINCT user_id AS market, event_type AS kind FROM events",
+    "stream_catalog": f"{V} SELECT c.category, count(*) AS n, round(sum(value) + 1e-7, 3) AS usd FROM events JOIN catalog c ON user_id = cond GROUP BY c.category",
+    "stream_positions": "SELECT user_id AS market, count(*) AS trades, round(sum(value) + 1e-7, 3) AS usd FROM events GROUP BY user_id",
+    "stream_alerts": "SELECT user_id AS market, arg_min(event_id, (ts, event_id)) AS id, arg_min(value, (ts, event_id)) AS usd FROM events WHERE value >= 100 GROUP BY user_id",
+    "stream_dockets": "SELECT DISTINCT o_custkey AS docket_id FROM orders",
+    "sketch_error": "SELECT true AS near",
+    "null_facts": f"{POSITIONS}, f AS (SELECT count(*) AS n, count(*) FILTER (WHERE won) AS observed, sum(entry) AS expected, sqrt(sum(entry * (1 - entry))) AS sd FROM positions) SELECT n, observed, {_r('expected', 'sd')}, round((f.observed - f.expected) / f.sd + 1e-7, 3) AS z FROM f",
+    "corroborated_rings": f"{_RINGS} SELECT funder, members, edges, {_r('mean_link', 'best', digits=4)} FROM rings",
+    "ring_edges": f"{_RINGS}, x AS (SELECT p.funder, a, b, link, members, row_number() OVER (PARTITION BY p.funder ORDER BY round(link, 9) DESC, a, b) AS r FROM pairs p JOIN rings g ON p.funder = g.funder) SELECT funder, a, b, {_r('link', digits=4)} FROM x WHERE r <= members",
+    "flagged_rings": f"""{FUSED}, ti AS (SELECT wallet, CASE {_TIER} WHEN 'high' THEN 'elevated' WHEN 'notable' THEN 'watch' ELSE {_TIER} END AS tier FROM fused WHERE {_TIER} <> 'unflagged'
+      ), w AS (SELECT 'w' || c_custkey AS wallet, CASE WHEN c_custkey % 20 = 0 THEN 'hub-' || c_nationkey ELSE c_nationkey || '-' || (c_custkey // 100) END AS funder FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))
+      SELECT funder, count(*) AS size, count(tier) AS flagged, arg_min(tier, CASE tier WHEN 'extreme' THEN 0 WHEN 'elevated' THEN 1 WHEN 'watch' THEN 2 END) AS worst FROM w LEFT JOIN ti USING (wallet) GROUP BY funder HAVING count(tier) >= 1 ORDER BY 3 DESC, 2 DESC, 1 LIMIT 30""",
+    "ring_aggregate": f"""{POSITIONS}, f AS (SELECT o_custkey, min(CAST(epoch(o_orderdate) AS BIGINT)) AS first_seen_ts FROM orders GROUP BY 1), w AS (SELECT 'w' || c_custkey AS wallet, CASE WHEN c_custkey % 20 = 0 THEN 'hub-' || c_nationkey ELSE c_nationkey || '-' || (c_custkey // 100) END AS funder, first_seen_ts FROM customer JOIN f ON c_custkey = o_custkey
+      ), m AS (SELECT funder, count(*) AS members, min(first_seen_ts) AS created_ts, bool_and(coalesce(prior_tx = 0, false)) AS untouched FROM w JOIN accounts USING (wallet) GROUP BY funder
+      ), b AS (SELECT funder, count(*) AS bets, sum(stake) AS stake, sum(pnl) AS pnl, min(ts) AS first_ts FROM w JOIN positions USING (wallet) GROUP BY funder) SELECT funder, members, bets, {_r('stake', 'pnl', digits=2)}, first_ts, created_ts, untouched FROM m JOIN b USING (funder)""",
+    "ring_split": f"{PAIRS}, x AS (SELECT funder AS component, event_group, count(DISTINCT wallet) AS n FROM w JOIN e USING (wallet) GROUP BY 1, 2) SELECT component, round(count(*) FILTER (WHERE n >= 2) / count(*) + 1e-7, 4) AS split_ratio FROM x GROUP BY component",
+    "linked_clusters": f"""{PAIRS.replace('WITH ', 'WITH RECURSIVE ', 1)}, links AS (SELECT a, b FROM pairs WHERE link >= 0.6 UNION SELECT b, a FROM pairs WHERE link >= 0.6), reach AS (SELECT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a
+      ), comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node), i AS (SELECT component, count(*) AS edges, avg(link) AS mean_link FROM pairs JOIN comp ON a = node GROUP BY component), z AS (SELECT component, count(*) AS members FROM comp GROUP BY component)
+      SELECT component, members, edges, round(mean_link + 1e-7, 4) AS mean_link FROM i JOIN z USING (component) WHERE i.mean_link >= 0.62""",
+    "first_funding": f"WITH {_TRANSFERS}, x AS (SELECT t AS wallet, arg_min(f, (ts, f)) AS funder, min(ts) AS funding_ts FROM t GROUP BY t) SELECT wallet, funder, funding_ts, n_name AS label FROM x LEFT JOIN nation ON funder = n_nationkey",
+    "prior_transactions": f"WITH {_TRANSFERS} SELECT f AS wallet, count(*) FILTER (WHERE f % 5 = 0 OR ts < 900000000) AS prior_tx FROM t JOIN customer ON f = c_custkey GROUP BY f",
+    "cash_out": f"WITH {_TRANSFERS} SELECT f AS wallet, round((min(ts) - 900000000) / 3600 + 1e-7, 4) AS hours FROM t JOIN customer ON f = c_custkey WHERE ts >= 900000000 GROUP BY f",
+    "docket_drafts": f"""{_DRAFTS} SELECT id, caption, CASE WHEN platform = '' THEN 'Other' ELSE platform END AS platform, court, 'Federal court' AS forum, coalesce(state, '') AS states, filed AS filed_date, terminated AS decided_date,
+      'New filing, found on 2024-07-01. Filed ' || CASE WHEN filed IS NOT NULL THEN filed || ' in ' ELSE 'in ' END || court || CASE WHEN number IS NOT NULL THEN ' (docket ' || number || ')' ELSE '' END || '. Merits and posture not yet reviewed.' AS summary, needs AS needs_review FROM dd""",
+    "approved_drafts": f"{_DRAFTS} SELECT id, 'doctrinalQuestion,statutes,summary,parties.role' AS \"left\" FROM dd WHERE platform = 'Venue'",
+    "matter_refresh": """WITH m AS (SELECT o_orderkey AS id, o_orderdate::DATE AS filed, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate::DATE WHEN o_orderkey % 2 = 0 THEN DATE '2030-01-01' END AS last, CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate::DATE END AS decided, o_orderkey % 2 = 0 AS pending,
+        o_orderdate::DATE + CAST(o_orderkey % 900 AS INTEGER) AS filing, CASE WHEN o_orderkey % 11 = 0 THEN DATE '2029-01-01' END AS modified, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate::DATE + 30 END AS ended FROM orders
+      ), n AS (SELECT *, greatest(filed, least(filing, DATE '1999-06-30'), CASE WHEN modified IS NOT NULL THEN least(modified, DATE '1999-06-30') ELSE filed END) AS newest FROM m)
+      SELECT id, strftime(CASE WHEN last IS NULL OR newest > last OR last > DATE '1999-06-30' THEN newest ELSE last END, '%Y-%m-%d') AS last_update, strftime(coalesce(decided, ended), '%Y-%m-%d') AS decided_date, coalesce(ended IS NOT NULL AND pending, false) AS flag_outcome FROM n""",
+    "press_tracker": f"WITH {_PRESS}, old AS (SELECT DISTINCT key FROM pr3 WHERE d < '2024-02-01'), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d DESC, section DESC, actors DESC, title DESC, link DESC, status DESC) AS r FROM pr3 ANTI JOIN old USING (key)) SELECT key, d, section, actors, status, colour FROM r WHERE r = 1",
+    "court_tracker": f"""WITH {_FULL} SELECT filed AS d, CASE WHEN k % 3 = 0 THEN upper(name) ELSE name END AS actors, 'Event-contract enforcement docket (' || coalesce(number, 'verify') || '); details pending review.' AS sum, '/docket/' || docket_id || '/' AS src, 'Charged' AS status FROM fd WHERE c_nationkey % 3 = 1 OR (public AND c_nationkey % 3 = 2)""",
+    "matter_search": f"{MATTERS} SELECT id, caption, outcome, filed_date FROM matters WHERE contains(lower(caption || ' ' || platform), 'urgent') AND outcome IN ('Permitted', 'Settled') AND list_has_any(states, ['S1', 'S2', 'S3', 'S4']) AND filed_date[1:4]::INT BETWEEN 1993 AND 1997",
+    "forum_tilt": f"{MATTERS}, c AS (SELECT contract, forum, count(*) AS n, count(*) FILTER (WHERE outcome = 'Permitted') AS permitted, count(*) FILTER (WHERE outcome = 'Enjoined') AS enjoined FROM matters GROUP BY contract, forum) SELECT *, CASE WHEN permitted > enjoined THEN 'permitted' WHEN permitted < enjoined THEN 'enjoined' ELSE 'even' END AS tilt FROM c",
+    "entity_edges": f"{MATTERS} SELECT platform, forum, outcome, count(*) AS n FROM matters GROUP BY ALL",
+    "doctrine_flow": f"""{MATTERS}, x AS (SELECT CASE WHEN gate IN ('g0', 'g1', 'g2', 'g3') THEN gate ELSE 'special' END AS gate, id || '-' || platform || '-' || posture || '-' || array_to_string(states, '') AS id, caption, outcome, filed_date FROM matters
+      ), r AS (SELECT gate, id, outcome, CAST(row_number() OVER (PARTITION BY gate ORDER BY list_position(['Permitted', 'Enjoined', 'Settled', 'Dismissed', 'Pending'], outcome), caption, id, filed_date NULLS FIRST) AS INTEGER) AS place FROM x) SELECT gate, place, id, outcome FROM r WHERE place <= 20""",
+    "tracker_newest": f"{MATTERS}, x AS (SELECT id, max(filed_date) AS filed_date FROM matters WHERE filed_date IS NOT NULL GROUP BY id) SELECT id, filed_date FROM x ORDER BY filed_date DESC, id LIMIT 50",
+}
+
+
 ORACLES: dict[str, str] = {
     "net_positions": f"{POSITIONS} SELECT cond, wallet, outcome, won, held, ts, {_r('entry', 'gross', 'stake', 'pnl', 'late', 'directional')} FROM positions",
     "market_cross_section": f"{BETS} SELECT cond, wallet, buyers, {_r('z_bet', 'z_profit')} FROM crossed WHERE z_profit IS NOT NULL",
@@ -364,6 +503,7 @@ ORACLES: dict[str, str] = {
     **{name: _named(key) for name, key in NAMES.items()},
     "fuse_tier": f"{FUSED} SELECT wallet, {_TIER} AS tier, CAST(agreeing AS INTEGER) AS agreeing, CAST(n_fired AS INTEGER) AS n_fired, fired FROM fused",
     **_PUBLISHED,
+    **_SURVEILLANCE,
     "news_blackout": """WITH e AS (SELECT user_id % 20 AS entity, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id, event_type, value FROM events
       ), n AS (SELECT b.event_id, count(x.ts) AS n, any_value(b.value) AS stake FROM e b LEFT JOIN e x ON x.event_type = 'error' AND x.entity = b.entity AND x.ts BETWEEN b.ts - 21600 AND b.ts WHERE b.event_type = 'purchase' GROUP BY b.event_id)
       SELECT event_id AS bet_id, n, n = 0 AS blackout, CAST(round(CASE WHEN n = 0 AND stake >= 20 THEN 0.6 WHEN n = 0 THEN 0.3 ELSE greatest(0.0, least(0.25, 0.2 - 0.02 * n)) END, 4) AS DOUBLE) AS score FROM n""",
@@ -371,7 +511,7 @@ ORACLES: dict[str, str] = {
       ), p AS (SELECT b.event_id AS bet_id, b.ts, x.ts AS found, row_number() OVER (PARTITION BY b.event_id ORDER BY x.ts DESC, x.event_id DESC) AS r FROM e b JOIN e x ON x.event_type = 'signup' AND x.entity = b.entity AND x.ts BETWEEN b.ts - 86400 AND b.ts + 259200 WHERE b.event_type = 'purchase')
       SELECT bet_id, CAST(count(*) FILTER (WHERE found >= ts) AS INTEGER) AS ahead, CAST(count(*) AS INTEGER) AS docs FROM p WHERE r <= 5 GROUP BY bet_id""",
     "funding_network": """WITH t AS (SELECT o_orderkey % 40 AS f, 1000 + o_custkey AS t, sum(o_totalprice) AS value, min(CAST(epoch(o_orderdate) AS BIGINT)) AS first_ts FROM orders GROUP BY 1, 2
-      ), o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY value DESC, f) AS r FROM t WHERE t IN (SELECT 1000 + c_custkey FROM customer WHERE c_custkey % 50 = 0)
+      ), o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY value DESC, f) AS r FROM t WHERE t IN (SELECT 1000 + c_custkey FROM customer WHERE c_acctbal < 0)
       ), g AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY value DESC, t) AS r FROM t WHERE f IN (SELECT f FROM o WHERE r <= 3))
       SELECT o.t AS subject, o.f AS funder, g.t AS recipient, round(g.value + 1e-7, 2) AS value, g.first_ts FROM o JOIN g ON o.f = g.f AND g.r <= 30 WHERE o.r <= 3 AND o.t <> g.t""",
     "episode_score": f"""{BETS}, s0 AS (SELECT wallet, avg(stake) AS m, stddev_samp(stake) AS sd FROM bets WHERE stake > 0 GROUP BY wallet
@@ -416,7 +556,7 @@ ORACLES: dict[str, str] = {
       ), z AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY (outcome = 'Pending')::INT, votes DESC, outcome) AS r FROM y)
       SELECT scenario, CAST(sum(n) AS BIGINT) AS matches, coalesce(max(CASE WHEN r = 1 AND outcome <> 'Pending' THEN outcome END), 'Unsettled') AS predicted FROM z GROUP BY scenario""",
     "docket_relevance": f"{DOCKETS} SELECT case_name, docket_id, accept, platform, reason FROM dockets",
-    "docket_diff": f"""{DOCKETS}, m AS (SELECT o_orderkey * 7 AS docket_id, 'matter-cl' || (o_orderkey * 7) AS known, CASE WHEN o_orderkey % 3 = 0 THEN '2020-01-01' END AS decided FROM orders WHERE o_orderkey % 8 = 0
+    "docket_diff": f"""{DOCKETS}, m AS (SELECT o_orderkey * 7 AS docket_id, 'matter-cl' || (o_orderkey * 7) AS known, CASE WHEN o_orderkey % 3 = 0 THEN '2020-01-01' END AS decided FROM orders WHERE o_orderstatus = 'F'
       ), l AS (SELECT DISTINCT s_suppkey * 7 AS docket_id, true AS seen FROM supplier
       ), a AS (SELECT docket_id, case_name, terminated FROM dockets WHERE accept AND docket_id IS NOT NULL)
       SELECT docket_id, coalesce(known, array_to_string(string_split_regex(trim(regexp_replace(lower(case_name), '[^a-z0-9]+', ' ', 'g')), ' +')[1:6], '-') || '-cl' || docket_id) AS id,
@@ -443,6 +583,5 @@ ORACLES: dict[str, str] = {
     "feed_profile": "WITH f AS (SELECT count(*) AS n, " + ", ".join(f"count({c}) AS {c}" for c in ("event_id", "ts", "user_id", "event_type", "value", "props")) + " FROM events) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS present, n - {c} AS missing FROM f" for c in ("event_id", "ts", "user_id", "event_type", "value", "props")),
     "stream_bars": f"""{V}, b AS (SELECT user_id AS market, date_trunc('day', ts) AS start, round(arg_max(0.05::DOUBLE + 0.9::DOUBLE * value / (value + 20), (epoch_us(ts), event_id)), 3) AS p, round(sum(value), 3) AS volume, count(*) AS n FROM events GROUP BY 1, 2)
       SELECT market, CAST(epoch(start) AS BIGINT) AS start, p, volume, n FROM b WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
-    "stream_watchlist": """SELECT user_id AS market, count(*) AS trades, round(sum(value), 3) AS usd, CAST(max(floor(greatest(0, 0.85::DOUBLE - (0.05::DOUBLE + 0.9::DOUBLE * value / (value + 20))) / 0.85::DOUBLE * 35 + 0.5)) AS INTEGER) AS score,
-      CASE WHEN max(floor(greatest(0, 0.85::DOUBLE - (0.05::DOUBLE + 0.9::DOUBLE * value / (value + 20))) / 0.85::DOUBLE * 35 + 0.5)) >= 25 THEN 'listed' ELSE 'open' END AS status FROM events GROUP BY user_id""",
+    **_MORE,
 }

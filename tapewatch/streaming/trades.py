@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tapewatch.operators.watch import CAP_PRICE, CAP_SCORE, POINTS, conviction
+
 #: The columns of the event files.
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()),
@@ -53,30 +55,56 @@ def with_catalog(stream: DataFrame, catalog: DataFrame, key: str = "market") ->
 
 
 WATCH = "market long, trades long, usd double, score int, status string, at timestamp"
-_STATE = "trades long, usd double, score int, last double"
+_STATE = "trades long, usd double, score int, last double, resolved double, side string"
+LIST_AT, PROMOTE_AT = 25, 65
 
 
 def _watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Count, sum and best score of a market; ``retired`` when it is silent past its timeout."""
-    trades, usd, score, last = state.get if state.exists else (0, 0.0, 0, 0.0)
+    """A market's trades and resolutions: listed from a score, then promoted or cleared, retired by a timer."""
+    trades, usd, score, last, resolved, side = state.get if state.exists else (0, 0.0, 0, 0.0, 0.0, "")
+
+    def row(status):
+        return pd.DataFrame([(key[0], trades, usd, score, status, pd.Timestamp(max(last, resolved), unit="s").floor("us"))], columns=["market", "trades", "usd", "score", "status", "at"])
+
     if state.hasTimedOut:
         state.remove()
-        yield pd.DataFrame([(key[0], trades, usd, score, "retired", pd.Timestamp(last, unit="s").floor("us"))], columns=["market", "trades", "usd", "score", "status", "at"])
+        yield row("retired")
         return
     for rows in batches:
-        trades += len(rows)
-        usd += float(rows["usd"].sum())
-        points = ((0.85 - rows["p"]).clip(lower=0) / 0.85 * 35 + 0.5).astype(int)
-        score = max(score, int(points.max()))
-        last = max(last, rows["ts"].max().timestamp())
-    state.update((trades, usd, score, last))
-    state.setTimeoutTimestamp(int((last + 30 * 86_400) * 1000))
-    yield pd.DataFrame([(key[0], trades, usd, score, "listed" if score >= 25 else "open", pd.Timestamp(last, unit="s").floor("us"))], columns=["market", "trades", "usd", "score", "status", "at"])
+        bets, ends = rows[rows["kind"] != "resolution"], rows[rows["kind"] == "resolution"]
+        if len(bets):
+            trades += len(bets)
+            usd += float(bets["usd"].sum())
+            score = max(score, int(bets["score"].max()))
+            last = max(last, bets["ts"].max().timestamp())
+        if len(ends):
+            end = ends.sort_values("ts").iloc[-1]
+            resolved, side = end["ts"].timestamp(), str(end["outcome"])
+    state.update((trades, usd, score, last, resolved, side))
+    state.setTimeoutTimestamp(int((resolved + 7 * 86_400 if resolved else last + 30 * 86_400) * 1000))
+    status = "listed" if score >= LIST_AT else "open"
+    if resolved:
+        status = "promoted" if side == "YES" and score >= PROMOTE_AT else "cleared"
+    yield row(status)
+
+
+def watch_points(stream: DataFrame) -> DataFrame:
+    """The stream with ``score``: the batch watchlist's points of conviction, size and news, and ``outcome`` (null for trades)."""
+    points = conviction(F.col("p"), F.lit(1000)) + F.when(F.col("usd") >= 100, POINTS["outsized"]).otherwise(0) + F.when(F.col("kind") == "error", POINTS["blackout"]).otherwise(0)
+    return stream.withColumns({"score": F.greatest(F.lit(0), F.when(F.col("p") >= CAP_PRICE, F.least(F.lit(CAP_SCORE), points)).otherwise(points)).cast("int"), "outcome": F.lit(None).cast("string")})
+
+
+def with_resolutions(trades: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """One input for the watchlist: scored trades and resolutions (``market, ts, outcome``); one that comes before its trades waits in state."""
+    ends = resolutions.select("market", F.lit(None).cast("long").alias("id"), "ts", F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("usd"), F.lit("resolution").alias("kind"), F.lit(0).alias("score"), "outcome")
+    return trades.unionByName(ends)
 
 
 def watchlist(stream: DataFrame) -> DataFrame:
-    """Stateful list by market, updated with each batch; state leaves 30 days after the last trade."""
-    return stream.groupBy("market").applyInPandasWithState(_watch, WATCH, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    """Stateful list by market, updated with each batch: open, listed, promoted (won at a high score), cleared; state leaves 7 days after the
+    resolution, or 30 days after the last trade, and says retired."""
+    scored = stream if "score" in stream.columns else watch_points(stream)
+    return scored.groupBy("market").applyInPandasWithState(_watch, WATCH, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
@@ -106,12 +134,42 @@ def merge_sketch(folder: str, column: str, precision: int = 12) -> Callable[[Dat
     return each
 
 
+def versions(spark: SparkSession, folder: str, below: int | None = None) -> int | None:
+    """The newest written version of a table (under ``below``), or None."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    found = [int(n.split("=")[1]) for n in names if n.startswith("version=")]
+    return max((n for n in found if below is None or n < below), default=None)
+
+
 def upsert_table(folder: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: version n+1 of a table from version n and the batch. No version is read and written at once."""
+    """For foreachBatch: the next version of a table from the newest one before it and the batch. No version is read and written at once;
+    a batch number that was skipped leaves no gap, and a batch that runs again replaces its own version."""
 
     def each(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        old = spark.read.parquet(f"{folder}/version={number - 1}") if number else None
+        last = versions(spark, folder, number)
+        old = None if last is None else spark.read.parquet(f"{folder}/version={last}")
         merge(old, rows).write.mode("overwrite").parquet(f"{folder}/version={number}")
 
     return each
+
+
+def summed_positions(old: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """``market, trades, usd, last``: a table of sums with a batch of trades added."""
+    new = rows.groupBy("market").agg(F.count("*").alias("trades"), F.sum("usd").alias("usd"), F.max("ts").alias("last"))
+    both = new if old is None else old.unionByName(new)
+    return both.groupBy("market").agg(F.sum("trades").alias("trades"), F.sum("usd").alias("usd"), F.max("last").alias("last"))
+
+
+def alert_once(folder: str, least: float) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a market's first trade of ``least`` dollars, once for all batches."""
+
+    def each(rows: DataFrame, number: int) -> None:
+        spark, schema = rows.sparkSession, "market long, id long, usd double"
+        sent = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/sent") if number and versions(spark, f"{folder}/sent", number) is not None else spark.createDataFrame([], schema)
+        first = rows.where(F.col("usd") >= least).groupBy("market").agg(F.min(F.struct("ts", "id", "usd")).alias("f")).select("market", "f.id", "f.usd")
+        first.join(sent.select("market"), "market", "left_anti").write.mode("overwrite").parquet(f"{folder}/sent/version={number}")
+
+    return each
