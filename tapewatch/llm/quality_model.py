@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import staged
+
 BITS = 18
 PIECE = 1 << 16
 
@@ -54,7 +56,6 @@ def features(text: str | None, bits: int = BITS, remembered: dict | None = None)
     words = (text or "").encode("utf-8", "surrogatepass").split()
     remembered = {} if remembered is None else remembered
     constant = (1 << bits) - 1
-    counts: dict | np.ndarray
     if not words:
         return np.array([constant]), np.ones(1)
     all_at, all_n = [], []
@@ -101,14 +102,18 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, pass
     return Model(weights(np.arange(1 << bits)), bits)
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_on, most_rows: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bits: int = BITS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, train_on, most_rows: int = 8_000, most_bytes: int = 1 << 28, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bits: int = BITS) -> Model:
     """Train on rows for which ``train_on`` (a Column over ``id``) holds.
 
     ``most_rows`` bounds the labelled rows, taken in order of a hash of the id; of each class half at
-    most, while there are enough of both. Their hashed features reach the driver, not their texts.
+    most, while there are enough of both. Their hashed features reach the driver, not their texts, and
+    ``most_bytes`` bounds these: rows after that bound are left out. The constant is then moved by the
+    log odds of label 1 in all labelled rows against those in the sample, so that scores are likelihoods.
     Rows with a null id or label are left out; an id that repeats counts once, with its least text.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & train_on)
+    known = staged(known, "known")
+    share = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     order = F.xxhash64(F.col("id"), F.lit(9))
     chosen = known.where("label = 0").orderBy(order).limit(most_rows // 2).unionAll(known.where("label = 1").orderBy(order).limit(most_rows // 2))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
@@ -122,9 +127,18 @@ def learn(docs: DataFrame, labels: DataFrame, train_on, most_rows: int = 8_000,
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("label", T.IntegerType()), T.StructField("at", T.BinaryType()), T.StructField("value", T.BinaryType())])
     got = texts.select("id", "label", "text").select("id", "text", "label").mapInArrow(run, schema)
-    got = got.groupBy("id").agg(F.min(F.struct("at", "value", "label")).alias("x")).select("id", "x.*").orderBy(F.xxhash64(F.col("id"), F.lit(10)), "id").toPandas()
+    got = staged(got.groupBy("id").agg(F.min(F.struct("at", "value", "label")).alias("x")).select("id", "x.*").withColumn("turn", F.xxhash64(F.col("id"), F.lit(10))), "features")
+    sizes = got.select("id", "turn", (F.octet_length("at") + F.octet_length("value")).alias("size")).orderBy("turn", "id").toPandas()
+    fits = sizes["size"].cumsum() <= most_bytes
+    if not fits.all():
+        got = got.where(F.col("id").isin(sizes["id"][fits].tolist()))
+    got = got.orderBy("turn", "id").toPandas()
     rows = [(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float), int(y)) for a, v, y in zip(got["at"], got["value"], got["label"], strict=True)]
-    return train(rows, bits)
+    model = train(rows, bits)
+    taken = {y: sum(r[2] == y for r in rows) for y in (0, 1)}
+    if taken[0] and taken[1]:
+        model.weights[-1] += math.log(share[1] / share[0]) - math.log(taken[1] / taken[0])
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,9 +1,11 @@
 """Quality rules: text statistics and a learned decision list, in DataFrame functions only.
 
-A rule is a conjunction of thresholds on ratios of the statistics; a list of rules is one ordered
-``CASE WHEN``. Rules come from labelled rows by sequential covering: a rule is grown by the threshold
-with the best gain on two thirds of the rows not yet covered, then pruned on the other third. Each
-step is one aggregation over the labelled rows, whose result is a fixed number of counts.
+A rule is a conjunction of thresholds on ratios of the statistics, and what it says of a row that meets
+it: drop or keep. A list of rules is one ordered ``CASE WHEN``, in which the first rule met decides. Rules
+come from labelled rows by sequential covering: a rule is grown by the threshold with the best gain on two
+thirds of the rows that no rule covers yet, then pruned on the other third. Rules that drop come first;
+where none is sure enough, one that keeps takes its rows out of the way, and those that drop are tried again.
+Each step is one aggregation over the labelled rows, whose result is a fixed number of counts.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from ._common import staged
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+TAILS = (0.0001, 0.001, 0.01)
 #: What rules may test, as SQL over the statistics.
 MEASURES = {
     "n_words": "cast(n_words as double)",
@@ -100,27 +103,42 @@ class Test:
         return f"{self.measure} {'>' if self.above else '<='} {self.value:g}"
 
 
-Rule = tuple[Test, ...]
+@dataclass(frozen=True)
+class Rule:
+    """What meets all ``tests`` is kept or dropped."""
+
+    tests: tuple[Test, ...]
+    keep: bool
 
+    def __str__(self) -> str:
+        return f"{' and '.join(map(str, self.tests))}: {'keep' if self.keep else 'drop'}"
 
-def _all(rule: Rule) -> Column:
+
+def _all(tests: tuple[Test, ...]) -> Column:
     met = F.lit(True)
-    for test in rule:
+    for test in tests:
         met = met & test.column()
     return met
 
 
 def verdict(rules: list[Rule]) -> Column:
-    """False for a row that any rule of the ordered list meets, else True."""
+    """What the first rule of the list that a row meets says of it; True where it meets none."""
     said = F.when(F.lit(False), F.lit(True))
     for rule in rules:
-        said = said.when(_all(rule), F.lit(False))
+        said = said.when(_all(rule.tests), F.lit(rule.keep))
     return said.otherwise(F.lit(True))
 
 
+def _covered_by(rules: list[Rule]) -> Column:
+    met = F.lit(False)
+    for rule in rules:
+        met = met | _all(rule.tests)
+    return met
+
+
 def _thresholds(labelled: DataFrame, steps: int) -> dict[str, list[float]]:
-    """Quantiles of each measure over all rows and over label 0, and the middles between them."""
-    at = [k / steps for k in range(1, steps)]
+    """Quantiles of each measure over all rows and over label 0, those of both tails too, and the middles between them."""
+    at = sorted({*(k / steps for k in range(1, steps)), *TAILS, *(1 - t for t in TAILS)})
     asked = []
     for m, sql in MEASURES.items():
         asked += [F.percentile_approx(F.expr(sql), at, 10_000).alias(m), F.percentile_approx(F.when(~F.col("good"), F.expr(sql)), at, 10_000).alias(f"{m}_0")]
@@ -163,48 +181,71 @@ def _precision(bad: int, good: int) -> float:
     return (bad + 1) / (bad + good + 2)
 
 
-def learn_rules(statistics_: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", steps: int = 16,
-                most_rules: int = 6, most_tests: int = 3, least_precision: float = 0.95, least_cover: int = 5) -> list[Rule]:
-    """Rules for label 0 from all rows that have a label and pass the base rules.
+def _grown(left: DataFrame, values: dict, keep: bool, most_tests: int, least_cover: int, aside: set[Test]) -> tuple[Test, ...]:
+    """The tests of a rule for one label, best gain first; ``aside`` holds first tests that failed before."""
+    tests: tuple[Test, ...] = ()
+    while len(tests) < most_tests:
+        seen = {t: (c[::-1] if keep else c) for t, c in _histogram(left.where(_all(tests)), values).items()}
+        now = seen.pop(None)
+        if not now[0] or not now[1]:
+            break
+
+        def gain(test, now=now, seen=seen):
+            c = seen[test]
+            return c[0] * (math.log2(_precision(*c)) - math.log2(_precision(*now))) if c[0] >= least_cover else 0.0
+
+        gains = {t: gain(t) for t in seen if tests or t not in aside}
+        best = max(gains.values(), default=0)
+        if best <= 0:
+            break
+        # of thresholds that part the rows alike, the one in the middle of them
+        alike = [t for t in gains if gains[t] == best]
+        alike = [t for t in alike if (t.measure, t.above) == (alike[0].measure, alike[0].above)]
+        tests = (*tests, alike[len(alike) // 2])
+    return tests
+
 
-    ``steps`` quantiles of each measure are tried as thresholds. A rule stays if, on rows it was not
-    grown on, ``least_precision`` of what it meets is labelled 0 and it meets ``least_cover`` at least.
-    Without labels of both kinds the list is empty. Rows with null ids or labels are left out.
+def learn_rules(statistics_: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", steps: int = 16,
+                most_tests: int = 3, least_precision: float = 0.95, least_cover: int = 5, tries: int = 3) -> list[Rule]:
+    """An ordered list of rules from all rows that have a label and pass the base rules.
+
+    ``steps`` quantiles of each measure and those of both tails are tried as thresholds. A rule stays if, on rows it was
+    not grown on, it meets ``least_cover`` rows of its label at least and ``least_precision`` of what it meets has that label;
+    a rule that keeps may meet a tenth of the share of bad rows at most. ``tries`` first tests are tried for a label before
+    it is given up. The list ends when no rule stays. Without labels of both kinds it is empty. Rows with null ids or
+    labels are left out.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) == 1).alias("good"))
     labelled = staged(statistics_.where(~base_failed()).join(known, "id").withColumn("grow", F.pmod(F.xxhash64("id"), F.lit(3)) < 2), "labelled")
     grow, prune = labelled.where("grow"), labelled.where("not grow")
     values = _thresholds(labelled, steps)
+    bad, good = _counts(labelled, [F.lit(True)])[0]
+    if not bad or not good or not any(values.values()):
+        return []
+    sure = {False: least_precision, True: max(least_precision, 1 - 0.1 * bad / (bad + good))}
     rules: list[Rule] = []
-    while any(values.values()) and len(rules) < most_rules:
-        left, rule = grow.where(verdict(rules)), ()
-        while len(rule) < most_tests:
-            seen = _histogram(left.where(_all(rule)), values)
-            now = seen.pop(None)
-            if not now[0] or not now[1]:
-                break
-
-            def gain(test, now=now, seen=seen):
-                c = seen[test]
-                return c[0] * (math.log2(_precision(*c)) - math.log2(_precision(*now))) if c[0] >= least_cover else 0.0
-
-            # of thresholds that part the rows alike, the one in the middle of them
-            best = max(map(gain, seen))
-            if best <= 0:
-                break
-            alike = [t for t in seen if gain(t) == best]
-            alike = [t for t in alike if (t.measure, t.above) == (alike[0].measure, alike[0].above)]
-            rule = (*rule, alike[len(alike) // 2])
-        if not rule:
-            break
-        shorter = [rule[:k] for k in range(1, len(rule) + 1)]
-        held = _counts(prune.where(verdict(rules)), [_all(r) for r in shorter])
-        worth = [(b - g) / max(1, b + g) for b, g in held]
-        at = max(range(len(shorter)), key=lambda k: (worth[k], -k))
-        bad, good = held[at]
-        if bad < least_cover or bad < least_precision * (bad + good):
-            break
-        rules.append(shorter[at])
+
+    def next_rule(keep: bool) -> Rule | None:
+        aside: set[Test] = set()
+        open_ = ~_covered_by(rules)
+        for _ in range(tries):
+            tests = _grown(grow.where(open_), values, keep, most_tests, least_cover, aside)
+            if not tests:
+                return None
+            shorter = [tests[:k] for k in range(1, len(tests) + 1)]
+            held = [c[::-1] if keep else c for c in _counts(prune.where(open_), [_all(t) for t in shorter])]
+            worth = [(own - other) / max(1, own + other) for own, other in held]
+            at = max(range(len(shorter)), key=lambda k: (worth[k], -k))
+            own, other = held[at]
+            if own >= least_cover and own >= sure[keep] * (own + other):
+                return Rule(shorter[at], keep)
+            aside.add(tests[0])
+        return None
+
+    while (found := next_rule(False) or next_rule(True)) is not None:
+        rules.append(found)
+    while rules and rules[-1].keep:  # rows that meet no rule are kept anyway
+        rules.pop()
     return rules
 
 

@@ -1,10 +1,11 @@
 """Shards by best-fit-decreasing bin packing of groups that must stay together.
 
-A group is all rows with equal texts. Groups are put into classes by weight: up to 2,048 weights
-exactly, above with eleven significant bits. Groups of a class are packed as runs: best fit puts groups
-of one weight into the same bin until it is full, so a run costs one step for each bin it enters.
-The driver gets the classes (some 30,000 at most, whatever the input), packs them, and each group
-finds its bin by its rank in its class.
+A group is all rows with equal texts. Groups are put into classes by weight: up to 65,535 bytes
+exactly; above, groups whose sixteen leading bits are equal count as their mean, which is their weight but
+for one part in 32,768. Groups of a class are packed as runs: best fit puts groups of one weight into
+the same bin until it is full, so a run costs one step for each bin it enters. The driver gets the classes
+(32,768 for each doubling above, whatever the input), packs them, and each group finds its bin by its
+rank in its class.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ._common import staged
 
 PARTS = 256  # rows of one class or shard are ranked in this many parts, so no task ranks a whole one
-BITS = 11
+BITS = 16
 
 
 class _Node:
@@ -168,7 +169,7 @@ def pack_evenly(classes: list[tuple[int, int, int]], bins: int) -> list[Run]:
 
 
 def _class_of(weight: Column) -> Column:
-    """Weights under 2^11 as they are, above rounded down to eleven significant bits; heavier is larger."""
+    """Weights of up to ``BITS`` bits as they are, above rounded down to that many; heavier is larger."""
     extra = F.greatest(F.length(F.bin(weight)) - BITS, F.lit(0))
     return (F.expr("0L") + extra.cast("long")) * (1 << BITS) + F.call_function("shiftrightunsigned", weight, extra.cast("int"))
 

@@ -456,6 +456,55 @@ def test_op10_learns_a_conjunction(spark):
     assert rules and np.mean([kept[i] == bool(q) for i, q in labels]) >= 0.95
 
 
+def test_op10_order_of_the_list_decides(spark):
+    """Bad rows lie inside a region that is good but for them, and outside it: a rule that keeps must come before one that drops."""
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(6000):
+        symbols, repeat = int(rng.integers(0, 100)), int(rng.integers(0, 20))
+        rows.append((i, 100, 500, symbols, 0, repeat))
+        labels.append((i, 0 if symbols > 80 and repeat > 10 or (40 < symbols <= 60 and repeat <= 10 and rng.random() < 0.99) else 1))
+    s = spark.createDataFrame(rows, "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    rules = quality_rules.learn_rules(s, spark.createDataFrame(labels, "doc_id long, quality int"))
+    kept = {r["id"]: r["kept"] for r in quality_rules.apply_rules(s, rules).collect()}
+
+    def plain(row):
+        ratio = {"n_words": row[1], "word_length": row[2] / row[1], "symbols_per_word": row[3] / row[1], "dup_lines_per_word": row[4] / row[1], "dup_lines": row[4], "repeat_share": row[5] / row[1]}
+        return next((r.keep for r in rules if all((ratio[t.measure] > t.value) == t.above for t in r.tests)), True)
+
+    assert all(kept[r[0]] == plain(r) for r in rows) and np.mean([kept[i] == bool(q) for i, q in labels]) >= 0.93
+
+
+def test_op1_heavy_groups_are_packed_by_their_bytes(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "x" * int(n) + str(i)) for i, n in enumerate(rng.integers(2_100, 40_000, 400))]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 7).toPandas()
+    loads = got.groupby("shard")["size"].sum()
+    assert len(loads) == 7 and loads.max() - loads.min() <= 0.002 * loads.mean()
+    weights = Counter(len(t) + 8 for _, t in rows)
+    runs = sharding.pack([(w, n, w * n) for w, n in weights.items()], 300_000)
+    filled = Counter()
+    for r in runs:
+        filled[r.bin] += r.kind * r.count
+    assert max(filled.values()) <= 300_000 and sum(filled.values()) == sum(w * n for w, n in weights.items())
+
+
+def test_op9_scores_are_likelihoods(spark):
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for i in range(3000):
+        bad = rng.random() < 0.1
+        rows.append((i, " ".join(rng.choice(["junk", "spam", "buy"] if bad and rng.random() < 0.8 else ["calm", "text", "word"], 12))))
+        labels.append((i, 0 if bad else 1))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality_model.learn(docs, marks, train_on=quality_model.F.col("id") % 2 == 0)
+    got = quality_model.score(docs, model).toPandas().set_index("id").score
+    held = [i for i in range(3000) if i % 2]
+    assert abs(got.loc[held].mean() - np.mean([labels[i][1] for i in held])) <= 0.04
+    few = quality_model.learn(docs, marks, train_on=quality_model.F.lit(True), most_bytes=20_000)
+    assert few.weights.any()
+
+
 def test_pipeline(spark, documents):
     stages = [n for n, _ in corpus_pipeline.STAGES]
     assert stages == ["language", "lines", "near_duplicates", "mix", "tokens"]
