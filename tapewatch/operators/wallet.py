@@ -163,7 +163,7 @@ def detector_columns(r: WalletRules = WalletRules()) -> dict[str, tuple[Column,
         "crossCat": (cc_data, z >= 3, _scored(z >= 3, 0.45 + 0.55 * cc, clip(0.4 * cc, 0, 0.4)), z),
         "longshot": (c("ls_bets") > 0, long_fires, _scored(long_fires, 0.45 + 0.55 * long_base, clip(0.3 * long_base, 0, 0.4)), c("ls_mean")),
         "held": (c("ls_bets") > 0, held_fires, _scored(held_fires, 0.4 + (c("ls_held") - 0.9) / 0.1 * 0.6, clip(0.4 * c("ls_held"), 0, 0.4)), c("ls_held")),
-        "baseline": (c("ls_groups") >= r.least_bets, rate - c("ls_mean") > 0.05, clip((F.try_divide(rate, c("ls_mean")) - 1) / 4, 0, 1), rate - c("ls_mean")),
+        "baseline": (c("ls_groups") >= r.least_bets, F.round(rate - c("ls_mean"), 9) > 0.05, clip((F.try_divide(rate, c("ls_mean")) - 1) / 4, 0, 1), rate - c("ls_mean")),
         "profitCross": (c("z_profit").isNotNull(), c("z_profit") >= 2, _scored(c("z_profit") >= 2, 0.45 + 0.55 * profit, clip(0.4 * profit, 0, 0.4)), c("z_profit")),
         "conceal": (c("split_ratio").isNotNull() | decoy.isNotNull() | c("cash_out_hours").isNotNull() | nameless, hidden, _scored(hidden, 0.4 + 0.2 * tactics, clip(0.15 * tactics, 0, 0.39)), tactics.cast("double")),
         "fresh": (c("age_days").isNotNull() & c("prior_tx").isNotNull(), young, F.when(young, clip(1 - c("age_days") / r.fresh_days, 0.5, 1)).otherwise(clip(0.3 * (1 - clip(c("age_days") / 90, 0, 1)), 0, 0.4)), c("age_days")),

@@ -183,7 +183,7 @@ def dominant_category(spark, sf_dir):
 @query
 def shadow_overlap(spark, sf_dir):
     b, _, _, out = _published(spark, sf_dir)
-    return validation.shadow_overlap(wallet.episodes(b).where("tier is not null"), out)
+    return validation.shadow_overlap(wallet.episodes(b).withColumn("tier", F.coalesce("tier", F.lit("below"))), out)
 
 
 @query
@@ -724,8 +724,8 @@ def feed_coverage(spark, sf_dir):
 @query
 def augmented_set(spark, sf_dir):
     m = driver.listings(spark, sf_dir).select("market", "volume")
-    few = m.where("volume > 1500")
-    return surveillance.augmented(few.where("market % 2 = 0"), m.where("volume > 1000"), 1_000_000)
+    few = m.where("volume > 901")
+    return surveillance.augmented(few.where("market % 2 = 0"), m.where("volume > 900.5"), 1_000_000)
 
 
 @query

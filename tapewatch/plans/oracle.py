@@ -120,7 +120,7 @@ DETECTORS = {
     "crossCat": ("bets >= 5 AND groups >= 5 AND variance > 0 AND expected / groups > 0.35", f"{_Z} >= 3", f"CASE WHEN {_Z} >= 3 THEN {_clip(f'0.45 + 0.55 * {_CC}')} ELSE {_clip(f'0.4 * {_CC}', 0, 0.4)} END", _Z),
     "longshot": ("ls_bets > 0", "round(ls_mean, 9) <= 0.2", f"CASE WHEN round(ls_mean, 9) <= 0.2 THEN {_clip(f'0.45 + 0.55 * {_clip("(0.2 - ls_mean) / 0.2")}')} ELSE {_clip(f'0.3 * {_clip("(0.2 - ls_mean) / 0.2")}', 0, 0.4)} END", "ls_mean"),
     "held": ("ls_bets > 0", "ls_held >= 0.9", f"CASE WHEN ls_held >= 0.9 THEN {_clip('0.4 + (ls_held - 0.9) / 0.1 * 0.6')} ELSE {_clip('0.4 * ls_held', 0, 0.4)} END", "ls_held"),
-    "baseline": ("ls_groups >= 5", "ls_won / ls_groups - ls_mean > 0.05", _clip("(ls_won / ls_groups / ls_mean - 1) / 4"), "ls_won / ls_groups - ls_mean"),
+    "baseline": ("ls_groups >= 5", "round(ls_won / ls_groups - ls_mean, 9) > 0.05", _clip("(ls_won / ls_groups / ls_mean - 1) / 4"), "ls_won / ls_groups - ls_mean"),
     "profitCross": ("z_profit IS NOT NULL", "z_profit >= 2", f"CASE WHEN z_profit >= 2 THEN {_clip(f'0.45 + 0.55 * {_clip("z_profit / 8")}')} ELSE {_clip(f'0.4 * {_clip("z_profit / 8")}', 0, 0.4)} END", "z_profit"),
     "fresh": ("age_days IS NOT NULL AND prior_tx IS NOT NULL", _YOUNG, f"CASE WHEN {_YOUNG} THEN {_clip('1 - age_days / 14', 0.5, 1)} ELSE {_clip('0.3 * (1 - ' + _clip('age_days / 90') + ')', 0, 0.4)} END", "age_days"),
     "cluster": ("mean_link IS NOT NULL", "mean_link >= 0.8", _clip("(mean_link - 0.5) / 0.5"), "mean_link"),
@@ -334,7 +334,7 @@ _PUBLISHED = {
       SELECT wallet, n_fired + quiet::INT AS n_fired, round(floor((raw + 0.28::DOUBLE * (least(1.0::DOUBLE, (n_fired + quiet::INT) / 9) - least(1.0::DOUBLE, n_fired / 9)) + CASE WHEN quiet AND NOT (contains(f2, ',timing,') OR contains(f2, ',crossCat,')) THEN 0.08::DOUBLE ELSE 0 END) * 1000 + 0.5 + 1e-7) / 10, 1) AS suspicion FROM y""",
     "cheap_screen": f"{BETS} SELECT wallet, cond, {_r('stake', 'entry')} FROM bets WHERE (won AND entry <= 0.35) OR z_bet > 2 OR (stake >= 2500 AND entry <= 0.35)",
     "dominant_category": f"{BETS} SELECT wallet, category, n FROM (SELECT wallet, category, count(*) AS n, row_number() OVER (PARTITION BY wallet ORDER BY count(*) DESC, category) AS r FROM bets GROUP BY wallet, category) WHERE r = 1",
-    "shadow_overlap": f"{_CONTEXT} SELECT tier, count(*) AS n, count(*) FILTER (WHERE wallet IN (SELECT wallet FROM published)) AS published, count(*) FILTER (WHERE wallet NOT IN (SELECT wallet FROM published)) AS only_shadow FROM eps WHERE tier IS NOT NULL GROUP BY tier",
+    "shadow_overlap": f"{_CONTEXT} SELECT tier, count(*) AS n, count(*) FILTER (WHERE wallet IN (SELECT wallet FROM published)) AS published, count(*) FILTER (WHERE wallet NOT IN (SELECT wallet FROM published)) AS only_shadow FROM (SELECT wallet, coalesce(tier, 'below') AS tier FROM eps) GROUP BY tier",
     "episode_percentile": f"{_CONTEXT}, e AS (SELECT wallet, round(s, 2) AS s FROM eps) SELECT wallet, s, round(CASE WHEN count(*) OVER () > 1 THEN 100 * (count(*) OVER () - rank() OVER (ORDER BY s DESC)) / (count(*) OVER () - 1) ELSE 99.9 END + 1e-7, 3) AS percentile FROM e",
     "category_coverage": f"{V}, w AS (SELECT DISTINCT cond FROM trades) SELECT category, count(*) AS markets FROM catalog SEMI JOIN w USING (cond) GROUP BY category",
     "entities": f"{V}, {sql_entities('listings', 'named2', 'market')} SELECT market, array_to_string(ents, '; ') AS entities, corr AS corr_key FROM named2",
@@ -422,7 +422,7 @@ _SURVEILLANCE = {
     "deep_set": f"""{_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY resolved ORDER BY score DESC, market) AS r, row_number() OVER (PARTITION BY resolved, venue ORDER BY score DESC, market) AS v FROM scored)
       SELECT market, score, tier, resolved, venue FROM r WHERE (resolved AND r <= 8) OR (NOT resolved AND v <= 7) ORDER BY resolved DESC, score DESC, market LIMIT 22""",
     "feed_coverage": f"{_SCORED} SELECT venue, tier, count(*) AS n, count(*) FILTER (WHERE tier IN ('High-signal', 'Elevated')) AS alerts FROM scored GROUP BY venue, tier",
-    "augmented_set": "SELECT p_partkey AS market, p_retailprice AS volume FROM part WHERE (p_retailprice > 1500 AND p_partkey % 2 = 0) OR p_retailprice > 1000",
+    "augmented_set": "SELECT p_partkey AS market, p_retailprice AS volume FROM part WHERE p_retailprice > 900.5",
     "top_markets_of_event": f"{V}, v AS (SELECT cond, cond // 10 AS event_group, round(sum(usd), 2) AS volume FROM trades GROUP BY cond) SELECT cond, event_group, volume FROM (SELECT *, row_number() OVER (PARTITION BY event_group ORDER BY volume DESC, cond) AS r FROM v) WHERE r <= 4",
 }
 

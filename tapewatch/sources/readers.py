@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewatch.functions import text
+
 TRADES_RAW = (
     "proxyWallet string, user string, maker string, taker string, conditionId string, market string, side string, size string, price string, "
     "outcome string, outcomeIndex int, timestamp long, matchTime long, time long, transactionHash string, transaction_hash string, txHash string"
@@ -20,8 +22,23 @@ MATTERS = "id string, caption string, platform string, contract string, forum st
 RSS = "title string, link string, pubDate string, description string"
 
 
+#: The column that holds a line that is no JSON of the schema.
+BAD = "_bad_line"
+
+
+def landed(spark: SparkSession, path: str, schema: str, multi: bool = False) -> DataFrame:
+    """Rows of a feed, bad lines too: those have nothing but ``BAD``."""
+    return spark.read.schema(f"{schema}, {BAD} string").option("multiLine", multi).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path)
+
+
+def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row ``rows, bad, keyed``: how many lines of a landed feed there are, can't be read, and have the schema's first column."""
+    rows = landed(spark, path, schema)
+    return rows.agg(F.count("*").alias("rows"), F.count(BAD).alias("bad"), F.count(rows.columns[0]).alias("keyed"))
+
+
 def _json(spark: SparkSession, path: str, schema: str, multi: bool = False) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", multi).option("mode", "DROPMALFORMED").json(path)
+    return landed(spark, path, schema, multi).where(F.col(BAD).isNull()).drop(BAD)
 
 
 def _number(c: str) -> Column:
@@ -87,8 +104,73 @@ def settled_bets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hex_number(x: Column, decimals: int) -> Column:
-    """A hexadecimal amount of up to 16 digits in units of its token."""
-    return F.conv(F.substring(F.regexp_replace(x, "^0x0*", ""), -16, 16), 16, 10).try_cast("double") / 10**decimals
+    """A hexadecimal amount in units of its token: summed from groups of twelve digits, so no digit is lost; null if it is none."""
+    digits = F.regexp_replace(F.lower(x), "^0x0*", "")
+    padded = F.lpad(digits, 72, "0")
+    total = F.lit(0.0)
+    for k in range(6):
+        total = total * 2.0**48 + F.conv(F.substring(padded, 12 * k + 1, 12), 16, 10).cast("double")
+    return F.when(digits.rlike("^[0-9a-f]{0,72}$") & x.rlike("^0x"), total / 10**decimals)
+
+
+LOGS_RAW = "address string, topics array<string>, data string, blockNumber string, timeStamp string, transactionHash string"
+CANDLES_RAW = "market string, t long, p double, yes_price double, volume double"
+PROFILES_RAW = "wallet string, kind string, t long, p double, name string, volume double, traded long, pnl double"
+NEWS_RAW = "title string, source string, ts long, entity string"
+POOL_RAW = "wallet string, first_ts long, max_stake double, wins long, bets long"
+
+
+def inbound_logs(spark: SparkSession, path: str, decimals: int = 6) -> DataFrame:
+    """``from, to, value, block, hash`` of transfer logs: addresses from their padded topics, amounts from their data."""
+    rows = _json(spark, path, LOGS_RAW)
+    return rows.select(unpadded_address(F.get("topics", F.lit(1))).alias("from"), unpadded_address(F.get("topics", F.lit(2))).alias("to"), hex_number(F.col("data"), decimals).alias("value"), hex_number(F.col("blockNumber"), 0).cast("long").alias("block"), F.col("transactionHash").alias("hash"))
+
+
+def open_markets(spark: SparkSession, path: str, top: int | None = None) -> DataFrame:
+    """``cond, question, category, volume, token`` of open binary markets in scope, most traded first; a report of ``top`` if asked."""
+    rows = markets(spark, path).where("binary and not closed")
+    rows = rows.select(F.col("conditionId").alias("cond"), "question", text.category(F.col("tags"), F.col("question")).alias("category"), F.col("volume24hr").alias("volume"), F.get(F.from_json("clobTokenIds", "array<string>"), F.lit(0)).alias("token"))
+    rows = rows.where("category is not null").orderBy(F.desc_nulls_last("volume"), "cond")
+    return rows if top is None else rows.limit(top)
+
+
+def market_meta(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """Markets of the keys in ``wanted`` (``cond``)."""
+    return markets(spark, path).withColumnRenamed("conditionId", "cond").join(wanted.select("cond").distinct(), "cond", "left_semi")
+
+
+def profiles(spark: SparkSession, path: str) -> DataFrame:
+    """``wallet, name, pnl, volume, traded``: profit is the last point of the profit curve, else what the leaderboard says."""
+    rows = _json(spark, path, PROFILES_RAW)
+    last = F.max_by("p", F.when((F.col("kind") == "curve") & F.col("p").isNotNull(), F.col("t")))
+    board = F.max(F.when(F.col("kind") == "board", F.col("pnl")))
+    return rows.groupBy(F.lower("wallet").alias("wallet")).agg(F.max("name").alias("name"), F.coalesce(last, board).alias("pnl"), F.max("volume").alias("volume"), F.max("traded").alias("traded"))
+
+
+def candles(spark: SparkSession, path: str) -> DataFrame:
+    """``market, t, p, volume`` of price points strictly between 0 and 1; prices in cents are brought to dollars."""
+    price = F.coalesce("p", F.when(F.col("yes_price") > 1, F.col("yes_price") / 100).otherwise(F.col("yes_price")))
+    return _json(spark, path, CANDLES_RAW).select("market", "t", price.alias("p"), "volume").where("p > 0 and p < 1")
+
+
+def news_items(spark: SparkSession, path: str) -> DataFrame:
+    return _json(spark, path, NEWS_RAW)
+
+
+def wallet_pool(spark: SparkSession, path: str) -> DataFrame:
+    """The pool of screened wallets; of rows that repeat a wallet the one with most bets."""
+    rows = _json(spark, path, POOL_RAW)
+    return rows.groupBy("wallet").agg(F.max(F.struct("bets", "first_ts", "max_stake", "wins")).alias("b")).select("wallet", "b.first_ts", "b.max_stake", "b.wins", "b.bets")
+
+
+def append_pool(rows: DataFrame, path: str) -> None:
+    """Add rows to the pool's folder; readers see a whole batch or none of it."""
+    rows.select("wallet", "first_ts", "max_stake", "wins", "bets").write.mode("append").json(path)
+
+
+def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of fixed values: courts, exchange labels, baselines."""
+    return spark.createDataFrame(rows, schema)
 
 
 def unpadded_address(topic: Column) -> Column:
@@ -113,7 +195,7 @@ def matters(spark: SparkSession, path: str) -> DataFrame:
 def press_items(spark: SparkSession, path: str) -> DataFrame:
     """RSS items with entities and tags taken out of their texts."""
     items = spark.read.format("xml").option("rowTag", "item").schema(RSS).load(path)
-    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(c), "<[^>]+>", " "), "&lt;", "<"), "&gt;", ">"), "&amp;", "&")).alias(c)
+    clean = lambda c: text.decode_entities(F.col(c)).alias(c)
     return items.select(clean("title"), F.trim("link").alias("link"), "pubDate", clean("description"))
 
 
