@@ -8,8 +8,29 @@ from pyspark.sql import functions as F
 from tapewatch.functions.stats import clip, logit, normal_cdf
 
 
-def _in_order(market: str) -> Window:
-    return Window.partitionBy(market).orderBy("t", "id")
+DAY = 86_400_000_000  # microseconds of a block of a market's series
+
+
+def in_order(series: DataFrame, market: str, z: Column, volume: Column | None = None, block: int = DAY) -> DataFrame:
+    """``series`` with ``z``, its place ``k`` in its market (by t, id), ``points`` of the market, ``before`` (the z ahead of it) and, with
+    ``volume``, ``run`` (volume up to and with it) and ``total``.
+
+    A market is cut into blocks of time: rows are put in order inside a block only, and each block gets what came before
+    it, so a busy market is spread over its blocks.
+    """
+    rows = series.withColumns({"z": z, "_v": F.lit(0.0) if volume is None else volume, "_b": F.floor(F.col("t") / block)})
+    parts = rows.groupBy(market, "_b").agg(F.count("*").alias("_n"), F.sum("_v").alias("_s"), F.max_by("z", F.struct("t", "id")).alias("_z"))
+    w = Window.partitionBy(market).orderBy("_b")
+    every = Window.partitionBy(market)
+    ahead = w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        market, "_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_k0"), F.coalesce(F.sum("_s").over(ahead), F.lit(0.0)).alias("_s0"), F.lag("_z").over(w).alias("_z0"),
+        F.sum("_n").over(every).alias("points"), F.sum("_s").over(every).alias("total"),
+    )
+    inside = Window.partitionBy(market, "_b").orderBy("t", "id")
+    rows = rows.withColumns({"_k": F.row_number().over(inside), "_l": F.lag("z").over(inside), "_r": F.sum("_v").over(inside.rowsBetween(Window.unboundedPreceding, 0))})
+    out = rows.join(parts, [market, "_b"]).withColumns({"k": F.col("_k0") + F.col("_k"), "before": F.when(F.col("_k") == 1, F.col("_z0")).otherwise(F.col("_l")), "run": F.col("_s0") + F.col("_r")})
+    return out.drop("_v", "_b", "_k0", "_s0", "_z0", "_k", "_l", "_r")
 
 
 def _inside(series: DataFrame) -> DataFrame:
@@ -18,9 +39,7 @@ def _inside(series: DataFrame) -> DataFrame:
 
 def run_up(series: DataFrame, market: str = "market", share: float = 0.6, scale: float = 4.0) -> DataFrame:
     """``n, car, car_star, score, pre_move``: cumulative abnormal logit return of the last 40 % against the first 60 %."""
-    w = _in_order(market)
-    rows = _inside(series).withColumns({"z": logit(F.col("p")), "k": F.row_number().over(w), "points": F.count("*").over(Window.partitionBy(market))})
-    rows = rows.withColumn("r", F.col("z") - F.lag("z").over(w))
+    rows = in_order(_inside(series), market, logit(F.col("p"))).withColumn("r", F.col("z") - F.col("before"))
     split = F.greatest(F.lit(3), F.floor((F.col("points") - 1) * share).cast("int"))
     early, late = F.col("k").between(2, split + 1), F.col("k") > split + 1
     found = rows.where(F.col("points") >= 8).groupBy(market).agg(
@@ -41,10 +60,10 @@ def vpin(trades: DataFrame, market: str = "market", buckets: int = 50, last: int
     A trade's buy share is the normal cdf of its logit change over that change's deviation. Each trade
     meets only the buckets that it overlaps, found from the running volume.
     """
-    w = _in_order(market)
-    rows = _inside(trades).where(F.col("volume") > 0).withColumn("z", logit(F.col("p"))).withColumns({"dz": F.coalesce(F.col("z") - F.lag("z").over(w), F.lit(0.0)), "k": F.row_number().over(w), "run": F.sum("volume").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    all_ = Window.partitionBy(market)
-    rows = rows.withColumns({"n": F.count("*").over(all_), "total": F.sum("volume").over(all_), "sd": F.stddev_pop(F.when(F.col("k") > 1, F.col("dz"))).over(all_)})
+    rows = in_order(_inside(trades).where(F.col("volume") > 0), market, logit(F.col("p")), F.col("volume"))
+    rows = rows.withColumns({"dz": F.coalesce(F.col("z") - F.col("before"), F.lit(0.0)), "n": F.col("points")})
+    spread = rows.groupBy(market).agg(F.stddev_pop(F.when(F.col("k") > 1, F.col("dz"))).alias("sd"))
+    rows = rows.join(spread, market)
     rows = rows.where((F.col("n") >= 12) & (F.col("sd") > 0)).withColumn("size", F.col("total") / buckets).withColumn("from", F.col("run") - F.col("volume"))
     first, end = F.floor(F.col("from") / F.col("size") + 1e-9), F.ceil(F.col("run") / F.col("size") - 1e-9) - 1
     cut = rows.withColumn("share", normal_cdf(F.col("dz") / F.col("sd"))).withColumn("bucket", F.explode(F.sequence(F.least(first, F.lit(buckets - 1)), F.greatest(F.least(first, F.lit(buckets - 1)), F.least(end, F.lit(buckets - 1))))))
@@ -57,10 +76,8 @@ def vpin(trades: DataFrame, market: str = "market", buckets: int = 50, last: int
 
 def price_impact(bars: DataFrame, market: str = "market") -> DataFrame:
     """``bars, slope, ratio, score``: slope of logit returns on signed flow, and the last bars' illiquidity over the median."""
-    w = _in_order(market)
-    rows = _inside(bars).where(F.col("volume") >= 0).withColumn("z", logit(F.col("p"))).withColumn("dp", F.col("z") - F.lag("z").over(w))
-    back = Window.partitionBy(market).orderBy(F.desc("t"), F.desc("id"))
-    rows = rows.withColumn("back", F.row_number().over(back)).where(F.col("dp").isNotNull())
+    rows = in_order(_inside(bars).where(F.col("volume") >= 0), market, logit(F.col("p")))
+    rows = rows.withColumns({"dp": F.col("z") - F.col("before"), "back": F.col("points") - F.col("k") + 1}).where(F.col("dp").isNotNull())
     rows = rows.withColumns({"flow": F.signum("dp") * F.col("volume"), "ill": F.when((F.col("volume") > 0) & (F.col("dp") != 0), F.abs("dp") / F.col("volume"))})
     found = rows.groupBy(market).agg(F.count("*").alias("bars"), F.regr_slope("dp", "flow").alias("slope"), F.median("ill").alias("mid"), F.median(F.when(F.col("back") <= 3, F.col("ill"))).alias("recent"))
     ratio = F.when(F.col("mid") > 0, F.coalesce("recent", F.lit(0.0)) / F.col("mid")).otherwise(0.0)
@@ -93,10 +110,8 @@ def wash(volumes: DataFrame) -> DataFrame:
 
 def ramp(bars: DataFrame, market: str = "market") -> DataFrame:
     """``close_share, move, times, score``: volume and price move of the last fifth of the bars against the rest."""
-    w = _in_order(market)
-    rows = bars.withColumns({"k": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(market))}).where("n >= 6")
-    cut = F.floor(F.col("n") * 0.8)
-    z = logit(F.col("p"), 0.02, 0.98)
+    rows = in_order(bars, market, logit(F.col("p"), 0.02, 0.98)).withColumn("n", F.col("points")).where("n >= 6")
+    cut, z = F.floor(F.col("n") * 0.8), F.col("z")
     found = rows.groupBy(market).agg(F.sum("volume").alias("total"), F.sum(F.when(F.col("k") > cut, F.col("volume")).otherwise(0.0)).alias("close"), F.max("n").alias("n"), F.max(F.when(F.col("k") == cut + 1, z)).alias("z0"), F.max(F.when(F.col("k") == F.col("n"), z)).alias("z1"))
     close_mean, base_mean = F.col("close") / (F.col("n") - cut), (F.col("total") - F.col("close")) / cut
     out = found.where("total > 0").withColumns({"close_share": F.col("close") / F.col("total"), "move": F.abs(F.col("z1") - F.col("z0")), "times": F.when(base_mean > 0, close_mean / base_mean).otherwise(1.0)})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewatch.functions import text
 from tapewatch.functions.stats import clip, logit
-from tapewatch.operators.market import INSIDER, MANIPULATION
+from tapewatch.operators.market import INSIDER, MANIPULATION, in_order
 
 #: Win rates at long odds and risk multipliers by category; the last is for all others.
 BASELINE = {"political": 0.25, "elections": 0.25, "world": 0.52, "business": 0.20, "economy": 0.18, "finance": 0.18, "culture": 0.30, "health": 0.20, "tech & science": 0.20, "": 0.14}
@@ -100,8 +100,8 @@ def accumulation(net: Column, sold_share: Column, won: Column) -> Column:
 
 def volume_run_up(bars: DataFrame, market: str = "market") -> DataFrame:
     """``base, pre, ratio, score``: mean volume of the second half of the bars over that of the first."""
-    rows = bars.withColumns({"k": F.row_number().over(Window.partitionBy(market).orderBy("t", "id")), "n": F.count("*").over(Window.partitionBy(market))})
-    half = F.floor(F.col("n") / 2)
+    rows = in_order(bars, market, F.lit(0.0))
+    half = F.floor(F.col("points") / 2)
     found = rows.groupBy(market).agg(F.avg(F.when(F.col("k") <= half, F.col("volume"))).alias("base"), F.avg(F.when(F.col("k") > half, F.col("volume"))).alias("pre")).where("base > 0")
     ratio = F.col("pre") / F.col("base")
     return found.select(market, "base", "pre", ratio.alias("ratio"), clip(F.log2(F.greatest(F.lit(1.0), ratio)) / F.log2(F.lit(10.0)), 0, 1).alias("score"))
@@ -158,8 +158,8 @@ def engine_scores(scores: DataFrame, markets: DataFrame, engine: str) -> DataFra
 
 def downsample(series: DataFrame, most: int = 120, market: str = "market") -> DataFrame:
     """Every k-th point of a market, k such that about ``most`` are left."""
-    rows = series.withColumns({"_k": F.row_number().over(Window.partitionBy(market).orderBy("t", "id")) - 1, "_n": F.count("*").over(Window.partitionBy(market))})
-    return rows.where(F.col("_k") % F.greatest(F.lit(1), F.floor(F.col("_n") / most)) == 0).drop("_k", "_n")
+    rows = in_order(series, market, F.lit(0.0))
+    return rows.where((F.col("k") - 1) % F.greatest(F.lit(1), F.floor(F.col("points") / most)) == 0).select(*series.columns)
 
 
 def deep_set(scored: DataFrame, resolved: int = 8, per_venue: int = 7, most: int = 22) -> DataFrame:

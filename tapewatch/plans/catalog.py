@@ -671,10 +671,12 @@ def trimmed_series(spark, sf_dir):
 def _engine(spark, sf_dir, engine: str):
     t = _trades(spark, sf_dir)
     known = driver.catalog(t)
-    moves = shared.staged(_moves(t, known))
-    p, volumes, series = shared.staged(_positions(spark, sf_dir, t)), shared.staged(market.wallet_volumes(t)), _series(spark, sf_dir)
+    insider = engine == "insider"
+    moves = shared.staged(_moves(t, known)) if insider else None
+    volumes, series = shared.staged(market.wallet_volumes(t)), _series(spark, sf_dir)
     sub = lambda rows, key, name, value: rows.select(F.col(key).alias("market"), F.lit(name).alias("detector"), F.col(value).alias("sub"))
-    if engine == "insider":
+    if insider:
+        p = shared.staged(_positions(spark, sf_dir, t))
         long = _longshots(p).groupBy("cond").agg(F.max("sub").alias("sub"))
         parts = [sub(market.run_up(series), "market", "runUp", "score"), sub(_accumulated(volumes, p), "cond", "accumulation", "sub"), sub(surveillance.top_concentration(volumes, moves.select("cond", "move_ts")), "cond", "concentration", "score"), sub(long, "cond", "longshot", "sub")]
     else:
@@ -683,9 +685,14 @@ def _engine(spark, sf_dir, engine: str):
     for more in parts[1:]:
         scores = scores.unionByName(more)
     size = t.groupBy("cond").agg(F.sum("usd").alias("volume"), F.count("*").alias("n"))
-    facts = known.join(size, "cond").withColumn("market", F.col("cond")).join(_book(spark, sf_dir).select("market", "spread", "depth"), "market", "left").join(_news(spark, sf_dir, moves).select("market", "explained", "pre_event"), "market", "left")
+    facts = known.join(size, "cond").withColumn("market", F.col("cond")).join(_book(spark, sf_dir).select("market", "spread", "depth"), "market", "left")
+    if insider:  # news explain a move before an outcome; manipulation of a market is scored without them
+        told = _news(spark, sf_dir, moves).select("market", "explained", "pre_event")
+        facts = facts.join(told, "market", "left").withColumns({"explained": F.coalesce("explained", F.lit(0.0)), "pre_event": F.coalesce("pre_event", F.lit(True))})
+    else:
+        facts = facts.withColumns({"explained": F.lit(0.0), "pre_event": F.lit(None).cast("boolean")})
     quality = market.liquidity(F.col("volume"), F.col("spread"), F.col("depth"), F.col("n"))
-    markets = facts.select("market", (F.col("cond") % 2 == 1).alias("anonymous"), quality.alias("quality"), F.coalesce("explained", F.lit(0.0)).alias("explained"), F.coalesce("pre_event", F.lit(True)).alias("pre_event"), surveillance.looked_up(F.col("category"), surveillance.MULTIPLIER).alias("multiplier"))
+    markets = facts.select("market", (F.col("cond") % 2 == 1).alias("anonymous"), quality.alias("quality"), "explained", "pre_event", surveillance.looked_up(F.col("category"), surveillance.MULTIPLIER).alias("multiplier"))
     return surveillance.engine_scores(shared.staged(scores), shared.staged(markets), engine)
 
 

@@ -202,12 +202,11 @@ VPIN = f""", v0 AS (
   SELECT *, coalesce(z - lag(z) OVER w, 0.0::DOUBLE) AS dz, row_number() OVER w AS k, sum(volume) OVER (PARTITION BY market ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS run
   FROM v0 WINDOW w AS (PARTITION BY market ORDER BY t, id)
 ), v2 AS (
-  SELECT m.*, n, total / 50 AS size, run - volume AS start, sd FROM v1 m
-  JOIN (SELECT market, count(*) AS n, sum(volume) AS total, stddev_pop(dz) FILTER (WHERE k > 1) AS sd FROM v1 GROUP BY market) USING (market) WHERE n >= 12 AND sd > 0
+  SELECT *, count(*) OVER m AS n, sum(volume) OVER m / 50 AS size, run - volume AS start, stddev_pop(CASE WHEN k > 1 THEN dz END) OVER m AS sd FROM v1 WINDOW m AS (PARTITION BY market)
+), v2b AS (
+  SELECT *, {_cdf('(dz / sd)')} AS share, unnest(range(greatest(0, CAST(floor(start / size) AS BIGINT) - 1), least(49, CAST(ceil(run / size) AS BIGINT)) + 1)) AS bucket FROM v2 WHERE n >= 12 AND sd > 0
 ), v3 AS (
-  SELECT v2.*, b.bucket, {_cdf('(dz / sd)')} AS share,
-    greatest(0.0::DOUBLE, least(run, (b.bucket + 1) * size) - greatest(start, b.bucket * size)) AS part
-  FROM v2 JOIN (SELECT unnest(range(50)) AS bucket) b ON run > b.bucket * size AND start < (b.bucket + 1) * size
+  SELECT market, bucket, share, size, n, greatest(0.0::DOUBLE, least(run, (bucket + 1) * size) - greatest(start, bucket * size)) AS part FROM v2b
 ), v4 AS (
   SELECT market, bucket, abs(sum(part * (1 - 2 * share))) AS imbalance, sum(part) AS volume, first(size) AS size, first(n) AS n FROM v3 GROUP BY 1, 2
 ), vpin AS (
@@ -355,7 +354,7 @@ _PUBLISHED = {
 
 
 _LOOK = lambda key, values: f"CASE lower({key}) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items() if k) + f" ELSE {values['']} END"
-_LEVELS = """levels AS (SELECT l_partkey % 200 AS market, l_linestatus = 'O' AS up, 0.03::DOUBLE + ((l_orderkey * 7 + l_linenumber * 13) % 45)::DOUBLE / 100 AS low, l_orderkey % 2 = 0 AS cents, l_quantity AS size FROM lineitem
+_LEVELS = """levels AS MATERIALIZED (SELECT l_partkey % 200 AS market, l_linestatus = 'O' AS up, 0.03::DOUBLE + ((l_orderkey * 7 + l_linenumber * 13) % 45)::DOUBLE / 100 AS low, l_orderkey % 2 = 0 AS cents, l_quantity AS size FROM lineitem
 ), book0 AS (SELECT market, coalesce(max(CASE WHEN up THEN low END), 0) AS best_bid, coalesce(min(CASE WHEN NOT up THEN low + 0.48::DOUBLE END), 1) AS best_ask, coalesce(sum(CASE WHEN up THEN low * size END), 0) AS bids, coalesce(sum(CASE WHEN NOT up THEN (low + 0.48::DOUBLE) * size END), 0) AS asks FROM levels GROUP BY market
 ), book AS (SELECT market, best_bid, best_ask, greatest(0.0::DOUBLE, best_ask - best_bid) AS spread, bids + asks AS depth, CASE WHEN bids + asks > 0 THEN (bids - asks) / (bids + asks) ELSE 0 END AS imbalance FROM book0)"""
 _QUERY = lambda q: f"trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace({q}, '[?]+', ' ', 'g')), '^(will|does|is|are|can|did|has|have|the|a|an)\\s+', '', 'i'), '\\s+(by|in|before|on|this|next)\\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|q[1-4]|20[0-9][0-9]|[0-9]).*$', '', 'i'), '\\s+', ' ', 'g'))"
@@ -382,23 +381,24 @@ _CON = lambda moves, hours: f"""con AS (SELECT cond, sq / (total * total) AS hhi
 _LIQ = lambda v, d: f"(0.4 * {_clip(f'(log10(greatest({v}, 1.0)) - 3) / 3')} + 0.3 * coalesce({_clip('1 - spread / 0.1')}, 0.5) + 0.2 * coalesce({_clip(f'(log10(greatest({d}, 1.0)) - 2) / 3')}, 0) + 0.1 * {_clip('log10(greatest(n, 1)) / 3')})"
 
 
-def _engine(name: str, parts: str, factor: str, most: int) -> str:
-    return f""", eng0 AS ({parts}
-    ), facts AS (SELECT c.cond AS market, c.cond % 2 = 1 AS anonymous, {_LIQ('volume', 'depth')} AS quality, coalesce(n2.explained, 0) AS explained, coalesce(n2.pre_event, true) AS pre_event, {_LOOK('category', MULTIPLIER)}::DOUBLE AS multiplier
-      FROM catalog c JOIN (SELECT cond, sum(usd) AS volume, count(*) AS n FROM trades GROUP BY cond) z USING (cond) LEFT JOIN book b ON b.market = c.cond LEFT JOIN news n2 ON n2.market = c.cond
-    ), eng1 AS (SELECT market, sum(w * sub) / sum(w) AS raw, count(*) AS ran, count(*) FILTER (WHERE sub >= 0.45) AS agreeing, any_value(anonymous) AS anonymous, any_value(quality) AS quality, any_value(explained) AS explained, any_value(pre_event) AS pre_event, any_value(multiplier) AS multiplier
+def _engine(name: str, parts: str, factor: str, news: bool) -> str:
+    told, joined = ("coalesce(n2.explained, 0) AS explained, coalesce(n2.pre_event, true) AS pre_event", "LEFT JOIN news n2 ON n2.market = c.cond") if news else ("0 AS explained, NULL AS pre_event", "")
+    return f""", eng0 AS MATERIALIZED ({parts}
+    ), facts AS MATERIALIZED (SELECT c.cond AS market, c.cond % 2 = 1 AS anonymous, {_LIQ('volume', 'depth')} AS quality, {told}, {_LOOK('category', MULTIPLIER)}::DOUBLE AS multiplier
+      FROM catalog c JOIN (SELECT cond, sum(usd) AS volume, count(*) AS n FROM trades GROUP BY cond) z USING (cond) LEFT JOIN book b ON b.market = c.cond {joined}
+    ), eng1 AS MATERIALIZED (SELECT market, sum(w * sub) / sum(w) AS raw, count(*) AS ran, count(*) FILTER (WHERE sub >= 0.45) AS agreeing, any_value(anonymous) AS anonymous, any_value(quality) AS quality, any_value(explained) AS explained, any_value(pre_event) AS pre_event, any_value(multiplier) AS multiplier
       FROM eng0 JOIN facts USING (market) WHERE sub IS NOT NULL AND NOT (anonymous AND wallets) GROUP BY market
     ), eng2 AS (SELECT *, CASE WHEN anonymous THEN 3 ELSE 4 END AS total FROM eng1
     ), eng3 AS (SELECT *, CAST(floor(100 * {_clip(f'raw * {factor}')} * ran / total + 0.5 + 1e-9) AS INTEGER) AS score FROM eng2
     ), {name} AS (SELECT market, raw, ran, total, score, agreeing, CASE WHEN quality <= 0.25 THEN 'Watch' WHEN ran = total AND agreeing >= 2 AND score >= 70 THEN 'High-signal' WHEN score >= 50 AND agreeing >= 1 THEN 'Elevated' WHEN score >= 30 THEN 'Watch' ELSE 'Clear' END AS tier,
-      CASE WHEN quality <= 0.25 THEN 'Low-liquidity artifact' WHEN explained >= 0.5 AND NOT pre_event THEN 'Explained' WHEN raw >= 0.5 AND explained < 0.3 THEN 'Unexplained' ELSE 'Partially explained' END AS label FROM eng3)"""
+      CASE WHEN quality <= 0.25 THEN 'Low-liquidity artifact' WHEN explained >= 0.5 AND NOT coalesce(pre_event, false) THEN 'Explained' WHEN raw >= 0.5 AND explained < 0.3 THEN 'Unexplained' ELSE 'Partially explained' END AS label FROM eng3)"""
 
 
 _RUN_UP_ONLY = RUN_UP.split(", z AS (", 1)[1]
-_ENGINE_INSIDER = SCREENS + ", z AS (" + _RUN_UP_ONLY + ", " + _CON("moves", 48) + _engine("engine", "SELECT market, 0.30::DOUBLE AS w, score AS sub, false AS wallets FROM run_up UNION ALL SELECT cond, 0.25, sub, false FROM acc UNION ALL SELECT cond, 0.25, score, false FROM cons UNION ALL SELECT cond, 0.20, max(sub), true FROM ls0 GROUP BY cond", _clip("(1 - 0.6 * explained) * multiplier", 0, 1.5), 4)
-_ENGINE_MANIPULATION = SCREENS + RAMP + IMPACT + VPIN + _engine("engine", f"""SELECT market, 0.25::DOUBLE AS w, score AS sub, false AS wallets FROM ramp UNION ALL SELECT market, 0.25, {_ISCORE}, false FROM impact UNION ALL SELECT market, 0.20, vpin, false FROM vpin
-      UNION ALL SELECT cond, 0.30, {_clip('0.7 * 2 * sum(least(buy_usd, sell_usd)) / sum(buy_usd + sell_usd)')}, true FROM vol GROUP BY cond""", "1.0", 4)
-_SCORED = _ENGINE_MANIPULATION + ", scored AS (SELECT market, score, tier, market % 4 = 0 AS resolved, CASE WHEN market % 2 = 1 THEN 'anonymous' ELSE 'wallets' END AS venue FROM engine)"
+_ENGINE_INSIDER = SCREENS + ", z AS (" + _RUN_UP_ONLY + ", " + _CON("moves", 48) + _engine("engine", "SELECT market, 0.30::DOUBLE AS w, score AS sub, false AS wallets FROM run_up UNION ALL SELECT cond, 0.25, sub, false FROM acc UNION ALL SELECT cond, 0.25, score, false FROM cons UNION ALL SELECT cond, 0.20, max(sub), true FROM ls0 GROUP BY cond", _clip("(1 - 0.6 * explained) * multiplier", 0, 1.5), True)
+_ENGINE_MANIPULATION = V + ", " + _LEVELS + RAMP.replace("WITH", "") + IMPACT + VPIN + ", vol AS (SELECT cond, wallet, coalesce(sum(usd) FILTER (WHERE side <> 'SELL'), 0) AS buy_usd, coalesce(sum(usd) FILTER (WHERE side = 'SELL'), 0) AS sell_usd FROM trades GROUP BY cond, wallet)" + _engine("engine", f"""SELECT market, 0.25::DOUBLE AS w, score AS sub, false AS wallets FROM ramp UNION ALL SELECT market, 0.25, {_ISCORE}, false FROM impact UNION ALL SELECT market, 0.20, vpin, false FROM vpin
+      UNION ALL SELECT cond, 0.30, {_clip('0.7 * 2 * sum(least(buy_usd, sell_usd)) / sum(buy_usd + sell_usd)')}, true FROM vol GROUP BY cond""", "1.0", False)
+_SCORED = _ENGINE_MANIPULATION + ", scored AS MATERIALIZED (SELECT market, score, tier, market % 4 = 0 AS resolved, CASE WHEN market % 2 = 1 THEN 'anonymous' ELSE 'wallets' END AS venue FROM engine)"
 _SURVEILLANCE = {
     "order_book": f"WITH {_LEVELS} SELECT market, {_r('best_bid', 'best_ask', 'spread', 'depth', 'imbalance', digits=4)} FROM book",
     "two_sided_book": f"""WITH {_LEVELS}, y AS (SELECT market, up, CASE WHEN cents AND 100 * low > 1 THEN (100 * low) / 100 ELSE low END AS price, size FROM levels

@@ -108,7 +108,7 @@ def sql_entities(source: str, name: str, keys: str) -> str:
 
 #: The same views for the SQL side.
 SQL = f"""
-trades AS (
+trades AS MATERIALIZED (
   SELECT l_partkey % 200 AS cond, 'w' || o_custkey AS wallet,
          CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side,
          CASE WHEN l_linestatus = 'O' THEN 'YES' ELSE 'NO' END AS outcome,
