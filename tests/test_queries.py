@@ -4,8 +4,10 @@ import duckdb
 import pandas as pd
 import pytest
 
+from tapewatch.plans import catalog
 from tapewatch.plans.catalog import QUERIES
 from tapewatch.plans.oracle import ORACLES
+from tapewatch.sources.shared import staged
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -20,6 +22,29 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_steps():
+    """Steps that many queries share are computed once for this module."""
+
+    def once(f):
+        known = {}
+
+        def step(spark, *asked):
+            if not all(isinstance(x, str) for x in asked):
+                return f(spark, *asked)
+            if asked not in known:
+                found = f(spark, *asked)
+                known[asked] = tuple(map(staged, found)) if isinstance(found, tuple) else staged(found)
+            return known[asked]
+
+        return step
+
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("_trades", "_bets", "_records", "_gated", "_published", "_engine", "_pairs", "_positions"):
+            patch.setattr(catalog, name, once(getattr(catalog, name)))
+        yield
+
+
 def rows(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
