@@ -88,3 +88,61 @@ def staleness(queue: DataFrame, now: int, window: int = 6 * 3600) -> DataFrame:
     """One row: ``oldest`` age in seconds, rows scanned within the window, rows by status."""
     age = F.lit(now) - F.col("last_scanned")
     return queue.agg(F.max(age).alias("oldest"), F.count_if(age <= window).alias("fresh"), F.count_if(F.col("status") == "active").alias("active"), F.count_if(F.col("status") == "retired").alias("retired"))
+
+
+def lookup_merge(feed: DataFrame, trades: DataFrame, key: tuple[str, ...] = ("cond", "outcome")) -> DataFrame:
+    """One row a key: the feed's bet where it has one, with gaps (and the transaction) filled from the trades' bet."""
+    rest = [c for c in feed.columns if c not in key]
+    f, t = feed.alias("f"), trades.alias("t")
+    joined = f.join(t, [F.col(f"f.{k}") == F.col(f"t.{k}") for k in key], "full_outer")
+    return joined.select(*(F.coalesce(F.col(f"f.{c}"), F.col(f"t.{c}")).alias(c) for c in (*key, *rest)))
+
+
+def backfilled(bets: DataFrame, trades: DataFrame) -> DataFrame:
+    """``bets`` with ``tx`` where it is missing: that of a trade of the same market and outcome, else of the same market; the least one."""
+    exact = trades.groupBy("cond", "outcome").agg(F.min("tx").alias("_exact"))
+    near = trades.groupBy("cond").agg(F.min("tx").alias("_near"))
+    return bets.join(exact, ["cond", "outcome"], "left").join(near, "cond", "left").withColumn("tx", F.coalesce("tx", "_exact", "_near")).drop("_exact", "_near")
+
+
+def accumulated(stored: DataFrame, fresh: DataFrame, key: tuple[str, ...] = ("wallet", "cond", "outcome")) -> DataFrame:
+    """Bets by key from the store and a new batch (``stake, z, pnl, from_feed, ts``): the larger stake's row, a z from either, a feed's profit
+    before any other, the earliest time."""
+    both = stored.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
+    larger = F.struct("stake", "_new")
+    profit = F.coalesce(F.max_by("pnl", F.when(F.col("from_feed"), larger)), F.max_by("pnl", larger))
+    return both.groupBy(*key).agg(F.max("stake").alias("stake"), F.coalesce(F.max_by("z", F.when(F.col("z").isNotNull(), larger))).alias("z"), profit.alias("pnl"), F.bool_or("from_feed").alias("from_feed"), F.min("ts").alias("ts"))
+
+
+def capped_queue(queue: DataFrame, keep: int = 5000) -> DataFrame:
+    """The queue's cap: the stalest retired rows go first, then the stalest active ones."""
+    return queue.orderBy(F.when(F.col("status") == "retired", 1).otherwise(0), F.desc("last_scanned"), "engine", "market").limit(keep)
+
+
+def first_flagged(history: DataFrame, current: DataFrame, now: int, fresh: int = 86_400) -> DataFrame:
+    """``wallet, first_flagged, newly, archived``: when each wallet was first flagged; archived if it isn't flagged now."""
+    both = history.select("wallet", "first_flagged", F.lit(False).alias("now")).unionByName(current.select("wallet", F.lit(now).cast("long").alias("first_flagged"), F.lit(True).alias("now")))
+    found = both.groupBy("wallet").agg(F.min("first_flagged").alias("first_flagged"), F.bool_or("now").alias("seen"))
+    return found.select("wallet", "first_flagged", (F.lit(now) - F.col("first_flagged") <= fresh).alias("newly"), (~F.col("seen")).alias("archived"))
+
+
+def lean(bets: DataFrame) -> DataFrame:
+    """What the store keeps of a bet."""
+    return bets.select("wallet", "cond", "outcome", "entry", "stake", "pnl", "won", "held", "ts", "tx")
+
+
+def hydrated(bets: DataFrame, catalog: DataFrame, empty: str = "(market)") -> DataFrame:
+    """``bets`` with ``question``: their own, else the catalogue's, else a placeholder."""
+    known = catalog.select("cond", F.col("question").alias("_asked"))
+    return bets.join(known, "cond", "left").withColumn("question", F.coalesce(F.nullif("question", F.lit(empty)), "_asked", F.lit(empty))).drop("_asked")
+
+
+def holders(balances: DataFrame) -> DataFrame:
+    """``market, wallet, balance``: balances summed over a market's tokens."""
+    return balances.groupBy("market", "wallet").agg(F.sum("amount").alias("balance")).where("balance > 0")
+
+
+def attribution(rows: DataFrame) -> DataFrame:
+    """``role, n, notional``: how a wallet's raw rows name it: as proxy, maker or taker."""
+    role = F.when(F.col("proxy") == F.col("wallet"), "proxy").when(F.col("maker") == F.col("wallet"), "maker").when(F.col("taker") == F.col("wallet"), "taker").otherwise("other")
+    return rows.groupBy(role.alias("role")).agg(F.count("*").alias("n"), F.sum("notional").alias("notional"))

@@ -902,3 +902,63 @@ def doctrine_flow(spark, sf_dir):
 def tracker_newest(spark, sf_dir):
     m = _matters(spark, sf_dir).withColumn("last_update", F.col("filed_date")).where("filed_date is not null").groupBy("id").agg(F.max("filed_date").alias("filed_date"))
     return litigation.tracker_order(m, "newest").limit(50)
+
+
+@query
+def lookup_merge(spark, sf_dir):
+    p = _positions(spark, sf_dir).select(F.concat_ws("-", "wallet", "cond").alias("cond"), "outcome", "stake", "pnl", "tx", F.col("cond").alias("n"))
+    feed = p.where("n % 3 <> 0").select("cond", "outcome", F.when(F.col("n") % 3 == 1, F.col("stake") + 1).alias("stake"), "pnl", F.lit(None).cast("long").alias("tx"))
+    return rounded(lifecycle.lookup_merge(feed, p.where("n % 4 <> 0").drop("n")), 3)
+
+
+@query
+def tx_backfill(spark, sf_dir):
+    t = _trades(spark, sf_dir)
+    bets = _positions(spark, sf_dir, t).select("wallet", "cond", "outcome", F.when(F.col("tx") % 2 == 0, F.col("tx")).alias("tx"))
+    return lifecycle.backfilled(bets, t.where("side = 'BUY' and (cond % 2 = 0 or outcome = 'YES')"))
+
+
+@query
+def accumulated_bets(spark, sf_dir):
+    p = _positions(spark, sf_dir).select("wallet", "cond", "outcome", "stake", F.when(F.col("tx") % 2 == 0, F.col("entry")).alias("z"), "pnl", F.lit(False).alias("from_feed"), "ts")
+    fresh = p.where("cond % 2 = 0").withColumns({"stake": F.col("stake") * F.when(F.col("ts") % 7 < 3, 2).otherwise(0.5), "z": F.lit(9.0), "pnl": F.col("pnl") + 1, "from_feed": F.col("cond") % 4 == 0, "ts": F.col("ts") + 5})
+    return rounded(lifecycle.accumulated(p, fresh), 3)
+
+
+@query
+def capped_queue(spark, sf_dir):
+    return lifecycle.capped_queue(_queue(spark, sf_dir), 10)
+
+
+@query
+def first_flagged(spark, sf_dir):
+    c = driver.read(spark, sf_dir, "customer")
+    w = F.concat(F.lit("w"), F.col("c_custkey").cast("string")).alias("wallet")
+    history = c.where("c_nationkey % 3 <> 0").select(w, (1_700_000_000 - F.col("c_custkey") * 500).alias("first_flagged"))
+    return lifecycle.first_flagged(history, c.where("c_nationkey % 2 = 0").select(w), 1_700_000_000)
+
+
+@query
+def hydrated_bets(spark, sf_dir):
+    t = _trades(spark, sf_dir)
+    known = driver.catalog(t)
+    bets = _positions(spark, sf_dir, t).select("wallet", "cond", F.when(F.col("cond") % 3 == 0, "(market)").when(F.col("cond") % 3 == 1, "own").alias("question"))
+    return lifecycle.hydrated(bets, known.where("cond % 5 <> 0"))
+
+
+@query
+def lean_bets(spark, sf_dir):
+    return rounded(lifecycle.lean(_positions(spark, sf_dir)), 3)
+
+
+@query
+def holder_balances(spark, sf_dir):
+    l = driver.read(spark, sf_dir, "lineitem")
+    return rounded(lifecycle.holders(l.select((F.col("l_partkey") % 200).alias("market"), F.col("l_suppkey").alias("wallet"), F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("amount"))), 2)
+
+
+@query
+def attribution(spark, sf_dir):
+    o = driver.read(spark, sf_dir, "orders")
+    k = F.col("o_custkey")
+    return rounded(lifecycle.attribution(o.select(k.alias("wallet"), F.when(F.col("o_orderkey") % 4 == 0, k).alias("proxy"), F.when(F.col("o_orderkey") % 4 == 1, k).otherwise(k + 1).alias("maker"), F.when(F.col("o_orderkey") % 4 == 2, k).alias("taker"), F.col("o_totalprice").alias("notional"))), 2)
