@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, language_id, line_dedup, mixing, quality_model, quality_rules, rans, sharding, simhash
+from . import bpe, conversation_repair, embedding_dedup, language_id, line_dedup, mixing, quality_model, quality_rules, rans, sharding, simhash
 from ._common import crc_mod, staged, table
 
 
@@ -111,5 +111,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(measured, rules).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_simhash_near_dedup, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_embedding_near_dedup, op7_source_mix, op8_language_id, op9_quality_model, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.SQL}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair, audit and hash of every damaged conversation."""
+    given = table(spark, sf_dir, "conversations")
+    found = conversation_repair.repair(conversation_repair.damaged(given), given.select(F.col("conv_id").alias("conv")))
+    return found.withColumnsRenamed({"conv": "conv_id", "sha": "repaired_sha256"})
+
+
+QUERIES = {f.__name__: f for f in (op1_shards, op2_simhash_near_dedup, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_embedding_near_dedup, op7_source_mix, op8_language_id, op9_quality_model, op10_quality_rules, op13_conversation_repair)}
+ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.SQL, "op13_conversation_repair": conversation_repair.SQL}
