@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_repair, embedding_dedup, language_id, line_dedup, mixing, quality_model, quality_rules, rans, sharding, simhash
+from . import bpe, conversation_repair, embedding_dedup, language_id, line_dedup, mixing, quality_model, quality_rules, rans, sequence_packing, sharding, simhash
 from ._common import crc_mod, staged, table
 
 
@@ -111,6 +111,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(measured, rules).withColumnRenamed("id", "doc_id")
 
 
+def op11_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece of every row of documents."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    return sequence_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer, end_id=1).drop("tokens").withColumnRenamed("id", "doc_id")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest repair, audit and hash of every damaged conversation."""
     given = table(spark, sf_dir, "conversations")
@@ -118,5 +127,5 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"conv": "conv_id", "sha": "repaired_sha256"})
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_simhash_near_dedup, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_embedding_near_dedup, op7_source_mix, op8_language_id, op9_quality_model, op10_quality_rules, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_simhash_near_dedup, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_embedding_near_dedup, op7_source_mix, op8_language_id, op9_quality_model, op10_quality_rules, op11_sequence_packing, op13_conversation_repair)}
 ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.SQL, "op13_conversation_repair": conversation_repair.SQL}
