@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_repair, embedding_dedup, language_id, line_dedup, mixing, quality_model, quality_rules, rans, sequence_packing, sharding, simhash
+from . import bpe, collocations, conversation_repair, embedding_dedup, language_id, line_dedup, mixing, quality_model, quality_rules, rans, sequence_packing, sharding, simhash
 from ._common import crc_mod, staged, table
 
 
@@ -120,6 +120,11 @@ def op11_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer, end_id=1).drop("tokens").withColumnRenamed("id", "doc_id")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lang, rank, phrase, a, l, r, n, score``: the best 2,000 phrases of each language over all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest repair, audit and hash of every damaged conversation."""
     given = table(spark, sf_dir, "conversations")
@@ -127,5 +132,5 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"conv": "conv_id", "sha": "repaired_sha256"})
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_simhash_near_dedup, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_embedding_near_dedup, op7_source_mix, op8_language_id, op9_quality_model, op10_quality_rules, op11_sequence_packing, op13_conversation_repair)}
-ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.SQL, "op13_conversation_repair": conversation_repair.SQL}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_simhash_near_dedup, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_embedding_near_dedup, op7_source_mix, op8_language_id, op9_quality_model, op10_quality_rules, op11_sequence_packing, op12_collocations, op13_conversation_repair)}
+ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.SQL, "op12_collocations": collocations.SQL, "op13_conversation_repair": conversation_repair.SQL}
