@@ -51,7 +51,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cond, wallet, side, outcome, price, usd, size, ts, tx`` from order lines; ts in epoch seconds."""
-    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return trades_of(read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders"))
+
+
+def trades_of(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """The same of given order lines, which may be a stream."""
+    lines = lineitem.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     price = 0.03 + ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) % 95) / 100
     return lines.select(
         (F.col("l_partkey") % 200).alias("cond"), F.concat(F.lit("w"), "o_custkey").alias("wallet"),
