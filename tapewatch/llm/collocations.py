@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from ._common import dropped, staged
 
-SLICE = 1 << 23
-FLUSH = 1 << 22
+SLICE = 1 << 21
+FLUSH = 1 << 21
+#: Rows of counts that a task adds up before it sends them.
+ROWS = 1 << 18
 #: n-grams that a hash partition holds at most, but for the repeats of a frequent one.
 MASS = 1 << 21
 KEY_BITS = 28
@@ -142,7 +144,12 @@ def _survivors(docs: DataFrame, most_words: int, least: int, partitions: int) ->
         size = 0
 
         def flushed() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()
+            pa.default_memory_pool().release_unused()
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            keys, counts = every[first], np.diff(first, append=len(every))
             part = (keys >> np.uint64(32)).astype(np.int64)
             own, at = np.unique(part, return_index=True)
             stops = [*at[1:].tolist(), len(keys)]
@@ -169,7 +176,7 @@ def _survivors(docs: DataFrame, most_words: int, least: int, partitions: int) ->
                     size += len(now)
                 if size >= FLUSH:
                     yield flushed()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield flushed()
 
@@ -239,6 +246,17 @@ def frequent(docs: DataFrame, most_words: int, least: int, mass: int = MASS) ->
     shared = spark.sparkContext.broadcast(bitmap)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for part in each(batches):
+            held.append(part)
+            rows += len(part)
+            if rows >= ROWS:
+                yield from _summed(held)
+                held, rows = [], 0
+        yield from _summed(held)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
 
         def hit(hashes: np.ndarray) -> np.ndarray:
@@ -278,6 +296,16 @@ def frequent(docs: DataFrame, most_words: int, least: int, mass: int = MASS) ->
     return found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("size") == 0))
 
 
+def _summed(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """Counts of several slices, added up before they leave the task."""
+    if not parts:
+        return []
+    found = pa.Table.from_batches(parts).group_by(["lang", "phrase", "size"], use_threads=False).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"})
+    parts.clear()
+    pa.default_memory_pool().release_unused()
+    return found.select(["lang", "phrase", "size", "f"]).combine_chunks().to_batches(max_chunksize=1 << 16)
+
+
 def _counted(lang: pa.Array, phrase: pa.Array, size: int, times: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(times), size, np.int32)), pa.array(times.astype(np.int64))], names=["lang", "phrase", "size", "f"])
 
