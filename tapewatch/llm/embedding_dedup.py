@@ -24,6 +24,7 @@ PER_CODE = 8  # of them for each code, at least
 CELLS = 1 << 22  # distances held at once
 FILL = 64  # vectors in a cell, on average
 CAP = 4096  # rows of one side that meet in one task at once
+FULL = 100_000  # cells over CAP that are sent to all tasks at most
 RECALL = 0.99
 PAIRS = 50  # of a sampled vector that the number of visits is fitted on
 
@@ -74,7 +75,7 @@ def nearest_cells(unit: np.ndarray, books: tuple[np.ndarray, np.ndarray], visits
 
 def _visits(unit: np.ndarray, books: tuple, least: float, recall: float) -> int:
     """Cells that a query must visit to meet ``recall`` of the sample's pairs; where the sample has few,
-    pairs at a cosine between the limit and 1 are made from it."""
+    pairs at the limit are made from it."""
     rng = np.random.default_rng(6)
     asked = unit[rng.permutation(len(unit))[:1500]]
     pairs = [(asked[i], unit[k]) for i in range(len(asked)) for k in np.flatnonzero(unit @ asked[i] >= least)[:PAIRS] if not np.array_equal(unit[k], asked[i])]
@@ -83,8 +84,8 @@ def _visits(unit: np.ndarray, books: tuple, least: float, recall: float) -> int:
         aside -= (aside * asked).sum(1)[:, None] * asked
         norm = np.linalg.norm(aside, axis=1, keepdims=True)
         if asked.shape[1] > 1 and (norm > 0).all():
-            cosine = (1 + least) / 2
-            pairs += list(zip(asked, cosine * asked + np.sqrt(1 - cosine**2) * aside / norm, strict=True))
+            # at the limit itself, where a pair is hardest to meet
+            pairs += list(zip(asked, least * asked + np.sqrt(1 - least**2) * aside / norm, strict=True))
     if not pairs:
         return 1
     ask, found = np.array([p for p, _ in pairs]), np.array([p for _, p in pairs])
@@ -176,12 +177,32 @@ def _verified(batches, least: float, kind: str):
         yield block(held)
 
 
+def _met(nodes: DataFrame, size: int, count: int, least: float, recall: float, sample: int, kind: str) -> DataFrame:
+    """``node, links, root`` of the linked nodes among ``count`` vectors of one length."""
+    codes = max(1, round((count / FILL) ** 0.5))
+    chosen = nodes.orderBy(F.xxhash64("k1"), "k2").limit(max(sample, PER_CODE * codes)).select("embedding").toArrow().column(0).combine_chunks()
+    unit, half = _units(_matrix(chosen)), max(1, size // 2)
+    books = (codebook(unit[:, :half], codes), codebook(unit[:, half:], codes) if size > 1 else np.zeros((1, 0)))
+    filed = _filed(nodes, books, _visits(unit, books, least, recall), kind)
+    counts = filed.groupBy("cell").agg(F.ceil(F.sum("role") / CAP).cast("int").alias("homes"), F.ceil(F.sum(1 - F.col("role")) / CAP).cast("int").alias("guests"))
+    # only cells over CAP are cut; they are few, and sent to all tasks only as long as they are
+    full = staged(counts.where("homes > 1 or guests > 1"), "cells")
+    full = F.broadcast(full) if full.count() <= FULL else full
+    one = lambda c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1))
+    split = filed.join(full, "cell", "left").withColumns({"homes": one(F.col("homes")), "guests": one(F.col("guests"))})
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("role") == 1, F.col("homes")).otherwise(F.col("guests"))).cast("int")
+    dealt = split.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, if(role = 1, guests, homes) - 1)")))
+    dealt = dealt.select("cell", F.expr("if(role = 1, own, other)").alias("one"), F.expr("if(role = 1, other, own)").alias("two"), "role", "node", "copies", "vector")
+    met = dealt.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two").mapInArrow(lambda b: _verified(b, least, kind), "node long, links long, root long")
+    return staged(met, "met")
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """One row per row of ``vectors``: ``id, n_links, component_id, kept``.
 
     n_links counts other rows at a cosine of ``least`` or more, equal vectors included. Null, empty and
-    zero vectors, those with null or non-finite components, and those of another length than the most
-    frequent one link with nothing. Repeated and null ids stay rows of their own; null ids are passed over
+    zero vectors and those with null or non-finite components link with nothing. Vectors of each length are
+    compared among themselves. Repeated and null ids stay rows of their own; null ids are passed over
     for the least id. An empty table gives an empty result; other columns are not read.
 
     The codebooks, with a square root of one code for each ``FILL`` vectors, and the number of visits are
@@ -190,27 +211,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    usual = rows.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    size = usual["n"] if usual else 0
-    rows = rows.withColumn("valid", F.coalesce(fine & (F.size("embedding") == size), F.lit(False))).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.hash("embedding"))
+    rows = rows.withColumn("valid", F.coalesce(fine & (F.size("embedding") > 0), F.lit(False))).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.hash("embedding"))
     nodes = staged(_nodes(rows), "nodes")
-    count = nodes.count()
-    codes = max(1, round((count / FILL) ** 0.5))
-    chosen = nodes.orderBy(F.xxhash64("k1"), "k2").limit(max(sample, PER_CODE * codes)).select("embedding").toArrow().column(0).combine_chunks()
     keys = rows.select("id", "valid", "k1", "k2")
-    if not len(chosen):
+    sizes = nodes.groupBy(F.size("embedding").alias("n")).count().orderBy("n").collect()
+    if not sizes:
         return keys.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    unit, half = _units(_matrix(chosen)), max(1, size // 2)
     kind = "<f4" if vectors.schema[vector_col].dataType.elementType == T.FloatType() else "<f8"
-    books = (codebook(unit[:, :half], codes), codebook(unit[:, half:], codes) if size > 1 else np.zeros((1, 0)))
-    filed = _filed(nodes, books, _visits(unit, books, least, recall), kind)
-    counts = staged(filed.groupBy("cell").agg(F.ceil(F.sum("role") / CAP).cast("int").alias("homes"), F.ceil(F.sum(1 - F.col("role")) / CAP).cast("int").alias("guests")).where("homes > 0"), "cells")
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("role") == 1, F.col("homes")).otherwise(F.col("guests"))).cast("int")
-    other = F.explode(F.expr("sequence(0, if(role = 1, guests, homes) - 1)"))
-    dealt = filed.join(F.broadcast(counts), "cell").withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("cell", F.expr("if(role = 1, own, other)").alias("one"), F.expr("if(role = 1, other, own)").alias("two"), "role", "node", "copies", "vector")
-    met = dealt.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two").mapInArrow(lambda b: _verified(b, least, kind), "node long, links long, root long")
-    met = staged(met, "met")
+    met = None
+    for size, count in sizes:
+        own = _met(nodes.where(F.size("embedding") == size), size, count, least, recall, sample, kind)
+        met = own if met is None else met.unionAll(own)
     total = met.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_components(met.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = nodes.select("k1", "k2", "node", "copies", "least").join(total, "node", "left").join(classes, "node", "left")

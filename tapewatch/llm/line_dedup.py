@@ -7,7 +7,7 @@ near it get an exact distinct count. Boilerplate lines leave every place but the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import packed, staged
@@ -20,7 +20,9 @@ DEVIATIONS = 5
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """``id, doc, site, pos, key`` of each line with something but blanks in it."""
     text = F.col(text_col)
-    rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("doc"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    # texts are hashed before they are exploded, or each line would hash its whole text
+    apart = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("doc"), F.col(site_col).cast("string").alias("site"), F.split(text, "\n").alias("lines"))
+    rows = apart.select("id", "doc", "site", F.posexplode("lines").alias("pos", "line"))
     return rows.withColumn("line", F.trim("line")).where("line <> ''").select("id", "doc", "site", "pos", F.xxhash64("line").alias("key"))
 
 
@@ -43,7 +45,7 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Lines are compared without blanks at their ends; blank lines are left alone. Of a boilerplate line
     the place with the least (id, hash of text, position) stays. A null site is no site. Null and
     empty texts stay as they are; a text of nothing but boilerplate becomes empty. Rows that repeat id
-    and text are cut alike. ``removed_col`` adds the number of lines cut.
+    and text are cut alike. ``removed_col`` adds the number of lines cut, in place of a column of that name.
     """
     found = staged(boilerplate(docs, id_col, text_col, site_col, sites), "boilerplate")
     place = F.struct("id", "doc", "pos")
@@ -51,14 +53,13 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lists = staged(cut.groupBy("id", "doc").agg(F.collect_set("pos").alias("cut")), "cut")
     rows = packed(docs, row_id=docs[id_col], row_text=docs[text_col])
     joined = rows.join(lists, F.col("row_id").eqNullSafe(F.col("id")) & (F.xxhash64("row_text") == F.col("doc")), "left")
-
-    def rest() -> Column:
-        kept = F.filter(F.split("row_text", "\n"), lambda _, i: ~F.array_contains(F.col("cut"), i))
-        return F.when(F.col("cut").isNull(), F.col("row_text")).otherwise(F.array_join(kept, "\n"))
-
-    out = [rest().alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
+    # lines come out of an explode as a column of their own: inside a lambda the text would be split anew for each line
+    apart = joined.withColumn("lines", F.explode(F.array(F.split("row_text", "\n"))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("cut"))
+    rest = F.when(F.col("cut").isNull(), F.col("row_text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    out = [rest.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if c != removed_col]
     gone = F.size(F.coalesce(F.col("cut"), F.array().cast("array<int>"))).cast("long")
-    return joined.select(*out, *([gone.alias(removed_col)] if removed_col else []))
+    return apart.select(*out, *([gone.alias(removed_col)] if removed_col else []))
 
 
 SQL = f"""
