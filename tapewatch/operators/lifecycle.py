@@ -99,10 +99,11 @@ def lookup_merge(feed: DataFrame, trades: DataFrame, key: tuple[str, ...] = ("co
 
 
 def backfilled(bets: DataFrame, trades: DataFrame) -> DataFrame:
-    """``bets`` with ``tx`` where it is missing: that of a trade of the same market and outcome, else of the same market; the least one."""
-    exact = trades.groupBy("cond", "outcome").agg(F.min("tx").alias("_exact"))
-    near = trades.groupBy("cond").agg(F.min("tx").alias("_near"))
-    return bets.join(exact, ["cond", "outcome"], "left").join(near, "cond", "left").withColumn("tx", F.coalesce("tx", "_exact", "_near")).drop("_exact", "_near")
+    """``bets`` with ``tx`` where it is missing: that of the wallet's own earliest buy of the same market and outcome, else of the same market."""
+    own = trades.where("side = 'BUY' and tx is not null").groupBy("wallet", "cond", "outcome").agg(F.min(F.struct("ts", "tx")).alias("_own"))
+    first = own.groupBy("wallet", "cond").agg(F.min("_own").alias("_near"))
+    joined = bets.join(own, ["wallet", "cond", "outcome"], "left").join(first, ["wallet", "cond"], "left")
+    return joined.withColumn("tx", F.coalesce("tx", "_own.tx", "_near.tx")).drop("_own", "_near")
 
 
 def accumulated(stored: DataFrame, fresh: DataFrame, key: tuple[str, ...] = ("wallet", "cond", "outcome")) -> DataFrame:

@@ -916,7 +916,7 @@ def lookup_merge(spark, sf_dir):
 def tx_backfill(spark, sf_dir):
     t = _trades(spark, sf_dir)
     bets = _positions(spark, sf_dir, t).select("wallet", "cond", "outcome", F.when(F.col("tx") % 2 == 0, F.col("tx")).alias("tx"))
-    return lifecycle.backfilled(bets, t.where("side = 'BUY' and (cond % 2 = 0 or outcome = 'YES')"))
+    return lifecycle.backfilled(bets, t.where("cond % 2 = 0 or outcome = 'YES'"))
 
 
 @query

@@ -490,8 +490,8 @@ _MORE = {
       ), r AS (SELECT gate, id, outcome, CAST(row_number() OVER (PARTITION BY gate ORDER BY list_position(['Permitted', 'Enjoined', 'Settled', 'Dismissed', 'Pending'], outcome), caption, id, filed_date NULLS FIRST) AS INTEGER) AS place FROM x) SELECT gate, place, id, outcome FROM r WHERE place <= 20""",
     "lookup_merge": f"""{POSITIONS}, p AS (SELECT wallet || '-' || cond AS cond, outcome, stake, pnl, tx, cond AS n FROM positions), f AS (SELECT cond, outcome, CASE WHEN n % 3 = 1 THEN stake + 1 END AS stake, pnl FROM p WHERE n % 3 <> 0), t AS (SELECT * FROM p WHERE n % 4 <> 0
       ), j AS (SELECT coalesce(f.cond, t.cond) AS cond, coalesce(f.outcome, t.outcome) AS outcome, coalesce(f.stake, t.stake) AS stake, coalesce(f.pnl, t.pnl) AS pnl, t.tx FROM f FULL JOIN t ON f.cond = t.cond AND f.outcome = t.outcome) SELECT cond, outcome, {_r('stake', 'pnl')}, tx FROM j""",
-    "tx_backfill": f"""{POSITIONS}, b AS (SELECT * FROM trades WHERE side = 'BUY' AND (cond % 2 = 0 OR outcome = 'YES')), e AS (SELECT cond, outcome, min(tx) AS tx FROM b GROUP BY 1, 2), n AS (SELECT cond, min(tx) AS tx FROM b GROUP BY 1)
-      SELECT wallet, p.cond, p.outcome, coalesce(CASE WHEN p.tx % 2 = 0 THEN p.tx END, e.tx, n.tx) AS tx FROM positions p LEFT JOIN e ON p.cond = e.cond AND p.outcome = e.outcome LEFT JOIN n ON p.cond = n.cond""",
+    "tx_backfill": f"""{POSITIONS}, b AS (SELECT * FROM trades WHERE side = 'BUY' AND (cond % 2 = 0 OR outcome = 'YES')), e AS (SELECT wallet, cond, outcome, arg_min(tx, (ts, tx)) AS tx FROM b GROUP BY ALL), n AS (SELECT wallet, cond, arg_min(tx, (ts, tx)) AS tx FROM b GROUP BY ALL)
+      SELECT p.wallet, p.cond, p.outcome, coalesce(CASE WHEN p.tx % 2 = 0 THEN p.tx END, e.tx, n.tx) AS tx FROM positions p LEFT JOIN e ON p.wallet = e.wallet AND p.cond = e.cond AND p.outcome = e.outcome LEFT JOIN n ON p.wallet = n.wallet AND p.cond = n.cond""",
     "accumulated_bets": f"""{POSITIONS}, p AS (SELECT wallet, cond, outcome, stake, CASE WHEN tx % 2 = 0 THEN entry END AS z, pnl, ts FROM positions), q AS (SELECT wallet, cond, outcome, stake * CASE WHEN ts % 7 < 3 THEN 2 ELSE 0.5 END AS stake, pnl + 1 AS pnl, cond % 4 = 0 AS feed, ts + 5 AS ts FROM p WHERE cond % 2 = 0
       ), j AS (SELECT p.wallet, p.cond, p.outcome, greatest(p.stake, coalesce(q.stake, p.stake)) AS stake, CASE WHEN q.stake IS NULL THEN p.z WHEN p.z IS NULL OR q.stake >= p.stake THEN 9.0 ELSE p.z END AS z, CASE WHEN q.stake IS NULL THEN p.pnl WHEN feed OR q.stake >= p.stake THEN q.pnl ELSE p.pnl END AS pnl, coalesce(feed, false) AS from_feed, p.ts
       FROM p LEFT JOIN q USING (wallet, cond, outcome)) SELECT wallet, cond, outcome, {_r('stake', 'z', 'pnl')}, from_feed, ts FROM j""",
