@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewatch.operators import asof
+
 #: Share of improbability, breadth, timing, magnitude and structure in the score.
 SHARES = (0.40, 0.28, 0.08, 0.12, 0.12)
 
@@ -183,32 +185,28 @@ def rejects(gated: DataFrame, keep: int = 500) -> DataFrame:
     return gated.where("considered and reject_reason is not null").select("wallet", "tier", "reject_reason").orderBy("wallet").limit(keep)
 
 
-def in_interval(asked: DataFrame, found: DataFrame, entity: str, back: int, ahead: int, block: int = 86_400) -> DataFrame:
-    """Pairs of ``asked`` and ``found`` rows of one entity with found.ts in [asked.ts - back, asked.ts + ahead].
+def news_blackout(bets: DataFrame, news: DataFrame, hours: int = 24, outsized: float = 1000) -> DataFrame:
+    """``bet_id, n, blackout, score``: news of a bet's entity in the hours before it; few or none is a signal.
 
-    Asked rows are dealt to the blocks of time that their interval touches, so the join has equal keys
-    (entity, block) and a busy entity is spread over its blocks.
+    News are counted up to both ends of the hours, so no pair of a bet and a report is made.
     """
-    blocks = F.sequence(F.floor((F.col("ts") - back) / block), F.floor((F.col("ts") + ahead) / block))
-    left = asked.withColumn("_block", F.explode(blocks))
-    right = found.select(F.col(entity).alias("_entity"), F.col("ts").alias("found_ts"), F.floor(F.col("ts") / block).alias("_at"), *(c for c in found.columns if c not in (entity, "ts")))
-    pairs = left.join(right, (left[entity] == right["_entity"]) & (left["_block"] == right["_at"]))
-    return pairs.where(F.col("found_ts").between(F.col("ts") - back, F.col("ts") + ahead)).drop("_block", "_at", "_entity")
-
-
-def news_blackout(bets: DataFrame, news: DataFrame, hours: int = 24, outsized: float = 1000) -> DataFrame:
-    """``bet_id, n, blackout, score``: news of a bet's entity in the hours before it; few or none is a signal."""
-    n = in_interval(bets, news, "entity", hours * 3600, 0).groupBy("bet_id").agg(F.count("*").alias("n"))
-    rows = bets.select("bet_id", "stake").join(n, "bet_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = bets.withColumn("id", F.col("bet_id"))
+    rows = asof.counted(rows, news, "entity", {"_before": F.col("ts") - hours * 3600 - 1, "_upto": F.col("ts")}, block=86_400)
+    rows = rows.withColumn("n", F.col("_upto") - F.col("_before"))
     score = F.when((F.col("n") == 0) & (F.col("stake") >= outsized), 0.6).when(F.col("n") == 0, 0.3).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.25), 0.2 - 0.02 * F.col("n"))))
     return rows.select("bet_id", "n", (F.col("n") == 0).alias("blackout"), score.alias("score"))
 
 
 def regulatory_matches(bets: DataFrame, docs: DataFrame, keep: int = 5, back: int = 14 * 86_400, ahead: int = 120 * 86_400) -> DataFrame:
     """``bet_id, ahead, docs``: the newest documents on a bet's entity around it, and how many came on or after it."""
-    pairs = in_interval(bets, docs, "entity", back, ahead, block=30 * 86_400)
-    newest = pairs.withColumn("r", F.row_number().over(Window.partitionBy("bet_id").orderBy(F.desc("found_ts"), F.desc("doc")))).where(F.col("r") <= keep)
-    return newest.groupBy("bet_id").agg(F.count_if(F.col("found_ts") >= F.col("ts")).cast("int").alias("ahead"), F.count("*").cast("int").alias("docs"))
+    newest = asof.newest_within(bets.withColumn("id", F.col("bet_id")), docs, "entity", back, ahead, keep, ["doc"])
+    return newest.groupBy("bet_id").agg(F.count_if(F.col("found.ts") >= F.col("ts")).cast("int").alias("ahead"), F.count("*").cast("int").alias("docs"))
+
+
+def document_matches(bets: DataFrame, docs: DataFrame, keep: int = 5, back: int = 14 * 86_400, ahead: int = 120 * 86_400) -> DataFrame:
+    """The same of documents (``id, title, abstract, ts``) whose title or abstract contains the entity, of three letters or more."""
+    named = asof.containing(bets.select("entity"), docs, ["title", "abstract"]).select("entity", "ts", F.col("id").alias("doc"))
+    return regulatory_matches(bets, named, keep, back, ahead)
 
 
 def funding_network(transfers: DataFrame, subjects: DataFrame, funders: int = 3, recipients: int = 30) -> DataFrame:
