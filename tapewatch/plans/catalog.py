@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewatch.operators import lifecycle, linkage, litigation, market, positions, publish, surveillance, validation, wallet, watch
-from tapewatch.plans import join_queries, watch_queries
+from tapewatch.plans import join_queries, market_queries, watch_queries
 from tapewatch.plans.oracle import ORACLES
 from tapewatch.functions import text
 from tapewatch.sources import driver, shared
@@ -965,6 +965,6 @@ def attribution(spark, sf_dir):
     return rounded(lifecycle.attribution(o.select(k.alias("wallet"), F.when(F.col("o_orderkey") % 4 == 0, k).alias("proxy"), F.when(F.col("o_orderkey") % 4 == 1, k).otherwise(k + 1).alias("maker"), F.when(F.col("o_orderkey") % 4 == 2, k).alias("taker"), F.col("o_totalprice").alias("notional"))), 2)
 
 
-for _more in (watch_queries, join_queries):
+for _more in (watch_queries, join_queries, market_queries):
     QUERIES |= _more.QUERIES
     ORACLES.update(_more.ORACLES)
