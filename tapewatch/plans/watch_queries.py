@@ -84,7 +84,7 @@ def stream_watch_bets(spark, sf_dir):
     read = lambda name, like: spark.readStream.schema(like).parquet(f"{folder}/{name}").withWatermark("at", "1 hour")
     bets = read("bets", spark.read.parquet(f"{folder}/bets").schema)
     ends = read("ends", spark.read.parquet(f"{folder}/ends").schema)
-    out = live.judged(streams.collected(live.lifecycle(bets, ends), folder), flagged)
+    out = live.judged(streams.collected(live.lifecycle(bets, ends, parts=4), folder), flagged)
     last = out.groupBy("cond", "wallet").agg(F.max(F.struct(F.when(F.col("event") == "listed", 0).when(F.col("event") == "resolved", 1).otherwise(2).alias("step"), "score", "status", "won")).alias("b"))
     return last.select("cond", "wallet", "b.score", "b.status", "b.won", (F.col("b.step") == 2).alias("retired"))
 
@@ -147,7 +147,7 @@ ORACLES: dict[str, str] = {
     "watch_board": _LISTING + " SELECT row_number() OVER (ORDER BY CASE status WHEN 'promoted' THEN 1 WHEN 'watching' THEN 2 ELSE 3 END, ts DESC, cond, wallet) AS place, cond, wallet, status, ts, score FROM judged WHERE gone IS NULL OR gone = 'retire' ORDER BY place LIMIT 150",
     "watch_rules": _SIGNALS + _score("stored", "old") + _score("(SELECT * EXCLUDE (score, signals), score AS was FROM old WHERE score >= 25)", "new", 40) + ") SELECT cond, wallet, was, score, 4 AS version FROM new WHERE score <> was",
     "stream_watch_bets": _SIGNALS + _score("stored", "found") + """), mark AS (SELECT least((SELECT max(ts) FROM stored), (SELECT max(resolved_ts) FROM catalog)) - 3600 AS upto
-      ) SELECT f.cond, f.wallet, score, CASE WHEN winner = outcome AND flagged AND score >= 65 THEN 'promoted' ELSE 'cleared' END AS status, winner = outcome AS won, f.ts + 30 * 86400 <= upto OR c.resolved_ts + 7 * 86400 <= upto AS retired FROM found f JOIN catalog c USING (cond), mark WHERE score >= 25""",
+      ) SELECT f.cond, f.wallet, score, CASE WHEN winner = outcome AND flagged AND score >= 65 THEN 'promoted' ELSE 'cleared' END AS status, winner = outcome AS won, (f.ts + 30 * 86400 + 86399) // 86400 * 86400 <= upto OR (c.resolved_ts + 7 * 86400 + 86399) // 86400 * 86400 <= upto AS retired FROM found f JOIN catalog c USING (cond), mark WHERE score >= 25""",
     "stream_watch_peers": """WITH t AS (SELECT l_partkey % 200 AS cond, 'w' || o_custkey AS wallet, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, l_extendedprice AS usd, CAST(epoch(l_shipdate) AS BIGINT) + l_linenumber * 3600 AS ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey
       ), m AS (SELECT cond, count(*) AS n, sum(usd) AS total, sum(usd * usd) AS squares FROM t WHERE side = 'BUY' AND usd > 0 GROUP BY cond), h AS (SELECT cond, ts // 3600 AS hour, sum(usd) AS usd FROM t GROUP BY ALL
       ) SELECT t.cond, wallet, ts, t.usd, n - 1 AS peers, round((t.usd - (total - t.usd) / (n - 1)) / sqrt((squares - t.usd * t.usd - (total - t.usd) * (total - t.usd) / (n - 1)) / (n - 2)), 1) + 0.0::DOUBLE AS size_z,

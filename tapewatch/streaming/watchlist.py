@@ -28,8 +28,9 @@ OUT = f"cond long, wallet string, {_BET}, event string, won boolean, resolved_ts
 class Lifecycle(StatefulProcessor):
     """Bets of one market and part: listed once, resolved once, gone by a timer.
 
-    A resolution that comes before its bets is kept; of two for one market the first stays. Timers are set
-    for the end of each bet's time and for the end of the resolved market's.
+    A resolution that comes before its bets is kept; of two for one market the first stays. A bet's time ends with the
+    day in which it is ``keep`` old, or its market was resolved ``keep_resolved`` ago. One timer rings for the earliest
+    such day of all bets, takes all that are over by the watermark, and is set again for the rest.
     """
 
     def __init__(self, rules: Rules = RULES):
@@ -37,8 +38,9 @@ class Lifecycle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.bets = handle.getMapState("bets", "wallet string", f"{_BET}, ended boolean")
+        self.bets = handle.getMapState("bets", "wallet string", _BET)
         self.end = handle.getValueState("end", "winner string, ts long")
+        self.next = handle.getValueState("next", "at long")
 
     def _rows(self, cond: int, found: list[tuple[str, tuple]], event: str, at: int) -> pd.DataFrame:
         end = self.end.get() if self.end.exists() else None
@@ -51,34 +53,61 @@ class Lifecycle(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         every = pd.concat(list(rows), ignore_index=True)
-        cond, new = int(key[0]), []
+        cond, new, known = int(key[0]), {}, self.bets.exists()
         ends = every[every["winner"].notna()].sort_values("at")
         for bet in every[every["winner"].isna()].sort_values(["ts", "wallet"]).to_dict("records"):
-            if not self.bets.containsKey((bet["wallet"],)):
-                own = tuple(None if pd.isna(bet[f]) else make(bet[f]) for f, make in _MAKE.items())
-                self.bets.updateValue((bet["wallet"],), (*own, False))
-                self.handle.registerTimer((int(bet["ts"]) + self.rules.keep) * 1000)
-                new.append((bet["wallet"], own))
+            wallet = bet["wallet"]
+            if wallet not in new and not (known and self.bets.containsKey((wallet,))):
+                new[wallet] = tuple(None if pd.isna(bet[f]) else make(bet[f]) for f, make in _MAKE.items())
+                self.bets.updateValue((wallet,), new[wallet])
         if new:
-            yield self._rows(cond, new, "listed", max(b[1][_FIELDS.index("ts")] for b in new))
-        if len(ends) and not self.end.exists():
-            first = ends.iloc[0]
-            self.end.update((str(first["winner"]), int(first["at"].timestamp())))
-            self.handle.registerTimer((self.end.get()[1] + self.rules.keep_resolved) * 1000)
-        if self.end.exists():
-            resolved = [(k[0], v) for k, v in self.bets.iterator() if not v[-1]] if len(ends) else new
-            for wallet, bet in resolved:
-                self.bets.updateValue((wallet,), (*bet[: len(_FIELDS)], True))
-            if resolved:
-                yield self._rows(cond, resolved, "resolved", self.end.get()[1])
+            yield self._rows(cond, list(new.items()), "listed", max(bet[_FIELDS.index("ts")] for bet in new.values()))
+        first = len(ends) and not self.end.exists()
+        if first:
+            end = ends.iloc[0]
+            self.end.update((str(end["winner"]), int(end["at"].timestamp())))
+        # a resolution meets all bets that are there; bets after it are resolved at once
+        resolved = [(k[0], v) for k, v in self.bets.iterator()] if first else list(new.items())
+        if resolved and self.end.exists():
+            yield self._rows(cond, resolved, "resolved", self.end.get()[1])
+        self._wake(resolved if first else new.items())
+
+    @staticmethod
+    def _day(at: int) -> int:
+        return -(-at // DAY) * DAY
+
+    def _over(self, bet: tuple) -> int:
+        """The day that a bet's time ends with."""
+        return self._day(bet[_FIELDS.index("ts")] + self.rules.keep)
+
+    def _closed(self) -> int | None:
+        """The day that a resolved market's time ends with."""
+        return self._day(self.end.get()[1] + self.rules.keep_resolved) if self.end.exists() else None
+
+    def _wake(self, bets) -> None:
+        """Sets the timer for the first of these bets whose time ends, unless it rings earlier anyway."""
+        closed = self._closed()
+        day = min((min(self._over(bet), closed or self._over(bet)) for _, bet in bets), default=None)
+        pending = self.next.get()[0] if self.next.exists() else None
+        if day is not None and (pending is None or day < pending):
+            if pending is not None:
+                self.handle.deleteTimer(pending * 1000)
+            self.handle.registerTimer(day * 1000)
+            self.next.update((day,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        late = self.end.exists() and at >= self.end.get()[1] + self.rules.keep_resolved
-        due = [(k[0], v) for k, v in self.bets.iterator() if late or v[_FIELDS.index("ts")] + self.rules.keep <= at]
-        for wallet, _ in due:
-            self.bets.removeKey((wallet,))
-        yield self._rows(int(key[0]), due, "retired", at)
+        now = timerValues.getCurrentWatermarkInMs() // 1000
+        every = [(k[0], v) for k, v in self.bets.iterator()]
+        closed = self._closed()
+        over = [(wallet, bet) for wallet, bet in every if self._over(bet) <= now or (closed is not None and closed <= now)]
+        self.next.clear()
+        if len(over) == len(every):
+            self.bets.clear()
+        else:
+            for wallet, _ in over:
+                self.bets.removeKey((wallet,))
+            self._wake([x for x in every if self._over(x[1]) > now])
+        yield self._rows(int(key[0]), over, "retired", now)
 
     def close(self) -> None:
         pass
