@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, conversation_repair, embedding_dedup, language_id, line_dedup, mixing, quality_model, quality_rules, rans, sequence_packing, sharding, simhash
+from . import bpe, collocations, conversation_repair, embedding_dedup, language_counts, line_dedup, mixing, quality_model, quality_rules, rans, sequence_packing, sharding, simhash
 from ._common import crc_mod, staged, table
 
 
@@ -90,8 +90,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row of documents; learns from rows not held out."""
     docs = table(spark, sf_dir, "documents")
     out = crc_mod("doc_id", 4) == 2
-    model = language_id.learn(docs.where(~out))
-    found = language_id.identify(docs, model).withColumnRenamed("id", "doc_id")
+    counts = language_counts.learn(docs.where(F.coalesce(~out, F.lit(True))))
+    found = language_counts.identify(docs, counts).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
