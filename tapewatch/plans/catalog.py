@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.operators import lifecycle, linkage, litigation, market, positions, publish, surveillance, validation, wallet, watch
+from tapewatch.operators import lifecycle, linkage, litigation, lookup, market, positions, publish, surveillance, validation, wallet, watch
 from tapewatch.plans import join_queries, market_queries, watch_queries
 from tapewatch.plans.oracle import ORACLES
 from tapewatch.functions import text
@@ -35,8 +35,8 @@ def _positions(spark, sf_dir, trades=None):
     return positions.net_positions(t, driver.catalog(t))
 
 
-def _bets(spark, sf_dir):
-    t = _trades(spark, sf_dir)
+def _bets(spark, sf_dir, trades=None):
+    t = _trades(spark, sf_dir) if trades is None else trades
     p = positions.market_cross_section(_positions(spark, sf_dir, t))
     return p.join(positions.price_shock(t).select("cond", "shock_ts"), "cond", "left")
 
@@ -96,9 +96,9 @@ def episode_score(spark, sf_dir):
     return rounded(wallet.episodes(_bets(spark, sf_dir)).select("wallet", "cond", "s", "retained", "tier"), 2)
 
 
-def _gated(spark, sf_dir):
+def _gated(spark, sf_dir, bets=None):
     """Bets, records, fused records and gated ones of one run."""
-    b = shared.staged(_bets(spark, sf_dir))
+    b = shared.staged(_bets(spark, sf_dir) if bets is None else bets)
     r = shared.staged(_records(spark, sf_dir, b))
     f = shared.staged(wallet.fuse(r))
     context = shared.staged(publish.record_context(f, r))
@@ -156,6 +156,16 @@ def subject_report(spark, sf_dir):
     return rounded(rows.select("wallet", "tier", F.array_join(F.array_sort("fired"), ",").alias("fired"), "bets", "wins", "pnl", "mean_odds", "reject_reason"), 3)
 
 
+@query
+def wallet_report(spark, sf_dir):
+    """Verdict and ledger of given wallets (those of one nation's customers); only the markets that they traded in are worked on."""
+    asked = driver.read(spark, sf_dir, "customer").where("c_nationkey = 7").select(F.concat(F.lit("w"), "c_custkey").alias("wallet"))
+    t = shared.staged(lookup.closure(driver.trades(spark, sf_dir), asked))
+    b, _, _, g = _gated(spark, sf_dir, lookup.in_scope(_bets(spark, sf_dir, t), asked))
+    said = g.select("wallet", "tier", F.array_join(F.array_sort("fired"), ",").alias("fired"), "reject_reason")
+    return rounded(publish.ledger(b, 200).join(said, "wallet"), 3)
+
+
 @query
 def calibration(spark, sf_dir):
     _, r, _, out = _published(spark, sf_dir)

@@ -328,6 +328,8 @@ _PUBLISHED = {
     "ledger": f"{BETS} SELECT wallet, r AS place, cond, floor(100 * entry + 0.5)::BIGINT AS odds, {_r('stake')}, round(pnl + 0.0000001, 3) AS profit, won FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY stake DESC, cond) AS r FROM bets) WHERE r <= 14",
     "feed_by_suspicion": f"{_CONTEXT} SELECT wallet, shown_tier AS tier, round(suspicion, 1) AS suspicion, denominator::BIGINT AS denominator FROM scored WHERE considered AND reject_reason IS NULL ORDER BY scored.suspicion DESC, scored.denominator DESC, wallet LIMIT 100",
     "subject_report": f"{_CONTEXT}, asked AS {_ASKED} SELECT wallet, tier, fired, bets, wins, {_r('pnl', 'mean_odds')}, reject_reason FROM gated SEMI JOIN asked USING (wallet)",
+    "wallet_report": f"""{_CONTEXT}, led AS (SELECT wallet, r AS place, cond, floor(100 * entry + 0.5)::BIGINT AS odds, stake, pnl AS profit, won FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY stake DESC, cond) AS r FROM bets) WHERE r <= 200)
+      SELECT wallet, tier, fired, reject_reason, place, cond, odds, {_r('stake')}, round(profit + 0.0000001, 3) AS profit, led.won FROM led JOIN (SELECT wallet, tier, fired, reject_reason FROM gated) USING (wallet) WHERE wallet IN (SELECT 'w' || c_custkey FROM customer WHERE c_nationkey = 7)""",
     "calibration": f"{_CONTEXT}, asked AS {_ASKED} SELECT wallet, detector, fires, {_r('score', 'measure')}, wallet IN (SELECT wallet FROM published) AS published FROM ({_EVERY_DETECTOR}) SEMI JOIN asked USING (wallet)",
     "info_signals": f"""{_CONTEXT}, nb AS (SELECT wallet FROM ({_detector('newsBlackout')}) WHERE fires), y AS (SELECT g.*, n.wallet IS NOT NULL AS quiet FROM gated g LEFT JOIN nb n USING (wallet))
       SELECT wallet, n_fired + quiet::INT AS n_fired, round(floor((raw + 0.28::DOUBLE * (least(1.0::DOUBLE, (n_fired + quiet::INT) / 9) - least(1.0::DOUBLE, n_fired / 9)) + CASE WHEN quiet AND NOT (contains(f2, ',timing,') OR contains(f2, ',crossCat,')) THEN 0.08::DOUBLE ELSE 0 END) * 1000 + 0.5 + 1e-7) / 10, 1) AS suspicion FROM y""",
