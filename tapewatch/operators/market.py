@@ -119,12 +119,18 @@ def ramp(bars: DataFrame, market: str = "market") -> DataFrame:
     return out.select(market, "close_share", "move", "times", score.alias("score"))
 
 
-def synchronised_entry(volumes: DataFrame, window: int = 900, least_share: float = 0.0, least: int = 3) -> DataFrame:
-    """``cond, size, share, anchor``: the largest share of wallets whose first buys lie within ``window`` seconds of one of them."""
+def synchronised_entry(volumes: DataFrame, window: int = 900, least_share: float = 0.03, least: int = 3) -> DataFrame:
+    """``cond, size, share, anchor``: the largest share of wallets whose first buys lie within ``window`` seconds of one of them.
+
+    Time is cut into blocks of ``window``; a wallet stands in its own block and in the one before, where it can only be reached by
+    others, so a market is put in order two windows at a time.
+    """
     total = volumes.groupBy("cond").agg(F.sum("buy_usd").alias("total"))
     sized = volumes.where(F.col("first_ts").isNotNull()).join(total, "cond").withColumn("part", F.col("buy_usd") / F.col("total")).where(F.col("part") >= least_share)
-    w = Window.partitionBy("cond").orderBy("first_ts").rangeBetween(0, window)
-    found = sized.select("cond", "first_ts", F.count("*").over(w).alias("size"), F.sum("part").over(w).alias("share")).where(F.col("size") >= least)
+    block = F.floor(F.col("first_ts") / window)
+    both = sized.select("cond", "first_ts", "part", F.explode(F.array(F.struct(block.alias("b"), F.lit(True).alias("own")), F.struct((block - 1).alias("b"), F.lit(False).alias("own")))).alias("x"))
+    w = Window.partitionBy("cond", "x.b").orderBy("first_ts").rangeBetween(0, window)
+    found = both.select("cond", "first_ts", "x.own", F.count("*").over(w).alias("size"), F.sum("part").over(w).alias("share")).where(F.col("own") & (F.col("size") >= least))
     best = found.groupBy("cond").agg(F.max(F.struct(F.round("share", 9).alias("share"), (-F.col("first_ts")).alias("at"), "size")).alias("b"))
     return best.select("cond", F.col("b.size").alias("size"), F.col("b.share").alias("share"), (-F.col("b.at")).alias("anchor"))
 
@@ -167,23 +173,29 @@ def fuse(scores: DataFrame, market: str, weights: dict[str, float], quality: Col
 
 
 def trim_settlement(series: DataFrame, market: str = "market", eps: float = 0.01) -> DataFrame:
-    """``series`` without the run of points at its end that lie within ``eps`` of a final 0 or 1."""
-    w = Window.partitionBy(market)
-    rows = series.withColumn("_end", F.max_by("p", F.struct("t", "id")).over(w))
+    """``series`` without the run of points at its end that lie within ``eps`` of a final 0 or 1. Ends are aggregated and joined back."""
+    same = lambda c: F.col(market) == F.col(c)
+    ends = series.groupBy(F.col(market).alias("_m")).agg(F.max_by("p", F.struct("t", "id")).alias("_end"))
+    rows = series.join(ends, same("_m"))
+    last = rows.where(F.abs(F.col("p") - F.round("_end")) > eps).groupBy(F.col(market).alias("_l")).agg(F.max("t").alias("_last"))
     settled = F.col("_end").isin(0.0, 1.0) | (F.least(F.col("_end"), 1 - F.col("_end")) <= eps)
-    rows = rows.withColumn("_last", F.max(F.when(F.abs(F.col("p") - F.round("_end")) > eps, F.col("t"))).over(w))
-    return rows.where(~settled | (F.col("t") <= F.col("_last"))).drop("_end", "_last")
+    return rows.join(last, same("_l"), "left").where(~settled | (F.col("t") <= F.col("_last"))).select(*series.columns)
 
 
-def price_as_of(series: DataFrame, moments: DataFrame, market: str = "market", at: str = "at") -> DataFrame:
+def price_as_of(series: DataFrame, moments: DataFrame, market: str = "market", at: str = "at", block: int = DAY) -> DataFrame:
     """``moments`` with ``price_at``: the last price up to the moment, or the first one where none is earlier.
 
-    Moments and points are one stream in time order, so each market is passed once and no pair is made.
+    Moments and points are one stream in time order, cut into blocks that are each given the last price before them and the
+    first one after, so no pair is made and no market is put in order as a whole.
     """
-    points = series.select(market, F.col("t").alias("_t"), F.lit(0).alias("_k"), F.col("p").alias("_p"), *(F.lit(None).cast(t).alias(c) for c, t in moments.dtypes if c != market))
-    asked = moments.select(market, F.col(at).alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast("double").alias("_p"), *(c for c in moments.columns if c != market))
-    w = Window.partitionBy(market).orderBy("_t", "_k")
-    both = points.unionByName(asked)
-    before = F.last("_p", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_p", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return both.withColumn("price_at", F.coalesce(before, after)).where("_k = 1").select(*moments.columns, "price_at")
+    points = series.select(F.col(market).alias("_m"), F.col("t").alias("_t"), F.lit(0).alias("_k"), F.col("p").alias("_p"))
+    asked = moments.select(F.col(market).alias("_m"), F.col(at).alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast("double").alias("_p"), F.struct(*moments.columns).alias("_row"))
+    both = points.withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType)).unionByName(asked).withColumn("_b", F.floor(F.col("_t") / block))
+    priced = F.when(F.col("_k") == 0, F.struct("_t"))
+    parts = both.groupBy("_m", "_b").agg(F.max_by("_p", priced).alias("_z"), F.min_by("_p", priced).alias("_a"))
+    over = Window.partitionBy("_m").orderBy("_b")
+    parts = parts.select(F.col("_m").alias("_m2"), F.col("_b").alias("_b2"), F.last("_z", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"), F.first("_a", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
+    w = Window.partitionBy("_m", "_b").orderBy("_t", "_k")
+    own = both.withColumns({"_before": F.last("_p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_after": F.first("_p", True).over(w.rowsBetween(0, Window.unboundedFollowing))}).where("_k = 1")
+    met = own.join(parts, F.col("_m").eqNullSafe(F.col("_m2")) & F.col("_b").eqNullSafe(F.col("_b2")))
+    return met.select("_row.*", F.coalesce("_before", "_carried", "_after", "_next").alias("price_at"))

@@ -165,9 +165,11 @@ def downsample(series: DataFrame, most: int = 120, market: str = "market") -> Da
 def deep_set(scored: DataFrame, resolved: int = 8, per_venue: int = 7, most: int = 22) -> DataFrame:
     """Markets that are looked at closely: the top resolved ones, and the top of each venue by index; each once, at most ``most``."""
     by = [F.desc("score"), F.col("market")]
-    rows = scored.withColumns({"r": F.row_number().over(Window.partitionBy("resolved").orderBy(*by)), "v": F.row_number().over(Window.partitionBy("resolved", "venue").orderBy(*by))})
-    chosen = rows.where((F.col("resolved") & (F.col("r") <= resolved)) | (~F.col("resolved") & (F.col("v") <= per_venue)))
-    return chosen.orderBy(F.desc("resolved"), *by).limit(most).drop("r", "v")
+    # two branches with limits of their own: each task keeps no more rows than the limit before they meet
+    done = scored.where("resolved").orderBy(*by).limit(resolved)
+    rank = F.row_number().over(Window.partitionBy("venue").orderBy(*by))
+    open_ = scored.where("not resolved").withColumn("_v", rank).where(F.col("_v") <= per_venue).drop("_v")
+    return done.unionByName(open_).orderBy(F.desc("resolved"), *by).limit(most)
 
 
 def augmented(resolved: DataFrame, open_: DataFrame, least: int) -> DataFrame:

@@ -313,7 +313,7 @@ def ramp(spark, sf_dir):
 
 @query
 def sync_entry(spark, sf_dir):
-    return rounded(market.synchronised_entry(market.wallet_volumes(driver.trades(spark, sf_dir)), window=86_400), 6)
+    return rounded(market.synchronised_entry(market.wallet_volumes(driver.trades(spark, sf_dir)), window=86_400, least_share=0.0), 6)
 
 
 @query
