@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapewatch.functions import text as texts
 from tapewatch.functions.text import caption
@@ -99,15 +100,31 @@ class MatterRules:
     enums: tuple = (("outcome", ("Permitted", "Enjoined", "Settled", "Dismissed", "Pending")),)
     required: tuple = ("id", "caption", "filed_date")
     states: tuple = ()
+    arrays: tuple = ()
+    parties: str | None = None
 
 
 def problems(matters: DataFrame, rules: MatterRules = MatterRules()) -> DataFrame:
-    """``id, problem``: each rule that a matter breaks. Ids are counted by one aggregation, joined to repeats only."""
+    """``id, problem``: each rule that a matter breaks. Ids are counted by one aggregation, joined to repeats only.
+
+    ``states``: codes that the map has, if any are given; ``arrays``: columns that must be lists; ``parties``: a list of ``name, role``, each of
+    which needs both. A column of another type than a list breaks its rule in every row.
+    """
     broken = [F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in rules.required]
     broken += [F.when(F.col(c).isNotNull() & ~F.col(c).isin(*values), F.concat(F.lit(f"{c}: "), F.col(c))) for c, values in rules.enums]
     filed, decided = F.try_to_date("filed_date", "yyyy-MM-dd"), F.try_to_date("decided_date", "yyyy-MM-dd")
     broken += [F.when(F.col("filed_date").isNotNull() & filed.isNull(), F.lit("filed_date is no date")), F.when(F.col("decided_date").isNotNull() & decided.isNull(), F.lit("decided_date is no date")), F.when(decided < filed, F.lit("decided before filed"))]
-    own = matters.select("id", F.explode(F.filter(F.array(*broken), lambda x: x.isNotNull())).alias("problem"))
+    lists = {f.name for f in matters.schema if isinstance(f.dataType, T.ArrayType)}
+    broken += [F.when(F.col(c).isNull(), F.lit(f"{c} must be a list")) if c in lists else F.lit(f"{c} must be a list") for c in rules.arrays]
+    several = [F.array(*broken)]
+    if rules.parties:
+        empty = lambda c: F.coalesce(c, F.lit("")) == ""
+        bad = lambda x, i: F.when(empty(x["name"]) | empty(x["role"]), F.concat(F.lit(f"{rules.parties}["), i.cast("string"), F.lit("] needs name and role")))
+        several.append(F.coalesce(F.transform(rules.parties, bad), F.array().cast("array<string>")))
+    if rules.states:
+        off = F.filter("states", lambda s: ~F.coalesce(s.isin(*rules.states), F.lit(False)))
+        several.append(F.coalesce(F.transform(off, lambda s: F.concat(F.lit("state "), F.coalesce(s, F.lit("null")), F.lit(" is not on the map"))), F.array().cast("array<string>")))
+    own = matters.select("id", F.explode(F.filter(F.flatten(F.array(*several)), lambda x: x.isNotNull())).alias("problem"))
     repeats = matters.where(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("duplicate id").alias("problem"))
     return own.unionAll(repeats)
 

@@ -387,6 +387,24 @@ def validation_problems(spark, sf_dir):
     return litigation.problems(_matters(spark, sf_dir))
 
 
+@query
+def matter_validation(spark, sf_dir):
+    """All rules of a matter: six enumerations, all required fields, lists, parties and states on the map."""
+    n = F.col("n")
+    m = _matters(spark, sf_dir).withColumn("n", F.regexp_extract("id", "([0-9]+)$", 1).cast("long"))
+    party = lambda name, role: F.struct(name.cast("string").alias("name"), role.cast("string").alias("role"))
+    m = m.withColumns({
+        "parties": F.when(n % 19 != 0, F.array(party(F.concat(F.lit("p"), n), F.lit("plaintiff")), party(F.when(n % 5 != 0, F.lit("d")), F.when(n % 7 != 0, F.lit("defendant")).otherwise(F.lit(""))))),
+        "statutes": F.when(n % 23 != 0, F.array(F.lit("7 USC 1"))), "sources": F.array().cast("array<string>"), "summary": F.when(n % 29 != 0, "text"), "doctrinal_question": F.lit("q"),
+    })
+    rules = litigation.MatterRules(
+        enums=(("platform", ("p0", "p1", "p2")), ("contract", ("c0", "c1")), ("forum", ("O", "F")), ("outcome", ("Permitted", "Enjoined", "Settled", "Dismissed")), ("posture", ("Enjoined", "Pending", "Permitted", "Settled")), ("gate", ("g0", "g1", "g2", "g3", "g4", "g5"))),
+        required=("id", "caption", "platform", "parties", "contract", "forum", "states", "statutes", "gate", "doctrinal_question", "posture", "outcome", "filed_date", "summary", "sources"),
+        states=tuple(f"S{k}" for k in range(45)), arrays=("statutes", "sources"), parties="parties",
+    )
+    return litigation.problems(m, rules).groupBy("problem").agg(F.count("*").alias("n"))
+
+
 @query
 def crosstab(spark, sf_dir):
     return litigation.crosstab(_matters(spark, sf_dir), "contract", "outcome", ["Permitted", "Enjoined", "Settled", "Dismissed", "Pending"])

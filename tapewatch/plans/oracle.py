@@ -564,6 +564,11 @@ ORACLES: dict[str, str] = {
     "validation_problems": f"""{MATTERS} SELECT id, 'missing filed_date' AS problem FROM matters WHERE filed_date IS NULL
       UNION ALL SELECT id, 'decided_date is no date' FROM matters WHERE decided_date = '2020-13-01' UNION ALL SELECT id, 'decided before filed' FROM matters WHERE decided_date = '1990-01-01' AND filed_date > '1990-01-01'
       UNION ALL SELECT id, 'duplicate id' FROM matters GROUP BY id HAVING count(*) > 1""",
+    "matter_validation": f"""{MATTERS}, m AS (SELECT *, CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) AS n FROM matters), x AS (SELECT 'missing filed_date' AS problem FROM m WHERE filed_date IS NULL UNION ALL SELECT 'missing parties' FROM m WHERE n % 19 = 0 UNION ALL SELECT 'missing statutes' FROM m WHERE n % 23 = 0
+      UNION ALL SELECT 'missing summary' FROM m WHERE n % 29 = 0 UNION ALL SELECT 'statutes must be a list' FROM m WHERE n % 23 = 0 UNION ALL SELECT 'platform: ' || platform FROM m WHERE platform = 'p3' UNION ALL SELECT 'contract: ' || contract FROM m WHERE contract = 'c2' UNION ALL SELECT 'forum: ' || forum FROM m WHERE forum = 'P'
+      UNION ALL SELECT 'outcome: ' || outcome FROM m WHERE outcome = 'Pending' UNION ALL SELECT 'posture: ' || posture FROM m WHERE posture = 'Dismissed' UNION ALL SELECT 'gate: ' || gate FROM m WHERE gate = 'g6' UNION ALL SELECT 'decided_date is no date' FROM m WHERE decided_date = '2020-13-01'
+      UNION ALL SELECT 'decided before filed' FROM m WHERE decided_date = '1990-01-01' AND filed_date > '1990-01-01' UNION ALL SELECT 'parties[1] needs name and role' FROM m WHERE n % 19 <> 0 AND (n % 5 = 0 OR n % 7 = 0)
+      UNION ALL SELECT 'state ' || s || ' is not on the map' FROM (SELECT unnest(states) AS s FROM m) WHERE CAST(s[2:] AS INTEGER) >= 45 UNION ALL SELECT 'duplicate id' FROM (SELECT id FROM m GROUP BY id HAVING count(*) > 1)) SELECT problem, count(*) AS n FROM x GROUP BY problem""",
     "crosstab": f"{MATTERS} SELECT contract, " + ", ".join(f"count(*) FILTER (WHERE outcome = '{o}') AS {o}" for o in ("Permitted", "Enjoined", "Settled", "Dismissed", "Pending")) + " FROM matters GROUP BY contract",
     "entity_degree": f"{MATTERS} SELECT 'platform' AS kind, platform AS name, count(*) AS degree FROM matters GROUP BY platform UNION ALL SELECT 'forum', forum, count(*) FROM matters GROUP BY forum",
     "analog_vote": f"""{MATTERS}, sc AS (SELECT n_nationkey AS scenario, 'c' || (n_nationkey % 3) AS contract, CASE WHEN n_nationkey % 2 = 0 THEN 'O' ELSE 'F' END AS forum, 'S' || n_nationkey AS state, 'g' || (n_nationkey % 7) AS gate FROM nation
