@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,19 @@ def new_alerts(queue: DataFrame, sent: DataFrame, tiers: tuple[str, ...] = ("Hig
     return queue.where(F.col("tier").isin(*tiers)).join(sent.select("engine", "market"), ["engine", "market"], "left_anti")
 
 
+def set_key(addresses: Column) -> Column:
+    """The identity of a set of addresses: lower case, each once, in order; null for an empty set."""
+    clean = F.array_sort(F.array_distinct(F.filter(F.transform(addresses, F.lower), lambda a: a.isNotNull() & (a != ""))))
+    return F.when(F.size(clean) > 0, F.array_join(clean, ","))
+
+
+def keyed_subjects(subjects: DataFrame) -> DataFrame:
+    """``subjects`` (``addresses, profit, run, rejected``) with ``key`` and clean ``addresses``: the same set is the same subject in any order or case.
+    A set that gained or lost a member is another subject; subjects without an address are left out."""
+    key = set_key(F.col("addresses"))
+    return subjects.withColumn("key", key).where("key is not null").withColumn("addresses", F.split("key", ","))
+
+
 def cumulative_ledger(subjects: DataFrame) -> DataFrame:
     """``address, profit``: pooled profit of each run's subjects (``key, addresses, profit, run, rejected``), the newest
     run of a subject winning and rejected ones left out; a cluster's profit is shared by its members."""

@@ -478,6 +478,16 @@ def cumulative_ledger(spark, sf_dir):
     return rounded(lifecycle.cumulative_ledger(subjects), 2)
 
 
+@query
+def address_sets(spark, sf_dir):
+    """The ledger of subjects that are told by their addresses alone, which each run names in another order and case."""
+    o, k = driver.read(spark, sf_dir, "orders"), F.col("o_custkey")
+    a, b = F.concat(F.lit("0xA"), k.cast("string")), F.concat(F.lit("0xb"), (k % 97).cast("string"))
+    sets = F.when(F.col("o_orderkey") % 3 == 0, F.array(b, a)).when(F.col("o_orderkey") % 3 == 1, F.array(F.upper(a), b, F.lit(None), a)).otherwise(F.array(a))
+    subjects = o.select(sets.alias("addresses"), F.col("o_totalprice").alias("profit"), F.col("o_orderkey").alias("run"), (F.col("o_orderkey") % 10 == 0).alias("rejected"))
+    return rounded(lifecycle.cumulative_ledger(lifecycle.keyed_subjects(subjects)), 2)
+
+
 @query
 def pool_retention(spark, sf_dir):
     r = _records(spark, sf_dir).select("wallet", F.round("max_event", 2).alias("max_event"), F.round(F.coalesce("median_stake", F.lit(0.0)), 2).alias("max_stake"), "wins", "bets", (F.col("wins") >= 12).alias("protected"))

@@ -560,6 +560,8 @@ ORACLES: dict[str, str] = {
     "funder_pairs": f"{PAIRS} SELECT a, b, funder, shared, {_r('co_spend', 'sync', 'near', 'link', digits=4)}, type FROM pairs",
     "wallet_components": f"""{PAIRS.replace('WITH ', 'WITH RECURSIVE ', 1)}, links AS (SELECT a, b FROM pairs WHERE link >= 0.6 UNION SELECT b, a FROM pairs WHERE link >= 0.6
       ), reach AS (SELECT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a) SELECT node, min(other) AS component FROM reach GROUP BY node""",
+    "address_sets": """WITH s AS (SELECT CASE WHEN o_orderkey % 3 = 2 THEN ['0xa' || o_custkey] ELSE list_sort(['0xa' || o_custkey, '0xb' || (o_custkey % 97)]) END AS members, o_totalprice AS profit, o_orderkey AS run, o_orderkey % 10 = 0 AS rejected FROM orders
+      ), last AS (SELECT members, arg_max(profit, run) AS profit, arg_max(rejected, run) AS rejected FROM s GROUP BY members), m AS (SELECT unnest(members) AS address, profit / len(members) AS profit FROM last WHERE NOT rejected) SELECT address, round(sum(profit) + 1e-7, 2) AS profit FROM m GROUP BY address""",
     "state_rollup": f"{MATTERS}, x AS (SELECT unnest(states) AS state, posture, rank FROM matters) SELECT state, count(*) AS n, arg_min(posture, rank) AS posture FROM x GROUP BY state",
     "validation_problems": f"""{MATTERS} SELECT id, 'missing filed_date' AS problem FROM matters WHERE filed_date IS NULL
       UNION ALL SELECT id, 'decided_date is no date' FROM matters WHERE decided_date = '2020-13-01' UNION ALL SELECT id, 'decided before filed' FROM matters WHERE decided_date = '1990-01-01' AND filed_date > '1990-01-01'
