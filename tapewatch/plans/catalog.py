@@ -943,6 +943,18 @@ def tracker_newest(spark, sf_dir):
     return litigation.tracker_order(m, "newest").limit(50)
 
 
+@query
+def tracker_orders(spark, sf_dir):
+    """The first rows of the tracker in each of its four orders."""
+    day = F.date_format(F.date_add(F.to_date("filed_date"), F.length("id") * 3), "yyyy-MM-dd")
+    m = _matters(spark, sf_dir).where("filed_date is not null").groupBy("id").agg(F.max("filed_date").alias("filed_date"), F.min("caption").alias("caption")).withColumn("last_update", day)
+    m, out = shared.staged(m), None
+    for by in ("newest", "oldest", "updated", "name"):
+        first = litigation.tracker_order(m, by).limit(30).select(F.lit(by).alias("by"), "id", "filed_date", "last_update", "caption")
+        out = first if out is None else out.unionByName(first)
+    return out
+
+
 @query
 def lookup_merge(spark, sf_dir):
     p = _positions(spark, sf_dir).select(F.concat_ws("-", "wallet", "cond").alias("cond"), "outcome", "stake", "pnl", "tx", F.col("cond").alias("n"))

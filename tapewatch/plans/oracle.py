@@ -504,6 +504,9 @@ _MORE = {
     "lean_bets": f"{POSITIONS} SELECT wallet, cond, outcome, {_r('entry', 'stake', 'pnl')}, won, held, ts, tx FROM positions",
     "holder_balances": "SELECT l_partkey % 200 AS market, l_suppkey AS wallet, round(sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) + 1e-7, 2) AS balance FROM lineitem GROUP BY 1, 2 HAVING sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) > 0",
     "attribution": "SELECT CASE o_orderkey % 4 WHEN 0 THEN 'proxy' WHEN 1 THEN 'maker' WHEN 2 THEN 'taker' ELSE 'other' END AS role, count(*) AS n, round(sum(o_totalprice) + 1e-7, 2) AS notional FROM orders GROUP BY 1",
+    "tracker_orders": f"""{MATTERS}, x AS (SELECT id, max(filed_date) AS filed_date, min(caption) AS caption FROM matters WHERE filed_date IS NOT NULL GROUP BY id), y AS (SELECT *, strftime(CAST(filed_date AS DATE) + CAST(length(id) * 3 AS INTEGER), '%Y-%m-%d') AS last_update FROM x)
+      (SELECT 'newest' AS by, id, filed_date, last_update, caption FROM y ORDER BY filed_date DESC, id LIMIT 30) UNION ALL (SELECT 'oldest', id, filed_date, last_update, caption FROM y ORDER BY filed_date, id LIMIT 30)
+      UNION ALL (SELECT 'updated', id, filed_date, last_update, caption FROM y ORDER BY last_update DESC, id LIMIT 30) UNION ALL (SELECT 'name', id, filed_date, last_update, caption FROM y ORDER BY caption, id LIMIT 30)""",
     "tracker_newest": f"{MATTERS}, x AS (SELECT id, max(filed_date) AS filed_date FROM matters WHERE filed_date IS NOT NULL GROUP BY id) SELECT id, filed_date FROM x ORDER BY filed_date DESC, id LIMIT 50",
 }
 
