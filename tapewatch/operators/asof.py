@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewatch.sources.shared import staged
+
 DAY = 86_400
 
 
@@ -58,8 +60,9 @@ def newest_within(asked: DataFrame, found: DataFrame, key: str, back: int, ahead
 def containing(names: DataFrame, texts: DataFrame, text_cols: list[str], name: str = "entity", size: int = 3) -> DataFrame:
     """``texts`` beside each of ``names`` (of ``size`` letters or more) that one of the ``text_cols`` contains, in any case of letters.
 
-    A text holds a name only if it holds all its pieces of ``size`` letters. Each name looks among the texts that hold its
-    rarest piece, and those are compared; nothing else meets. ``texts`` has a unique ``id``.
+    A text holds a name only if it holds all its pieces of ``size`` letters. Each different text is cut once, each name looks
+    among those that hold its rarest piece, and those are compared; nothing else meets. Neither texts nor their pieces are
+    broadcast: small as they are in their files, they are many rows.
     """
 
     def pieces(c):
@@ -68,14 +71,20 @@ def containing(names: DataFrame, texts: DataFrame, text_cols: list[str], name: s
 
     asked = names.select(name).where(F.length(name) >= size).distinct().withColumn("_low", F.lower(name))
     wanted = asked.withColumn("_piece", F.explode(pieces(F.col("_low"))))
-    low = F.concat_ws("\n", *(F.lower(c) for c in text_cols))
-    shown = texts.select(F.col("id").alias("_id"), F.explode(pieces(low)).alias("_piece")).join(wanted.select("_piece").distinct(), "_piece", "left_semi")
+    parts = [f"_part{k}" for k in range(len(text_cols))]
+    held = staged(texts.select(*(F.col(c).alias(p) for c, p in zip(text_cols, parts))).distinct().withColumn("_id", F.monotonically_increasing_id()))
+    low = F.concat_ws("\n", *(F.lower(p) for p in parts))
+    shown = staged(held.select("_id", F.explode(pieces(low)).alias("_piece")).join(wanted.select("_piece").distinct(), "_piece", "left_semi"))
     seen = shown.groupBy("_piece").agg(F.count("*").alias("_seen"))
     rarest = wanted.join(seen, "_piece", "left").groupBy(name, "_low").agg(F.min(F.struct(F.coalesce("_seen", F.lit(0)).alias("_seen"), "_piece")).alias("_r"))
-    found = rarest.where("_r._seen > 0").select(name, "_low", F.col("_r._piece").alias("_piece")).join(shown, "_piece").select(name, "_low", "_id")
-    # whole texts come as one column, so that no name of theirs meets one of these
-    whole = found.join(texts.select(F.col("id").alias("_same"), F.struct(*texts.columns).alias("_text")), F.col("_id") == F.col("_same"))
+    found = rarest.where("_r._seen > 0").select(F.col(name).alias("_name"), "_low", F.col("_r._piece").alias("_piece")).join(shown.hint("merge"), "_piece").select("_name", "_low", "_id")
     holds = F.lit(False)
-    for c in text_cols:
-        holds = holds | F.coalesce(F.contains(F.lower(F.col(f"_text.{c}")), F.col("_low")), F.lit(False))
-    return whole.where(holds).select(F.col(name), *(F.col(f"_text.{c}") for c in texts.columns if c != name))
+    for p in parts:
+        holds = holds | F.coalesce(F.contains(F.lower(p), F.col("_low")), F.lit(False))
+    whole = found.join(held.hint("merge"), "_id").where(holds).select("_name", *parts)
+    # whole texts come as one column, so that no name of theirs meets one of these
+    same = F.lit(True)
+    for c, p in zip(text_cols, parts):
+        same = same & F.col(f"_text.{c}").eqNullSafe(F.col(p))
+    met = texts.select(F.struct(*texts.columns).alias("_text")).join(whole.hint("merge"), same)
+    return met.select(F.col("_name").alias(name), *(F.col(f"_text.{c}") for c in texts.columns if c != name))
