@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewatch.operators import asof
+from tapewatch.sources.shared import staged
 
 #: Share of improbability, breadth, timing, magnitude and structure in the score.
 SHARES = (0.40, 0.28, 0.08, 0.12, 0.12)
@@ -205,7 +206,7 @@ def regulatory_matches(bets: DataFrame, docs: DataFrame, keep: int = 5, back: in
 
 def document_matches(bets: DataFrame, docs: DataFrame, keep: int = 5, back: int = 14 * 86_400, ahead: int = 120 * 86_400) -> DataFrame:
     """The same of documents (``id, title, abstract, ts``) whose title or abstract contains the entity, of three letters or more."""
-    named = asof.containing(bets.select("entity"), docs, ["title", "abstract"]).select("entity", "ts", F.col("id").alias("doc"))
+    named = staged(asof.containing(bets.select("entity"), docs, ["title", "abstract"]).select("entity", "ts", F.col("id").alias("doc")))
     return regulatory_matches(bets, named, keep, back, ahead)
 
 

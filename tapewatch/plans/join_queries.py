@@ -28,7 +28,9 @@ def _documents(spark, sf_dir):
 
 
 def _entities(spark, sf_dir):
-    return driver.listings(spark, sf_dir).select(F.get(text.entities(F.col("question")), F.lit(0)).alias("entity")).where("entity is not null").distinct()
+    # staged, or Spark takes the inner distinct away and looks for names in every listing
+    asked = shared.staged(driver.listings(spark, sf_dir).select("question").distinct())
+    return asked.select(F.get(text.entities(F.col("question")), F.lit(0)).alias("entity")).where("entity is not null").distinct()
 
 
 @query
@@ -39,7 +41,8 @@ def entity_documents(spark, sf_dir):
 @query
 def document_matches(spark, sf_dir):
     t = shared.staged(driver.trades(spark, sf_dir))
-    named = driver.catalog(t).select("cond", F.get(text.entities(F.col("question")), F.lit(0)).alias("entity"))
+    # staged, or the filter on the entity goes below the catalogue's aggregation and looks for names in every trade
+    named = shared.staged(driver.catalog(t).select("cond", F.get(text.entities(F.col("question")), F.lit(0)).alias("entity")))
     bets = t.where("side = 'BUY'").join(named, "cond").where("entity is not null").groupBy(F.col("tx").alias("bet_id")).agg(F.min(F.struct("ts", "entity")).alias("b")).select("bet_id", "b.*")
     return publish.document_matches(shared.staged(bets), shared.staged(_documents(spark, sf_dir)), back=BACK, ahead=AHEAD)
 
