@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewatch.functions import text
+from tapewatch.sources.shared import staged
 
 HOUR, DAY = 3600, 86_400
 STORED = ("cond", "wallet", "outcome", "price", "usd", "ts", "size_z", "whale_x", "vol_share", "peers", "flagged", "fresh", "blackout", "anticipated", "public_info")
@@ -104,18 +105,21 @@ def peers(trades: DataFrame, at: float = 0.9, block: int = 1024) -> DataFrame:
     sd is the sample's; p90 is the element at floor(.9(n-1)). That element is found by its number: sizes cover ranges of
     numbers, and a range is dealt to the blocks of numbers that it touches.
     """
-    sizes = counted_sizes(trades)
+    sizes = staged(counted_sizes(trades))
     n = F.col("n") - F.col("k")
     total, squares = F.col("total") - F.col("k") * F.col("usd"), F.col("squares") - F.col("k") * F.col("usd") * F.col("usd")
     mean = F.when(n > 0, total / n)
     sd = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (squares - n * mean * mean) / (n - 1))))
     number = F.floor(at * (n - 1)).cast("long")
     # without this size, what stands after it moves up by its count
-    asked = sizes.select("cond", "usd", n.alias("peers"), mean.alias("mean"), sd.alias("sd"), (number + F.when(number < F.col("below"), 0).otherwise(F.col("k"))).alias("_number")).withColumn("_block", F.floor(F.col("_number") / block))
+    asked = sizes.select("cond", "usd", n.alias("peers"), mean.alias("mean"), sd.alias("sd"), (number + F.when(number < F.col("below"), 0).otherwise(F.col("k"))).alias("_number"))
+    # a market asks for a few numbers, however many sizes it has: each number is looked for once
+    numbers = asked.where("peers > 0").select("cond", "_number").distinct().withColumn("_block", F.floor(F.col("_number") / block))
     ranges = sizes.select(F.col("cond").alias("_cond"), F.col("usd").alias("p90"), "below", (F.col("below") + F.col("k")).alias("_end"))
     ranges = ranges.withColumn("_at", F.explode(F.sequence(F.floor(F.col("below") / block), F.floor((F.col("_end") - 1) / block))))
-    hit = (F.col("cond") == F.col("_cond")) & (F.col("_block") == F.col("_at")) & (F.col("_number") >= F.col("below")) & (F.col("_number") < F.col("_end")) & (F.col("peers") > 0)
-    return asked.join(ranges, hit, "left").select("cond", "usd", "peers", "mean", "sd", "p90")
+    hit = (F.col("cond") == F.col("_cond")) & (F.col("_block") == F.col("_at")) & (F.col("_number") >= F.col("below")) & (F.col("_number") < F.col("_end"))
+    found = numbers.join(ranges, hit).select("cond", "_number", "p90")
+    return asked.join(found, ["cond", "_number"], "left").select("cond", "usd", "peers", "mean", "sd", "p90")
 
 
 def day_volume(trades: DataFrame) -> DataFrame:
@@ -136,10 +140,13 @@ def around(asked: DataFrame, found: DataFrame, key: str, block: int = 30 * DAY)
     both = rows.withColumn("_seen", F.lit(None).cast("long")).unionByName(times.withColumns({"_row": F.lit(None).cast(rows.schema["_row"].dataType), "_seen": F.col("_ts").cast("long")})).withColumn("_block", cut(F.col("_ts")))
     edges = both.groupBy("_key", "_block").agg(F.min("_seen").alias("_min"), F.max("_seen").alias("_max"))
     w = Window.partitionBy("_key").orderBy("_block")
-    edges = edges.select("_key", "_block", F.max("_max").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"), F.min("_min").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
+    v = Window.partitionBy("_key").orderBy(F.desc("_block"))
+    edges = edges.select("_key", "_block", F.max("_max").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"), F.min("_min").over(v.rowsBetween(Window.unboundedPreceding, -1)).alias("_next"))
     inside = Window.partitionBy("_key", "_block").orderBy("_ts")
-    # rangeBetween: a time equal to the asked one counts as before
-    own = both.withColumns({"_last": F.max("_seen").over(inside.rangeBetween(Window.unboundedPreceding, 0)), "_first": F.min("_seen").over(inside.rangeBetween(1, Window.unboundedFollowing))})
+    # rangeBetween: a time equal to the asked one counts as before. What comes later is summed up backwards, since Spark goes
+    # through all that follows again for each row of a frame without an end
+    back = Window.partitionBy("_key", "_block").orderBy(F.desc("_ts"))
+    own = both.withColumns({"_last": F.max("_seen").over(inside.rangeBetween(Window.unboundedPreceding, 0)), "_first": F.min("_seen").over(back.rangeBetween(Window.unboundedPreceding, -1))})
     joined = own.where("_row is not null").join(edges.withColumnsRenamed({"_key": "_k", "_block": "_b"}), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b")), "left")
     return joined.select("_row.*", F.coalesce("_last", "_carried").alias("before"), F.coalesce("_first", "_next").alias("after"))
 
