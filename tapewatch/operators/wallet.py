@@ -98,13 +98,16 @@ def records(bets: DataFrame, rules: WalletRules = WalletRules(), accounts: DataF
     )
     top = F.max_by(F.struct("cheap_stake", "cheap_weighted"), F.when(F.col("cheap") > 0, F.struct("cheap_stake", -F.col("event_group"))))
     events = events.groupBy("wallet").agg(top.alias("top"), F.sum("stake").alias("staked"), F.sum("yes").alias("yes"), F.max("stake").alias("max_event"))
-    facts = own.withColumn("_staked", staked).groupBy("wallet").agg(
+    # the stake in the middle by its number: Spark's own median keeps a map of values for each wallet and sorts the maps
+    stakes = Window.partitionBy("wallet")
+    ranked = own.withColumn("_staked", staked).withColumns({"_number": F.row_number().over(stakes.orderBy(F.desc_nulls_last("_staked"))), "_of": F.count("_staked").over(stakes)})
+    facts = ranked.groupBy("wallet").agg(
         F.count("*").alias("bets"), count(F.col("won")).alias("wins"), F.sum("pnl").alias("pnl"), F.try_divide(F.sum("entry"), F.count("*")).alias("mean_odds"), count(ls).alias("ls_bets"),
         F.avg(F.when(ls, F.col("entry"))).alias("ls_mean"), F.try_divide(count(ls & F.col("held")), count(ls)).alias("ls_held"), F.sum(F.when(ls, F.col("pnl"))).alias("ls_pnl"), total(ls & (F.col("stake") > 0), F.col("stake")).alias("ls_staked"),
         F.max("z_profit").alias("z_profit"), count(hours <= rules.timing_hours).alias("late_wins"), F.min(hours).alias("least_hours"), F.max("stake").alias("max_stake"),
         count((F.col("stake") > 0) & (F.col("stake") < rules.decoy_small)).alias("decoys"), count(F.col("stake") >= rules.decoy_real).alias("reals"),
         count(F.col("entry").isNull() | (F.col("entry") <= 1e-4) | (F.col("entry") >= 0.9999)).alias("bad_entries"), count(F.col("stake").isNull() | (F.col("stake") < 0)).alias("bad_stakes"), count(F.col("won").isNull()).alias("no_results"),
-        F.count("_staked").alias("staked_bets"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _staked DESC)").alias("median_stake"),
+        F.count("_staked").alias("staked_bets"), F.max(F.when(F.col("_number") == F.ceil(F.col("_of") / 2), F.col("_staked"))).alias("median_stake"),
     )
     rows = facts.join(groups, "wallet").join(events, "wallet")
     known = None if accounts is None else accounts.withColumn("has_profile", F.lit(True)).select("wallet", *ACCOUNT)

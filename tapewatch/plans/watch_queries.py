@@ -31,8 +31,8 @@ def _inputs(spark, sf_dir):
     """Trades, catalogue, flagged wallets and candidates of one run; trades are computed once."""
     t = shared.staged(driver.trades(spark, sf_dir))
     c = shared.staged(driver.catalog(t))
-    p = positions.market_cross_section(positions.net_positions(t, c))
-    bets = p.join(positions.price_shock(t).select("cond", "shock_ts"), "cond", "left")
+    p = positions.market_cross_section(shared.staged(positions.net_positions(t, c).drop("question", "tx")))
+    bets = shared.staged(p.join(positions.price_shock(t).select("cond", "shock_ts"), "cond", "left"))
     records = wallet.records(bets, accounts=driver.accounts(spark, sf_dir))
     flagged = shared.staged(wallet.fuse(records).where("tier in ('high', 'extreme', 'notable')").select("wallet"))
     return t, c, flagged, shared.staged(watchlist.candidates(t, c, flagged, *_public(spark, sf_dir)))

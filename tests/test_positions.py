@@ -1,8 +1,8 @@
-"""Positions and records: a busy market is spread over tasks."""
+"""Positions and records: a busy market is spread over tasks, and medians need no maps of values."""
 
 from pyspark.sql import functions as F
 
-from tapewatch.operators import positions
+from tapewatch.operators import positions, wallet
 
 
 def _trades(spark, wallets):
@@ -27,3 +27,12 @@ def test_one_market_is_spread_over_tasks(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sum(sizes) == 2000 and len(sizes) > 1
+
+
+def test_median_stake_is_the_upper_one(spark):
+    stakes = {"even": [10.0, 40.0, 20.0, 30.0], "odd": [5.0, 1.0, 3.0], "none": [0.0], "some": [0.0, 0.0, 7.0, None, 9.0]}
+    rows = [(w, k, 0, "g:0", "YES", 0.5, x, 1.0, True, True, 1, None, 9, 0.0) for w, xs in stakes.items() for k, x in enumerate(xs)]
+    bets = spark.createDataFrame(rows, "wallet string, cond long, event_group long, corr_key string, outcome string, entry double, stake double, pnl double, won boolean, held boolean, ts long, shock_ts long, resolved_ts long, z_profit double")
+    found = wallet.records(bets)
+    assert {r["wallet"]: (r["median_stake"], r["staked_bets"]) for r in found.collect()} == {"even": (30.0, 4), "odd": (3.0, 3), "none": (None, 0), "some": (9.0, 2)}
+    assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString()
