@@ -191,10 +191,12 @@ def reconciled(rows: DataFrame, catalog: DataFrame, flagged: DataFrame, now: int
     wallet is flagged and its score is strong, else cleared; rows under the bar of the list go, but for promoted
     ones; rows go a week after they were resolved, or thirty days after the bet.
     """
-    known = catalog.select("cond", "question", F.when(F.col("resolved_ts") <= now, F.col("winner")).alias("_winner"))
+    # a question is looked through once a market, not once a row; a market that isn't in the catalogue is of no kind
+    kind = text.category(F.array().cast("array<string>"), F.coalesce("question", F.lit("")))
+    known = catalog.select("cond", kind.alias("_kind"), F.when(F.col("resolved_ts") <= now, F.col("winner")).alias("_winner"))
     joined = rows.join(known, "cond", "left").join(flagged.select("wallet", F.lit(True).alias("_flag")).distinct(), "wallet", "left")
     watching = F.col("status") == "watching"
-    purge = watching & text.category(F.array().cast("array<string>"), F.coalesce("question", F.lit(""))).isNull()
+    purge = watching & F.col("_kind").isNull()
     joined = joined.withColumns({"_purge": purge, "flagged": F.when(watching, F.coalesce("_flag", F.lit(False))).otherwise(F.col("flagged"))})
     scored = rescored(joined, rules)
     strong, ends = F.col("score") >= rules.promote_at, watching & F.col("_winner").isNotNull()
@@ -203,7 +205,7 @@ def reconciled(rows: DataFrame, catalog: DataFrame, flagged: DataFrame, now: int
     scored = scored.withColumns({"won": F.when(ends, won).otherwise(F.col("won")), "resolved_ts": F.when(ends, F.lit(now)).otherwise(F.col("resolved_ts")), "status": status})
     old = F.coalesce(now - F.col("resolved_ts") > rules.keep_resolved, F.lit(False)) | (now - F.col("ts") > rules.keep)
     gone = F.when(F.col("_purge"), "purge").when((F.col("status") != "promoted") & (F.col("score") < rules.list_at), "prune").when(old, "retire")
-    return scored.withColumn("gone", gone).drop("_winner", "_flag", "_purge", "question")
+    return scored.withColumn("gone", gone).drop("_winner", "_flag", "_purge", "_kind")
 
 
 def board(rows: DataFrame, most: int = 150) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tapewatch.operators import positions, wallet
+from tapewatch.operators import positions, wallet, watchlist
 
 
 def _trades(spark, wallets):
@@ -36,3 +36,13 @@ def test_median_stake_is_the_upper_one(spark):
     found = wallet.records(bets)
     assert {r["wallet"]: (r["median_stake"], r["staked_bets"]) for r in found.collect()} == {"even": (30.0, 4), "odd": (3.0, 3), "none": (None, 0), "some": (9.0, 2)}
     assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_question_is_looked_through_once_a_market(spark):
+    rows = spark.createDataFrame([(1, "a", "watching", 0.5, 9.0, 5), (2, "b", "watching", 0.5, 9.0, 5)], "cond long, wallet string, status string, price double, usd double, ts long")
+    more = {c: F.lit(None).cast(t) for c, t in {"outcome": "string", "size_z": "double", "whale_x": "double", "vol_share": "double", "peers": "long", "flagged": "boolean", "fresh": "boolean", "blackout": "boolean", "anticipated": "boolean", "public_info": "boolean", "won": "boolean", "resolved_ts": "long"}.items()}
+    known = _catalog(spark).withColumn("question", F.lit("Will the US strike Iran by March 3?"))
+    out = watchlist.reconciled(rows.withColumns(more), known, spark.createDataFrame([], "wallet string"), 10)
+    assert {r["cond"]: r["gone"] for r in out.collect()} == {1: "prune", 2: "purge"}  # 2 isn't in the catalogue
+    above, _, _ = out._jdf.queryExecution().optimizedPlan().toString().partition("Join")
+    assert "question" not in above and "RLIKE" not in above
