@@ -19,8 +19,8 @@ class BucketTable:
     and replaces its own version, so one that runs again changes nothing; readers see a batch when its manifest is there.
     """
 
-    def __init__(self, folder: str, key: tuple[str, ...], merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = 256):
-        self.folder, self.key, self.merge, self.buckets = folder, key, merge, buckets
+    def __init__(self, folder: str, key: tuple[str, ...], merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = 256, parts: int = 32):
+        self.folder, self.key, self.merge, self.buckets, self.parts = folder, key, merge, buckets, parts
 
     def manifest(self, spark: SparkSession, below: int | None = None) -> dict[int, int]:
         """The version of each bucket that has rows; ``buckets`` entries at most."""
@@ -42,8 +42,9 @@ class BucketTable:
         places = self.manifest(spark, number)
         old = self._rows(spark, {b: v for b, v in places.items() if b in touched})
         merged = self.merge(rows.limit(0) if old is None else old, rows)
-        # one shuffle by bucket, each bucket's rows in as many files as they need
-        merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/data/version={number}")
+        # one shuffle by bucket and part of its keys, so no task gets a whole bucket; small parts are put together again
+        part = F.pmod(F.xxhash64(F.lit(1), *self.key), F.lit(self.parts))
+        merged.withColumn("bucket", bucket).repartition("bucket", part).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/data/version={number}")
         places |= dict.fromkeys(touched, number)
         said = spark.createDataFrame(sorted(places.items()), "bucket int, at int").coalesce(1)
         said.write.mode("overwrite").parquet(f"{self.folder}/manifest/version={number}")

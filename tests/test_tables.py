@@ -96,3 +96,14 @@ def test_streamed_queue_equals_batches(spark, tmp_path):
     said = sorted((x["ts"], x["engine"], x["market"], x["type"]) for x in queue.audit(spark).collect())
     assert sorted(s[1:] for s in said) == sorted([("a", 1, "appear"), ("a", 2, "appear"), ("b", 1, "appear"), ("a", 1, "tier"), ("a", 2, "retire"), ("b", 1, "retire"), ("a", 1, "retire")])
     assert {(x["engine"], x["market"]): (x["status"], x["tier"]) for x in queue.read(spark).collect()} == {("a", 1): ("retired", "Watch"), ("a", 2): ("active", "Elevated"), ("b", 1): ("retired", "Watch")}
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    table = tables.BucketTable(str(tmp_path / "t"), ("id",), lambda old, new: new, buckets=1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table(spark.range(1000), 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert table.read(spark).distinct().count() == 1000
+    assert len(list((tmp_path / "t/data/version=0/bucket=0").glob("*.parquet"))) > 1
