@@ -9,6 +9,7 @@ found with Arrow, and only those are looked up in Python.
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -129,9 +130,16 @@ class Memory:
 _OWN: dict[str, tuple[object, object]] = {}
 
 
+def let_go() -> None:
+    """Give back what this worker process keeps: Spark uses a process again for other steps, which would hold it beside their own."""
+    _OWN.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def kept(use: str, mark: object, make: Callable):
     """What a worker process keeps from task to task: one thing, until a task brings another use or mark."""
     if _OWN.get(use, (None,))[0] != mark:
-        _OWN.clear()
+        let_go()
         _OWN[use] = (mark, make())
     return _OWN[use][1]

@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from ._common import dropped, packed, staged
 from .components import connected_components
 from .gray_index import gray_order, least_labels, linked_pairs
+from .pieces import let_go
 
 SEED = 42
 CAP = 2048
@@ -130,6 +131,7 @@ def fingerprints(docs: DataFrame, how: SimHash, id_col: str, text_col: str) -> D
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names + more)])
 
     def run(batches):
+        let_go()
         for batch in batches:
             found, marks = [], []
             for x in batch.column(1):
@@ -173,14 +175,15 @@ def _routed(nodes: DataFrame, how: SimHash, chosen: list[list[int]]) -> DataFram
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "node", *names)])
 
     def run(batches):
+        let_go()
         for batch in batches:
             words = np.stack([batch.column(1 + k).to_numpy() for k in range(len(names))], 1)
             node = batch.column(0).to_numpy()
-            bits = np.unpackbits(words.astype(np.uint64).astype(">u8").view(np.uint8), axis=1).astype(np.uint64)
+            bits = np.unpackbits(words.astype(np.uint64).astype(">u8").view(np.uint8), axis=1)
             for number, positions in enumerate(chosen):
                 pattern = np.zeros(len(node), np.uint64)
                 for p in positions:
-                    pattern = (pattern << np.uint64(1)) | bits[:, p]
+                    pattern = (pattern << np.uint64(1)) | bits[:, p].astype(np.uint64)
                 key = pattern * np.uint64(1 << 12) + np.uint64(number)  # of patterns over 52 bits some share a key; no pair is lost
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), *(pa.array(words[:, k]) for k in range(len(names)))], names=schema.names)
 

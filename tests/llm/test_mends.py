@@ -5,7 +5,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from tapewatch.llm import embedding_dedup, line_dedup
+from tapewatch.llm import embedding_dedup, line_dedup, pieces
 
 DOCS = "doc_id long, text string, source string"
 
@@ -35,3 +35,9 @@ def test_vectors_of_each_length_are_compared_among_themselves(spark):
     for k, u in unit.items():
         assert got[k]["n_links"] == sum(j != k and len(w) == len(u) and w @ u >= 0.9 for j, w in unit.items())
     assert all(got[k]["n_links"] == 0 and got[k]["component_id"] == k and got[k]["kept"] for k in (900, 901, 902, 903))
+
+
+def test_a_worker_lets_go_of_what_an_earlier_step_kept():
+    pieces.kept("earlier", 1, lambda: "large")
+    pieces.let_go()
+    assert not pieces._OWN
