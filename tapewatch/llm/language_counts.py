@@ -27,8 +27,9 @@ from ._common import dropped, staged
 from .language_id import FLOOR, LENGTHS, NONE, _word_counts, letters
 from .pieces import kept
 
-#: Log frequencies that the cache of frequent words holds: words times languages.
+#: Log frequencies that the cache of frequent words holds at most: words times languages; and words at most, each of which is an object in a task.
 CACHE = 4_000_000
+WORDS = 300_000
 _AT_ONCE = 1 << 16
 
 
@@ -78,9 +79,18 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Co
 
 
 def _cached(counts: Counts) -> tuple[list[str], np.ndarray]:
-    """The words that make up a share of all, at most ``CACHE`` log frequencies, and their logs in each language."""
-    share = max(1, len(counts.languages)) / CACHE
-    rows = counts.words.where(F.col("n") >= share * counts.total).select("word", "has").toArrow()
+    """The most frequent words, as many as ``CACHE`` and ``WORDS`` let in, and their logs in each language.
+
+    Words are let in by steps of their count, sixteen to a doubling, so that one small table of steps tells where to stop.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    room, least = min(WORDS, CACHE / max(1, len(counts.languages))), None
+    for s, n in sorted(map(tuple, counts.words.groupBy(step.alias("step")).count().collect()), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = s
+    rows = counts.words.where(F.lit(False) if least is None else step >= least).select("word", "has").toArrow()
     names = rows["word"].to_pylist()
     logs = np.tile(np.array(counts.floors[0]), (len(names), 1))
     each = rows["has"].combine_chunks()

@@ -79,3 +79,13 @@ def test_every_seen_word_counts(spark):
     plain = Plain(rows)
     got = language_counts.identify(asked, language_counts.learn(train)).first()
     assert got["lang_pred"] == "en" and got["score"] == pytest.approx(plain.text("needle")[1])
+
+
+def test_the_cache_is_filled(spark, monkeypatch):
+    """Words of one count share are let in until the cache is full, not only those above a fixed share of all."""
+    rows = [(" ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)} " * (300 - i) for i in range(300)), "en")]
+    counts = language_counts.learn(spark.createDataFrame(rows, "text string, lang string"))
+    for room, least in ((300, 300), (200, 150), (20, 1), (0.5, 0)):
+        monkeypatch.setattr(language_counts, "CACHE", room)
+        names, logs = language_counts._cached(counts)
+        assert least <= len(names) == len(logs) <= room
