@@ -79,22 +79,31 @@ def net_positions(trades: DataFrame, catalog: DataFrame, rules: MarketRules = Ma
     )
 
 
-def market_cross_section(positions: DataFrame, rules: MarketRules = MarketRules()) -> DataFrame:
-    """Positions with their market's peers: ``z_bet``, ``z_profit`` (null where there is no spread or the market
-    or stake is too small), ``buyers``, ``market_volume``. Peers are summed up per market, then joined."""
-    peers = positions.groupBy("cond").agg(
+def peers(positions: DataFrame) -> DataFrame:
+    """What the positions of each market have in common, a row a market."""
+    return positions.groupBy("cond").agg(
         F.avg("stake").alias("mean_stake"), F.stddev_samp("stake").alias("sd_stake"), F.avg("pnl").alias("mean_profit"),
         F.stddev_samp("pnl").alias("sd_profit"), F.count("*").alias("buyers"), F.sum("gross").alias("market_volume"),
     )
+
+
+def beside_peers(positions: DataFrame, facts: DataFrame, rules: MarketRules = MarketRules()) -> DataFrame:
+    """``positions`` with the columns of their market's ``facts`` (those of :func:`peers`, maybe more), ``z_bet`` and ``z_profit``."""
     able = (F.col("buyers") >= rules.least_buyers) & (F.col("market_volume") >= rules.least_volume) & (F.col("stake") >= rules.least_stake)
 
     def z(x: str, mean: str, sd: str) -> Column:
         return F.when(able & (F.col(sd) > 0), (F.col(x) - F.col(mean)) / F.col(sd))
 
-    joined = positions.join(peers, "cond")
+    joined = positions.join(facts, "cond")
     return joined.withColumns({"z_bet": z("stake", "mean_stake", "sd_stake"), "z_profit": z("pnl", "mean_profit", "sd_profit")})
 
 
+def market_cross_section(positions: DataFrame, rules: MarketRules = MarketRules()) -> DataFrame:
+    """Positions with their market's peers: ``z_bet``, ``z_profit`` (null where there is no spread or the market
+    or stake is too small), ``buyers``, ``market_volume``. Peers are summed up per market, then joined."""
+    return beside_peers(positions, peers(positions), rules)
+
+
 def price_shock(trades: DataFrame, rules: MarketRules = MarketRules()) -> DataFrame:
     """``cond, shock_ts, move``: start of the hour with the largest step of the hourly mean price, if large enough."""
     hour = F.floor(F.col("ts") / rules.shock_bucket) * rules.shock_bucket

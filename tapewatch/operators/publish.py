@@ -26,11 +26,12 @@ def _tier_name(tier: Column) -> Column:
     return said
 
 
-def _joined(fused: DataFrame, records: DataFrame) -> DataFrame:
-    return fused.join(records.drop("tail"), "wallet")
+def _joined(fused: DataFrame, records: DataFrame | None) -> DataFrame:
+    """Fused rows with their records' columns, which they have by themselves where no records are given."""
+    return fused.drop("tail") if records is None else fused.join(records.drop("tail"), "wallet")
 
 
-def record_context(fused: DataFrame, records: DataFrame) -> DataFrame:
+def record_context(fused: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """Fused wallets with the numbers that a published record shows: ``shown_n, shown_k, implied, rate, denominator, profit, improbable, shown_tier``.
 
     profit is that of the long shots. Red tiers need serious money: less than ``EXTREME_PROFIT`` makes an
@@ -77,7 +78,7 @@ def record_pass(context: DataFrame) -> DataFrame:
     return context.withColumns({"considered": F.coalesce(considered, F.lit(False)), "reject_reason": first_problem(context)})
 
 
-def favourite_pass(fused: DataFrame, records: DataFrame, bets: DataFrame, most_odds: float = 0.90, z: float = 2, net: float = 5000, account: float = 1000) -> DataFrame:
+def favourite_pass(fused: DataFrame, records: DataFrame | None, bets: DataFrame, most_odds: float = 0.90, z: float = 2, net: float = 5000, account: float = 1000) -> DataFrame:
     """``wallet, tier, profit, measure`` of wallets that out-earned their peers on a favourite: the bet with the best z_profit won, was
     outsized, and the wallet hides or is linked to others."""
     best = bets.where(F.col("z_profit") >= z).groupBy("wallet").agg(F.max(F.struct("z_profit", (-F.col("cond")).alias("c"), "won", "entry", "z_bet", "stake", "pnl")).alias("b"))
@@ -93,7 +94,7 @@ def favourite_pass(fused: DataFrame, records: DataFrame, bets: DataFrame, most_o
     return kept.select("wallet", _tier_name(tier).alias("tier"), F.col("pnl").alias("profit"), F.col("b.z_profit").alias("measure"))
 
 
-def cross_pass(fused: DataFrame, records: DataFrame, detectors: DataFrame) -> DataFrame:
+def cross_pass(fused: DataFrame, records: DataFrame | None, detectors: DataFrame) -> DataFrame:
     """``wallet, tier, profit, measure`` of near-perfect records at any odds: crossCat fires and two other detectors agree."""
     agree = detectors.where(F.col("detector").isin(*AGREEING) & F.col("fires") & (F.col("score") >= 0.45)).groupBy("wallet").agg(F.count("*").alias("agree"))
     rows = _joined(fused, records).join(agree, "wallet").where(F.array_contains("fired", "crossCat") & (F.col("agree") >= 2) & (F.col("pnl") > 0) & (F.col("pnl") >= LEAST_PROFIT))

@@ -187,11 +187,15 @@ def detectors(records_: DataFrame, rules: WalletRules = WalletRules(), which: tu
     return records_.select("wallet", F.inline(F.filter(F.array(*each), lambda d: d["has"]))).drop("has")
 
 
-def fuse(records_: DataFrame, rules: WalletRules = WalletRules(), without: tuple[str, ...] = ("newsBlackout", "fedRegister")) -> DataFrame:
+#: Columns of a fused record.
+FUSED = ("wallet", "tier", "agreeing", "n_fired", "fired", "p_value", "p_cross", "contribution")
+
+
+def fuse(records_: DataFrame, rules: WalletRules = WalletRules(), without: tuple[str, ...] = ("newsBlackout", "fedRegister"), keep: bool = False) -> DataFrame:
     """``wallet, tier, agreeing, n_fired, fired, p_value, p_cross, contribution``: which detectors fire and what they say together.
 
     contribution maps a fired detector to its share of the fired weights. A projection: no exchange. News and
-    documents are looked up for flagged wallets only, so they are ``without`` the first verdict.
+    documents are looked up for flagged wallets only, so they are ``without`` the first verdict. ``keep``: with the record's own columns.
     """
     columns = {k: v for k, v in detector_columns(rules).items() if k not in without}
     wide = records_
@@ -212,7 +216,8 @@ def fuse(records_: DataFrame, rules: WalletRules = WalletRules(), without: tuple
         .otherwise("unflagged")
     )
     share = F.map_from_entries(F.transform("_fired", lambda d: F.struct(d["key"], F.floor(100 * d["w"] / F.col("_w") + 0.5).cast("int"))))
-    return wide.select("wallet", tier.alias("tier"), "agreeing", "n_fired", F.transform("_fired", lambda d: d["key"]).alias("fired"), "p_value", "p_cross", share.alias("contribution"))
+    own = [c for c in records_.columns if keep and c != "wallet"]
+    return wide.select("wallet", tier.alias("tier"), "agreeing", "n_fired", F.transform("_fired", lambda d: d["key"]).alias("fired"), "p_value", "p_cross", share.alias("contribution"), *own)
 
 
 def episodes(bets: DataFrame, least_profit: float = 250, most_odds: float = 0.90) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tapewatch.operators import positions, wallet, watchlist
+from tapewatch.operators import positions, publish, wallet, watchlist
+from tapewatch.plans import catalog
 
 
 def _trades(spark, wallets):
@@ -46,3 +47,17 @@ def test_a_question_is_looked_through_once_a_market(spark):
     assert {r["cond"]: r["gone"] for r in out.collect()} == {1: "prune", 2: "purge"}  # 2 isn't in the catalogue
     above, _, _ = out._jdf.queryExecution().optimizedPlan().toString().partition("Join")
     assert "question" not in above and "RLIKE" not in above
+
+
+def test_bets_move_no_positions_to_small_market_tables(spark):
+    plan = catalog._bets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_gated_records_meet_no_records_again(spark):
+    bets = catalog._bets(spark, "/root/testdata/sf0.001")
+    r = catalog._records(spark, "/root/testdata/sf0.001", bets)
+    wide, joined = publish.record_context(wallet.fuse(r, keep=True)), publish.record_context(wallet.fuse(r), r)
+    assert "Join" not in wide._jdf.queryExecution().optimizedPlan().toString()
+    columns = [c for c in joined.columns if c != "contribution"]
+    assert set(joined.columns) == set(wide.columns) and wide.select(columns).exceptAll(joined.select(columns)).count() == 0 and wide.count() == joined.count()
