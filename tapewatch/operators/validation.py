@@ -11,28 +11,42 @@ from tapewatch.operators.ranks import counted_ranks
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """Hashes of ``x``, in its place."""
+    y = np.empty_like(x)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0)):
+        x ^= np.right_shift(x, np.uint64(shift), out=y)
+        if factor:
+            x *= np.uint64(factor)
+    return x
 
 
 def _drawn_wins(batches, draws: int, block: int = 1 << 15):
-    """``draw, w``: wins of this part's bets in each draw; a bet wins where the hash of (bet, draw) lies under its odds."""
-    wins, any_bet = np.zeros(draws, np.int64), False
-    draw = _mixed(np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    """``draw, w``: wins of this part's bets in each draw; a bet wins where the uniform of (bet, draw) lies under its odds.
+
+    A hash of 64 bits has the uniforms of two draws. Odds are rounded to 32 bits up or down by a hash of the bet, so that its
+    chance to win is its odds.
+    """
+    wins, any_bet = np.zeros(draws + draws % 2, np.int64), False
+    draw = _mixed(np.arange(1, len(wins) // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     for batch in batches:
         any_bet |= batch.num_rows > 0
         key, p = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)
-        wins += int((p >= 1).sum())
-        open_bet = (p > 0) & (p < 1)
-        key, limit = key[open_bet], np.ceil(p[open_bet] * 2.0**53).astype(np.uint64) << np.uint64(11)
+        part = (_mixed(key ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(11)) * 2.0**-53
+        limit = np.where(p > 0, np.floor(np.minimum(p, 1) * 2.0**32 + part), 0)
+        sure = limit >= 2.0**32
+        wins += int(sure.sum())
+        open_bet = (limit > 0) & ~sure
+        key, limit = key[open_bet], limit[open_bet].astype(np.uint32)
         for at in range(0, len(key), block):
             k, most = key[at : at + block], limit[at : at + block]
             step = max(1, block // len(k))
-            for d in range(0, draws, step):
-                wins[d : d + step] += np.count_nonzero(_mixed(k + draw[d : d + step, None]) < most, axis=1)
+            for d in range(0, len(draw), step):
+                told = _mixed(k + draw[d : d + step, None]).view(np.uint32)
+                for odd in (0, 1):
+                    under = told[:, odd::2] < most
+                    wins[2 * d + odd : 2 * (d + step) : 2] += [np.count_nonzero(u) for u in under] if len(k) > 512 else np.count_nonzero(under, axis=1)
     if any_bet:
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, draws + 1)), pa.array(wins)], names=["draw", "w"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, draws + 1)), pa.array(wins[:draws])], names=["draw", "w"])
 
 
 def null_facts(bets: DataFrame) -> DataFrame:

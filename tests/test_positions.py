@@ -1,8 +1,10 @@
 """Positions and records: a busy market is spread over tasks, and medians need no maps of values."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tapewatch.operators import positions, publish, wallet, watchlist
+from tapewatch.operators import positions, publish, validation, wallet, watchlist
 from tapewatch.plans import catalog
 
 
@@ -61,3 +63,15 @@ def test_gated_records_meet_no_records_again(spark):
     assert "Join" not in wide._jdf.queryExecution().optimizedPlan().toString()
     columns = [c for c in joined.columns if c != "contribution"]
     assert set(joined.columns) == set(wide.columns) and wide.select(columns).exceptAll(joined.select(columns)).count() == 0 and wide.count() == joined.count()
+
+
+def test_a_hash_has_two_draws_and_odds_keep_their_chance():
+    n = 4096
+    key, p = np.arange(n) * 2654435761, np.where(np.arange(n) % 2 == 0, 0.3, 0.9)
+    p[:4] = [0, 1, np.nan, 1 - 1e-12]
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(p)], names=["key", "p"])
+    drawn = {d: next(validation._drawn_wins(iter([batch]), d, block)).column(1).to_numpy() for d, block in ((2001, 1 << 15), (2000, 512))}
+    assert len(drawn[2001]) == 2001 and (drawn[2001][:2000] == drawn[2000]).all()
+    expected, sd = np.nansum(p), np.sqrt(np.nansum(p * (1 - p)))
+    assert abs(drawn[2001].mean() - expected) < 4 * sd / 2001**0.5 and abs(drawn[2001].std() / sd - 1) < 0.08
+    assert abs(np.corrcoef(drawn[2000][::2], drawn[2000][1::2])[0, 1]) < 0.13
