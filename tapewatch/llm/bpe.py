@@ -23,7 +23,10 @@ from pyspark.sql import types as T
 
 from .pieces import Memory, kept
 
-PAIRS_REMEMBERED = 1_000_000
+#: What a worker remembers of pairs and pieces, and the text it cuts at once; each worker of an executor holds its own.
+PAIRS_REMEMBERED = 200_000
+PIECES_REMEMBERED = 100_000
+SLICE = 1 << 21
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -92,7 +95,7 @@ class Encoder:
         return found
 
     @cached_property
-    def compatible(self) -> dict[tuple[int, int], bool]:
+    def compatible(self) -> dict[int, bool]:
         return {}
 
     @cached_property
@@ -115,7 +118,7 @@ class Encoder:
     def beside(self, left: int, right: int) -> bool:
         """Would merging keep these two tokens apart? Undo their merges, the latest first, and see whether
         what touches at the border would have been joined earlier."""
-        key = (left, right)
+        key = left << 32 | right
         known = self.compatible.get(key)
         if known is None:
             if len(self.compatible) >= PAIRS_REMEMBERED:
@@ -235,7 +238,7 @@ def round_trip(docs: DataFrame, encoder: Encoder, keep_tokens: bool = False, id_
 
 
 def _memory(own: Encoder) -> Memory:
-    return kept("bpe", own.mark, lambda: Memory(lambda pieces: [own.encode(p) for p in pieces], "<i4", 250_000))
+    return kept("bpe", own.mark, lambda: Memory(lambda pieces: [own.encode(p) for p in pieces], "<i4", PIECES_REMEMBERED, SLICE))
 
 
 def _lists(tokens: np.ndarray, sizes: np.ndarray) -> pa.ListArray:

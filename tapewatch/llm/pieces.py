@@ -9,6 +9,7 @@ found with Arrow, and only those are looked up in Python.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 from array import array
@@ -50,11 +51,12 @@ class Memory:
     """Tokens of pieces as little-endian bytes. Holds at most twice ``most`` short pieces.
 
     ``encode`` gets a list of pieces and returns a list of id lists. When the young half is full it
-    becomes the old half; pieces used again move back.
+    becomes the old half; pieces used again move back. ``most`` and ``slice_bytes`` bound what a worker holds and change no token.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], kind: str, most: int = REMEMBERED):
+    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], kind: str, most: int = REMEMBERED, slice_bytes: int | None = None):
         self.encode, self.kind, self.most = encode, np.dtype(kind), most
+        self.slice_bytes = min(slice_bytes or SLICE, SLICE)
         self.code = {2: "H", 4: "i"}[self.kind.itemsize]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -72,14 +74,15 @@ class Memory:
                 new.append(i)
             else:
                 found[i] = tokens
-                young[part] = tokens
+                if len(young) < self.most:
+                    young[part] = tokens
         if new:
             code = self.code
             for i, ids in zip(new, self.encode([parts[i] for i in new]), strict=True):
                 found[i] = array(code, ids).tobytes()
-                if len(parts[i]) <= LONGEST:
+                if len(parts[i]) <= LONGEST and len(young) < self.most:
                     young[parts[i]] = found[i]
-        if len(young) > self.most:
+        if len(young) >= self.most:
             self.old, self.young = young, {}
         return found
 
@@ -111,12 +114,12 @@ class Memory:
         return self.lists(pa.array([text]))[0]
 
     def batches(self, batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-        """Slices of a batch, of about ``SLICE`` bytes of text, with the tokens and their number in each row."""
+        """Slices of a batch, of about ``slice_bytes`` of text, with the tokens and their number in each row."""
         column = batch.column(text)
         size = np.cumsum(pc.binary_length(column.fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(batch):
-            stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
+            stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + self.slice_bytes, "right")))
             part = batch.slice(at, stop - at)
             if stop == at + 1 and size[at] - (size[at - 1] if at else 0) > 2 * SLICE:
                 found = [self.lists(pa.array([x]))[0] for x in _long(column[at].as_py())]
@@ -135,6 +138,8 @@ def let_go() -> None:
     _OWN.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what was freed
+        trim(0)
 
 
 def kept(use: str, mark: object, make: Callable):

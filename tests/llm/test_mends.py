@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tapewatch.llm import embedding_dedup, line_dedup, pieces
@@ -41,3 +42,14 @@ def test_a_worker_lets_go_of_what_an_earlier_step_kept():
     pieces.kept("earlier", 1, lambda: "large")
     pieces.let_go()
     assert not pieces._OWN
+
+
+def test_a_worker_remembers_no_more_pieces_than_its_bound():
+    memory = pieces.Memory(lambda parts: [[len(p), ord(p[-1])] for p in parts], "<i4", most=5)
+    texts = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(4)] * 2
+    got = []
+    for _, tokens, sizes in memory.batches(pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"]), 0):
+        assert len(memory.young) <= 5 and len(memory.old) <= 5  # one slice alone brings more
+        got += np.split(tokens, np.cumsum(sizes)[:-1])
+    want = [[x for p in pieces.cut(pa.array([t]))[0].as_py() for x in (len(p), ord(p[-1]))] for t in texts]
+    assert [g.tolist() for g in got] == want
