@@ -10,6 +10,25 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def exact_sum(x: Column) -> Column:
+    """Aggregate: the exact sum of doubles of at most 1 in size, rounded once, so that it is the same in any order of rows.
+
+    Each is cut into whole numbers of 24 bits, which add up without rounding; bits below 2^-72 are left out.
+    """
+    total, rest = None, x
+    for _ in range(3):
+        rest = rest * 2.0**24
+        whole = F.floor(rest)
+        part = F.sum(whole).cast("decimal(38,0)")
+        total, rest = part if total is None else total * F.lit(2**24).cast("decimal(8,0)") + part, rest - whole
+    return total.cast("double") / 2.0**72
+
+
+def exact_mean(x: Column) -> Column:
+    """Aggregate: the mean by :func:`exact_sum`."""
+    return F.try_divide(exact_sum(x), F.count(x))
+
+
 def logit(p: Column, low: float = 0.001, high: float = 0.999) -> Column:
     q = clip(p, low, high)
     return F.ln(q / (1 - q))

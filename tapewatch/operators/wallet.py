@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewatch.functions.stats import binomial_tail, clip, upper_tail
+from tapewatch.functions.stats import binomial_tail, clip, exact_mean, exact_sum, upper_tail
 from tapewatch.operators.ranks import counted_ranks
 
 
@@ -86,10 +86,10 @@ def records(bets: DataFrame, rules: WalletRules = WalletRules(), accounts: DataF
     key = "corr_key" if "corr_key" in bets.columns else "event_group"
     groups = own.groupBy("wallet", key).agg(
         count(ls).alias("ls_n"), count(ls & F.col("won")).alias("ls_wins"), F.avg(F.when(ls, p)).alias("ls_p"), F.count("*").alias("n"), count(F.col("won")).alias("wins"),
-        F.avg(p).alias("p"), count(surprising).alias("surprises"),
+        exact_mean(p).alias("p"), count(surprising).alias("surprises"),
     ).groupBy("wallet").agg(
         count(F.col("ls_n") > 0).alias("ls_groups"), count((F.col("ls_n") > 0) & (2 * F.col("ls_wins") >= F.col("ls_n"))).alias("ls_won"), F.avg("ls_p").alias("ls_p"),
-        F.count("*").alias("groups"), count(2 * F.col("wins") >= F.col("n")).alias("won_groups"), F.sum("p").alias("expected"), F.sum(F.col("p") * (1 - F.col("p"))).alias("variance"),
+        F.count("*").alias("groups"), count(2 * F.col("wins") >= F.col("n")).alias("won_groups"), exact_sum(F.col("p")).alias("expected"), F.sum(F.col("p") * (1 - F.col("p"))).alias("variance"),
         count(F.col("surprises") > 0).alias("surprising_events"),
     )
     events = own.groupBy("wallet", "event_group").agg(

@@ -82,3 +82,24 @@ def test_a_hash_has_two_draws_and_odds_keep_their_chance():
     expected, sd = np.nansum(p), np.sqrt(np.nansum(p * (1 - p)))
     assert abs(drawn[2001].mean() - expected) < 4 * sd / 2001**0.5 and abs(drawn[2001].std() / sd - 1) < 0.08
     assert abs(np.corrcoef(drawn[2000][::2], drawn[2000][1::2])[0, 1]) < 0.13
+
+
+def test_expected_wins_are_the_same_in_any_order_of_bets(spark):
+    import math
+    import random
+
+    from tapewatch.functions import stats
+
+    draw = random.Random(4)
+    own = [draw.choice((0.1, 0.2, 0.3, 0.7, 0.07, 1e-6)) for _ in range(61)]
+    for k in range(4):
+        draw.shuffle(own)
+        df = spark.createDataFrame([(v,) for v in [*own, None]], "v double").repartition(1 + k)
+        got = df.agg(stats.exact_sum(F.col("v")).alias("s"), stats.exact_mean(F.col("v")).alias("m")).first()
+        assert got["s"] == math.fsum(own) and got["m"] == math.fsum(own) / len(own)
+    bets = [("w", f"g:{k}", k, v) for k, v in enumerate(own)]
+    for k in range(4):
+        draw.shuffle(bets)
+        rows = spark.createDataFrame(bets, "wallet string, corr_key string, event_group long, entry double").selectExpr(
+            "*", "100D as stake", "1D as pnl", "true as won", "true as held", "'YES' as outcome", "0L as ts", "10L as resolved_ts", "cast(null as long) as shock_ts", "0D as z_profit")
+        assert wallet.records(rows).first()["expected"] == math.fsum(own)
