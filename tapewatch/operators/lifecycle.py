@@ -122,7 +122,11 @@ def backfilled(bets: DataFrame, trades: DataFrame) -> DataFrame:
 def accumulated(stored: DataFrame, fresh: DataFrame, key: tuple[str, ...] = ("wallet", "cond", "outcome")) -> DataFrame:
     """Bets by key from the store and a new batch (``stake, z, pnl, from_feed, ts``): the larger stake's row, a z from either, a feed's profit
     before any other, the earliest time."""
-    both = stored.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
+    return merged_bets(stored.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1))), key)
+
+
+def merged_bets(both: DataFrame, key: tuple[str, ...] = ("wallet", "cond", "outcome")) -> DataFrame:
+    """The same of rows of both, told apart by ``_new``: 0 in the store, 1 in the batch."""
     larger = F.struct("stake", "_new")
     profit = F.coalesce(F.max_by("pnl", F.when(F.col("from_feed"), larger)), F.max_by("pnl", larger))
     return both.groupBy(*key).agg(F.max("stake").alias("stake"), F.coalesce(F.max_by("z", F.when(F.col("z").isNotNull(), larger))).alias("z"), profit.alias("pnl"), F.bool_or("from_feed").alias("from_feed"), F.min("ts").alias("ts"))

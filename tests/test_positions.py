@@ -103,3 +103,8 @@ def test_expected_wins_are_the_same_in_any_order_of_bets(spark):
         rows = spark.createDataFrame(bets, "wallet string, corr_key string, event_group long, entry double").selectExpr(
             "*", "100D as stake", "1D as pnl", "true as won", "true as held", "'YES' as outcome", "0L as ts", "10L as resolved_ts", "cast(null as long) as shock_ts", "0D as z_profit")
         assert wallet.records(rows).first()["expected"] == math.fsum(own)
+
+
+def test_accumulated_bets_take_positions_once(spark):
+    plan = catalog.QUERIES["accumulated_bets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 0 and plan.count("Relation") == 3  # trades, and the markets' facts of two steps
