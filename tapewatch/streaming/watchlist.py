@@ -9,19 +9,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tapewatch.operators.watchlist import DAY, HOUR, RULES, STORED, Rules, outsized, rescored
 
-PARTS = 16
+PARTS, SLOTS = 16, 64
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _BET = "outcome string, price double, usd double, ts long, size_z double, whale_x double, vol_share double, peers long, flagged boolean, fresh boolean, blackout boolean, anticipated boolean, public_info boolean"
-_FIELDS = [f.split()[0] for f in _BET.split(", ")]
-#: pandas has numbers beside nulls as doubles and flags as objects
-_MAKE = {name: {"string": str, "double": float, "long": int, "boolean": bool}[kind] for name, kind in map(str.split, _BET.split(", "))}
+_TYPES = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_()}
+#: bets as a slot of the state holds them
+_ROWS = pa.schema([("wallet", pa.string()), *((name, _TYPES[kind]) for name, kind in map(str.split, _BET.split(", ")))])
+#: pandas' own numbers and flags have no nulls
+_NULLABLE = {pa.int64(): pd.Int64Dtype(), pa.bool_(): pd.BooleanDtype()}
 OUT = f"cond long, wallet string, {_BET}, event string, won boolean, resolved_ts long, at timestamp"
 
 
@@ -31,83 +36,126 @@ class Lifecycle(StatefulProcessor):
     A resolution that comes before its bets is kept; of two for one market the first stays. A bet's time ends with the
     day in which it is ``keep`` old, or its market was resolved ``keep_resolved`` ago. One timer rings for the earliest
     such day of all bets, takes all that are over by the watermark, and is set again for the rest.
+
+    Bets lie in ``SLOTS`` slots by their wallet, each a batch of Arrow: a call to the state costs far more than a
+    row, so a slot's bets come and go in one. ``most`` rows or a slot more are held at a time on the way out.
     """
 
-    def __init__(self, rules: Rules = RULES):
-        self.rules = rules
+    def __init__(self, rules: Rules = RULES, most: int = 10_000):
+        self.rules, self.most = rules, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.bets = handle.getMapState("bets", "wallet string", _BET)
+        self.bets = handle.getMapState("slots", "slot int", "rows binary")
         self.end = handle.getValueState("end", "winner string, ts long")
         self.next = handle.getValueState("next", "at long")
 
-    def _rows(self, cond: int, found: list[tuple[str, tuple]], event: str, at: int) -> pd.DataFrame:
-        end = self.end.get() if self.end.exists() else None
-        rows = []
-        for wallet, bet in found:
-            won = None if end is None or event == "listed" else end[0].upper() == str(bet[0]).upper()
-            rows.append((cond, wallet, *bet[: len(_FIELDS)], event, won, end[1] if end is not None and event != "listed" else None, pd.Timestamp(at, unit="s")))
-        out = pd.DataFrame(rows, columns=["cond", "wallet", *_FIELDS, "event", "won", "resolved_ts", "at"])
+    def _slot(self, slot: int) -> pa.Table | None:
+        held = self.bets.getValue((slot,))
+        return None if held is None else pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(bytes(held[0])), _ROWS)])
+
+    def _put(self, slot: int, bets: pa.Table) -> None:
+        self.bets.updateValue((slot,), (bets.combine_chunks().to_batches()[0].serialize().to_pybytes(),))
+
+    def _slots(self) -> list[int]:
+        return sorted(k[0] for k in self.bets.keys()) if self.bets.exists() else []
+
+    def _added(self, asked: pd.DataFrame) -> pa.Table:
+        """Puts bets into their slots; those that weren't there."""
+        asked = asked.sort_values(["ts", "wallet"]).drop_duplicates("wallet").sort_values("slot", kind="stable")
+        slots, bets, known = asked["slot"].to_numpy("int64"), pa.Table.from_pandas(asked, schema=_ROWS, preserve_index=False), self.bets.exists()
+        found = [_ROWS.empty_table()]
+        for slot in map(int, np.unique(slots)):
+            at, to = np.searchsorted(slots, [slot, slot + 1])
+            new, old = bets.slice(at, to - at), self._slot(slot) if known else None
+            if old is not None:
+                new = new.filter(pc.invert(pc.is_in(new["wallet"], value_set=old["wallet"])))
+            if len(new):
+                self._put(slot, new if old is None else pa.concat_tables([old, new]))
+                found.append(new)
+        return pa.concat_tables(found)
+
+    def _rows(self, cond: int, bets: pa.Table, event: str, at: int) -> pd.DataFrame:
+        end = self.end.get() if event != "listed" and self.end.exists() else None
+        out = bets.to_pandas(types_mapper=_NULLABLE.get)
+        out.insert(0, "cond", cond)
+        won = pd.NA if end is None else out["outcome"].str.upper() == end[0].upper()
+        out = out.assign(event=event, won=won, resolved_ts=pd.NA if end is None else end[1], at=pd.Timestamp(at, unit="s"))
         return out.astype({"resolved_ts": "Int64", "won": "boolean"})
 
+    def _gathered(self, tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
+        """Few large tables of many small ones."""
+        held, n = [], 0
+        for bets in tables:
+            held, n = [*held, bets], n + len(bets)
+            if n >= self.most:
+                yield pa.concat_tables(held)
+                held, n = [], 0
+        if n:
+            yield pa.concat_tables(held)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         every = pd.concat(list(rows), ignore_index=True)
-        cond, new, known = int(key[0]), {}, self.bets.exists()
+        cond, oldest = int(key[0]), []
         ends = every[every["winner"].notna()].sort_values("at")
-        for bet in every[every["winner"].isna()].sort_values(["ts", "wallet"]).to_dict("records"):
-            wallet = bet["wallet"]
-            if wallet not in new and not (known and self.bets.containsKey((wallet,))):
-                new[wallet] = tuple(None if pd.isna(bet[f]) else make(bet[f]) for f, make in _MAKE.items())
-                self.bets.updateValue((wallet,), new[wallet])
-        if new:
-            yield self._rows(cond, list(new.items()), "listed", max(bet[_FIELDS.index("ts")] for bet in new.values()))
+        new = self._added(every[every["winner"].isna()])
+        if len(new):
+            oldest.append(pc.min(new["ts"]).as_py())
+            yield self._rows(cond, new, "listed", pc.max(new["ts"]).as_py())
         first = len(ends) and not self.end.exists()
         if first:
             end = ends.iloc[0]
             self.end.update((str(end["winner"]), int(end["at"].timestamp())))
         # a resolution meets all bets that are there; bets after it are resolved at once
-        resolved = [(k[0], v) for k, v in self.bets.iterator()] if first else list(new.items())
-        if resolved and self.end.exists():
-            yield self._rows(cond, resolved, "resolved", self.end.get()[1])
-        self._wake(resolved if first else new.items())
+        resolved = self._gathered(map(self._slot, self._slots())) if first else [new] if len(new) and self.end.exists() else []
+        for bets in resolved:
+            oldest.append(pc.min(bets["ts"]).as_py())
+            yield self._rows(cond, bets, "resolved", self.end.get()[1])
+        self._wake(oldest)
 
     @staticmethod
-    def _day(at: int) -> int:
+    def _day(at):
         return -(-at // DAY) * DAY
 
-    def _over(self, bet: tuple) -> int:
-        """The day that a bet's time ends with."""
-        return self._day(bet[_FIELDS.index("ts")] + self.rules.keep)
-
     def _closed(self) -> int | None:
         """The day that a resolved market's time ends with."""
         return self._day(self.end.get()[1] + self.rules.keep_resolved) if self.end.exists() else None
 
-    def _wake(self, bets) -> None:
-        """Sets the timer for the first of these bets whose time ends, unless it rings earlier anyway."""
-        closed = self._closed()
-        day = min((min(self._over(bet), closed or self._over(bet)) for _, bet in bets), default=None)
+    def _wake(self, oldest: list[int]) -> None:
+        """Sets the timer for the first of the bets of these times whose time ends, unless it rings earlier anyway."""
+        if not oldest:
+            return
+        day, closed = self._day(min(oldest) + self.rules.keep), self._closed()
+        day = day if closed is None else min(day, closed)
         pending = self.next.get()[0] if self.next.exists() else None
-        if day is not None and (pending is None or day < pending):
+        if pending is None or day < pending:
             if pending is not None:
                 self.handle.deleteTimer(pending * 1000)
             self.handle.registerTimer(day * 1000)
             self.next.update((day,))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() // 1000
-        every = [(k[0], v) for k, v in self.bets.iterator()]
+    def _taken(self, now: int, left: list[int]) -> Iterator[pa.Table]:
+        """Takes what is over out of each slot; ``left`` gets the earliest time of what stays."""
         closed = self._closed()
-        over = [(wallet, bet) for wallet, bet in every if self._over(bet) <= now or (closed is not None and closed <= now)]
+        for slot in self._slots():
+            bets = self._slot(slot)
+            over = self._day(bets["ts"].to_numpy() + self.rules.keep) <= now
+            if over.all() or (closed is not None and closed <= now):
+                self.bets.removeKey((slot,))
+                yield bets
+                continue
+            rest = bets.filter(pa.array(~over))
+            left.append(pc.min(rest["ts"]).as_py())
+            if over.any():
+                self._put(slot, rest)
+                yield bets.filter(pa.array(over))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, left = timerValues.getCurrentWatermarkInMs() // 1000, []
         self.next.clear()
-        if len(over) == len(every):
-            self.bets.clear()
-        else:
-            for wallet, _ in over:
-                self.bets.removeKey((wallet,))
-            self._wake([x for x in every if self._over(x[1]) > now])
-        yield self._rows(int(key[0]), over, "retired", now)
+        for over in self._gathered(self._taken(now, left)):
+            yield self._rows(int(key[0]), over, "retired", now)
+        self._wake(left)
 
     def close(self) -> None:
         pass
@@ -119,9 +167,9 @@ def lifecycle(bets: DataFrame, resolutions: DataFrame, rules: Rules = RULES, par
     ``bets`` is a stream of ``STORED`` with the event time ``at``, ``resolutions`` one of ``cond, winner, at``; both carry watermarks.
     Only bets that reach the bar under ``rules`` are listed. The session must use the RocksDB state store (``STORE``).
     """
-    part = F.pmod(F.xxhash64("wallet"), F.lit(parts))
-    asked = rescored(bets, rules).where(F.col("score") >= rules.list_at).select(*STORED, "at", part.alias("part"), F.lit(None).cast("string").alias("winner"))
-    empty = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in STORED if c != "cond"]
+    part, slot = F.pmod(F.xxhash64("wallet"), F.lit(parts)), F.pmod(F.xxhash64(F.lit(1), "wallet"), F.lit(SLOTS)).cast("int")
+    asked = rescored(bets, rules).where(F.col("score") >= rules.list_at).select(*STORED, "at", part.alias("part"), F.lit(None).cast("string").alias("winner"), slot.alias("slot"))
+    empty = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in (*STORED, "slot") if c != "cond"]
     ends = resolutions.select("cond", *empty, "at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), "winner")
     both = asked.unionByName(ends)
     return both.groupBy("cond", "part").transformWithStateInPandas(Lifecycle(rules), OUT, "Append", "EventTime")
