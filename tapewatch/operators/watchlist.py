@@ -6,6 +6,7 @@ rules without looking at trades, news or filings again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,11 +100,12 @@ def counted_sizes(trades: DataFrame) -> DataFrame:
     return rows.select("cond", "usd", "k", (F.col("_ahead") + F.col("_in")).alias("below"), "n", "total", "squares")
 
 
-def peers(trades: DataFrame, at: float = 0.9, block: int = 1024) -> DataFrame:
+def peers(trades: DataFrame, at: float = 0.9, block: int = 1024, held: Callable[[DataFrame], DataFrame] = lambda found: found) -> DataFrame:
     """``cond, usd, peers, mean, sd, p90`` of each size of a market's trades: figures of its trades of any other size.
 
     sd is the sample's; p90 is the element at floor(.9(n-1)). That element is found by its number: sizes cover ranges of
-    numbers, and a range is dealt to the blocks of numbers that it touches.
+    numbers, and a range is dealt to the blocks of numbers that it touches. The elements are a few rows a market; where
+    ``held`` writes them, their size is known before sizes are moved to them.
     """
     sizes = staged(counted_sizes(trades))
     n = F.col("n") - F.col("k")
@@ -118,7 +120,7 @@ def peers(trades: DataFrame, at: float = 0.9, block: int = 1024) -> DataFrame:
     ranges = sizes.select(F.col("cond").alias("_cond"), F.col("usd").alias("p90"), "below", (F.col("below") + F.col("k")).alias("_end"))
     ranges = ranges.withColumn("_at", F.explode(F.sequence(F.floor(F.col("below") / block), F.floor((F.col("_end") - 1) / block))))
     hit = (F.col("cond") == F.col("_cond")) & (F.col("_block") == F.col("_at")) & (F.col("_number") >= F.col("below")) & (F.col("_number") < F.col("_end"))
-    found = numbers.join(ranges, hit).select("cond", "_number", "p90")
+    found = held(numbers.join(ranges, hit).select("cond", "_number", "p90"))
     return asked.join(found, ["cond", "_number"], "left").select("cond", "usd", "peers", "mean", "sd", "p90")
 
 
@@ -151,6 +153,23 @@ def around(asked: DataFrame, found: DataFrame, key: str, block: int = 30 * DAY)
     return joined.select("_row.*", F.coalesce("_last", "_carried").alias("before"), F.coalesce("_first", "_next").alias("after"))
 
 
+def moments(bets: DataFrame, trades: DataFrame, catalog: DataFrame, news: DataFrame, filings: DataFrame) -> DataFrame:
+    """``cond, ts, volume, blackout, anticipated, public_info``: what bets of a market at one time have in common.
+
+    Times are far fewer than bets where there are many, so what is looked up by time is looked up once a time, and bets are moved once for all of it.
+    """
+    named = catalog.select("cond", F.get(text.entities(F.col("question")), F.lit(0)).alias("entity"))
+    times = bets.select("cond", "ts", F.floor(F.col("ts") / HOUR).alias("hour")).distinct().join(day_volume(trades), ["cond", "hour"])
+    times = staged(times.join(named, "cond", "left").select("cond", "ts", "volume", "entity"))
+    asked = staged(times.where("entity is not null").select("entity", "ts").distinct())
+    told = staged(around(asked, news, "entity").withColumnsRenamed({"before": "_news", "after": "_more"}))
+    ts = F.col("ts")
+    public = F.coalesce(F.col("_news") >= ts - DAY, F.lit(False)) | F.coalesce(F.col("before") >= ts - 30 * DAY, F.lit(False))
+    known = around(told, filings, "entity").select("entity", "ts", public.alias("_public"), F.coalesce(F.col("after") <= ts + 120 * DAY, F.lit(False)).alias("_later"))
+    on = lambda c: F.coalesce(c, F.lit(False))
+    return times.join(known, ["entity", "ts"], "left").select("cond", "ts", "volume", on(~F.col("_public")).alias("blackout"), on(~F.col("_public") & F.col("_later")).alias("anticipated"), on(F.col("_public")).alias("public_info"))
+
+
 def candidates(trades: DataFrame, catalog: DataFrame, flagged: DataFrame, news: DataFrame, filings: DataFrame, rules: Rules = RULES) -> DataFrame:
     """Bets with the columns ``STORED``: buys of ``bet_usd`` or more, each market and wallet's first by time.
 
@@ -159,23 +178,14 @@ def candidates(trades: DataFrame, catalog: DataFrame, flagged: DataFrame, news:
     of the 120 days after it was anticipated. Markets that name nothing have none of the three.
     """
     buys = trades.where("side <> 'SELL' and usd > 0")
-    rest = ("ts", "tx", "outcome", "price", "usd")
-    first = buys.where(F.col("usd") >= rules.bet_usd).groupBy("cond", "wallet").agg(F.min(F.struct(*rest)).alias("b")).select("cond", "wallet", "b.*")
-    seen = trades.groupBy("wallet").agg(F.min("ts").alias("_since"))
-    rows = first.join(peers(buys), ["cond", "usd"]).withColumn("hour", F.floor(F.col("ts") / HOUR)).join(day_volume(trades), ["cond", "hour"]).join(seen, "wallet")
-    rows = rows.join(flagged.select("wallet", F.lit(True).alias("_flagged")).distinct(), "wallet", "left")
-    named = catalog.select("cond", F.get(text.entities(F.col("question")), F.lit(0)).alias("entity"))
-    rows = rows.join(named, "cond", "left")
-    rows = around(rows, news, "entity").withColumnsRenamed({"before": "_news", "after": "_more"})
-    rows = around(rows, filings, "entity")
-    asked, ts = F.col("entity").isNotNull(), F.col("ts")
-    public = asked & (F.coalesce(F.col("_news") >= ts - DAY, F.lit(False)) | F.coalesce(F.col("before") >= ts - 30 * DAY, F.lit(False)))
-    return rows.select(
-        "cond", "wallet", "outcome", "price", "usd", "ts",
-        (F.round(F.when(F.col("sd") > 0, (F.col("usd") - F.col("mean")) / F.col("sd")).otherwise(0.0), 1) + 0.0).alias("size_z"), F.round(F.when(F.col("p90") > 0, F.col("usd") / F.col("p90")).otherwise(0.0), 1).alias("whale_x"),
-        F.round(100 * F.col("usd") / F.col("volume"), 2).alias("vol_share"), "peers", F.coalesce("_flagged", F.lit(False)).alias("flagged"), (ts - F.col("_since") <= rules.fresh_days * DAY).alias("fresh"),
-        (asked & ~public).alias("blackout"), (asked & ~public & F.coalesce(F.col("after") <= ts + 120 * DAY, F.lit(False))).alias("anticipated"), public.alias("public_info"),
-    )
+    bets = buys.where(F.col("usd") >= rules.bet_usd)
+    first = bets.groupBy("cond", "wallet").agg(F.min(F.struct("ts", "tx", "outcome", "price", "usd")).alias("b")).select("cond", "wallet", "b.ts", "b.outcome", "b.price", "b.usd")
+    owners = trades.groupBy("wallet").agg(F.min("ts").alias("_since")).join(flagged.select("wallet", F.lit(True).alias("_flagged")).distinct(), "wallet", "left")
+    rows = first.join(moments(bets, trades, catalog, news, filings), ["cond", "ts"]).withColumn("vol_share", F.round(100 * F.col("usd") / F.col("volume"), 2)).drop("volume")
+    size_z = F.round(F.when(F.col("sd") > 0, (F.col("usd") - F.col("mean")) / F.col("sd")).otherwise(0.0), 1) + 0.0
+    whale_x = F.round(F.when(F.col("p90") > 0, F.col("usd") / F.col("p90")).otherwise(0.0), 1)
+    rows = rows.join(peers(buys, held=staged).select("cond", "usd", "peers", "mean", "sd", "p90"), ["cond", "usd"]).withColumns({"size_z": size_z, "whale_x": whale_x}).drop("mean", "sd", "p90").join(owners, "wallet")
+    return rows.withColumns({"flagged": F.coalesce("_flagged", F.lit(False)), "fresh": F.col("ts") - F.col("_since") <= rules.fresh_days * DAY}).select(*STORED)
 
 
 def listed(rows: DataFrame, rules: Rules = RULES) -> DataFrame:

@@ -27,20 +27,28 @@ def _public(spark, sf_dir):
     return o.where("o_orderpriority = '1-URGENT'").select("entity", "ts"), o.where("o_orderstatus = 'P' and o_orderpriority = '5-LOW'").select("entity", "ts")
 
 
+#: what records of wallets take of positions
+_OF_POSITIONS = ("cond", "wallet", "event_group", "resolved_ts", "corr_key", "outcome", "entry", "gross", "stake", "pnl", "won", "held", "ts")
+
+
 def _inputs(spark, sf_dir):
-    """Trades, catalogue, flagged wallets and candidates of one run; trades are computed once."""
-    t = shared.staged(driver.trades(spark, sf_dir))
+    """Catalogue, flagged wallets and candidates of one run. Trades are computed once, without what follows from the rest of a row;
+    positions are gone when wallets are flagged."""
+    size = (F.col("usd") / F.col("price")).alias("size")
+    t = shared.staged(driver.trades(spark, sf_dir).drop("size")).select("*", size)
     c = shared.staged(driver.catalog(t))
-    p = positions.market_cross_section(shared.staged(positions.net_positions(t, c).drop("question", "tx")))
-    bets = shared.staged(p.join(positions.price_shock(t).select("cond", "shock_ts"), "cond", "left"))
-    records = wallet.records(bets, accounts=driver.accounts(spark, sf_dir))
-    flagged = shared.staged(wallet.fuse(records).where("tier in ('high', 'extreme', 'notable')").select("wallet"))
-    return t, c, flagged, shared.staged(watchlist.candidates(t, c, flagged, *_public(spark, sf_dir)))
+    with shared.scratch(spark) as held:
+        p = held(positions.net_positions(t, c).select(*_OF_POSITIONS))
+        facts = held(positions.peers(p).join(positions.price_shock(t).select("cond", "shock_ts"), "cond", "left"))
+        records = wallet.records(positions.beside_peers(p, facts), accounts=driver.accounts(spark, sf_dir))
+        tiers = shared.staged(wallet.fuse(records).select("wallet", "tier"))
+    flagged = tiers.where("tier in ('high', 'extreme', 'notable')").select("wallet")
+    return c, flagged, watchlist.candidates(t, c, flagged, *_public(spark, sf_dir))
 
 
 def _listing(spark, sf_dir):
     """The list at ``NOW``: some markets have resolved by then, some of their rows were promoted or cleared before."""
-    _, c, flagged, found = _inputs(spark, sf_dir)
+    c, flagged, found = _inputs(spark, sf_dir)
     rows = watchlist.listed(found)
     rows = rows.withColumns({"status": F.when(F.col("cond") % 7 == 0, "promoted").when(F.col("cond") % 7 == 1, "cleared").otherwise("watching"), "resolved_ts": F.when(F.col("cond") % 7 == 0, NOW - 3 * 86_400).when(F.col("cond") % 7 == 1, NOW - 9 * 86_400).cast("long")})
     known = c.withColumn("resolved_ts", F.when(F.col("cond") % 3 == 1, NOW - 1).otherwise(NOW + 86_400))
@@ -49,7 +57,7 @@ def _listing(spark, sf_dir):
 
 @query
 def watch_signals(spark, sf_dir):
-    rows = watchlist.rescored(_inputs(spark, sf_dir)[3])
+    rows = watchlist.rescored(_inputs(spark, sf_dir)[2])
     return rows.select("cond", "wallet", "ts", "size_z", "whale_x", "vol_share", "peers", "flagged", "fresh", "blackout", "anticipated", "public_info", "score", "signals")
 
 
@@ -67,7 +75,7 @@ def watch_board(spark, sf_dir):
 @query
 def watch_rules(spark, sf_dir):
     """Rows whose score another version of the rules changes: here a repeated suspect counts ten points more."""
-    found = watchlist.listed(_inputs(spark, sf_dir)[3])
+    found = watchlist.listed(_inputs(spark, sf_dir)[2])
     new = watchlist.Rules(version=4, repeat=40)
     again = watchlist.rescored(found.withColumn("was", F.col("score")), new)
     return again.where("score <> was").select("cond", "wallet", "was", "score", "version")
@@ -76,7 +84,7 @@ def watch_rules(spark, sf_dir):
 @query
 def stream_watch_bets(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STORE)
-    t, c, flagged, found = _inputs(spark, sf_dir)
+    c, flagged, found = _inputs(spark, sf_dir)
     folder = shared.folder(spark)
     at = F.timestamp_seconds("ts").alias("at")
     found.withColumn("at", at).write.parquet(f"{folder}/bets")
