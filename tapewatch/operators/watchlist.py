@@ -107,7 +107,7 @@ def peers(trades: DataFrame, at: float = 0.9, block: int = 1024, held: Callable[
     numbers, and a range is dealt to the blocks of numbers that it touches. The elements are a few rows a market; where
     ``held`` writes them, their size is known before sizes are moved to them.
     """
-    sizes = staged(counted_sizes(trades))
+    sizes = staged(counted_sizes(trades), free=True)
     n = F.col("n") - F.col("k")
     total, squares = F.col("total") - F.col("k") * F.col("usd"), F.col("squares") - F.col("k") * F.col("usd") * F.col("usd")
     mean = F.when(n > 0, total / n)
@@ -160,7 +160,7 @@ def moments(bets: DataFrame, trades: DataFrame, catalog: DataFrame, news: DataFr
     """
     named = catalog.select("cond", F.get(text.entities(F.col("question")), F.lit(0)).alias("entity"))
     times = bets.select("cond", "ts", F.floor(F.col("ts") / HOUR).alias("hour")).distinct().join(day_volume(trades), ["cond", "hour"])
-    times = staged(times.join(named, "cond", "left").select("cond", "ts", "volume", "entity"))
+    times = staged(times.join(named, "cond", "left").select("cond", "ts", "volume", "entity"), free=True)
     asked = staged(times.where("entity is not null").select("entity", "ts").distinct())
     told = staged(around(asked, news, "entity").withColumnsRenamed({"before": "_news", "after": "_more"}))
     ts = F.col("ts")
@@ -184,7 +184,7 @@ def candidates(trades: DataFrame, catalog: DataFrame, flagged: DataFrame, news:
     rows = first.join(moments(bets, trades, catalog, news, filings), ["cond", "ts"]).withColumn("vol_share", F.round(100 * F.col("usd") / F.col("volume"), 2)).drop("volume")
     size_z = F.round(F.when(F.col("sd") > 0, (F.col("usd") - F.col("mean")) / F.col("sd")).otherwise(0.0), 1) + 0.0
     whale_x = F.round(F.when(F.col("p90") > 0, F.col("usd") / F.col("p90")).otherwise(0.0), 1)
-    rows = rows.join(peers(buys, held=staged).select("cond", "usd", "peers", "mean", "sd", "p90"), ["cond", "usd"]).withColumns({"size_z": size_z, "whale_x": whale_x}).drop("mean", "sd", "p90").join(owners, "wallet")
+    rows = rows.join(peers(buys, held=lambda found: staged(found, free=True)).select("cond", "usd", "peers", "mean", "sd", "p90"), ["cond", "usd"]).withColumns({"size_z": size_z, "whale_x": whale_x}).drop("mean", "sd", "p90").join(owners, "wallet")
     return rows.withColumns({"flagged": F.coalesce("_flagged", F.lit(False)), "fresh": F.col("ts") - F.col("_since") <= rules.fresh_days * DAY}).select(*STORED)
 
 

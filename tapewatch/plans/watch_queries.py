@@ -41,7 +41,7 @@ def _inputs(spark, sf_dir):
         p = held(positions.net_positions(t, c).select(*_OF_POSITIONS))
         facts = held(positions.peers(p).join(positions.price_shock(t).select("cond", "shock_ts"), "cond", "left"))
         records = wallet.records(positions.beside_peers(p, facts), accounts=driver.accounts(spark, sf_dir))
-        tiers = shared.staged(wallet.fuse(records).select("wallet", "tier"))
+        tiers = shared.staged(wallet.fuse(records).select("wallet", "tier"), free=True)
     flagged = tiers.where("tier in ('high', 'extreme', 'notable')").select("wallet")
     return c, flagged, watchlist.candidates(t, c, flagged, *_public(spark, sf_dir))
 

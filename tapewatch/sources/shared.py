@@ -27,31 +27,30 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tapewatch-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` and read it again: it is computed once, and a lost executor costs no lineage."""
-    path = folder(df.sparkSession)
+def staged(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write ``df`` and read it again: it is computed once, and a lost executor costs no lineage.
+
+    ``free``: the exchanges of earlier steps leave the disk before. Spark removes them when the driver's collector has found that
+    nothing asks for them, to which a driver with a large heap comes late.
+    """
+    return _written(df, folder(df.sparkSession), free)
+
+
+def _written(df: DataFrame, path: str, free: bool) -> DataFrame:
+    spark = df.sparkSession
+    if free:
+        gc.collect()
+        spark._jvm.System.gc()
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """``staged`` for tables that nothing reads after the block: they are removed at its end.
-
-    Their exchanges are of no use by then either; the executors delete those when the driver's collector has found them,
-    which a driver with a large heap would come to late.
-    """
+    """:func:`staged` with ``free`` for tables that nothing reads after the block: they are removed at its end."""
     at = folder(spark)
-
-    def held(df: DataFrame) -> DataFrame:
-        path = f"{at}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     try:
-        yield held
+        yield lambda df: _written(df, f"{at}/{uuid.uuid4().hex}", True)
     finally:
         path = spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        spark._jvm.System.gc()
